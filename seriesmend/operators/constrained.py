@@ -31,17 +31,13 @@ def _each(spec: SeriesSpec, fn: Callable[[np.ndarray, np.ndarray, int], np.ndarr
 
 
 def screen_column(y: np.ndarray, t: np.ndarray, lo: float, hi: float, window: float) -> np.ndarray:
-    """SCREEN: the middle of the own value and what later rows within `window` time units allow, clipped to what the repaired row before allows."""
+    """SCREEN: the middle of the own value and what later rows within `window` time units allow, clipped to what the repaired row before allows; the first row stays."""
     out = y.copy()
-    for i in range(len(y)):
-        later = np.flatnonzero((t > t[i]) & (t <= t[i] + window)) if i == 0 else np.arange(i + 1, np.searchsorted(t, t[i] + window, "right"))
-        gap = t[later] - t[i]
-        low, high = y[later] - hi * gap, y[later] - lo * gap
-        mid = np.median(np.r_[low, high, y[i]])
-        if i:
-            d = t[i] - t[i - 1]
-            mid = min(max(mid, out[i - 1] + lo * d), out[i - 1] + hi * d)
-        out[i] = mid
+    for i in range(1, len(y)):
+        later = np.arange(i + 1, np.searchsorted(t, t[i] + window, "right"))
+        gap, d = t[later] - t[i], t[i] - t[i - 1]
+        mid = np.median(np.r_[y[later] - hi * gap, y[later] - lo * gap, y[i]])
+        out[i] = min(max(mid, out[i - 1] + lo * d), out[i - 1] + hi * d)
     return out
 
 

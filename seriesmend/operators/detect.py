@@ -83,13 +83,14 @@ def kalman_gain(df: DataFrame, spec: SeriesSpec, gain: float = 0.5) -> DataFrame
 
 
 def holt_winters(df: DataFrame, spec: SeriesSpec, alpha: float = 0.3, beta: float = 0.1) -> DataFrame:
-    """Residual to a level with a trend, from level x[0] and trend 0."""
+    """Residual to level + trend once the row is taken in, from level x[0] and trend 0."""
 
     def step(v: float, s: tuple) -> tuple:
-        level = alpha * v + (1 - alpha) * (s[0] + s[1])
-        return level, beta * (level - s[0]) + (1 - beta) * s[1]
+        level = alpha * v + (1 - alpha) * s[0]
+        trend = beta * (level - s[1]) + (1 - beta) * s[2]
+        return level + trend, level, trend
 
-    return per_series(df, spec, _filtered(step, lambda v: (v, 0.0)), ["score"])
+    return per_series(df, spec, _filtered(step, lambda v: (v, v, 0.0)), ["score"])
 
 
 def _residual(smooth: Callable[[np.ndarray], np.ndarray]):

@@ -730,7 +730,9 @@ OUTLIER_REPAIRS: dict[str, Callable[..., DataFrame]] = {
 def repair_labelled(df: DataFrame, spec: SeriesSpec, label: str, method: str) -> DataFrame:
     """The repair by labels: rows with label 1 are masked, the repair fits what is left (gaps in line), and only those rows take its values."""
     masked = df.withColumns({c: F.when(F.coalesce(F.col(label), F.lit(0)) != 1, F.col(c)) for c in spec.features})
-    fixed = OUTLIER_REPAIRS[method](masked, spec).select(*spec.keys, *[F.col(c).alias(f"__f_{c}") for c in spec.features])
+    from seriesmend.operators.missing import impute_linear
+
+    fixed = OUTLIER_REPAIRS[method](impute_linear(masked, spec), spec).select(*spec.keys, *[F.col(c).alias(f"__f_{c}") for c in spec.features])
     rows = df.join(fixed, spec.keys)
     return rows.withColumns({c: F.when(F.col(label) == 1, F.col(f"__f_{c}")).otherwise(F.col(c)) for c in spec.features}).select(*df.columns)
 
