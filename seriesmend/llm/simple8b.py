@@ -30,30 +30,22 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray,
     blocks = -(-n // block)
     if not n:
         return np.zeros(0, U), np.zeros(1, np.int64), np.zeros(0, U)
-    at = np.arange(n, dtype=np.int64)
-    ends = np.minimum((at // block + 1) * block, n)
-    choice = np.zeros(n, np.int64)  # 0: an escape
-    for s in range(15, 0, -1):  # the more ids a selector holds, the later it is tried and the more it prevails
-        over = ids >= U(1 << int(WIDTHS[s]))
-        if over.all():
-            break
-        until = np.minimum(at + COUNTS[s], ends)
-        if over.any():
-            before = np.concatenate([[0], np.cumsum(over, dtype=np.int32)])
-            choice[before[until] == before[:-1]] = s
-        else:
-            choice[:] = s
-    after = np.minimum(at + COUNTS[choice], ends).tolist()
-    starts, i = [], 0
-    while i < n:
-        starts.append(i)
-        i = after[i]
-    starts = np.array(starts, np.int64)
+    ends = np.minimum(np.arange(1, blocks + 1, dtype=np.int64) * block, n)
+    choice = _choices(ids, blocks, block)
+    # all blocks go from word to word at once
+    place, steps = np.arange(blocks, dtype=np.int64) * block, []
+    while (place < ends).any():
+        steps.append(place)
+        place = np.minimum(place + COUNTS[choice[np.minimum(place, n - 1)]], ends)
+    by_block = np.stack(steps, axis=1)
+    starts = by_block[by_block < ends[:, None]]
+    ends = ends[starts // block]
     chosen = choice[starts]
     words = chosen.astype(U) << U(60)
+    exceptions = np.zeros(0, U)
     for s in np.unique(chosen):
         where = np.flatnonzero(chosen == s)
-        first, last = starts[where], ends[starts[where]]
+        first, last = starts[where], ends[where]
         if s == 0:
             exceptions = ids[first]
             words[where] |= np.arange(len(where), dtype=U)
@@ -61,12 +53,33 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray,
         for k in range(int(COUNTS[s]) if WIDTHS[s] else 0):
             held = first + k < last
             words[where[held]] |= ids[first[held] + k] << U(k * int(WIDTHS[s]))
-    if chosen.all():
-        exceptions = np.zeros(0, U)
-    offsets = np.searchsorted(starts, np.append(np.arange(blocks) * block, n))
+    offsets = np.r_[0, np.cumsum((by_block < np.minimum(np.arange(1, blocks + 1) * block, n)[:, None]).sum(axis=1))]
     return words, offsets.astype(np.int64), exceptions
 
 
+def _choices(ids: np.ndarray, blocks: int, block: int) -> np.ndarray:
+    """For each place the selector that holds the most ids from there on; beyond a block's end all fits."""
+    widths = np.zeros((blocks, block + int(COUNTS.max())), np.uint8)
+    flat = np.zeros(blocks * block, np.uint8)
+    top = int(ids.max()).bit_length()
+    for bit in range(top):  # bits of each id
+        flat[: len(ids)] += ids >= U(1 << bit)
+    widths[:, :block] = flat.reshape(blocks, block)
+    best = np.zeros((blocks, block), np.uint8)  # 0: an escape
+    most, size = widths, 1  # the greatest width among the next `size` ids
+    for s in range(15, 0, -1):
+        count = int(COUNTS[s])
+        while size < count:
+            step = min(size, count - size)
+            most = np.maximum(most[:, : most.shape[1] - step], most[:, step:])
+            size += step
+        fits = most[:, :block] <= WIDTHS[s]
+        if s < 15 and not fits.any():
+            break
+        np.copyto(best, np.uint8(s), where=fits)
+    return best.reshape(-1)[: len(ids)]
+
+
 def decode(words: np.ndarray, offsets: np.ndarray, exceptions: np.ndarray, n: int, block: int = BLOCK, first: int = 0, last: int | None = None) -> np.ndarray:
     """The ids of blocks first to last (all by default) of n coded ids."""
     last = len(offsets) - 1 if last is None else last

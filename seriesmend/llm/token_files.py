@@ -10,10 +10,15 @@ in the shared folder, written by Spark's committer: a retried task leaves no hal
 from __future__ import annotations
 
 import os
+import string
 import sys
 import zlib
+from array import array
+from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,11 +27,15 @@ from seriesmend.llm import simple8b
 from seriesmend.llm.vocab import default_path
 from seriesmend.runtime import arrow_map, scratch
 
-#: Entries and bytes of a word in a worker's cache.
-CACHE, LONGEST = 400_000, 64
+#: Entries in each of the two generations of a worker's cache, bytes of a word in it.
+CACHE, LONGEST = 300_000, 64
 #: Ids in a shard image; a document is never split, so one of more ids has an image of its own.
-SHARD_IDS = 2_000_000
+SHARD_IDS = 500_000
 END_ID = 1
+PUNCTUATION = string.punctuation.encode()
+#: The byte-level alphabet: printable Latin-1 characters stand for their byte, those from U+0100 for the other bytes in order.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LEVEL = {b: b for b in _PLAIN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
 class WordEncoder:
@@ -44,29 +53,87 @@ class WordEncoder:
         self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         probe = ["a b", " a\n b ", "it's  1\t2!", "É a\r\n"]
         self.by_words = "Removed" in str(self.model.pre_tokenizer) and all(self.ids([x]) == [b"".join(self.ids(x.split()))] for x in probe)
+        self.tokens = self.model.model.tokenize
+        self.stops: dict[bytes, bytes] = {}
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of self.kind."""
         return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def word_ids(self, word: bytes) -> bytes:
+        """The ids of a word. One of lower-case Latin letters in composed form is a single pre-token that the normalizer leaves as it is, so that it goes straight to the library's model, in the byte-level alphabet."""
+        if word.isalpha() and word.islower():
+            return array(self.kind.char, [t.id for t in self.tokens(word.decode())]).tobytes()
+        text = word.decode()
+        if text.isalpha() and max(text) < "\u0250" and text == text.lower() and is_normalized("NFC", text):
+            return array(self.kind.char, [t.id for t in self.tokens(word.decode("latin-1").translate(BYTE_LEVEL))]).tobytes()
+        return self.ids([text])[0]
+
+    def learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that the younger generation lacks; they come into it, which grows old at CACHE entries.
+
+        The vocabulary's own normalizer lower-cases, so A-Z are lower-cased first where no special string can be meant (those are found before). A run of ASCII punctuation at a word's end, after an
+        ASCII letter or digit, is a pre-token of its own.
+        """
+        older, known, got, keep, stops = self.older, self.cache, {b"": b""}, {}, self.stops
+        for w in missing:
+            ids = older.get(w)
+            if ids is None:
+                stem, end = w, b""
+                if b"<|" not in w:
+                    stem = w.lower()
+                    bare = stem.rstrip(PUNCTUATION)
+                    if bare[-1:].isalnum():
+                        stem, end = bare, stem[len(bare) :]
+                if stem == w:
+                    ids = self.word_ids(w)
+                else:
+                    ids = known.get(stem) or older.get(stem) or keep.get(stem)
+                    if ids is None:
+                        ids = self.word_ids(stem)
+                        if len(stem) <= LONGEST:
+                            keep[stem] = ids
+                    if end:
+                        tail = stops.get(end)
+                        if tail is None:
+                            tail = self.ids([end.decode()])[0]
+                            if len(stops) < 10_000:
+                                stops[end] = tail
+                        ids += tail
+            got[w] = ids
+            if len(w) <= LONGEST:
+                keep[w] = ids
+        if len(known) > CACHE:
+            self.older, self.cache = known, {}
+        self.cache.update(keep)
+        return got
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text (null: none) as bytes. Words are split and numbered by Arrow, so that Python handles a batch's distinct words only."""
+        texts = pc.fill_null(texts, "")
         if not self.by_words:
-            return self.ids(texts)
-        split = [x.encode().split() for x in texts]
-        known = self.cache
-        missing = list({w for words in split for w in words if w not in known})
-        if missing:
-            got = dict(zip(missing, self.ids([w.decode() for w in missing]), strict=True))
-            if len(known) > CACHE:
-                known = self.cache = {w: known[w] for words in split for w in words if w in known}
-            long = {w: v for w, v in got.items() if len(w) > LONGEST}
-            known.update(got)
-            out = [b"".join([known[w] for w in words]) for words in split]
-            for w in long:
-                del known[w]
-            return out
-        return [b"".join([known[w] for w in words]) for words in split]
+            return pa.array(self.ids(texts.to_pylist()), pa.binary())
+        lists = pc.ascii_split_whitespace(texts)
+        bounds = lists.offsets.to_numpy()
+        coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        found = list(map(self.cache.get, words))
+        gaps = [i for i, v in enumerate(found) if v is None]
+        if gaps:
+            got = self.learn([words[i] for i in gaps])
+            for i in gaps:
+                found[i] = got[words[i]]
+        size = self.kind.itemsize
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // size
+        pool, starts = np.frombuffer(b"".join(found), self.kind), np.cumsum(lengths) - lengths
+        at = coded.indices.to_numpy()
+        each = lengths[at]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = pool[np.repeat(starts[at] - ends[:-1], each) + np.arange(ends[-1])] if ends[-1] else pool[:0]
+        places = (ends[bounds - bounds[0]] * size).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
 
 
 def encoder(path: str) -> WordEncoder:
@@ -102,7 +169,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             ids = b.column(0)
             keys = ids.to_numpy(zero_copy_only=False)
             ranges = np.where(np.isnan(keys.astype(float)), 0, np.searchsorted(cuts, np.nan_to_num(keys).astype(np.int64))) if ids.null_count else np.searchsorted(cuts, keys)
-            yield {"range": ranges, "doc_id": ids, "ids": encoder(source).encode([x or "" for x in b.column(1).to_pylist()])}
+            yield {"range": ranges, "doc_id": ids, "ids": encoder(source).encode(b.column(1))}
 
     coded = arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), encode, schema)
     dealt = coded.repartitionById(n, "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "ids")
