@@ -16,7 +16,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 #: Rows in an Arrow batch sent to a Python worker. Long texts make rows of 100 KB, so that the default of 10,000 rows
 #: would need a GB; the byte bound does the same for longer ones.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
