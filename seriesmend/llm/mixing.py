@@ -11,13 +11,13 @@ Each step is one aggregate whose D sums reach the driver. A rate depends on the
 posteriors (rounded to DIGITS) instead of documents.
 
 The classifier is naive Bayes over the words that a text has (hashed to BUCKETS) and three traits of the whole text (shares of repeated words, of
-symbols and of capitals, in bins). It learns from at most ``max_labelled`` labelled rows, and keeps buckets that tell domains apart: a broadcast
-table of at most BUCKETS rows. Texts are exploded to words where they are read; what is shuffled is a row for each text and
-telling word. Equal texts are one row with a count.
+symbols and of capitals, in bins). It learns from at most ``max_labelled`` labelled rows, equal texts once, and keeps the few buckets that tell domains apart best. Whole texts are judged where
+they are read, in array functions; words are never shuffled.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from math import log
 
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from seriesmend.runtime import shared_dir, unused, written
 
-BUCKETS = 1 << 18
-MAX_LABELLED = 20_000
+BUCKETS, FLAGS = 1 << 18, 1 << 12
+MAX_LABELLED = 10_000
+#: Words that stand for traits of a text.
+TRAITS = 3
 #: A word counts for a domain if LEAST_TEXTS labelled texts have it; if in the domain LEAST_SHARE of the texts have it or, at the mean share, would; if its log odds there are
 #: LEAST_ODDS at least (MOST_ODDS is what it counts at most); and if the squared deviation of its texts from what is expected is LEAST_CHI at least in terms of that.
 #: Of these, the TELLING ones of the greatest deviation count: words of one group of near copies, which come together, would else outweigh them by their number.
@@ -43,12 +45,15 @@ HEADROOM = 1.02
 def with_words(docs: DataFrame, text: Column, *others: Column) -> DataFrame:
     """others and words: those between spaces and line ends, with three traits of the whole text as words of their own."""
     rows = docs.select(*others, text.alias("__text"))
-    rows = rows.select(*rows.columns, F.split(F.translate("__text", "\n\t\r", "   "), " ").alias("__words"))
+    spaced = F.col("__text")
+    for end in "\n\t\r":
+        spaced = F.replace(spaced, F.lit(end), F.lit(" "))
+    rows = rows.select(*rows.columns, F.split(spaced, " ").alias("__words"))
     n = F.greatest(F.length("__text"), F.lit(1))
     share = lambda part: F.least(F.lit(9), F.floor(10 * part)).cast("string")
     repeated = 1 - F.size(F.array_distinct("__words")) / F.size("__words")
-    symbols = (n - F.length(F.translate("__text", "!#$%&*|=<>@^~", ""))) / n
-    capitals = (n - F.length(F.translate("__text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))) / n
+    symbols = F.length(F.regexp_replace("__text", r"[^!#$%&*|=<>@^~]+", "")) / n
+    capitals = F.length(F.regexp_replace("__text", "[^A-Z]+", "")) / n
     traits = F.array(F.concat(F.lit("\n repeated "), share(repeated)), F.concat(F.lit("\n symbols "), share(symbols)), F.concat(F.lit("\n capitals "), share(capitals)))
     return rows.select(*[c for c in rows.columns if not c.startswith("__")], F.concat("__words", traits).alias("words"))
 
@@ -87,27 +92,43 @@ def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def posteriors(docs: DataFrame, weights: DataFrame, prior: list[float], text_col: str) -> DataFrame:
-    """A row for each text: key (its MD5), copies (rows that have it), tokens (words of one), p0, p1, ... (rounded to DIGITS)."""
+def with_posteriors(docs: DataFrame, weights: DataFrame, prior: list[float], text_col: str, tokens: str = "tokens", p: str = "p") -> DataFrame:
+    """docs with tokens (words of the text) and p0, p1, ... (rounded to DIGITS), by the row: no word leaves its task.
+
+    Telling buckets are few (TELLING for each domain), so that they are literals: a flag for each rest of a bucket by FLAGS lets next to all words go at once, and what passes is looked up.
+    """
+    told = [r for r in weights.orderBy("bucket").collect()]  # at most TELLING rows for each domain, but for equals
     d = range(len(prior))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = with_words(docs, text, text_key(F.col(text_col)).alias("key")).select("key", F.posexplode("words").alias("pos", "word")).select("key", "pos", F.length("word").alias("size"), F.substring("word", 1, 1).alias("head"), bucket(F.col("word")).alias("bucket"))
-    found = rows.join(F.broadcast(weights), "bucket", "left")
-    telling = F.when(F.col("w0").isNotNull(), F.col("bucket"))
-    part = found.groupBy("key", telling.alias("b")).agg(F.count_if(F.col("pos") == 0).alias("copies"), F.count_if((F.col("size") > 0) & (F.col("head") != "\n")).alias("tokens"), *[F.first(f"w{k}").alias(f"w{k}") for k in d])
-    text_rows = part.groupBy("key").agg(F.sum("copies").alias("copies"), F.sum("tokens").alias("tokens"), *[F.coalesce(F.sum(f"w{k}"), F.lit(0.0)).alias(f"w{k}") for k in d])
-    score = [F.col(f"w{k}") + prior[k] for k in d]
-    top = F.greatest(*score) if len(prior) > 1 else score[0]
-    weight = [F.exp(s - top) for s in score]
-    return text_rows.select("key", "copies", (F.col("tokens") / F.col("copies")).alias("tokens"), *[F.round(w / sum(weight[1:], weight[0]), DIGITS).alias(f"p{k}") for k, w in enumerate(weight)])
+    flags = [0] * FLAGS
+    for r in told:
+        flags[r["bucket"] % FLAGS] = 1
+    constant = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")  # noqa: E731  folded once, when the plan is made
+    flag, buckets = constant(flags, "int"), constant([r["bucket"] for r in told], "int")
+    rows = with_words(docs, F.coalesce(F.col(text_col), F.lit("")), *[F.col(c) for c in docs.columns])
+    words = unused(docs, "words")
+    rows = rows.withColumnRenamed("words", words) if words != "words" else rows
+    maybe = F.filter(words, lambda w: F.get(flag, F.pmod(F.xxhash64(w), F.lit(FLAGS)).cast("int")) == 1)
+    hits = F.array_distinct(F.filter(F.transform(maybe, lambda w: F.array_position(buckets, bucket(w)).cast("int")), lambda i: i > 0))
+    found = unused(docs, "hits")
+    rows = rows.select(*docs.columns, (F.size(F.array_remove(words, "")) - TRAITS).cast("long").alias(tokens), hits.alias(found))
+    total = lambda k: F.aggregate(found, F.lit(float(prior[k])), _adding(constant([r[f"w{k}"] for r in told], "double")))
+    score = [unused(docs, f"score{k}") for k in d]
+    rows = rows.select(*docs.columns, tokens, *[total(k).alias(score[k]) for k in d])
+    top = F.greatest(*score) if len(prior) > 1 else F.col(score[0])
+    weight = [F.exp(F.col(s) - top) for s in score]
+    return rows.select(*docs.columns, tokens, *[F.round(w / sum(weight[1:], weight[0]), DIGITS).alias(f"{p}{k}") for k, w in enumerate(weight)])
+
+
+def _adding(values: Column):
+    return lambda total, i: total + F.get(values, i - 1)
 
 
 def solve(cells: DataFrame, shares: list[float], total: float | None = None, steps: int = STEPS) -> tuple[DataFrame, list[float], list[float]]:
-    """(cells with their rate, targets, expected tokens). cells: p0, p1, ..., tokens."""
+    """(cells with their rate, targets, expected tokens). cells: p0, p1, ..., tokens. Steps start from a point ahead of the last rate (Nesterov's momentum)."""
     d = range(len(shares))
-    now_at = lambda: [float(x or 0) for x in cells.agg(*[F.sum(F.col("tokens") * F.col("rate") * F.col(f"p{k}")) for k in d]).first()]
-    cells = cells.withColumn("rate", F.lit(1.0)).checkpoint()
-    have = now = now_at()
+    at = lambda column: [float(x or 0) for x in cells.agg(*[F.sum(F.col("tokens") * F.col(column) * F.col(f"p{k}")) for k in d]).first()]
+    cells = cells.withColumns({"rate": F.lit(1.0), "ahead": F.lit(1.0)}).checkpoint()
+    have = now = at("ahead")
     if total is None:
         total = HEADROOM * max((a / s for a, s in zip(have, shares, strict=True) if s > 0 and a > 0), default=0.0)
     targets = [s * total for s in shares]
@@ -116,50 +137,59 @@ def solve(cells: DataFrame, shares: list[float], total: float | None = None, ste
         move = [F.col(f"p{k}") * (x / have[k]) for k, x in enumerate(excess) if have[k] > 0]
         if not move or sum(map(abs, excess)) <= TOLERANCE * max(total, 1.0):
             break
-        cells = cells.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - sum(move[1:], move[0])))
+        new = F.greatest(F.lit(0.0), F.col("ahead") - sum(move[1:], move[0]))
+        cells = cells.withColumn("new", new).withColumn("ahead", F.col("new") + (F.col("new") - F.col("rate")) * ((step - 1) / (step + 2)))
+        cells = cells.select(*[f"p{k}" for k in d], "tokens", F.col("new").alias("rate"), "ahead")
         cells = cells if step % WRITE_EVERY else cells.checkpoint()
-        before, now = now, now_at()
+        before, now = now, at("ahead")
         if max(abs(x - y) for x, y in zip(before, now, strict=True)) <= 1e-6 * max(total, 1.0):
             break
-    return cells.checkpoint(), targets, now
-
+    cells = cells.drop("ahead").checkpoint()
+    return cells, targets, at("rate")
 
-def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", total: float | None = None, max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, list[str], list[float], list[float]]:
-    """(table, domains, target tokens, expected tokens). The table has a row for each text: key (see text_key), copies, tokens, p0, p1, ... by domain, rate.
 
-    labelled: (id, domain); ids that docs lacks, null ids and null domains teach nothing. targets: share of tokens for each domain; they are scaled to 1, and a domain without one
-    has 0. total: target tokens in all; by default the least total at which every domain with a target keeps its tokens, times HEADROOM. Null texts are empty: no tokens and the
-    posterior of their traits. Without labelled rows all posteriors are equal; an empty table gives an empty one.
-    """
+def classifier(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str, text_col: str, max_labelled: int) -> tuple[list[str], DataFrame, list[float]]:
+    """(domains by name, telling buckets, log priors). Domains: those of the labelled rows and of the targets."""
     shared_dir(docs.sparkSession)
     known = {r[0] for r in labelled.select("domain").where("domain is not null").distinct().collect()}
     domains = sorted(known | set(targets))
+    return domains, *learn(docs, labelled, id_col, text_col, domains, max_labelled)
+
+
+def rated_cells(rows: DataFrame, domains: list[str], targets: Mapping[str, float], tokens: str, p: str, total: float | None = None) -> tuple[DataFrame, list[float], list[float]]:
+    """(p0, p1, ..., rate of every cell of equal posteriors; target tokens; expected tokens)."""
     whole = sum(targets.values()) or 1.0
-    shares = [targets.get(d, 0.0) / whole for d in domains]
-    weights, prior = learn(docs, labelled, id_col, text_col, domains, max_labelled)
-    texts = written(posteriors(docs, weights, prior, text_col), "posteriors")
-    p = [f"p{k}" for k in range(len(domains))]
-    cells = texts.groupBy(*p).agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
-    rated, goal, got = solve(cells, shares, total)
-    return written(texts.join(rated.drop("tokens"), p), "rates"), domains, goal, got
-
-
-def with_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row for each row of docs: doc_id, tokens, domain (the likeliest; the first by name of equals), posterior (map), rate. See mixing_rates; null ids and repeated rows stay, and other columns aren't read."""
-    texts, domains, _, _ = mixing_rates(docs, labelled, targets, id_col, text_col, **options)
+    cells = rows.groupBy(*[F.col(f"{p}{k}").alias(f"p{k}") for k in range(len(domains))]).agg(F.sum(tokens).cast("double").alias("tokens"))
+    rated, goal, got = solve(cells, [targets.get(d, 0.0) / whole for d in domains], total)
+    return rated.drop("tokens"), goal, got
+
+
+def with_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", total: float | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """One row for each row of docs: doc_id, tokens, domain (the likeliest; the first by name of equals), posterior (map), rate.
+
+    labelled: (id, domain); ids that docs lacks, null ids and null domains teach nothing. targets: share of tokens for each domain; they are scaled to 1, and a domain without one has 0. total: target tokens in all; by default the
+    least total at which every domain with a target keeps its tokens, times HEADROOM. Null texts are empty: no tokens and the posterior of their traits. Null ids and repeated rows stay; without labelled rows all posteriors are equal; an
+    empty table gives an empty one; other columns, whatever their names, aren't read.
+    """
+    domains, weights, prior = classifier(docs, labelled, targets, id_col, text_col, max_labelled)
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = written(with_posteriors(slim, weights, prior, "text").drop("text"), "posteriors")
+    cells, _, _ = rated_cells(rows, domains, targets, "tokens", "p", total)
     p = [F.col(f"p{k}") for k in range(len(domains))]
     best = F.greatest(*p) if len(p) > 1 else p[0]
     domain = F.coalesce(*[F.when(x == best, F.lit(d)) for x, d in zip(p, domains, strict=True)])
     posterior = F.create_map(*[y for x, d in zip(p, domains, strict=True) for y in (F.lit(d), x)])
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"))
-    return rows.join(texts, "key").select("doc_id", F.col("tokens").cast("long").alias("tokens"), domain.alias("domain"), posterior.alias("posterior"), F.round("rate", 6).alias("rate"))
+    return rows.join(cells, [f"p{k}" for k in range(len(domains))]).select("doc_id", "tokens", domain.alias("domain"), posterior.alias("posterior"), F.round("rate", 6).alias("rate"))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", seed: int = 11, **options) -> DataFrame:
-    """docs with each row as often as its rate says: the whole part of the rate, and once more with the chance of the rest (drawn by a hash of id, text and seed). All columns stay."""
-    texts, _, _, _ = mixing_rates(docs, labelled, targets, id_col, text_col, **options)
-    key, rate, times, one = (unused(docs, x) for x in ("key", "rate", "times", "one"))
-    rates = texts.select(F.col("key").alias(key), F.col("rate").alias(rate))
+def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", seed: int = 11, total: float | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """docs with each row as often as its rate says: the whole part of the rate, and once more with the chance of the rest (drawn by a hash of id, text and seed). All columns stay. See with_rates."""
+    domains, weights, prior = classifier(docs, labelled, targets, id_col, text_col, max_labelled)
+    slim = written(with_posteriors(docs.select(F.col(text_col).alias("text")), weights, prior, "text").drop("text"), "posteriors")
+    cells, _, _ = rated_cells(slim, domains, targets, "tokens", "p", total)
+    tokens, p, rate, times, one = (unused(docs, f"mix_{x}") for x in ("tokens", "p", "rate", "times", "one"))
+    keys = [f"{p}{k}" for k in range(len(domains))]
+    cells = cells.select(*[F.col(f"p{k}").alias(c) for k, c in enumerate(keys)], F.col("rate").alias(rate))
     draw = F.pmod(F.xxhash64(id_col, text_col, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    rows = docs.withColumn(key, text_key(F.col(text_col))).join(rates, key).withColumn(times, F.floor(F.col(rate) + draw).cast("int")).where(F.col(times) > 0)
+    rows = with_posteriors(docs, weights, prior, text_col, tokens, p).join(cells, keys).withColumn(times, F.floor(F.col(rate) + draw).cast("int")).where(F.col(times) > 0)
     return rows.withColumn(one, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
