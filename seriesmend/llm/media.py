@@ -4,7 +4,7 @@ A text's payload (UTF-8, padded with spaces to a positive multiple of 192) is st
 bytes cuts it into chunks where the top bits of the hash are zero, so that equal passages give equal chunks wherever they stand. The
 stored form of a medium is its header and ordered chunk list followed by its chunks; of equal chunks one copy is kept, chosen by a join of
 chunk digests with each digest's owner. Reading back joins the chunk lists with the chunk store, puts the chunks in order, and checks
-every chunk and the whole payload by SHA-256.
+every chunk and the whole payload by their digests (128 bits of SHA-256).
 
 Bytes travel compressed and as seldom as they can: once to the store, which is bucketed by digest and so isn't shuffled again, and once more to
 their medium for those of several chunks. Equal payloads are one medium. A chunk that a large share of the media hold would be one task's
@@ -33,6 +33,10 @@ LEAST, MEAN, MOST = 1024, 4096, 16384
 HOT, OFTEN = 256, 1000
 #: Digests that a task remembers in order not to send a chunk twice.
 REMEMBERED = 200_000
+#: Payload bytes of a bucket of the store.
+BUCKET = 16 << 20
+#: Texts from which the compression dictionary is made, its bytes, and the level. They change sizes only.
+SAMPLE_ROWS, DICTIONARY, LEVEL = 1500, 1 << 16, 9
 HEADER = struct.Struct("<4sII")
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([c]), 9) for c in range(256)], np.uint32)
 
@@ -42,6 +46,11 @@ def payload_of(text: str | None) -> bytes:
     return raw + b" " * (max(1, -(-len(raw) // UNIT)) * UNIT - len(raw))
 
 
+def digest_of(data: bytes) -> bytes:
+    """The first 16 bytes of SHA-256: the name of a chunk or a medium."""
+    return hashlib.sha256(data).digest()[:16]
+
+
 def cuts(payload: bytes) -> list[int]:
     """Ends of the chunks. The hash at a byte covers the 32 bytes up to it: h = 2 h + GEAR[byte], modulo 2^32."""
     n = len(payload)
@@ -78,7 +87,7 @@ def feature(payload: bytes) -> str:
 
 
 def _lists(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, media, chunks): the ordered chunk list of each row; media is the payload's SHA-256."""
+    """(doc_id, n_bytes, payload_bytes, media, chunks): the ordered chunk list of each row; media is the payload's digest."""
     piece = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("size", T.IntegerType())])
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("media", T.BinaryType()), T.StructField("chunks", T.ArrayType(piece))])
 
@@ -87,34 +96,52 @@ def _lists(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             out: dict[str, list] = {f.name: [] for f in schema.fields[1:]}
             for text in b.column(1).to_pylist():
                 p = payload_of(text)
-                for name, value in (("n_bytes", len((text or "").encode())), ("payload_bytes", len(p)), ("media", hashlib.sha256(p).digest()), ("chunks", [{"digest": hashlib.sha256(c).digest(), "size": len(c)} for c in chunks(p)])):
+                for name, value in (("n_bytes", len((text or "").encode())), ("payload_bytes", len(p)), ("media", digest_of(p)), ("chunks", [{"digest": digest_of(c), "size": len(c)} for c in chunks(p)])):
                     out[name].append(value)
             yield {"doc_id": b.column(0), **out}
 
     return arrow_map(docs.select(id_col, text_col), run, schema)
 
 
-def _bytes(docs: DataFrame, text_col: str) -> DataFrame:
-    """(digest, media, packed): chunks of all payloads, compressed; a chunk that a task has sent for the same medium isn't sent again."""
+def dictionary_of(docs: DataFrame, text_col: str) -> bytes:
+    """A zstd dictionary from the chunks of at most SAMPLE_ROWS texts; empty where they are too few."""
+    import zstandard
+
+    texts = docs.select(text_col).where(F.col(text_col).isNotNull()).take(SAMPLE_ROWS)
+    samples = [c for (t,) in texts for c in chunks(payload_of(t))]
+    try:
+        return zstandard.train_dictionary(DICTIONARY, samples).as_bytes() if len(samples) >= 100 else b""
+    except zstandard.ZstdError:
+        return b""
+
+
+def _zstd(dictionary: bytes) -> dict:
+    import zstandard
+
+    return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+
+
+def _bytes(docs: DataFrame, text_col: str, dictionary: bytes) -> DataFrame:
+    """(digest, media, packed): chunks of all payloads, compressed; a medium that a task has sent isn't sent again."""
     schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("media", T.BinaryType()), T.StructField("packed", T.BinaryType())])
 
     def run(batches):
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True).compress
+        pack = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=True, write_dict_id=False, **_zstd(dictionary)).compress
         sent: set[bytes] = set()
         for b in batches:
             out: dict[str, list] = {"digest": [], "media": [], "packed": []}
             for text in b.column(0).to_pylist():
                 p = payload_of(text)
-                media = hashlib.sha256(p).digest()
+                media = digest_of(p)
                 if media in sent:
                     continue
                 if len(sent) >= REMEMBERED:
                     sent.clear()
                 sent.add(media)
                 for c in chunks(p):
-                    for name, value in (("digest", hashlib.sha256(c).digest()), ("media", media), ("packed", pack(c))):
+                    for name, value in (("digest", digest_of(c)), ("media", media), ("packed", pack(c))):
                         out[name].append(value)
             yield out
 
@@ -135,14 +162,17 @@ def _single(rows: DataFrame) -> DataFrame:
     return arrow_map(rows.select("digest", "packed"), run, T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("packed", T.BinaryType())]))
 
 
-def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Write the chunk lists and the chunk store in the shared folder; (lists, chunk store, digests with their number of media)."""
+def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Write the chunk lists and the chunk store in the shared folder; (lists, chunk store, digests with their number of media, the store's dictionary as one row)."""
     spark = docs.sparkSession
+    dictionary = dictionary_of(docs, text_col)
+    kept = written(spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary"), "chunk-dictionary")
     lists = written(_lists(docs, id_col, text_col), "chunk-lists")
     media = lists.select("media", "chunks").dropDuplicates(["media"])
     digests = written(media.select("media", F.explode(F.array_distinct("chunks.digest")).alias("digest")).groupBy("digest").agg(F.min("media").alias("owner"), F.count("*").alias("n")), "digests")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with_owner = _bytes(docs, text_col).join(digests.hint("merge").select("digest", "owner"), "digest").where("media = owner")
+    size = lists.agg(F.sum("payload_bytes")).first()[0] or 0
+    n = max(8, -(-size // BUCKET))
+    with_owner = _bytes(docs, text_col, dictionary).repartition(n, "digest").join(digests.select("digest", "owner").repartition(n, "digest").hint("merge"), "digest").where("media = owner")
     path, table = scratch(spark, "chunk-store"), "chunk_store_" + uuid.uuid4().hex[:12]
     clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(clean, "false")
@@ -151,12 +181,13 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         _single(with_owner.sortWithinPartitions("digest")).write.bucketBy(n, "digest").sortBy("digest").option("path", path).option("compression", "none").saveAsTable(table)
     finally:
         spark.conf.set(clean, before)
-    return lists, spark.table(table), digests
+    return lists, spark.table(table), digests, kept
 
 
-def read_back(lists: DataFrame, chunk_store: DataFrame, digests: DataFrame) -> DataFrame:
+def read_back(lists: DataFrame, chunk_store: DataFrame, digests: DataFrame, kept: DataFrame) -> DataFrame:
     """(media, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of every medium, from the stored chunks. A chunk or payload that isn't what its
     digest says raises ValueError."""
+    dictionary = bytes(kept.first()[0])
     media = lists.select("media", "chunks").dropDuplicates(["media"])
     rows = media.select("media", F.size("chunks").alias("n"), F.posexplode("chunks").alias("seq", "chunk")).select("media", "n", "seq", "chunk.digest")
     hot = digests.where(F.col("n") > OFTEN).orderBy(F.desc("n"), "digest").limit(HOT).select("digest")
@@ -167,7 +198,7 @@ def read_back(lists: DataFrame, chunk_store: DataFrame, digests: DataFrame) -> D
     def assemble(batches):
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor().decompress
+        unpack = zstandard.ZstdDecompressor(**_zstd(dictionary)).decompress
         held: list[tuple[bytes, bytes]] = []
         now, want, rows = None, 0, []
 
@@ -175,7 +206,7 @@ def read_back(lists: DataFrame, chunk_store: DataFrame, digests: DataFrame) -> D
             if len(held) != want:
                 raise ValueError(f"medium {now.hex()}: {len(held)} of {want} chunks")
             payload = b"".join(c for _, c in held)
-            if hashlib.sha256(payload).digest() != now:
+            if digest_of(payload) != now:
                 raise ValueError(f"medium {now.hex()}: its chunks give another payload")
             form = stored_form(payload, held)
             rows.append((now, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(form), hashlib.sha256(form).hexdigest(), feature(payload)))
@@ -186,7 +217,7 @@ def read_back(lists: DataFrame, chunk_store: DataFrame, digests: DataFrame) -> D
                     take()
                     held = []
                 chunk = unpack(packed)
-                if hashlib.sha256(chunk).digest() != digest:
+                if digest_of(chunk) != digest:
                     raise ValueError(f"chunk {digest.hex()} is damaged")
                 now, want = m, n
                 held.append((digest, chunk))
@@ -214,6 +245,6 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts have a payload of 192 spaces; null ids stay; repeated rows and equal texts share one medium and have equal values; an empty table gives
     an empty one; other columns, whatever their names, aren't read. A payload is held whole by one task, its chunks never exceed MOST bytes.
     """
-    lists, chunk_store, digests = store(docs, id_col, text_col)
-    media = written(read_back(lists, chunk_store, digests), "media")
+    lists, *stored = store(docs, id_col, text_col)
+    media = read_back(lists, *stored)
     return lists.select("doc_id", "n_bytes", "payload_bytes", "media").join(media, "media").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
