@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesmend.llm.components import components
-from seriesmend.llm.hamming import forest
+from seriesmend.llm.hamming import forest, nearest_forest
 from seriesmend.runtime import arrow_map, unused, written
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -81,8 +81,8 @@ def segment_keys(fp: Column, blocks: list[tuple[int, int]], k: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("choice"), fp.bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(signed)])
 
 
-def link_forest(prints: DataFrame, radius: int = RADIUS, n: int | None = None) -> DataFrame:
-    """(u, v): links of at most radius bits between distinct fingerprints (column fp) that connect what all such links connect."""
+def _over_segments(prints: DataFrame, radius: int, find, n: int | None = None) -> DataFrame:
+    """(u, v) of find(segments, fingerprints) over segments in which any two fingerprints (column fp, distinct) of at most radius bits meet."""
     n = prints.count() if n is None else n
     blocks, k = blocks_for(n, radius)
     rows = prints.select("fp", F.explode(segment_keys(F.col("fp"), blocks, k)).alias("key")).select("fp", "key.choice", "key.value")
@@ -100,7 +100,7 @@ def link_forest(prints: DataFrame, radius: int = RADIUS, n: int | None = None) -
 
         def solve(rows: np.ndarray) -> dict:
             heads = np.r_[True, (rows[1:, :4] != rows[:-1, :4]).any(axis=1)]
-            u, v = forest(np.cumsum(heads), rows[:, 4].copy().view(np.uint64), radius)
+            u, v = find(np.cumsum(heads), rows[:, 4].copy().view(np.uint64))
             return {"u": u.view(np.int64), "v": v.view(np.int64)}
 
         for b in batches:
@@ -118,6 +118,11 @@ def link_forest(prints: DataFrame, radius: int = RADIUS, n: int | None = None) -
     return arrow_map(dealt, links, schema)
 
 
+def link_forest(prints: DataFrame, radius: int = RADIUS, n: int | None = None) -> DataFrame:
+    """(u, v): fingerprint pairs that connect what all links of at most radius bits connect, and no more."""
+    return _over_segments(prints, radius, lambda segments, fp: forest(segments, fp, radius), n)
+
+
 def component_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, root) for distinct fingerprints: the least fingerprint that links reach."""
     found = components(link_forest(prints, radius))
@@ -138,17 +143,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component, one row of the smallest id (nulls last) stays, with all its columns.
+def shingle_set(text: str | None, words: int, seed: int = SEED) -> np.ndarray:
+    """The distinct XXH64 of a text's shingles, sorted."""
+    parts = (text or "").encode().lower().split()
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(parts[i : i + words]), seed) for i in range(max(1, len(parts) - words + 1))] if parts else [], np.uint64))
+
+
+def verified_links(rows: DataFrame, near: DataFrame, text_col: str, fp: str, words: int, radius: int, reach: int, similarity: float) -> DataFrame:
+    """(u, v): components of `near` (fp, root) that links of radius + 1 to reach bits join, each link verified: the Jaccard similarity of the two texts' shingles is `similarity` or more.
+
+    Of the links of a segment those are tried that join components, the nearest first; a pair of components is tried once, by its nearest link. rows: texts with their fingerprints.
+    """
+    found = _over_segments(near, reach, lambda segments, p: nearest_forest(segments, p, radius, reach))
+    of = near.select(F.col("fp"), "root")
+    pairs = found.join(of.select(F.col("fp").alias("u"), F.col("root").alias("cu")), "u").join(of.select(F.col("fp").alias("v"), F.col("root").alias("cv")), "v").where("cu <> cv")
+    pairs = pairs.select(F.least("cu", "cv").alias("a"), F.greatest("cu", "cv").alias("b"), F.struct(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).alias("bits"), F.col("u"), F.col("v")).alias("link"))
+    pairs = written(pairs.groupBy("a", "b").agg(F.min("link").alias("link")).select("a", "b", "link.u", "link.v"), "near-links")
+    wanted = pairs.select(F.col("u").alias("__w")).union(pairs.select("v")).distinct()
+    texts = rows.select(F.col(fp).alias("__f"), F.col(text_col).alias("__t")).join(wanted, F.col("__f") == F.col("__w"), "left_semi")
+    schema = T.StructType([T.StructField("f", T.LongType()), T.StructField("shingles", T.BinaryType())])
+
+    def sets(batches):
+        for b in batches:
+            yield {"f": b.column(0), "shingles": [shingle_set(x, words).tobytes() for x in b.column(1).to_pylist()]}
+
+    sets_of = written(arrow_map(texts, sets, schema).dropDuplicates(["f"]), "shingle-sets")
+    both = pairs.join(sets_of.select(F.col("f").alias("u"), F.col("shingles").alias("x")), "u").join(sets_of.select(F.col("f").alias("v"), F.col("shingles").alias("y")), "v").select("a", "b", "x", "y")
+
+    def alike(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(shared >= similarity * (len(p) + len(q) - shared))
+            a, c = b.column(0).to_numpy()[keep], b.column(1).to_numpy()[keep]
+            yield {"u": a, "v": c}
+
+    return arrow_map(both, alike, T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())]))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = RADIUS, reach: int = 10, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
+    """The rows of docs without near-duplicates: of each group, one row of the smallest id (nulls last) stays, with all its columns.
 
-    Repeated rows and ties: any one of the rows with that id and fingerprint. Texts without words form one component.
+    Fingerprints of at most radius bits apart are one group as they are. Up to `reach` bits they are if the texts' shingles of `words` words have a Jaccard similarity of at least
+    `similarity` (see verified_links). reach = radius: no more than the first. Repeated rows and ties: any one of the rows with that id and fingerprint. Texts without words form one group.
     """
     fp = unused(docs, "fp")
     rows = with_fingerprints(docs, text_col, fp, words, seed)
     slim = written(with_fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), words=words, seed=seed).groupBy("doc_id", "fp").agg(F.count("*").alias("n")), "fingerprints")
     best = slim.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "n")).alias("best"))
-    of = component_of(best, radius).join(best, "fp")
-    keep = of.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("__id"), F.col("best.fp").alias("__fp"), F.col("best.n").alias("__n"))
+    of = component_of(best, radius)
+    if reach > radius:
+        of = written(of, "fingerprint-roots")
+        joined = components(verified_links(rows, of, text_col, fp, words, radius, reach, similarity)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        of = of.join(joined, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
+    keep = of.join(best, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("__id"), F.col("best.fp").alias("__fp"), F.col("best.n").alias("__n"))
     keep = written(keep, "kept-fingerprints")
     kept = rows.join(keep, rows[id_col].eqNullSafe(keep["__id"]) & (rows[fp] == keep["__fp"]))
     once, more = kept.where("__n = 1"), kept.where("__n > 1").dropDuplicates(["__fp"])
