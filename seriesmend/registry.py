@@ -15,7 +15,6 @@ from seriesmend.operators import constrained, constraints, detect, inject, metri
 from seriesmend.plans import selection
 from seriesmend.runtime import prepare
 from seriesmend.sources import series
-from seriesmend.spec import SeriesSpec
 from seriesmend.streaming import online
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -265,7 +264,7 @@ def _(spark, sf):
 
 
 RULES = constraints.Constraints(speed={"col_1": (-300.0, 300.0)}, accel={"col_1": (-400.0, 400.0)}, variance={"col_1": (0.0, 30000.0)}, amplitude={"col_3": (0.01, 0.09)})
-_SPEED = {"col_1": (-20.0, 20.0)}
+
 EV_RULES = constraints.Constraints(speed={"col_1": (-0.01, 0.01)}, accel={"col_1": (-0.001, 0.001)}, variance={"col_1": (0.0, 400.0)})
 VIOL = f"""WITH {SM}, q AS (SELECT *, col_1 - lag(col_1) OVER w AS sp, col_1 - 2 * lag(col_1) OVER w + lag(col_1, 2) OVER w AS ac, CASE WHEN count(col_1) OVER v = 10 THEN var_pop(col_1) OVER v END AS va FROM sm WINDOW w AS (PARTITION BY sample_id ORDER BY t), v AS (PARTITION BY sample_id ORDER BY t ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)),
  vio AS (SELECT sample_id, t, 'speed' AS kind, 'col_1' AS cols, sp AS value, greatest(-300 - sp, sp - 300) AS degree FROM q WHERE abs(sp) > 300 UNION ALL SELECT sample_id, t, 'accel', 'col_1', ac, greatest(-400 - ac, ac - 400) FROM q WHERE abs(ac) > 400
