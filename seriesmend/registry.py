@@ -218,6 +218,8 @@ _score("IQR", f"WITH {SM}, q AS (SELECT sample_id, t, " + ", ".join(f"{c}, quant
 _FRAME = "WINDOW w AS (PARTITION BY sample_id ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
 _score("MovingAverage", f"WITH {SM} SELECT sample_id, t, {_MOST('abs({c} - avg({c}) OVER w)')} FROM sm {_FRAME}")
 _score("RollingMedian", f"WITH {SM} SELECT sample_id, t, {_MOST('abs({c} - quantile_cont({c}, 0.5) OVER w)')} FROM sm {_FRAME}")
+_score("EWMA", f"WITH {SM}, s AS (SELECT sample_id, t, " + ", ".join(f"{c}, list_reduce(list({c}) OVER w, lambda a, x: 0.3 * x + 0.7 * a) AS s_{c}" for c in Three) + f" FROM sm WINDOW w AS (PARTITION BY sample_id ORDER BY t ROWS UNBOUNDED PRECEDING)) SELECT sample_id, t, {_MOST('abs({c} - s_{c})')} FROM s")
+_score("Kalman", ORACLE_SQL["detect_ewma"].replace("0.3 * x + 0.7 * a", "0.5 * x + 0.5 * a"))
 for _name in detect.DETECTORS:
     if f"detect_{_name.lower()}" not in QUERIES:
         query(f"detect_{_name.lower()}")(_sm(detect.DETECTORS[_name], "score"))
@@ -327,6 +329,8 @@ query("repair_smurf", f"""WITH {EV}, w AS (SELECT *, avg(clean_1) OVER f AS m, c
  SELECT sample_id, t, round(CASE WHEN abs(clean_1 - m) > 3 * s + 0.1 * g THEN m ELSE clean_1 END, 6) + 0.0 AS col_1 FROM w""")(_clean(repair.smurf))
 query("repair_window_regression", f"""WITH {EV}, w AS (SELECT *, regr_slope(clean_1, t) OVER f AS b, regr_intercept(clean_1, t) OVER f AS a, regr_syy(clean_1, t) OVER f AS syy, regr_sxy(clean_1, t) OVER f AS sxy, regr_sxx(clean_1, t) OVER f AS sxx, regr_count(clean_1, t) OVER f AS n FROM ev WINDOW f AS (PARTITION BY sample_id ORDER BY t ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING))
  SELECT sample_id, t, round(CASE WHEN abs(clean_1 - (a + b * t)) > 3 * sqrt(greatest(syy - coalesce(sxy ^ 2 / nullif(sxx, 0), 0), 0) / n) + 1e-12 THEN a + b * t ELSE clean_1 END, 6) + 0.0 AS col_1 FROM w""")(_clean(repair.window_regression))
+query("repair_abnormal_sequence_interpolation", f"""WITH {EV.replace("CASE WHEN event_id % 7 <> 0 THEN value END AS col_1", "value AS v0")}, h AS (SELECT *, list(v0) OVER f AS l, quantile_cont(v0, 0.5) OVER f AS m FROM ev WINDOW f AS (PARTITION BY sample_id ORDER BY t ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)),
+ ev2 AS (SELECT sample_id, t, timestamp, CASE WHEN abs(v0 - m) <= 3 * list_median(list_transform(l, lambda x: abs(x - m))) THEN v0 END AS col_1 FROM h), {LINEAR.replace("FROM ev WINDOW", "FROM ev2 WINDOW")} SELECT sample_id, t, {R('x', 'col_1')} FROM lin""")(_clean(repair.abnormal_sequence))
 for _name in repair.MISSING_REPAIRS:
     if _name != "interpolation":
         query(f"repair_missing_{_name}")(_ev_op(repair.MISSING_REPAIRS[_name]))
@@ -399,22 +403,34 @@ def _(spark, sf):
     return r6(metrics.average_precision(*lab(spark, sf)), "ap")
 
 
-@query("range_f1")
+_EVENTS = lambda f: f"(SELECT sample_id, min(t) AS a, max(t) + 1 AS b FROM (SELECT sample_id, t, t - row_number() OVER (PARTITION BY sample_id ORDER BY t) AS k FROM lab WHERE {f} = 1) GROUP BY sample_id, k)"
+_F1 = "round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) + 0.0 AS f1"
+
+
+@query("range_f1", f"""WITH {EV}, {LAB}, l AS {_EVENTS('label')}, p AS {_EVENTS('pred')}, r1 AS (SELECT l.sample_id, l.a, l.b, count(p.a) AS k, sum(least(l.b, p.b) - greatest(l.a, p.a)) AS o FROM l LEFT JOIN p ON l.sample_id = p.sample_id AND p.a < l.b AND p.b > l.a GROUP BY 1, 2, 3),
+ p1 AS (SELECT p.sample_id, p.a, p.b, count(l.a) AS k, sum(least(l.b, p.b) - greatest(l.a, p.a)) AS o FROM p LEFT JOIN l ON l.sample_id = p.sample_id AND p.a < l.b AND p.b > l.a GROUP BY 1, 2, 3),
+ r AS (SELECT sample_id, avg(CASE WHEN k > 0 THEN 0.2 + 0.8 * o / (b - a) / k ELSE 0 END) AS recall FROM r1 GROUP BY 1), q AS (SELECT sample_id, avg(CASE WHEN k > 0 THEN o / (b - a) / k ELSE 0 END) AS precision FROM p1 GROUP BY 1),
+ m AS (SELECT sample_id, coalesce(precision, 0) AS precision, coalesce(recall, 0) AS recall FROM (SELECT DISTINCT sample_id FROM lab) LEFT JOIN q USING (sample_id) LEFT JOIN r USING (sample_id)) SELECT sample_id, {R('precision')}, {R('recall')}, {_F1} FROM m""")
 def _(spark, sf):
-    return metrics.range_f1(*lab(spark, sf))
+    return r6(metrics.range_f1(*lab(spark, sf)), "precision", "recall", "f1")
+
+
+_ADJUST = """adj AS (SELECT sample_id, t, label, CASE WHEN label = 1 AND (t > 0 OR pred = 1) THEN max(pred) OVER (PARTITION BY sample_id, label, k) ELSE pred END AS pred FROM (SELECT *, t - row_number() OVER (PARTITION BY sample_id, label ORDER BY t) AS k FROM lab))"""
 
 
-@query("event_f1")
+@query("event_f1", f"""WITH {EV}, {LAB}, {_ADJUST}, l AS {_EVENTS('label')}, h AS (SELECT l.sample_id, l.a, max(CASE WHEN pred = 1 THEN 1 ELSE 0 END) AS hit FROM l JOIN lab ON l.sample_id = lab.sample_id AND t >= l.a AND t < l.b GROUP BY 1, 2), r AS (SELECT sample_id, avg(hit) AS recall FROM h GROUP BY 1),
+ p AS (SELECT sample_id, coalesce(count(*) FILTER (label = 1 AND pred = 1) / nullif(sum(pred), 0), 0) AS precision FROM adj GROUP BY 1), m AS (SELECT sample_id, precision, coalesce(recall, 0) AS recall FROM p LEFT JOIN r USING (sample_id)) SELECT sample_id, {R('precision')}, {R('recall')}, {_F1} FROM m""")
 def _(spark, sf):
-    return metrics.event_f1(*lab(spark, sf))
+    return r6(metrics.event_f1(*lab(spark, sf)), "precision", "recall", "f1")
 
 
-@query("best_f1")
+@query("best_f1", f"""WITH {EV}, {LAB}, g AS (SELECT sample_id, score, sum(label) AS p, count(*) AS m FROM lab GROUP BY 1, 2), c AS (SELECT *, sum(p) OVER w AS tp, sum(m) OVER w AS al, sum(p) OVER (PARTITION BY sample_id) AS pos FROM g WINDOW w AS (PARTITION BY sample_id ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+ SELECT sample_id, round(max(2 * (tp / al) * (tp / nullif(pos, 0)) / (tp / al + tp / nullif(pos, 0) + 1e-5)), 6) + 0.0 AS best_f1 FROM c GROUP BY 1""")
 def _(spark, sf):
-    return metrics.best_f1(*lab(spark, sf))
+    return r6(metrics.best_f1(*lab(spark, sf)), "best_f1")
 
 
-@query("point_adjust")
+@query("point_adjust", f"WITH {EV}, {LAB}, {_ADJUST} SELECT sample_id, t, label, pred FROM adj")
 def _(spark, sf):
     return metrics.point_adjust(*lab(spark, sf)).select("sample_id", "t", "label", "pred")
 
