@@ -76,3 +76,23 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name = "_" + name
     return name
+
+
+_held: dict[str, tuple] = {}
+
+
+def worker_object(kind: str, key, make: Callable | None = None):
+    """A Python worker's large object (tokenizer with its cache, automaton, rule index), made once for each key and kept for later tasks. One kind is kept at a time: workers live on from
+    stage to stage, and what they hold would add up. make=None: nothing is kept from here on."""
+    if kind not in _held:
+        import gc
+
+        if _held:
+            _held.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+        _held[kind] = (None, None)
+    if make is not None and (_held[kind][1] is None or _held[kind][0] != key):
+        _held[kind] = (None, None)
+        _held[kind] = (key, make())
+    return _held[kind][1]
