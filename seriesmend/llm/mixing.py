@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
+from contextlib import contextmanager
 from math import log
 
 from pyspark.sql import Column, DataFrame
@@ -26,16 +27,18 @@ from pyspark.sql import functions as F
 
 from seriesmend.runtime import shared_dir, unused, written
 
-BUCKETS, FLAGS = 1 << 18, 1 << 12
+BUCKETS, FLAGS = 1 << 30, 1 << 13
 MAX_LABELLED = 10_000
 #: Words that stand for traits of a text.
 TRAITS = 3
 #: A word counts for a domain if LEAST_TEXTS labelled texts have it; if in the domain LEAST_SHARE of the texts have it or, at the mean share, would; if its log odds there are
 #: LEAST_ODDS at least (MOST_ODDS is what it counts at most); and if the squared deviation of its texts from what is expected is LEAST_CHI at least in terms of that.
 #: Of these, the TELLING ones of the greatest deviation count: words of one group of near copies, which come together, would else outweigh them by their number.
-LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS, MOST_ODDS, LEAST_CHI, TELLING = 5, 0.01, 2.0, 4.0, 36.0, 40
+LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS, MOST_ODDS, LEAST_CHI, TELLING = 5, 0.01, 2.0, 4.0, 36.0, 100
 DIGITS = 3
-STEPS, TOLERANCE = 60, 1e-4
+STEPS, TOLERANCE = 24, 1e-4
+#: Cells of which rates are broadcast; more are joined by a shuffle.
+MOST_CELLS = 100_000
 #: Steps after which the cells' rates are written.
 WRITE_EVERY = 8
 #: Targets in all are this much over the least total at which no domain with a target loses tokens.
@@ -68,7 +71,8 @@ def learn(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, doma
     chosen = written(chosen, "labelled")  # at most max_labelled rows of two values
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     rows = with_words(rows, F.coalesce("text", F.lit("")), F.col("domain"), text_key(F.col("text")).alias("key"))
-    has = rows.select("domain", "key", F.explode("words").alias("word")).select("domain", "key", bucket(F.col("word")).alias("bucket")).distinct()
+    # outer (no text is without words): else a filter on the words would be inferred and judge all texts below the join
+    has = rows.select("domain", "key", F.explode_outer("words").alias("word")).select("domain", "key", bucket(F.col("word")).alias("bucket")).distinct()
     seen = {r["domain"]: r["n"] for r in rows.select("domain", "key").distinct().groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(seen.values())
     prior = [log((seen.get(d, 0) + 1) / (total + len(domains))) for d in domains]
@@ -123,6 +127,20 @@ def _adding(values: Column):
     return lambda total, i: total + F.get(values, i - 1)
 
 
+@contextmanager
+def _interpreted(spark):
+    """Small jobs whose numbers change from step to step: compiling code for each would fill the executors' memory with classes."""
+    keys = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def solve(cells: DataFrame, shares: list[float], total: float | None = None, steps: int = STEPS) -> tuple[DataFrame, list[float], list[float]]:
     """(cells with their rate, targets, expected tokens). cells: p0, p1, ..., tokens. Steps start from a point ahead of the last rate (Nesterov's momentum)."""
     d = range(len(shares))
@@ -142,7 +160,7 @@ def solve(cells: DataFrame, shares: list[float], total: float | None = None, ste
         cells = cells.select(*[f"p{k}" for k in d], "tokens", F.col("new").alias("rate"), "ahead")
         cells = cells if step % WRITE_EVERY else cells.checkpoint()
         before, now = now, at("ahead")
-        if max(abs(x - y) for x, y in zip(before, now, strict=True)) <= 1e-6 * max(total, 1.0):
+        if max(abs(x - y) for x, y in zip(before, now, strict=True)) <= TOLERANCE * max(total, 1.0):
             break
     cells = cells.drop("ahead").checkpoint()
     return cells, targets, at("rate")
@@ -160,8 +178,11 @@ def rated_cells(rows: DataFrame, domains: list[str], targets: Mapping[str, float
     """(p0, p1, ..., rate of every cell of equal posteriors; target tokens; expected tokens)."""
     whole = sum(targets.values()) or 1.0
     cells = rows.groupBy(*[F.col(f"{p}{k}").alias(f"p{k}") for k in range(len(domains))]).agg(F.sum(tokens).cast("double").alias("tokens"))
-    rated, goal, got = solve(cells, [targets.get(d, 0.0) / whole for d in domains], total)
-    return rated.drop("tokens"), goal, got
+    cells = cells.checkpoint()
+    with _interpreted(rows.sparkSession):
+        rated, goal, got = solve(cells, [targets.get(d, 0.0) / whole for d in domains], total)
+    rated = rated.drop("tokens")
+    return F.broadcast(rated) if rated.count() <= MOST_CELLS else rated, goal, got
 
 
 def with_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", total: float | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -182,14 +203,19 @@ def with_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float
     return rows.join(cells, [f"p{k}" for k in range(len(domains))]).select("doc_id", "tokens", domain.alias("domain"), posterior.alias("posterior"), F.round("rate", 6).alias("rate"))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", seed: int = 11, total: float | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """docs with each row as often as its rate says: the whole part of the rate, and once more with the chance of the rest (drawn by a hash of id, text and seed). All columns stay. See with_rates."""
+def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", seed: int = 11, least: int = 0, total: float | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """docs with each row as often as its rate says: the whole part of the rate, and once more with the chance of the rest (drawn by a hash of id, text and seed). All columns stay. least: rows whose likeliest domain has a target come as often at least. See with_rates."""
     domains, weights, prior = classifier(docs, labelled, targets, id_col, text_col, max_labelled)
     slim = written(with_posteriors(docs.select(F.col(text_col).alias("text")), weights, prior, "text").drop("text"), "posteriors")
     cells, _, _ = rated_cells(slim, domains, targets, "tokens", "p", total)
     tokens, p, rate, times, one = (unused(docs, f"mix_{x}") for x in ("tokens", "p", "rate", "times", "one"))
     keys = [f"{p}{k}" for k in range(len(domains))]
-    cells = cells.select(*[F.col(f"p{k}").alias(c) for k, c in enumerate(keys)], F.col("rate").alias(rate))
+    cells = cells.withColumnsRenamed({**{f"p{k}": c for k, c in enumerate(keys)}, "rate": rate})
     draw = F.pmod(F.xxhash64(id_col, text_col, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    rows = with_posteriors(docs, weights, prior, text_col, tokens, p).join(cells, keys).withColumn(times, F.floor(F.col(rate) + draw).cast("int")).where(F.col(times) > 0)
+    rows = with_posteriors(docs, weights, prior, text_col, tokens, p).join(cells, keys)
+    wanted = [F.col(c) for c, d in zip(keys, domains, strict=True) if targets.get(d, 0.0) > 0]
+    other = [F.col(c) for c, d in zip(keys, domains, strict=True) if targets.get(d, 0.0) <= 0]
+    most = lambda cols: F.greatest(*cols) if len(cols) > 1 else cols[0] if cols else F.lit(-1.0)
+    floor = F.when(most(wanted) > most(other), F.lit(least)).otherwise(F.lit(0))
+    rows = rows.withColumn(times, F.greatest(floor, F.floor(F.col(rate) + draw).cast("int"))).where(F.col(times) > 0)
     return rows.withColumn(one, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
