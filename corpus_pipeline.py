@@ -1,7 +1,7 @@
 """A corpus from raw documents: five stages, each over all that the one before kept.
 
 Language ID drops what it rejects, SimHash near-dedup keeps one document of each group, decontamination drops documents with benchmark passages,
-mixing repeats and drops documents by the rates that meet its targets, and what is left is written as token ids and read back.
+mixing repeats documents by the rates that meet its targets and drops those of domains without one, and what is left is written as token ids and read back.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, domains(table(spark, sf_dir, "labels")), TARGETS)
+    return mixing.mix(docs, domains(table(spark, sf_dir, "labels")), TARGETS, least=1)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
