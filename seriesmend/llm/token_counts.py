@@ -14,7 +14,6 @@ The table is filled from a bounded sample of texts (``sample_rows``). It saves t
 from __future__ import annotations
 
 import re
-import sys
 from collections import ChainMap, Counter
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesmend.llm.vocab import default_path
-from seriesmend.runtime import arrow_map
+from seriesmend.runtime import arrow_map, worker_object
 
 MARK = "▁"
 #: Entries and length of a pre-token in a worker's cache; beyond CACHE entries it starts anew.
@@ -56,7 +55,7 @@ class PieceCounter:
         if len(known) > CACHE:
             self.cache = dict(self.frequent)
         self.cache.update((k, v) for k, v in got.items() if len(k) <= LONGEST)
-        return ChainMap(got, known) if known is not self.cache or len(got) > 0 and any(len(k) > LONGEST for k in got) else self.cache
+        return ChainMap(got, known) if known is not self.cache or any(len(k) > LONGEST for k in got) else known
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -82,18 +81,19 @@ class PieceCounter:
 
 def counter(path: str, table) -> PieceCounter:
     """The worker's counter; it outlives tasks."""
-    kept = sys.modules[__name__].__dict__.setdefault("_counters", {})
-    if path not in kept:
+
+    def make() -> PieceCounter:
         blob, lengths = table.value
         words = blob.decode().split("\n") if blob else []
-        kept[path] = PieceCounter(path, dict(zip(words, lengths.tolist(), strict=True)))
-    return kept[path]
+        return PieceCounter(path, dict(zip(words, lengths.tolist(), strict=True)))
+
+    return worker_object("pieces", path, make)
 
 
 def frequent_table(docs: DataFrame, text_col: str, path: str, sample_rows: int, size: int) -> tuple:
     """(pre-tokens, one a line; their lengths) of the most frequent pre-tokens of at most sample_rows texts. Its size is bounded by
     size x LONGEST characters."""
-    rows = docs.select(text_col).where(F.col(text_col).isNotNull()).limit(sample_rows).toLocalIterator()
+    rows = docs.select(text_col).where(F.col(text_col).isNotNull()).take(sample_rows)
     seen: Counter = Counter()
     for (text,) in rows:
         seen.update(p for p in PieceCounter.split(text) if p and len(p) <= LONGEST and "\n" not in p)
