@@ -9,7 +9,6 @@ once and not shuffled. The automaton goes to the workers in a broadcast variable
 from __future__ import annotations
 
 import hashlib
-import sys
 
 import ahocorasick
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesmend.llm.words import joined, spaces, word_places
-from seriesmend.runtime import arrow_map
+from seriesmend.runtime import arrow_map, worker_object
 
 WINDOW = 10
 #: UTF-8 bytes of items in one automaton, which needs some 50 times as much in a worker.
@@ -67,12 +66,7 @@ class Scanner:
 
 def scanner(items, window: int) -> Scanner:
     """The worker's scanner for a broadcast list of items."""
-    kept = sys.modules[__name__].__dict__.setdefault("_scanners", {})
-    key = (items.value[0], window)
-    if key not in kept:
-        kept.clear()
-        kept[key] = Scanner(items.value[1], window)
-    return kept[key]
+    return worker_object("scanner", (items.value[0], window), lambda: Scanner(items.value[1], window))
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, most_bytes: int) -> list[list[tuple]]:

@@ -16,7 +16,7 @@ import numpy as np
 U = np.uint64
 FAN = 8
 #: Queries searched at once; a segment has at most a few thousand rows, so that pairs at hand stay a few million.
-AT_ONCE = 512
+AT_ONCE = 256
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:

@@ -11,7 +11,6 @@ Since the mean and the softmax's map are linear, workers get their product: a ro
 
 from __future__ import annotations
 
-import sys
 import zlib
 from dataclasses import dataclass
 
@@ -20,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmend.runtime import arrow_map
+from seriesmend.runtime import arrow_map, worker_object
 
 BUCKETS, WIDTH, LONGEST = 1 << 17, 16, 4
 MAX_ROWS = 3000
@@ -30,10 +29,7 @@ MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint
 
 
 def _letters() -> np.ndarray:
-    kept = sys.modules[__name__].__dict__
-    if "_letter_table" not in kept:
-        kept["_letter_table"] = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-    return kept["_letter_table"]
+    return worker_object("letters", 0, lambda: np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
 
 
 def normal(text: str | None) -> np.ndarray:
@@ -186,8 +182,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield out
 
     got: dict[str, list] = {}
-    for r in arrow_map(sample.select("lang", "draw", "text"), features, schema).toArrow().to_pylist():
-        got.setdefault(r["lang"], []).append((r["draw"], r["part"], np.array(r["ids"]), np.array(r["counts"])))
+    for b in arrow_map(sample.select("lang", "draw", "text"), features, schema).toArrow().to_batches():
+        ends, ids, n = b.column(3).offsets.to_numpy(), b.column(3).values.to_numpy(), b.column(4).values.to_numpy()  # numpy views: as Python integers they'd take ten times as much
+        for i, (lang, draw, part) in enumerate(zip(*[b.column(k).to_pylist() for k in range(3)], strict=True)):
+            got.setdefault(lang, []).append((draw, part, ids[ends[i] : ends[i + 1]], n[ends[i] : ends[i + 1]]))
     items, held = [], []
     for lang in sorted(got):
         found = sorted(got[lang], key=lambda r: r[:2])[: 2 * share]

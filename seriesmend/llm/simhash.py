@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from seriesmend.llm.components import components
 from seriesmend.llm.hamming import forest, nearest_forest
-from seriesmend.runtime import arrow_map, unused, written
+from seriesmend.runtime import arrow_map, unused, worker_object, written
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Mean rows of a segment that are aimed at, rows of a chunk, and rows that a task looks at at once.
@@ -58,6 +58,7 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fp",
     at = docs.columns.index(text_col)
 
     def run(batches):
+        worker_object("none", 0)
         for b in batches:
             fp = np.array([fingerprint(x, words, seed) for x in b.column(at).to_pylist()], np.uint64).view(np.int64)
             yield {**{c: b.column(i) for i, c in enumerate(b.schema.names)}, name: fp}
@@ -96,6 +97,7 @@ def _over_segments(prints: DataFrame, radius: int, find, n: int | None = None) -
     schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
     def links(batches):
+        worker_object("none", 0)
         held: list[np.ndarray] = []
 
         def solve(rows: np.ndarray) -> dict:

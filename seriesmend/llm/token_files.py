@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import os
 import string
-import sys
 import zlib
 from array import array
 from unicodedata import is_normalized
@@ -25,10 +24,10 @@ from pyspark.sql import types as T
 
 from seriesmend.llm import simple8b
 from seriesmend.llm.vocab import default_path
-from seriesmend.runtime import arrow_map, scratch
+from seriesmend.runtime import arrow_map, scratch, worker_object
 
 #: Entries in each of the two generations of a worker's cache, bytes of a word in it.
-CACHE, LONGEST = 300_000, 64
+CACHE, LONGEST = 250_000, 64
 #: Ids in a shard image; a document is never split, so one of more ids has an image of its own.
 SHARD_IDS = 500_000
 END_ID = 1
@@ -138,10 +137,7 @@ class WordEncoder:
 
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder; it outlives tasks."""
-    kept = sys.modules[__name__].__dict__.setdefault("_encoders", {})
-    if path not in kept:
-        kept[path] = WordEncoder(path)
-    return kept[path]
+    return worker_object("words", path, lambda: WordEncoder(path))
 
 
 def bounds(docs: DataFrame, id_col: str, n: int) -> list[int]:

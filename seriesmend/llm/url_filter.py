@@ -9,7 +9,6 @@ expressions. Rules without such a token are always candidates.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmend.runtime import arrow_map
+from seriesmend.runtime import arrow_map, worker_object
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 TOKEN = re.compile("[a-z0-9]+")
@@ -103,11 +102,7 @@ class RuleIndex:
 
 
 def index(rules) -> RuleIndex:
-    kept = sys.modules[__name__].__dict__.setdefault("_indexes", {})
-    if rules.value not in kept:
-        kept.clear()
-        kept[rules.value] = RuleIndex(list(rules.value[0]), dict(rules.value[1]))
-    return kept[rules.value]
+    return worker_object("rules", rules.value, lambda: RuleIndex(list(rules.value[0]), dict(rules.value[1])))
 
 
 def filter_urls(pages: DataFrame, site_rules: list[Rule], patterns: list[Rule] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
