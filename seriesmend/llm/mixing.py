@@ -212,7 +212,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_c
     keys = [f"{p}{k}" for k in range(len(domains))]
     cells = cells.withColumnsRenamed({**{f"p{k}": c for k, c in enumerate(keys)}, "rate": rate})
     draw = F.pmod(F.xxhash64(id_col, text_col, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    rows = with_posteriors(docs, weights, prior, text_col, tokens, p).join(cells, keys)
+    # every row has its cell; an inner join would infer filters on the posteriors, which would be worked out again for each
+    rows = with_posteriors(docs, weights, prior, text_col, tokens, p).join(cells, keys, "left")
     wanted = [F.col(c) for c, d in zip(keys, domains, strict=True) if targets.get(d, 0.0) > 0]
     other = [F.col(c) for c, d in zip(keys, domains, strict=True) if targets.get(d, 0.0) <= 0]
     most = lambda cols: F.greatest(*cols) if len(cols) > 1 else cols[0] if cols else F.lit(-1.0)
