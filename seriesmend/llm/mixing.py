@@ -13,6 +13,9 @@ posteriors (rounded to DIGITS) instead of documents.
 The classifier is naive Bayes over the words that a text has (hashed to BUCKETS) and three traits of the whole text (shares of repeated words, of
 symbols and of capitals, in bins). It learns from at most ``max_labelled`` labelled rows, equal texts once, and keeps the few buckets that tell domains apart best. Whole texts are judged where
 they are read, in array functions; words are never shuffled.
+
+``mix`` judges domains without a target (toxic) apart from the others, so that marks of low quality can't outvote them: a second naive Bayes, unwanted or not, over
+words of letters in lower case, in which a text's words that don't tell count too (a long text has a telling word by chance). ``with_rates`` has exact words only.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 from contextlib import contextmanager
+from dataclasses import dataclass
 from math import log
 
 from pyspark.sql import Column, DataFrame
@@ -92,13 +96,66 @@ def learn(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, doma
     return told.select("bucket", *kept).where(" or ".join(f"w{k} <> 0" for k in d)), prior
 
 
+def letter_words(text: Column) -> Column:
+    """The distinct runs of letters of a text, in lower case."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")), "")
+
+
+@dataclass
+class Apart:
+    """Unwanted domains (places among all), the log odds of each word that tells them from the rest, of any other word, and of none."""
+
+    domains: list[int]
+    words: dict[str, float]
+    other: float
+    prior: float
+
+
+def learn_apart(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, domains: list[str], targets: Mapping[str, float], max_labelled: int = MAX_LABELLED) -> Apart | None:
+    """What tells the domains without a target from those with one; None unless there are both. All words that pass the bounds count, however many."""
+    unwanted = [d for d in domains if targets.get(d, 0.0) <= 0]
+    if not unwanted or len(unwanted) == len(domains):
+        return None
+    chosen = labelled.select(F.col("id"), F.col("domain")).where("id is not null and domain is not null").orderBy(F.xxhash64("id", "domain"), "id", "domain").limit(max_labelled)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.select(F.col("domain").isin(unwanted).alias("bad"), text_key(F.col("text")).alias("key"), letter_words(F.col("text")).alias("words"))
+    has = written(rows.select("bad", "key", F.explode_outer("words").alias("word")).distinct(), "labelled-words")
+    total, bad = has.agg(F.count_distinct("bad", "key"), F.count_distinct(F.when(F.col("bad"), F.col("key")))).first()
+    prior = log((bad + 1) / (total - bad + 1))
+    if not 0 < bad < total:
+        return Apart([domains.index(d) for d in unwanted], {}, 0.0, prior)
+    by = written(has.where("word is not null").groupBy("word").agg(F.count("*").alias("texts"), F.count_if("bad").alias("inside")), "labelled-words")
+    inside, fair = F.col("inside"), F.col("texts") * (bad / total)
+    odds = F.log((inside + 0.5) / (bad + 1.0)) - F.log((F.col("texts") - inside + 0.5) / (total - bad + 1.0))
+    tells = (F.col("texts") >= LEAST_TEXTS) & (F.greatest(inside, fair) >= LEAST_SHARE * bad) & (F.abs(odds) >= LEAST_ODDS) & ((inside - fair) ** 2 / fair >= LEAST_CHI)
+    told = by.where(tells).select("word", "texts", "inside", F.greatest(F.lit(-MOST_ODDS), F.least(F.lit(MOST_ODDS), odds)).alias("odds")).orderBy("word").collect()
+    every, within = (x or 0 for x in by.agg(F.sum("texts"), F.sum("inside")).first())
+    hits, ours = sum(r["texts"] for r in told if r["odds"] > 0), sum(r["inside"] for r in told if r["odds"] > 0)
+    share = lambda part, whole: (part + 0.5) / (whole + 1.0)
+    other = log((1 - share(ours, within)) / (1 - share(hits - ours, every - within)))
+    return Apart([domains.index(d) for d in unwanted], {r["word"]: r["odds"] for r in told}, other, prior)
+
+
+def unwanted_odds(docs: DataFrame, apart: Apart, text_col: str, name: str) -> DataFrame:
+    """docs with the log odds that a text is of an unwanted domain."""
+    words, hits = unused(docs, "letters"), unused(docs, "told")
+    told = F.from_json(F.lit(json.dumps(list(apart.words))), "array<string>")
+    odds = F.from_json(F.lit(json.dumps(list(apart.words.values()))), "array<double>")
+    rows = docs.withColumn(words, letter_words(F.col(text_col)))
+    rows = rows.select(*docs.columns, F.size(words).alias(words), F.array_intersect(words, told).alias(hits))
+    found = F.aggregate(hits, F.lit(float(apart.prior)), lambda sum_, w: sum_ + F.get(odds, F.array_position(told, w).cast("int") - 1))
+    return rows.select(*docs.columns, (found + F.lit(float(apart.other)) * F.col(words)).alias(name))
+
+
 def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def with_posteriors(docs: DataFrame, weights: DataFrame, prior: list[float], text_col: str, tokens: str = "tokens", p: str = "p") -> DataFrame:
+def with_posteriors(docs: DataFrame, weights: DataFrame, prior: list[float], text_col: str, tokens: str = "tokens", p: str = "p", apart: Apart | None = None) -> DataFrame:
     """docs with tokens (words of the text) and p0, p1, ... (rounded to DIGITS), by the row: no word leaves its task.
 
+    apart: how likely unwanted domains are in all; what is learned here then only divides that, and the rest, among their domains.
+
     Telling buckets are few (TELLING for each domain), so that they are literals: a flag for each rest of a bucket by FLAGS lets next to all words go at once, and what passes is looked up.
     """
     told = [r for r in weights.orderBy("bucket").collect()]  # at most TELLING rows for each domain, but for equals
@@ -108,6 +165,10 @@ def with_posteriors(docs: DataFrame, weights: DataFrame, prior: list[float], tex
         flags[r["bucket"] % FLAGS] = 1
     constant = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")  # noqa: E731  folded once, when the plan is made
     flag, buckets = constant(flags, "int"), constant([r["bucket"] for r in told], "int")
+    kept = docs.columns
+    bad = unused(docs, "bad")
+    if apart:
+        docs = unwanted_odds(docs, apart, text_col, bad)
     rows = with_words(docs, F.coalesce(F.col(text_col), F.lit("")), *[F.col(c) for c in docs.columns])
     words = unused(docs, "words")
     rows = rows.withColumnRenamed("words", words) if words != "words" else rows
@@ -118,9 +179,17 @@ def with_posteriors(docs: DataFrame, weights: DataFrame, prior: list[float], tex
     total = lambda k: F.aggregate(found, F.lit(float(prior[k])), _adding(constant([r[f"w{k}"] for r in told], "double")))
     score = [unused(docs, f"score{k}") for k in d]
     rows = rows.select(*docs.columns, tokens, *[total(k).alias(score[k]) for k in d])
-    top = F.greatest(*score) if len(prior) > 1 else F.col(score[0])
-    weight = [F.exp(F.col(s) - top) for s in score]
-    return rows.select(*docs.columns, tokens, *[F.round(w / sum(weight[1:], weight[0]), DIGITS).alias(f"{p}{k}") for k, w in enumerate(weight)])
+    share = [F.lit(0.0) for _ in d]
+    outside = [k for k in d if k not in apart.domains] if apart else list(d)
+    for group, sign in ((outside, -1), (apart.domains if apart else [], 1)):
+        if not group:
+            continue
+        top = F.greatest(*[score[k] for k in group]) if len(group) > 1 else F.col(score[group[0]])
+        weight = {k: F.exp(F.col(score[k]) - top) for k in group}
+        whole = sum(list(weight.values())[1:], weight[group[0]])
+        for k in group:
+            share[k] = weight[k] / whole / (1 + F.exp(-sign * F.col(bad))) if apart else weight[k] / whole
+    return rows.select(*kept, tokens, *[F.round(x, DIGITS).alias(f"{p}{k}") for k, x in enumerate(share)])
 
 
 def _adding(values: Column):
@@ -204,19 +273,20 @@ def with_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", seed: int = 11, least: int = 0, total: float | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """docs with each row as often as its rate says: the whole part of the rate, and once more with the chance of the rest (drawn by a hash of id, text and seed). All columns stay. least: rows whose likeliest domain has a target come as often at least. See with_rates."""
+    """docs with each row as often as its rate says: the whole part of the rate, and once more with the chance of the rest (drawn by a hash of id, text and seed). All columns stay. least: rows that likelier are of a domain with a target than not come as often at least, and with it the others don't come. See with_rates."""
     domains, weights, prior = classifier(docs, labelled, targets, id_col, text_col, max_labelled)
-    slim = written(with_posteriors(docs.select(F.col(text_col).alias("text")), weights, prior, "text").drop("text"), "posteriors")
+    apart = learn_apart(docs, labelled, id_col, text_col, domains, targets, max_labelled)
+    slim = written(with_posteriors(docs.select(F.col(text_col).alias("text")), weights, prior, "text", apart=apart).drop("text"), "posteriors")
     cells, _, _ = rated_cells(slim, domains, targets, "tokens", "p", total)
     tokens, p, rate, times, one = (unused(docs, f"mix_{x}") for x in ("tokens", "p", "rate", "times", "one"))
     keys = [f"{p}{k}" for k in range(len(domains))]
     cells = cells.withColumnsRenamed({**{f"p{k}": c for k, c in enumerate(keys)}, "rate": rate})
     draw = F.pmod(F.xxhash64(id_col, text_col, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     # every row has its cell; an inner join would infer filters on the posteriors, which would be worked out again for each
-    rows = with_posteriors(docs, weights, prior, text_col, tokens, p).join(cells, keys, "left")
+    rows = with_posteriors(docs, weights, prior, text_col, tokens, p, apart).join(cells, keys, "left")
     wanted = [F.col(c) for c, d in zip(keys, domains, strict=True) if targets.get(d, 0.0) > 0]
     other = [F.col(c) for c, d in zip(keys, domains, strict=True) if targets.get(d, 0.0) <= 0]
-    most = lambda cols: F.greatest(*cols) if len(cols) > 1 else cols[0] if cols else F.lit(-1.0)
-    floor = F.when(most(wanted) > most(other), F.lit(least)).otherwise(F.lit(0))
-    rows = rows.withColumn(times, F.greatest(floor, F.floor(F.col(rate) + draw).cast("int"))).where(F.col(times) > 0)
+    whole = lambda cols: sum(cols[1:], cols[0]) if cols else F.lit(0.0)
+    often = F.floor(F.col(rate) + draw).cast("int")
+    rows = rows.withColumn(times, F.when(whole(wanted) > whole(other), F.greatest(F.lit(least), often)).otherwise(F.lit(0) if least else often)).where(F.col(times) > 0)
     return rows.withColumn(one, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

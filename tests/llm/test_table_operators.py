@@ -74,6 +74,24 @@ def test_mixing_solver_meets_targets(spark):
     assert abs(got[0] - 120) < 6 and got[1] < 8
 
 
+def test_mixing_drops_toxic_texts_of_low_quality(spark):
+    """Toxic words glued to marks, among marks of low quality; a long clean text with one such word stays."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    junk = lambda x: x + rng.choice(["&&&", "$$$", "%%%", "###"])
+    data = []
+    for i in range(240):
+        kind = ("clean", "low", "toxic", "toxic low")[i % 4]
+        words = [word() for _ in range(40)] + ([rng.choice(["Scum", "IDIOT", "moron"]) for _ in range(4)] if "toxic" in kind else [])
+        rng.shuffle(words)
+        data.append((i, " ".join(map(junk, words) if "low" in kind else words), kind.split()[0]))
+    data.append((999, " ".join([word() for _ in range(4000)] + ["scum,"]), None))
+    docs = spark.createDataFrame([r[:2] for r in data], "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, k) for i, _, k in data if k], "id long, domain string")
+    kept = {r.doc_id for r in mixing.mix(docs, labelled, queries.TARGETS, least=1).collect()}
+    assert kept == {i for i, _, k in data if k != "toxic"}
+
+
 def test_mixing_odd_rows(spark):
     docs = odd_docs(spark).withColumn("rate", F.lit("x"))
     lab = spark.createDataFrame([(1, "a"), (2, "b"), (None, "a"), (5, None), (77, "b")], "id long, domain string")
