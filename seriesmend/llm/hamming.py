@@ -169,3 +169,24 @@ def nearest_forest(segments: np.ndarray, prints: np.ndarray, near: int, radius:
                     a, b = a[apart], b[apart]
     a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (left, right))
     return prints[a], prints[b]
+
+
+def links_apart(segments: np.ndarray, prints: np.ndarray, label: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of fingerprints of unlike labels that are within radius bits inside a segment."""
+    order = np.lexsort((gray_rank(prints), segments))
+    segments, prints, label = segments[order], prints[order], label[order]
+    index = GrayIndex(segments, prints)
+    root_of = np.cumsum(np.r_[True, segments[1:] != segments[:-1]]) - 1
+    sizes = np.bincount(root_of)[root_of]
+    rows, spans = np.flatnonzero(sizes > 1), index.spans(label)
+    left, right = [], []
+    for lo in range(0, len(rows), 8 * AT_ONCE):
+        some = rows[lo : lo + 8 * AT_ONCE]
+        step = 8 * AT_ONCE if sizes[some].max() <= 512 else AT_ONCE
+        for k in range(0, len(some), step):
+            a, b = index.search(some[k : k + step], root_of, radius, label, spans)
+            apart = label[a] != label[b]
+            left.append(a[apart])
+            right.append(b[apart])
+    a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (left, right))
+    return prints[a], prints[b]

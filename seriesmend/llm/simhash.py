@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesmend.llm.components import components
-from seriesmend.llm.hamming import forest, nearest_forest
+from seriesmend.llm.hamming import forest, links_apart, nearest_forest
 from seriesmend.runtime import arrow_map, unused, worker_object, written
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -82,16 +82,17 @@ def segment_keys(fp: Column, blocks: list[tuple[int, int]], k: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("choice"), fp.bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(signed)])
 
 
-def _over_segments(prints: DataFrame, radius: int, find, n: int | None = None) -> DataFrame:
-    """(u, v) of find(segments, fingerprints) over segments in which any two fingerprints (column fp, distinct) of at most radius bits meet."""
+def _over_segments(prints: DataFrame, radius: int, find, n: int | None = None, label: str | None = None) -> DataFrame:
+    """(u, v) of find(segments, fingerprints) over segments in which any two fingerprints (column fp, distinct) of at most radius bits meet. label: a column of longs that find gets too."""
     n = prints.count() if n is None else n
     blocks, k = blocks_for(n, radius)
-    rows = prints.select("fp", F.explode(segment_keys(F.col("fp"), blocks, k)).alias("key")).select("fp", "key.choice", "key.value")
+    more = [label] if label else []
+    rows = prints.select("fp", *more, F.explode(segment_keys(F.col("fp"), blocks, k)).alias("key")).select("fp", *more, "key.choice", "key.value")
     large = rows.groupBy("choice", "value").count().where(F.col("count") > SEGMENT).select("choice", "value", F.ceil(F.col("count") / SEGMENT).cast("int").alias("m"))
     rows = rows.join(large, ["choice", "value"], "left").withColumn("m", F.coalesce("m", F.lit(1)))
     rows = rows.withColumn("c", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    rows = rows.select("choice", "value", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "fp")
+    rows = rows.select("choice", "value", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "fp", *more)
     key = ["choice", "value", "i", "j"]
     dealt = rows.repartition(*key).sortWithinPartitions(*key)
     schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
@@ -102,11 +103,11 @@ def _over_segments(prints: DataFrame, radius: int, find, n: int | None = None) -
 
         def solve(rows: np.ndarray) -> dict:
             heads = np.r_[True, (rows[1:, :4] != rows[:-1, :4]).any(axis=1)]
-            u, v = find(np.cumsum(heads), rows[:, 4].copy().view(np.uint64))
+            u, v = find(np.cumsum(heads), rows[:, 4].copy().view(np.uint64), *rows[:, 5:].T)
             return {"u": u.view(np.int64), "v": v.view(np.int64)}
 
         for b in batches:
-            held.append(np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], axis=1))
+            held.append(np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5 + len(more))], axis=1))
             if sum(map(len, held)) >= AT_HAND:
                 rows = np.concatenate(held)
                 last = np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(axis=1))
@@ -151,26 +152,29 @@ def shingle_set(text: str | None, words: int, seed: int = SEED) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(parts[i : i + words]), seed) for i in range(max(1, len(parts) - words + 1))] if parts else [], np.uint64))
 
 
-def verified_links(rows: DataFrame, near: DataFrame, text_col: str, fp: str, words: int, radius: int, reach: int, similarity: float) -> DataFrame:
-    """(u, v): components of `near` (fp, root) that links of radius + 1 to reach bits join, each link verified: the Jaccard similarity of the two texts' shingles is `similarity` or more.
+def verified(rows: DataFrame, links: DataFrame, of: DataFrame, text_col: str, fp: str, words: int, similarity: float, once: bool) -> DataFrame:
+    """(u, v): roots of `of` (fp, root) that links (u, v: fingerprints) join whose texts' shingles have a Jaccard similarity of `similarity` or more. rows: texts with their fingerprints.
 
-    Of the links of a segment those are tried that join components, the nearest first; a pair of components is tried once, by its nearest link. rows: texts with their fingerprints.
+    once: of each pair of roots only the nearest link is tried.
     """
-    found = _over_segments(near, reach, lambda segments, p: nearest_forest(segments, p, radius, reach))
-    of = near.select(F.col("fp"), "root")
-    pairs = found.join(of.select(F.col("fp").alias("u"), F.col("root").alias("cu")), "u").join(of.select(F.col("fp").alias("v"), F.col("root").alias("cv")), "v").where("cu <> cv")
-    pairs = pairs.select(F.least("cu", "cv").alias("a"), F.greatest("cu", "cv").alias("b"), F.struct(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).alias("bits"), F.col("u"), F.col("v")).alias("link"))
-    pairs = written(pairs.groupBy("a", "b").agg(F.min("link").alias("link")).select("a", "b", "link.u", "link.v"), "near-links")
+    pairs = links.join(of.select(F.col("fp").alias("u"), F.col("root").alias("cu")), "u").join(of.select(F.col("fp").alias("v"), F.col("root").alias("cv")), "v").where("cu <> cv")
+    pairs = pairs.select(F.least("cu", "cv").alias("a"), F.greatest("cu", "cv").alias("b"), F.struct(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).alias("bits"), F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).alias("link"))
+    pairs = pairs.groupBy("a", "b").agg(F.min("link").alias("link")) if once else pairs.distinct()
+    pairs = written(pairs.select("a", "b", "link.u", "link.v"), "near-links")
     wanted = pairs.select(F.col("u").alias("__w")).union(pairs.select("v")).distinct()
     texts = rows.select(F.col(fp).alias("__f"), F.col(text_col).alias("__t")).join(wanted, F.col("__f") == F.col("__w"), "left_semi")
-    schema = T.StructType([T.StructField("f", T.LongType()), T.StructField("shingles", T.BinaryType())])
+    schema = T.StructType([T.StructField("f", T.LongType()), T.StructField("shingles", T.BinaryType()), T.StructField("n", T.LongType())])
 
     def sets(batches):
         for b in batches:
-            yield {"f": b.column(0), "shingles": [shingle_set(x, words).tobytes() for x in b.column(1).to_pylist()]}
+            found = [shingle_set(x, words) for x in b.column(1).to_pylist()]
+            yield {"f": b.column(0), "shingles": [x.tobytes() for x in found], "n": [len(x) for x in found]}
 
     sets_of = written(arrow_map(texts, sets, schema).dropDuplicates(["f"]), "shingle-sets")
-    both = pairs.join(sets_of.select(F.col("f").alias("u"), F.col("shingles").alias("x")), "u").join(sets_of.select(F.col("f").alias("v"), F.col("shingles").alias("y")), "v").select("a", "b", "x", "y")
+    # sets whose sizes are too unlike can't be that similar: they go before the sets are joined
+    sized = pairs.join(sets_of.select(F.col("f").alias("u"), F.col("n").alias("nu")), "u").join(sets_of.select(F.col("f").alias("v"), F.col("n").alias("nv")), "v")
+    sized = sized.where(F.least("nu", "nv") >= F.lit(similarity) * F.greatest("nu", "nv")).select("a", "b", "u", "v")
+    both = sized.join(sets_of.select(F.col("f").alias("u"), F.col("shingles").alias("x")), "u").join(sets_of.select(F.col("f").alias("v"), F.col("shingles").alias("y")), "v").select("a", "b", "x", "y")
 
     def alike(batches):
         for b in batches:
@@ -185,11 +189,27 @@ def verified_links(rows: DataFrame, near: DataFrame, text_col: str, fp: str, wor
     return arrow_map(both, alike, T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())]))
 
 
+def joined_further(rows: DataFrame, near: DataFrame, text_col: str, fp: str, words: int, radius: int, reach: int, similarity: float) -> DataFrame:
+    """(fp, root): components of `near` (fp, root) and of all verified links of radius + 1 to reach bits between them.
+
+    First a forest of nearest links is verified, which joins large groups of copies by few links. Then every link that still lies between two groups is tried, so that a link that fails hides no other.
+    """
+    near = written(near, "fingerprint-roots")
+    n = near.count()
+
+    def join(of: DataFrame, links: DataFrame, once: bool) -> DataFrame:
+        top = components(verified(rows, links, of, text_col, fp, words, similarity, once)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        return written(of.join(top, "root", "left").select("fp", F.coalesce("top", "root").alias("root")), "fingerprint-roots")
+
+    of = join(near, _over_segments(near.select("fp"), reach, lambda segments, p: nearest_forest(segments, p, radius, reach), n), True)
+    return join(of, _over_segments(of, reach, lambda segments, p, label: links_apart(segments, p, label, reach), n, label="root"), False)
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = RADIUS, reach: int = 10, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
     """The rows of docs without near-duplicates: of each group, one row of the smallest id (nulls last) stays, with all its columns.
 
     Fingerprints of at most radius bits apart are one group as they are. Up to `reach` bits they are if the texts' shingles of `words` words have a Jaccard similarity of at least
-    `similarity` (see verified_links). reach = radius: no more than the first. Repeated rows and ties: any one of the rows with that id and fingerprint. Texts without words form one group.
+    `similarity` (see joined_further). reach = radius: no more than the first. Repeated rows and ties: any one of the rows with that id and fingerprint. Texts without words form one group.
     """
     fp = unused(docs, "fp")
     rows = with_fingerprints(docs, text_col, fp, words, seed)
@@ -197,9 +217,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     best = slim.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "n")).alias("best"))
     of = component_of(best, radius)
     if reach > radius:
-        of = written(of, "fingerprint-roots")
-        joined = components(verified_links(rows, of, text_col, fp, words, radius, reach, similarity)).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        of = of.join(joined, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
+        of = joined_further(rows, of, text_col, fp, words, radius, reach, similarity)
     keep = of.join(best, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("__id"), F.col("best.fp").alias("__fp"), F.col("best.n").alias("__n"))
     keep = written(keep, "kept-fingerprints")
     kept = rows.join(keep, rows[id_col].eqNullSafe(keep["__id"]) & (rows[fp] == keep["__fp"]))

@@ -351,6 +351,15 @@ def check_near_dedup(before, after, near=4, reach=10, similarity=0.8):
     assert set(first.values()) <= kept
 
 
+def test_a_failing_link_hides_no_other(spark, monkeypatch):
+    """a and b, and b and c, are linked by fewer bits but unlike; a and c are alike and linked by more."""
+    a, b, c = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40)), " ".join(f"a{i}" for i in range(39))
+    prints = {a: 0, b: 0b11111, c: 0b1111111111}
+    monkeypatch.setattr(simhash, "with_fingerprints", lambda docs, text_col="text", name="fp", words=4, seed=42: docs.withColumn(name, F.expr("CASE " + " ".join(f"WHEN {text_col} = '{t}' THEN {p}L" for t, p in prints.items()) + " END")))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, c)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [1, 2]
+
+
 def test_near_dedup_finds_near_copies(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     before = [(r.doc_id, r.text) for r in docs.collect()]
