@@ -73,9 +73,13 @@ class NoticeScanner:
                     merged[-1][1] = max(b, merged[-1][1])
                 else:
                     merged.append([a, b])
-            for a, b in merged:
-                for m in pattern.finditer(line, a, b):
+            # the best match of a range may come after others: what lies before and behind it is searched as well
+            while merged:
+                a, b = merged.pop()
+                m = pattern.search(line, a, b)
+                if m:
                     found.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
+                    merged += [[a, min(b, m.start())], [m.end(), b]]
         return sorted(found)
 
 

@@ -270,6 +270,13 @@ def test_license_seeds_lose_no_match():
                 assert any(a <= whole.start() + most and b >= whole.end() - most for a, b, *_ in found)
 
 
+def test_license_notices_before_a_better_one():
+    notices = ["released undr the mit license", "released under the mit license", "released under teh mit license"]
+    for order in itertools.permutations(notices):
+        line = f" {' '.join(order)} ".encode()
+        assert [line[a:b].decode() for a, b, *_ in licenses.NoticeScanner({}, licenses.NOTICES).fuzzy(line) if b - a > 20] == list(order)
+
+
 def test_license_spans(spark):
     text = "X. Permision is hereby granted, free of charge, to any persons obtaining the copy. MIT  license"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
