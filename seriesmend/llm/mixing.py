@@ -6,24 +6,24 @@ domain's target. With e_d the excess of domain d over its target and a_d its tok
 
     r <- max(0, r - sum_d p_d e_d / a_d)
 
-which is the gradient of sum_d e_d^2 / (2 a_d) in the metric of the documents' tokens; its greatest curvature is 1, so that the steps settle.
-Each step is one aggregate whose D sums reach the driver. A rate depends on the posterior alone, so the sums run over cells of equal
-posteriors (rounded to DIGITS) instead of documents.
+which is the gradient of sum_d e_d^2 / (2 a_d) in the metric of the documents' tokens. Steps are scaled by the D x D curvature over the
+rates above 0, with as much damping as the squares' fall needs, and end where a plain step no longer moves the rates, which is the optimum's condition.
 
-The classifier is naive Bayes over the words that a text has (hashed to BUCKETS) and three traits of the whole text (shares of repeated words, of
-symbols and of capitals, in bins). It learns from at most ``max_labelled`` labelled rows, equal texts once, and keeps the few buckets that tell domains apart best. Whole texts are judged where
-they are read, in array functions; words are never shuffled.
+A rate depends on the posterior and on the moves alone. So no rate is ever kept: the D numbers of each step are, and a rate is their fold,
+worked out where it is needed. A step is one aggregate over cells of equal posteriors (rounded to DIGITS) whose few sums reach the driver.
 
-``mix`` judges domains without a target (toxic) apart from the others, so that marks of low quality can't outvote them: a second naive Bayes, unwanted or not, over
-words of letters in lower case, in which a text's words that don't tell count too (a long text has a telling word by chance). ``with_rates`` has exact words only.
+The classifier is naive Bayes in two parts. Domains without a target (toxic) are told from the others by words alone, runs of letters in
+lower case, so that marks of low quality can't outvote them; words that don't tell count too, as a long text has a telling word by
+chance. The others are told apart by words and three traits of the whole text (shares of repeated words, of symbols and of capitals, in
+bins). It learns from at most ``max_labelled`` labelled rows, equal texts once. Whole texts are judged where they are read; words are
+never shuffled but for those of labelled texts.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Mapping
-from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from math import log
 
 from pyspark.sql import Column, DataFrame
@@ -31,262 +31,279 @@ from pyspark.sql import functions as F
 
 from seriesmend.runtime import shared_dir, unused, written
 
-BUCKETS, FLAGS = 1 << 30, 1 << 13
 MAX_LABELLED = 10_000
-#: Words that stand for traits of a text.
-TRAITS = 3
-#: A word counts for a domain if LEAST_TEXTS labelled texts have it; if in the domain LEAST_SHARE of the texts have it or, at the mean share, would; if its log odds there are
-#: LEAST_ODDS at least (MOST_ODDS is what it counts at most); and if the squared deviation of its texts from what is expected is LEAST_CHI at least in terms of that.
-#: Of these, the TELLING ones of the greatest deviation count: words of one group of near copies, which come together, would else outweigh them by their number.
-LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS, MOST_ODDS, LEAST_CHI, TELLING = 5, 0.01, 2.0, 4.0, 36.0, 100
+#: A word tells a domain if LEAST_TEXTS labelled texts have it; if in the domain LEAST_SHARE of the texts have it or, at the mean share,
+#: would; if its log odds there are LEAST_ODDS at least (MOST_ODDS is what it counts at most); and if the squared deviation of its texts
+#: from what is expected is LEAST_CHI at least in terms of that.
+LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS, MOST_ODDS, LEAST_CHI = 5, 0.01, 2.0, 4.0, 36.0
 DIGITS = 3
-STEPS, TOLERANCE = 24, 1e-4
-#: Cells of which rates are broadcast; more are joined by a shuffle.
+#: Steps end when one moves the rates by less than TOLERANCE of the target tokens in all.
+STEPS, TOLERANCE = 200, 1e-5
+#: Cells of which rates are broadcast; with more, each row folds its own rate.
 MOST_CELLS = 100_000
-#: Steps after which the cells' rates are written.
-WRITE_EVERY = 8
 #: Targets in all are this much over the least total at which no domain with a target loses tokens.
 HEADROOM = 1.02
+SYMBOLS = "!#$%&*|=<>@^~"
 
 
-def with_words(docs: DataFrame, text: Column, *others: Column) -> DataFrame:
-    """others and words: those between spaces and line ends, with three traits of the whole text as words of their own."""
-    rows = docs.select(*others, text.alias("__text"))
-    spaced = F.col("__text")
+def letter_words(text: Column) -> Column:
+    """The distinct runs of letters of a text, in lower case."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), "")
+
+
+def space_words(text: Column) -> Column:
+    """What stands between spaces, tabs and line ends."""
     for end in "\n\t\r":
-        spaced = F.replace(spaced, F.lit(end), F.lit(" "))
-    rows = rows.select(*rows.columns, F.split(spaced, " ").alias("__words"))
-    n = F.greatest(F.length("__text"), F.lit(1))
-    share = lambda part: F.least(F.lit(9), F.floor(10 * part)).cast("string")
-    repeated = 1 - F.size(F.array_distinct("__words")) / F.size("__words")
-    symbols = F.length(F.regexp_replace("__text", r"[^!#$%&*|=<>@^~]+", "")) / n
-    capitals = F.length(F.regexp_replace("__text", "[^A-Z]+", "")) / n
-    traits = F.array(F.concat(F.lit("\n repeated "), share(repeated)), F.concat(F.lit("\n symbols "), share(symbols)), F.concat(F.lit("\n capitals "), share(capitals)))
-    return rows.select(*[c for c in rows.columns if not c.startswith("__")], F.concat("__words", traits).alias("words"))
-
-
-def bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
-
-
-def learn(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, domains: list[str], max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, list[float]]:
-    """(bucket, w0, w1, ...) of the buckets that tell domains apart, and the domains' log priors. labelled: id, domain."""
-    chosen = labelled.select(F.col("id"), F.col("domain")).where("id is not null and domain is not null").orderBy(F.xxhash64("id", "domain"), "id", "domain").limit(max_labelled)
-    chosen = written(chosen, "labelled")  # at most max_labelled rows of two values
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = with_words(rows, F.coalesce("text", F.lit("")), F.col("domain"), text_key(F.col("text")).alias("key"))
-    # outer (no text is without words): else a filter on the words would be inferred and judge all texts below the join
-    has = rows.select("domain", "key", F.explode_outer("words").alias("word")).select("domain", "key", bucket(F.col("word")).alias("bucket")).distinct()
-    seen = {r["domain"]: r["n"] for r in rows.select("domain", "key").distinct().groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    total = sum(seen.values())
-    prior = [log((seen.get(d, 0) + 1) / (total + len(domains))) for d in domains]
-    by = has.groupBy("bucket").agg(F.count("*").alias("texts"), *[F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(domains)])
-    weights, chi = [], []
-    for k, d in enumerate(domains):
-        inside, fair = F.col(f"n{k}"), F.col("texts") * (max(seen.get(d, 0), 0.5) / max(total, 1))
-        odds = F.log((inside + 0.5) / (seen.get(d, 0) + 1.0)) - F.log((F.col("texts") - inside + 0.5) / (total - seen.get(d, 0) + 1.0))
-        tells = (F.greatest(inside, fair) >= LEAST_SHARE * seen.get(d, 0)) & (F.abs(odds) >= LEAST_ODDS) & ((inside - fair) ** 2 / fair >= LEAST_CHI)
-        chi.append(F.when(tells, (inside - fair) ** 2 / fair).alias(f"chi{k}"))
-        weights.append(F.when(tells, F.greatest(F.lit(-MOST_ODDS), F.least(F.lit(MOST_ODDS), odds))).otherwise(0.0).alias(f"w{k}"))
-    d = range(len(domains))
-    told = by.where(F.col("texts") >= LEAST_TEXTS).select("bucket", *weights, *chi)
-    told = written(told.where(" or ".join(f"chi{k} is not null" for k in d)), "word-weights")
-    least = [told.where(f"chi{k} is not null").orderBy(F.desc(f"chi{k}")).limit(TELLING).agg(F.min(f"chi{k}")).first()[0] for k in d]
-    kept = [F.when(F.col(f"chi{k}") >= F.lit(least[k]), F.col(f"w{k}")).otherwise(0.0).alias(f"w{k}") for k in d]
-    return told.select("bucket", *kept).where(" or ".join(f"w{k} <> 0" for k in d)), prior
+        text = F.replace(text, F.lit(end), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
-def letter_words(text: Column) -> Column:
-    """The distinct runs of letters of a text, in lower case."""
-    return F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")), "")
+def traits(text: Column, words: Column) -> list[Column]:
+    """Words that stand for traits of a whole text. words: its space_words."""
+    n = F.greatest(F.length(text), F.lit(1))
+    share = lambda part: F.least(F.lit(9), F.floor(10 * part)).cast("string")
+    repeated = 1 - F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))
+    symbols = F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")) / n
+    capitals = F.length(F.regexp_replace(text, "[^A-Z]+", "")) / n
+    return [F.concat(F.lit(f"\n {name} "), share(part)) for name, part in (("repeated", repeated), ("symbols", symbols), ("capitals", capitals))]
 
 
 @dataclass
-class Apart:
-    """Unwanted domains (places among all), the log odds of each word that tells them from the rest, of any other word, and of none."""
-
-    domains: list[int]
-    words: dict[str, float]
-    other: float
-    prior: float
-
-
-def learn_apart(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, domains: list[str], targets: Mapping[str, float], max_labelled: int = MAX_LABELLED) -> Apart | None:
-    """What tells the domains without a target from those with one; None unless there are both. All words that pass the bounds count, however many."""
-    unwanted = [d for d in domains if targets.get(d, 0.0) <= 0]
-    if not unwanted or len(unwanted) == len(domains):
-        return None
-    chosen = labelled.select(F.col("id"), F.col("domain")).where("id is not null and domain is not null").orderBy(F.xxhash64("id", "domain"), "id", "domain").limit(max_labelled)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = rows.select(F.col("domain").isin(unwanted).alias("bad"), text_key(F.col("text")).alias("key"), letter_words(F.col("text")).alias("words"))
-    has = written(rows.select("bad", "key", F.explode_outer("words").alias("word")).distinct(), "labelled-words")
-    total, bad = has.agg(F.count_distinct("bad", "key"), F.count_distinct(F.when(F.col("bad"), F.col("key")))).first()
-    prior = log((bad + 1) / (total - bad + 1))
-    if not 0 < bad < total:
-        return Apart([domains.index(d) for d in unwanted], {}, 0.0, prior)
-    by = written(has.where("word is not null").groupBy("word").agg(F.count("*").alias("texts"), F.count_if("bad").alias("inside")), "labelled-words")
-    inside, fair = F.col("inside"), F.col("texts") * (bad / total)
-    odds = F.log((inside + 0.5) / (bad + 1.0)) - F.log((F.col("texts") - inside + 0.5) / (total - bad + 1.0))
-    tells = (F.col("texts") >= LEAST_TEXTS) & (F.greatest(inside, fair) >= LEAST_SHARE * bad) & (F.abs(odds) >= LEAST_ODDS) & ((inside - fair) ** 2 / fair >= LEAST_CHI)
-    told = by.where(tells).select("word", "texts", "inside", F.greatest(F.lit(-MOST_ODDS), F.least(F.lit(MOST_ODDS), odds)).alias("odds")).orderBy("word").collect()
-    every, within = (x or 0 for x in by.agg(F.sum("texts"), F.sum("inside")).first())
-    hits, ours = sum(r["texts"] for r in told if r["odds"] > 0), sum(r["inside"] for r in told if r["odds"] > 0)
-    share = lambda part, whole: (part + 0.5) / (whole + 1.0)
-    other = log((1 - share(ours, within)) / (1 - share(hits - ours, every - within)))
-    return Apart([domains.index(d) for d in unwanted], {r["word"]: r["odds"] for r in told}, other, prior)
-
-
-def unwanted_odds(docs: DataFrame, apart: Apart, text_col: str, name: str) -> DataFrame:
-    """docs with the log odds that a text is of an unwanted domain."""
-    words, hits = unused(docs, "letters"), unused(docs, "told")
-    told = F.from_json(F.lit(json.dumps(list(apart.words))), "array<string>")
-    odds = F.from_json(F.lit(json.dumps(list(apart.words.values()))), "array<double>")
-    rows = docs.withColumn(words, letter_words(F.col(text_col)))
-    rows = rows.select(*docs.columns, F.size(words).alias(words), F.array_intersect(words, told).alias(hits))
-    found = F.aggregate(hits, F.lit(float(apart.prior)), lambda sum_, w: sum_ + F.get(odds, F.array_position(told, w).cast("int") - 1))
-    return rows.select(*docs.columns, (found + F.lit(float(apart.other)) * F.col(words)).alias(name))
-
-
-def text_key(text: Column) -> Column:
-    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
-
-
-def with_posteriors(docs: DataFrame, weights: DataFrame, prior: list[float], text_col: str, tokens: str = "tokens", p: str = "p", apart: Apart | None = None) -> DataFrame:
-    """docs with tokens (words of the text) and p0, p1, ... (rounded to DIGITS), by the row: no word leaves its task.
-
-    apart: how likely unwanted domains are in all; what is learned here then only divides that, and the rest, among their domains.
-
-    Telling buckets are few (TELLING for each domain), so that they are literals: a flag for each rest of a bucket by FLAGS lets next to all words go at once, and what passes is looked up.
-    """
-    told = [r for r in weights.orderBy("bucket").collect()]  # at most TELLING rows for each domain, but for equals
-    d = range(len(prior))
-    flags = [0] * FLAGS
-    for r in told:
-        flags[r["bucket"] % FLAGS] = 1
+class Classifier:
+    """Domains by name; those without a target (unwanted), if there are both kinds. words: of each word or trait that tells, its log odds
+    for the unwanted domains as a whole, then its score for each domain within its own kind."""
+
+    domains: list[str]
+    unwanted: list[int] = field(default_factory=list)
+    words: dict[str, list[float]] = field(default_factory=dict)
+    prior: list[float] = field(default_factory=list)
+    bad_prior: float = 0.0
+    other: float = 0.0
+
+
+def _tells(inside: Column, texts: Column, mine: float, rest: float) -> tuple[Column, Column]:
+    """(log odds of a word in `mine` texts against `rest`, whether it tells)."""
+    fair = texts * (mine / max(mine + rest, 1))
+    odds = F.log((inside + 0.5) / (mine + 1.0)) - F.log((texts - inside + 0.5) / (rest + 1.0))
+    enough = (texts >= LEAST_TEXTS) & (F.greatest(inside, fair) >= LEAST_SHARE * mine)
+    return odds, enough & (F.abs(odds) >= LEAST_ODDS) & ((inside - fair) ** 2 / fair >= LEAST_CHI)
+
+
+def learn(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Classifier:
+    """The classifier of the domains in labelled (id, domain) and in targets, from docs' texts of those ids."""
+    shared_dir(docs.sparkSession)
+    named = labelled.select(F.col("id").alias("id"), F.col("domain").alias("domain")).where("id is not null and domain is not null")
+    chosen = written(named.orderBy(F.xxhash64("id", "domain"), "id", "domain").limit(max_labelled), "labelled")  # at most max_labelled rows of two values
+    domains = sorted({r[0] for r in named.select("domain").distinct().collect()} | set(targets))
+    unwanted = [k for k, d in enumerate(domains) if targets.get(d, 0.0) <= 0]
+    model = Classifier(domains, unwanted if len(unwanted) < len(domains) else [])
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.select("domain", F.md5(F.col("text").cast("binary")).alias("key"), "text", space_words(F.col("text")).alias("words"))
+    every = F.concat(letter_words(F.col("text")), F.array(*traits(F.col("text"), F.col("words"))))
+    # no text is without traits; the outer form keeps a filter on them from being inferred, which would judge all texts below the join
+    has = written(rows.select("domain", "key", F.explode_outer(every).alias("word")).distinct(), "labelled-words")
+    seen = {r["domain"]: r["n"] for r in has.select("domain", "key").distinct().groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    n = [seen.get(d, 0) for d in domains]
+    kinds = [k for k in ([i for i in range(len(n)) if i not in model.unwanted], model.unwanted) if k]
+    of = {i: kind for kind in kinds for i in kind}
+    model.prior = [log((n[i] + 1) / (sum(n[j] for j in of[i]) + len(of[i]))) for i in range(len(n))]
+    bad, good = sum(n[i] for i in model.unwanted), sum(n) - sum(n[i] for i in model.unwanted)
+    model.bad_prior = log((bad + 1) / (good + 1))
+    by = has.groupBy("word").agg(*[F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(domains)])
+    by = written(by.where(" + ".join(f"n{k}" for k in range(len(n))) + f" >= {LEAST_TEXTS}"), "word-counts")
+    count = lambda some: sum([F.col(f"n{i}") for i in some], F.lit(0))
+    trait = F.col("word").startswith("\n")
+    columns, tells = [], F.lit(False)
+    if bad and good:
+        odds, bad_tells = _tells(count(model.unwanted), count(range(len(n))), bad, good)
+        bad_tells = bad_tells & ~trait
+        columns.append(F.when(bad_tells, F.greatest(F.lit(-MOST_ODDS), F.least(F.lit(MOST_ODDS), odds))).otherwise(0.0).alias("bad"))
+        tells = tells | bad_tells
+    else:
+        columns.append(F.lit(0.0).alias("bad"))
+    for i in range(len(n)):
+        mine, whole = n[i], sum(n[j] for j in of[i])
+        known = F.lit(False)
+        for j in of[i]:  # a word that tells one domain of a kind scores for each of them
+            if 0 < n[j] < whole:
+                known = known | _tells(F.col(f"n{j}"), count(of[i]), n[j], whole - n[j])[1]
+        score = F.log((F.col(f"n{i}") + 0.5) / (mine + 1.0)) - F.log((count(of[i]) + 0.5) / (whole + 1.0))
+        columns.append(F.when(known, F.greatest(F.lit(-MOST_ODDS), F.least(F.lit(MOST_ODDS), score))).otherwise(0.0).alias(f"w{i}"))
+        tells = tells | known
+    told = by.where(tells).select("word", *columns, count(model.unwanted).alias("inside"), count(range(len(n))).alias("texts")).orderBy("word").collect()
+    model.words = {r["word"]: [r["bad"], *[r[f"w{i}"] for i in range(len(n))]] for r in told}
+    if bad and good:
+        whole, within = (x or 0 for x in has.where(~trait).agg(F.count("*"), F.count_if(F.col("domain").isin([domains[i] for i in model.unwanted]))).first())
+        hits, ours = (sum(r[c] for r in told if r["bad"] > 0) for c in ("texts", "inside"))
+        share = lambda part, whole: (part + 0.5) / (whole + 1.0)
+        model.other = log((1 - share(ours, within)) / (1 - share(hits - ours, whole - within)))
+    return model
+
+
+def with_posteriors(docs: DataFrame, model: Classifier, text_col: str, tokens: str = "tokens", p: str = "p") -> DataFrame:
+    """docs with tokens (words of the text) and p0, p1, ... (rounded to DIGITS), by the row: no word leaves its task. docs must not have columns of these names."""
     constant = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")  # noqa: E731  folded once, when the plan is made
-    flag, buckets = constant(flags, "int"), constant([r["bucket"] for r in told], "int")
-    kept = docs.columns
-    bad = unused(docs, "bad")
-    if apart:
-        docs = unwanted_odds(docs, apart, text_col, bad)
-    rows = with_words(docs, F.coalesce(F.col(text_col), F.lit("")), *[F.col(c) for c in docs.columns])
-    words = unused(docs, "words")
-    rows = rows.withColumnRenamed("words", words) if words != "words" else rows
-    maybe = F.filter(words, lambda w: F.get(flag, F.pmod(F.xxhash64(w), F.lit(FLAGS)).cast("int")) == 1)
-    hits = F.array_distinct(F.filter(F.transform(maybe, lambda w: F.array_position(buckets, bucket(w)).cast("int")), lambda i: i > 0))
-    found = unused(docs, "hits")
-    rows = rows.select(*docs.columns, (F.size(F.array_remove(words, "")) - TRAITS).cast("long").alias(tokens), hits.alias(found))
-    total = lambda k: F.aggregate(found, F.lit(float(prior[k])), _adding(constant([r[f"w{k}"] for r in told], "double")))
-    score = [unused(docs, f"score{k}") for k in d]
-    rows = rows.select(*docs.columns, tokens, *[total(k).alias(score[k]) for k in d])
-    share = [F.lit(0.0) for _ in d]
-    outside = [k for k in d if k not in apart.domains] if apart else list(d)
-    for group, sign in ((outside, -1), (apart.domains if apart else [], 1)):
-        if not group:
+    d = range(len(model.domains))
+    told = constant(list(model.words), "string")
+    text, words, letters, hits, scores = (unused(docs, x) for x in ("mix_text", "mix_words", "mix_letters", "mix_hits", "mix_scores"))
+    rows = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
+    rows = rows.withColumns({words: space_words(F.col(text)), letters: letter_words(F.col(text))})
+    found = F.array_intersect(F.concat(F.col(letters), F.array(*traits(F.col(text), F.col(words)))), told)
+    places = F.transform(found, lambda w: F.array_position(told, w).cast("int") - 1)
+    rows = rows.select(*docs.columns, F.size(words).cast("long").alias(tokens), F.size(letters).alias(letters), places.alias(hits))
+    total = lambda k, first: F.aggregate(hits, first, _adding(constant([w[k] for w in model.words.values()], "double")))
+    bad = total(0, F.lit(float(model.bad_prior))) + F.lit(float(model.other)) * F.col(letters)
+    rows = rows.select(*docs.columns, tokens, F.array(bad, *[total(k + 1, F.lit(float(model.prior[k]))) for k in d]).alias(scores))
+    at = lambda k: F.get(scores, F.lit(k))
+    share = {}
+    for kind, sign in (([k for k in d if k not in model.unwanted], 1), (model.unwanted, -1)):
+        if not kind:
             continue
-        top = F.greatest(*[score[k] for k in group]) if len(group) > 1 else F.col(score[group[0]])
-        weight = {k: F.exp(F.col(score[k]) - top) for k in group}
-        whole = sum(list(weight.values())[1:], weight[group[0]])
-        for k in group:
-            share[k] = weight[k] / whole / (1 + F.exp(-sign * F.col(bad))) if apart else weight[k] / whole
-    return rows.select(*kept, tokens, *[F.round(x, DIGITS).alias(f"{p}{k}") for k, x in enumerate(share)])
+        top = F.greatest(*[at(k + 1) for k in kind]) if len(kind) > 1 else at(kind[0] + 1)
+        weight = [F.exp(at(k + 1) - top) for k in kind]
+        whole = sum(weight[1:], weight[0])
+        part = 1 / (1 + F.exp(sign * at(0))) if model.unwanted else F.lit(1.0)
+        share |= {k: w / whole * part for k, w in zip(kind, weight, strict=True)}
+    return rows.select(*docs.columns, tokens, *[F.round(share[k], DIGITS).alias(f"{p}{k}") for k in d])
 
 
 def _adding(values: Column):
-    return lambda total, i: total + F.get(values, i - 1)
+    return lambda total, i: total + F.get(values, i)
+
+
+def _folded(p: list[str], moves: list[list[float]]) -> str:
+    """SQL of (rate, the rate before the last move) after moves by domain. As text: a Column costs the driver a call for each of its parts."""
+    change = " + ".join(f"`{x}` * get(m, {k})" for k, x in enumerate(p))
+    told = f"from_json('{json.dumps(moves)}', 'array<array<double>>')"
+    return f"aggregate({told}, struct(1.0D AS rate, 1.0D AS was), (s, m) -> struct(greatest(0.0D, s.rate - ({change})) AS rate, s.rate AS was))"
+
+
+@dataclass
+class Solution:
+    """moves: of each step, by domain. targets and expected: tokens by domain; residual: the absolute differences' sum as a share of all
+    target tokens; settled: whether the optimum's condition holds."""
 
+    moves: list[list[float]]
+    targets: list[float]
+    expected: list[float]
+    residual: float
+    settled: bool
 
-@contextmanager
-def _interpreted(spark):
-    """Small jobs whose numbers change from step to step: compiling code for each would fill the executors' memory with classes."""
-    keys = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
-    before = {k: spark.conf.get(k, None) for k in keys}
-    for k, v in keys.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    def rate(self, p: list[str]) -> Column:
+        """The rate of a row with these columns of posteriors."""
+        return F.expr(_folded(p, self.moves) + ".rate")
 
 
-def solve(cells: DataFrame, shares: list[float], total: float | None = None, steps: int = STEPS) -> tuple[DataFrame, list[float], list[float]]:
-    """(cells with their rate, targets, expected tokens). cells: p0, p1, ..., tokens. Steps start from a point ahead of the last rate (Nesterov's momentum)."""
+def solve(cells: DataFrame, shares: list[float], total: float | None = None, most: int = STEPS) -> Solution:
+    """Least squares over cells (p0, p1, ..., tokens), by projected gradient steps in the metric of the curvature over the rates above 0, damped
+    as far as the squares fall. It ends where a plain gradient step no longer moves the rates."""
     d = range(len(shares))
-    at = lambda column: [float(x or 0) for x in cells.agg(*[F.sum(F.col("tokens") * F.col(column) * F.col(f"p{k}")) for k in d]).first()]
-    cells = cells.withColumns({"rate": F.lit(1.0), "ahead": F.lit(1.0)}).checkpoint()
-    have = now = at("ahead")
+    p = [f"p{k}" for k in d]
+
+    def state(moves: list[list[float]], plain: list[float]) -> tuple[list[float], list[list[float]], float]:
+        """(expected tokens, curvature, tokens that the plain step from the rates before moves)."""
+        at = cells.selectExpr(*p, "tokens", f"{_folded(p, moves)} AS s").selectExpr(*p, "tokens", "s.rate", "s.was")
+        step = " + ".join(f"{x} * {g!r}D" for x, g in zip(p, plain, strict=True))
+        sums = [f"sum(tokens * abs(was - greatest(0.0D, was - ({step}))))", *[f"sum(tokens * rate * {x})" for x in p]]
+        sums += [f"sum(if(rate > 0, tokens, 0.0D) * p{i} * p{j})" for i in d for j in range(i + 1)]
+        row = [float(x or 0) for x in at.agg(*map(F.expr, sums)).first()]
+        bent, half = [[0.0] * len(d) for _ in d], iter(row[1 + len(d) :])
+        for i in d:
+            for j in range(i + 1):
+                bent[i][j] = bent[j][i] = next(half)
+        return row[1 : 1 + len(d)], bent, row[0]
+
+    have, bent, _ = state([], [0.0] * len(d))
     if total is None:
         total = HEADROOM * max((a / s for a, s in zip(have, shares, strict=True) if s > 0 and a > 0), default=0.0)
+    total = float(total)
     targets = [s * total for s in shares]
-    for step in range(1, steps + 1):
-        excess = [x - t for x, t in zip(now, targets, strict=True)]
-        move = [F.col(f"p{k}") * (x / have[k]) for k, x in enumerate(excess) if have[k] > 0]
-        if not move or sum(map(abs, excess)) <= TOLERANCE * max(total, 1.0):
+    known = [k for k in d if have[k] > 0]
+    squares = lambda now: sum((now[k] - targets[k]) ** 2 / have[k] for k in known)
+    moves: list[list[float]] = []
+    now, damping, settled = have, 0.1, not known
+    for _ in range(most if known else 0):
+        excess = {k: now[k] - targets[k] for k in known}
+        found = _solved([[bent[i][j] + (damping * have[i] if i == j else 0.0) for j in known] for i in known], [excess[k] for k in known])
+        move = [dict(zip(known, found, strict=True)).get(k, 0.0) for k in d]
+        then, then_bent, far = state([*moves, move], [excess[k] / have[k] if k in excess else 0.0 for k in d])
+        if far <= TOLERANCE * max(total, 1.0):
+            settled = True
             break
-        new = F.greatest(F.lit(0.0), F.col("ahead") - sum(move[1:], move[0]))
-        cells = cells.withColumn("new", new).withColumn("ahead", F.col("new") + (F.col("new") - F.col("rate")) * ((step - 1) / (step + 2)))
-        cells = cells.select(*[f"p{k}" for k in d], "tokens", F.col("new").alias("rate"), "ahead")
-        cells = cells if step % WRITE_EVERY else cells.checkpoint()
-        before, now = now, at("ahead")
-        if max(abs(x - y) for x, y in zip(before, now, strict=True)) <= TOLERANCE * max(total, 1.0):
-            break
-    cells = cells.drop("ahead").checkpoint()
-    return cells, targets, at("rate")
-
-
-def classifier(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str, text_col: str, max_labelled: int) -> tuple[list[str], DataFrame, list[float]]:
-    """(domains by name, telling buckets, log priors). Domains: those of the labelled rows and of the targets."""
-    shared_dir(docs.sparkSession)
-    known = {r[0] for r in labelled.select("domain").where("domain is not null").distinct().collect()}
-    domains = sorted(known | set(targets))
-    return domains, *learn(docs, labelled, id_col, text_col, domains, max_labelled)
-
-
-def rated_cells(rows: DataFrame, domains: list[str], targets: Mapping[str, float], tokens: str, p: str, total: float | None = None) -> tuple[DataFrame, list[float], list[float]]:
-    """(p0, p1, ..., rate of every cell of equal posteriors; target tokens; expected tokens)."""
-    whole = sum(targets.values()) or 1.0
-    cells = rows.groupBy(*[F.col(f"{p}{k}").alias(f"p{k}") for k in range(len(domains))]).agg(F.sum(tokens).cast("double").alias("tokens"))
-    cells = cells.checkpoint()
-    with _interpreted(rows.sparkSession):
-        rated, goal, got = solve(cells, [targets.get(d, 0.0) / whole for d in domains], total)
-    rated = rated.drop("tokens")
-    return F.broadcast(rated) if rated.count() <= MOST_CELLS else rated, goal, got
+        if squares(then) < squares(now):
+            moves, now, bent, damping = [*moves, move], then, then_bent, max(damping / 3, 1e-9)
+        elif damping > 1e6:
+            break  # rounding errors are all that is left
+        else:
+            damping *= 2
+    return Solution(moves, targets, now, sum(abs(x - t) for x, t in zip(now, targets, strict=True)) / max(total, 1e-300), settled)
+
+
+def _solved(a: list[list[float]], b: list[float]) -> list[float]:
+    """x of a x = b, for a symmetric matrix with a positive diagonal that outweighs rounding (Gauss)."""
+    rows = [[*r, y] for r, y in zip(a, b, strict=True)]
+    for i in range(len(rows)):
+        best = max(range(i, len(rows)), key=lambda k: abs(rows[k][i]))
+        rows[i], rows[best] = rows[best], rows[i]
+        rows[i] = [x / rows[i][i] for x in rows[i]]
+        rows = [r if k == i else [x - r[i] * y for x, y in zip(r, rows[i], strict=True)] for k, r in enumerate(rows)]
+    return [r[-1] for r in rows]
+
+
+def rates(rows: DataFrame, model: Classifier, targets: Mapping[str, float], tokens: str, p: str, rate: str, total: float | None = None) -> tuple[DataFrame, Solution]:
+    """(rows with their rate, the solution). rows: written, with tokens and posteriors."""
+    names = [f"{p}{k}" for k in range(len(model.domains))]
+    keys = [F.col(x) for x in names]
+    whole = sum(max(x, 0.0) for x in targets.values()) or 1.0
+    cells = rows.groupBy(*[x.alias(f"p{k}") for k, x in enumerate(keys)]).agg(F.sum(tokens).cast("double").alias("tokens"))
+    cells = written(cells, "cells")
+    found = solve(cells, [max(targets.get(d, 0.0), 0.0) / whole for d in model.domains], total)
+    if cells.count() > MOST_CELLS:
+        return rows.withColumn(rate, found.rate(names)), found
+    mine = [unused(rows, f"mix_cell{k}") for k in range(len(keys))]
+    rated = cells.select(*[F.col(f"p{k}").alias(c) for k, c in enumerate(mine)], found.rate([f"p{k}" for k in range(len(keys))]).alias(rate))
+    same = [x == F.col(c) for x, c in zip(keys, mine, strict=True)]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    return rows.join(F.broadcast(rated), on, "left").drop(*mine), found
 
 
 def with_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", total: float | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """One row for each row of docs: doc_id, tokens, domain (the likeliest; the first by name of equals), posterior (map), rate.
+    """One row for each row of docs: doc_id, tokens, domain (the likeliest; the first by name of equals), posterior (map), rate, and of that
+    domain target_tokens and expected_tokens (what all rates give it).
 
-    labelled: (id, domain); ids that docs lacks, null ids and null domains teach nothing. targets: share of tokens for each domain; they are scaled to 1, and a domain without one has 0. total: target tokens in all; by default the
-    least total at which every domain with a target keeps its tokens, times HEADROOM. Null texts are empty: no tokens and the posterior of their traits. Null ids and repeated rows stay; without labelled rows all posteriors are equal; an
-    empty table gives an empty one; other columns, whatever their names, aren't read.
+    labelled: (id, domain); ids that docs lacks, null ids and null domains teach nothing. targets: share of tokens for each domain; they are
+    scaled to 1, and a domain without one has 0. total: target tokens in all; by default the least total at which every domain with a target
+    keeps its tokens, times HEADROOM. Null texts are empty: no tokens and the posterior of their traits. Null ids and repeated rows stay;
+    without labelled rows all posteriors are equal; an empty table gives an empty one; other columns, whatever their names, aren't read.
     """
-    domains, weights, prior = classifier(docs, labelled, targets, id_col, text_col, max_labelled)
+    model = learn(docs, labelled, targets, id_col, text_col, max_labelled)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(with_posteriors(slim, weights, prior, "text").drop("text"), "posteriors")
-    cells, _, _ = rated_cells(rows, domains, targets, "tokens", "p", total)
-    p = [F.col(f"p{k}") for k in range(len(domains))]
+    rows, found = rates(written(with_posteriors(slim, model, "text").drop("text"), "posteriors"), model, targets, "tokens", "p", "rate", total)
+    p = [F.col(f"p{k}") for k in range(len(model.domains))]
     best = F.greatest(*p) if len(p) > 1 else p[0]
-    domain = F.coalesce(*[F.when(x == best, F.lit(d)) for x, d in zip(p, domains, strict=True)])
-    posterior = F.create_map(*[y for x, d in zip(p, domains, strict=True) for y in (F.lit(d), x)])
-    return rows.join(cells, [f"p{k}" for k in range(len(domains))]).select("doc_id", "tokens", domain.alias("domain"), posterior.alias("posterior"), F.round("rate", 6).alias("rate"))
+    first = lambda values: F.coalesce(*[F.when(x == best, F.lit(v)) for x, v in zip(p, values, strict=True)])
+    posterior = F.create_map(*[y for x, d in zip(p, model.domains, strict=True) for y in (F.lit(d), x)])
+    sums = (F.round(first(x), 3).alias(name) for x, name in ((found.targets, "target_tokens"), (found.expected, "expected_tokens")))
+    return rows.select("doc_id", "tokens", first(model.domains).alias("domain"), posterior.alias("posterior"), F.round("rate", 6).alias("rate"), *sums)
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", seed: int = 11, least: int = 0, total: float | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """docs with each row as often as its rate says: the whole part of the rate, and once more with the chance of the rest (drawn by a hash of id, text and seed). All columns stay. least: rows that likelier are of a domain with a target than not come as often at least, and with it the others don't come. See with_rates."""
-    domains, weights, prior = classifier(docs, labelled, targets, id_col, text_col, max_labelled)
-    apart = learn_apart(docs, labelled, id_col, text_col, domains, targets, max_labelled)
-    slim = written(with_posteriors(docs.select(F.col(text_col).alias("text")), weights, prior, "text", apart=apart).drop("text"), "posteriors")
-    cells, _, _ = rated_cells(slim, domains, targets, "tokens", "p", total)
-    tokens, p, rate, times, one = (unused(docs, f"mix_{x}") for x in ("tokens", "p", "rate", "times", "one"))
-    keys = [f"{p}{k}" for k in range(len(domains))]
-    cells = cells.withColumnsRenamed({**{f"p{k}": c for k, c in enumerate(keys)}, "rate": rate})
+    """docs with each row as often as its rate says: the whole part of the rate, and once more with the chance of the rest (drawn by a hash
+    of id, text and seed). All columns stay. least: rows that likelier are of a domain with a target than not come as often at least, and
+    with it the others don't come. See with_rates."""
+    model = learn(docs, labelled, targets, id_col, text_col, max_labelled)
+    tokens, rate, times, one = (unused(docs, f"mix_{x}") for x in ("tokens", "rate", "times", "one"))
+    p = "mix_p"
+    while any(unused(docs, f"{p}{k}") != f"{p}{k}" for k in range(len(model.domains))):
+        p = "_" + p
+    # texts go along, so that they are judged once
+    judged = written(with_posteriors(docs, model, text_col, tokens, p), "posteriors")
+    rows, _ = rates(judged, model, targets, tokens, p, rate, total)
     draw = F.pmod(F.xxhash64(id_col, text_col, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    # every row has its cell; an inner join would infer filters on the posteriors, which would be worked out again for each
-    rows = with_posteriors(docs, weights, prior, text_col, tokens, p, apart).join(cells, keys, "left")
-    wanted = [F.col(c) for c, d in zip(keys, domains, strict=True) if targets.get(d, 0.0) > 0]
-    other = [F.col(c) for c, d in zip(keys, domains, strict=True) if targets.get(d, 0.0) <= 0]
-    whole = lambda cols: sum(cols[1:], cols[0]) if cols else F.lit(0.0)
+    keys = [(F.col(f"{p}{k}"), targets.get(d, 0.0) > 0) for k, d in enumerate(model.domains)]
+    whole = lambda wanted: sum([x for x, w in keys if w == wanted], F.lit(0.0))
     often = F.floor(F.col(rate) + draw).cast("int")
-    rows = rows.withColumn(times, F.when(whole(wanted) > whole(other), F.greatest(F.lit(least), often)).otherwise(F.lit(0) if least else often)).where(F.col(times) > 0)
+    rows = rows.withColumn(times, F.when(whole(True) > whole(False), F.greatest(F.lit(least), often)).otherwise(F.lit(0) if least else often)).where(F.col(times) > 0)
     return rows.withColumn(one, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
