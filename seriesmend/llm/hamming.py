@@ -113,12 +113,8 @@ def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def forest(segments: np.ndarray, prints: np.ndarray, radius: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint pairs that connect whatever is within radius bits inside a segment: at most a pair for each row.
-
-    side: 0 or 1 for each row; rows of one side only need links to those of the other where both are there. All links are
-    used all the same, which connects no more than links do.
-    """
+def forest(segments: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprint pairs that connect whatever is within radius bits inside a segment: at most a pair for each row."""
     order = np.lexsort((gray_rank(prints), segments))
     segments, prints = segments[order], prints[order]
     index = GrayIndex(segments, prints)
@@ -133,60 +129,3 @@ def forest(segments: np.ndarray, prints: np.ndarray, radius: int, side: np.ndarr
         root = merge(root, *index.search(large[lo : lo + AT_ONCE], root_of, radius, root, index.spans(root)))
     moved = np.flatnonzero(root != np.arange(len(root)))
     return prints[moved], prints[root[moved]]
-
-
-def nearest_forest(segments: np.ndarray, prints: np.ndarray, near: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of fingerprints over `near` and up to `radius` bits apart that join what closer links leave apart, the nearest first: real links, at most one for each row.
-
-    Links of up to `near` bits are taken as given and aren't returned.
-    """
-    order = np.lexsort((gray_rank(prints), segments))
-    segments, prints = segments[order], prints[order]
-    index = GrayIndex(segments, prints)
-    root_of = np.cumsum(np.r_[True, segments[1:] != segments[:-1]]) - 1
-    root = np.arange(len(prints))
-    sizes = np.bincount(root_of)[root_of]
-    rows = np.flatnonzero(sizes > 1)
-    left, right = [], []
-    for r in range(near, radius + 1):
-        for lo in range(0, len(rows), 8 * AT_ONCE):
-            some = rows[lo : lo + 8 * AT_ONCE]
-            step = 8 * AT_ONCE if sizes[some].max() <= 512 else AT_ONCE
-            for k in range(0, len(some), step):
-                a, b = index.search(some[k : k + step], root_of, r, root, index.spans(root))
-                if r == near:
-                    root = merge(root, a, b)
-                    continue
-                apart = root[a] != root[b]
-                a, b = a[apart], b[apart]
-                while len(a):  # a link for each pair of classes, then those that still are apart
-                    x, y = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-                    first = np.unique(y, return_index=True)[1]  # every class goes to one class below it: no circles
-                    left.append(a[first])
-                    right.append(b[first])
-                    root = merge(root, a[first], b[first])
-                    apart = root[a] != root[b]
-                    a, b = a[apart], b[apart]
-    a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (left, right))
-    return prints[a], prints[b]
-
-
-def links_apart(segments: np.ndarray, prints: np.ndarray, label: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of fingerprints of unlike labels that are within radius bits inside a segment."""
-    order = np.lexsort((gray_rank(prints), segments))
-    segments, prints, label = segments[order], prints[order], label[order]
-    index = GrayIndex(segments, prints)
-    root_of = np.cumsum(np.r_[True, segments[1:] != segments[:-1]]) - 1
-    sizes = np.bincount(root_of)[root_of]
-    rows, spans = np.flatnonzero(sizes > 1), index.spans(label)
-    left, right = [], []
-    for lo in range(0, len(rows), 8 * AT_ONCE):
-        some = rows[lo : lo + 8 * AT_ONCE]
-        step = 8 * AT_ONCE if sizes[some].max() <= 512 else AT_ONCE
-        for k in range(0, len(some), step):
-            a, b = index.search(some[k : k + step], root_of, radius, label, spans)
-            apart = label[a] != label[b]
-            left.append(a[apart])
-            right.append(b[apart])
-    a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (left, right))
-    return prints[a], prints[b]

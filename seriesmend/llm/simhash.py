@@ -21,35 +21,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesmend.llm.components import components
-from seriesmend.llm.hamming import forest, links_apart, nearest_forest
+from seriesmend.llm.hamming import forest
+from seriesmend.llm.shingles import SEED, band_keys, links_between, shingle_hashes, verified
 from seriesmend.runtime import arrow_map, unused, worker_object, written
 
-WORDS, RADIUS, SEED = 4, 4, 42
+WORDS, RADIUS = 4, 4
 #: Mean rows of a segment that are aimed at, rows of a chunk, and rows that a task looks at at once.
 AIM, SEGMENT, AT_HAND = 512, 2048, 1 << 16
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
-    """The unsigned SimHash of a text; 0 without words.
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are 1 in over half of the hashes."""
+    if len(hashes) <= 1:
+        return int(hashes[0]) if len(hashes) else 0
+    raw, ones = hashes.astype("<u8", copy=False), np.zeros(64, np.int64)
+    for lo in range(0, len(raw), 4096):
+        ones += np.unpackbits(raw[lo : lo + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * ones > len(raw), bitorder="little").view("<u8")[0])
 
-    Words are runs of anything but ASCII white space, A-Z lower-cased; shingles of `words` words joined by spaces count as often as they occur, and
-    a shorter text is one shingle. A bit is 1 if it is set in over half of the shingles' XXH64.
-    """
-    parts = (text or "").encode().lower().split()
-    if not parts:
-        return 0
-    joined = b" ".join(parts)
-    n = len(parts) - words + 1
-    h64 = xxhash.xxh64_intdigest
-    if n <= 1:
-        return h64(joined, seed)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
-    starts = np.concatenate([[0], ends[: n - 1]]).tolist()
-    hashes = np.array([h64(joined[a:b], seed) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], "<u8")
-    ones = np.zeros(64, np.int64)
-    for lo in range(0, n, 4096):
-        ones += np.unpackbits(hashes[lo : lo + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
+    """The unsigned SimHash of a text; 0 without words. Shingles count as often as they occur; a bit is 1 if it is set in over half of their XXH64."""
+    return majority(shingle_hashes(text, words, seed))
 
 
 def with_fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fp", words: int = WORDS, seed: int = SEED) -> DataFrame:
@@ -82,17 +75,15 @@ def segment_keys(fp: Column, blocks: list[tuple[int, int]], k: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("choice"), fp.bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(signed)])
 
 
-def _over_segments(prints: DataFrame, radius: int, find, n: int | None = None, label: str | None = None) -> DataFrame:
-    """(u, v) of find(segments, fingerprints) over segments in which any two fingerprints (column fp, distinct) of at most radius bits meet. label: a column of longs that find gets too."""
-    n = prints.count() if n is None else n
-    blocks, k = blocks_for(n, radius)
-    more = [label] if label else []
-    rows = prints.select("fp", *more, F.explode(segment_keys(F.col("fp"), blocks, k)).alias("key")).select("fp", *more, "key.choice", "key.value")
+def link_forest(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v): fingerprint pairs that connect what all links of at most radius bits connect, and no more. prints: distinct, in column fp."""
+    blocks, k = blocks_for(prints.count(), radius)
+    rows = prints.select("fp", F.explode(segment_keys(F.col("fp"), blocks, k)).alias("key")).select("fp", "key.choice", "key.value")
     large = rows.groupBy("choice", "value").count().where(F.col("count") > SEGMENT).select("choice", "value", F.ceil(F.col("count") / SEGMENT).cast("int").alias("m"))
     rows = rows.join(large, ["choice", "value"], "left").withColumn("m", F.coalesce("m", F.lit(1)))
     rows = rows.withColumn("c", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    rows = rows.select("choice", "value", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "fp", *more)
+    rows = rows.select("choice", "value", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "fp")
     key = ["choice", "value", "i", "j"]
     dealt = rows.repartition(*key).sortWithinPartitions(*key)
     schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
@@ -103,11 +94,11 @@ def _over_segments(prints: DataFrame, radius: int, find, n: int | None = None, l
 
         def solve(rows: np.ndarray) -> dict:
             heads = np.r_[True, (rows[1:, :4] != rows[:-1, :4]).any(axis=1)]
-            u, v = find(np.cumsum(heads), rows[:, 4].copy().view(np.uint64), *rows[:, 5:].T)
+            u, v = forest(np.cumsum(heads), rows[:, 4].copy().view(np.uint64), radius)
             return {"u": u.view(np.int64), "v": v.view(np.int64)}
 
         for b in batches:
-            held.append(np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5 + len(more))], axis=1))
+            held.append(np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], axis=1))
             if sum(map(len, held)) >= AT_HAND:
                 rows = np.concatenate(held)
                 last = np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(axis=1))
@@ -121,11 +112,6 @@ def _over_segments(prints: DataFrame, radius: int, find, n: int | None = None, l
     return arrow_map(dealt, links, schema)
 
 
-def link_forest(prints: DataFrame, radius: int = RADIUS, n: int | None = None) -> DataFrame:
-    """(u, v): fingerprint pairs that connect what all links of at most radius bits connect, and no more."""
-    return _over_segments(prints, radius, lambda segments, fp: forest(segments, fp, radius), n)
-
-
 def component_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, root) for distinct fingerprints: the least fingerprint that links reach."""
     found = components(link_forest(prints, radius))
@@ -146,80 +132,69 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_set(text: str | None, words: int, seed: int = SEED) -> np.ndarray:
-    """The distinct XXH64 of a text's shingles, sorted."""
-    parts = (text or "").encode().lower().split()
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(parts[i : i + words]), seed) for i in range(max(1, len(parts) - words + 1))] if parts else [], np.uint64))
-
-
-def verified(rows: DataFrame, links: DataFrame, of: DataFrame, text_col: str, fp: str, words: int, similarity: float, once: bool) -> DataFrame:
-    """(u, v): roots of `of` (fp, root) that links (u, v: fingerprints) join whose texts' shingles have a Jaccard similarity of `similarity` or more. rows: texts with their fingerprints.
-
-    once: of each pair of roots only the nearest link is tried.
-    """
-    pairs = links.join(of.select(F.col("fp").alias("u"), F.col("root").alias("cu")), "u").join(of.select(F.col("fp").alias("v"), F.col("root").alias("cv")), "v").where("cu <> cv")
-    pairs = pairs.select(F.least("cu", "cv").alias("a"), F.greatest("cu", "cv").alias("b"), F.struct(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).alias("bits"), F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).alias("link"))
-    pairs = pairs.groupBy("a", "b").agg(F.min("link").alias("link")) if once else pairs.distinct()
-    pairs = written(pairs.select("a", "b", "link.u", "link.v"), "near-links")
-    wanted = pairs.select(F.col("u").alias("__w")).union(pairs.select("v")).distinct()
-    texts = rows.select(F.col(fp).alias("__f"), F.col(text_col).alias("__t")).join(wanted, F.col("__f") == F.col("__w"), "left_semi")
-    schema = T.StructType([T.StructField("f", T.LongType()), T.StructField("shingles", T.BinaryType()), T.StructField("n", T.LongType())])
-
-    def sets(batches):
-        for b in batches:
-            found = [shingle_set(x, words) for x in b.column(1).to_pylist()]
-            yield {"f": b.column(0), "shingles": [x.tobytes() for x in found], "n": [len(x) for x in found]}
-
-    sets_of = written(arrow_map(texts, sets, schema).dropDuplicates(["f"]), "shingle-sets")
-    # sets whose sizes are too unlike can't be that similar: they go before the sets are joined
-    sized = pairs.join(sets_of.select(F.col("f").alias("u"), F.col("n").alias("nu")), "u").join(sets_of.select(F.col("f").alias("v"), F.col("n").alias("nv")), "v")
-    sized = sized.where(F.least("nu", "nv") >= F.lit(similarity) * F.greatest("nu", "nv")).select("a", "b", "u", "v")
-    both = sized.join(sets_of.select(F.col("f").alias("u"), F.col("shingles").alias("x")), "u").join(sets_of.select(F.col("f").alias("v"), F.col("shingles").alias("y")), "v").select("a", "b", "x", "y")
+def sketches(docs: DataFrame, row: str, text_col: str, words: int, seed: int) -> DataFrame:
+    """(row, ent, fp, n, keys) of docs: row's value; a name of the text's shingles (equal shingles, equal names); fingerprint; number of distinct shingles; band keys."""
+    schema = T.StructType([T.StructField("row", docs.schema[row].dataType), *[T.StructField(c, T.LongType()) for c in ("ent", "fp", "n")], T.StructField("keys", T.ArrayType(T.LongType()))])
 
-    def alike(batches):
+    def run(batches):
+        worker_object("none", 0)
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(shared >= similarity * (len(p) + len(q) - shared))
-            a, c = b.column(0).to_numpy()[keep], b.column(1).to_numpy()[keep]
-            yield {"u": a, "v": c}
+            ents, prints, sizes, keys = [], [], [], []
+            for text in b.column(1).to_pylist():
+                hashes = shingle_hashes(text, words, seed)
+                distinct = np.unique(hashes)
+                prints.append(majority(hashes))
+                ents.append(xxhash.xxh64_intdigest(distinct.tobytes() + prints[-1].to_bytes(8, "little"), seed))
+                sizes.append(len(distinct))
+                keys.append(band_keys(distinct).view(np.int64))
+            signed = lambda x: np.array(x, np.uint64).view(np.int64)
+            yield {"row": b.column(0), "ent": signed(ents), "fp": signed(prints), "n": sizes, "keys": keys}
 
-    return arrow_map(both, alike, T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())]))
+    return arrow_map(docs.select(row, text_col), run, schema)
 
 
-def joined_further(rows: DataFrame, near: DataFrame, text_col: str, fp: str, words: int, radius: int, reach: int, similarity: float) -> DataFrame:
-    """(fp, root): components of `near` (fp, root) and of all verified links of radius + 1 to reach bits between them.
+def shingle_sets(docs: DataFrame, ent: str, text_col: str, words: int, seed: int) -> DataFrame:
+    """(ent, n, shingles): each row's distinct shingle hashes, sorted, as bytes."""
+    schema = T.StructType([T.StructField("ent", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
-    First a forest of nearest links is verified, which joins large groups of copies by few links. Then every link that still lies between two groups is tried, so that a link that fails hides no other.
-    """
-    near = written(near, "fingerprint-roots")
-    n = near.count()
-
-    def join(of: DataFrame, links: DataFrame, once: bool) -> DataFrame:
-        top = components(verified(rows, links, of, text_col, fp, words, similarity, once)).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        return written(of.join(top, "root", "left").select("fp", F.coalesce("top", "root").alias("root")), "fingerprint-roots")
+    def run(batches):
+        for b in batches:
+            found = [np.unique(shingle_hashes(x, words, seed)) for x in b.column(1).to_pylist()]
+            yield {"ent": b.column(0), "n": [len(x) for x in found], "shingles": [x.tobytes() for x in found]}
 
-    of = join(near, _over_segments(near.select("fp"), reach, lambda segments, p: nearest_forest(segments, p, radius, reach), n), True)
-    return join(of, _over_segments(of, reach, lambda segments, p, label: links_apart(segments, p, label, reach), n, label="root"), False)
+    return arrow_map(docs.select(ent, text_col), run, schema)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = RADIUS, reach: int = 10, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = RADIUS, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
     """The rows of docs without near-duplicates: of each group, one row of the smallest id (nulls last) stays, with all its columns.
 
-    Fingerprints of at most radius bits apart are one group as they are. Up to `reach` bits they are if the texts' shingles of `words` words have a Jaccard similarity of at least
-    `similarity` (see joined_further). reach = radius: no more than the first. Repeated rows and ties: any one of the rows with that id and fingerprint. Texts without words form one group.
+    Texts are linked if their distinct shingles of `words` words have a Jaccard similarity of at least `similarity`, and a group is what links reach. Candidates are
+    fingerprints of at most radius bits apart (operator 4) and texts that share a key of minima (see shingles); all are verified. Rows of one id: the one with the least hash of its columns
+    (maps aside) stays; of equal rows one. Null, empty and blank texts are one group. An empty table gives an empty one; other columns' names don't matter.
     """
-    fp = unused(docs, "fp")
-    rows = with_fingerprints(docs, text_col, fp, words, seed)
-    slim = written(with_fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), words=words, seed=seed).groupBy("doc_id", "fp").agg(F.count("*").alias("n")), "fingerprints")
-    best = slim.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "n")).alias("best"))
-    of = component_of(best, radius)
-    if reach > radius:
-        of = joined_further(rows, of, text_col, fp, words, radius, reach, similarity)
-    keep = of.join(best, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("__id"), F.col("best.fp").alias("__fp"), F.col("best.n").alias("__n"))
-    keep = written(keep, "kept-fingerprints")
-    kept = rows.join(keep, rows[id_col].eqNullSafe(keep["__id"]) & (rows[fp] == keep["__fp"]))
-    once, more = kept.where("__n = 1"), kept.where("__n > 1").dropDuplicates(["__fp"])
+    row, mine, copies, ent = (unused(docs, x) for x in ("near_row", "near_kept", "near_copies", "near_ent"))
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    # with the id beside it, so that a hash's collisions stay within an id
+    known = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in plain]).alias("hash"))
+    rows = docs.withColumn(row, known)
+    seen = written(sketches(rows, row, text_col, words, seed), "sketches")
+    ents = written(seen.groupBy("ent").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "texts")
+    # links of fingerprints, and of the texts of one fingerprint, as links of texts
+    least = ents.groupBy("fp").agg(F.min("ent").alias("least"))
+    near = link_forest(least, radius)
+    near = near.join(least.toDF("u", "lu"), "u").join(least.toDF("v", "lv"), "v").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+    near = written(near.union(ents.join(least, "fp").where("ent <> least").select("ent", "least")), "near-links")
+    keys = ents.select("ent", "n", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key")
+    keys = written(keys.join(shared, "key", "left_semi"), "shared-keys")
+    wanted = near.select(F.col("u").alias("ent")).union(near.select("v")).union(keys.select("ent")).distinct()
+    texts = rows.join(ents.join(wanted, "ent", "left_semi").select(F.col("row").alias(mine), F.col("ent").alias(ent)), F.col(row) == F.col(mine)).select(ent, text_col)
+    sets = written(shingle_sets(texts, ent, text_col, words, seed).dropDuplicates(["ent"]), "shingle-sets")
+    of = components(verified(near, sets, similarity)).select(F.col("node").alias("ent"), F.col("root").alias("label"))
+    of = written(ents.select("ent").join(of, "ent", "left").select("ent", F.coalesce("label", "ent").alias("label")), "labels")
+    top = components(links_between(keys.join(of, "ent"), sets, similarity)).select(F.col("node").alias("label"), F.col("root").alias("top"))
+    groups = ents.select("ent", "row").join(of, "ent").join(top, "label", "left").groupBy(F.coalesce("top", "label").alias("top")).agg(F.min("row").alias(mine))
+    keep = written(groups.select(mine).join(seen.groupBy(F.col("row").alias(mine)).agg(F.count("*").alias(copies)), mine), "kept-rows")
+    kept = rows.join(keep, F.col(row) == F.col(mine))
+    once, more = kept.where(F.col(copies) == 1), kept.where(F.col(copies) > 1).dropDuplicates([mine])
     return once.select(*docs.columns).unionByName(more.select(*docs.columns))

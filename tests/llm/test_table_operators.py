@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seriesmend.llm import components, decontaminate, hamming, media, mixing, queries, simhash, simple8b, token_files
+from seriesmend.llm import components, decontaminate, hamming, media, mixing, queries, shingles, simhash, simple8b, token_files
 from seriesmend.llm.vocab import default_path
 
 from .helpers import LONG, TEXTS, odd_docs, rows
@@ -207,9 +207,6 @@ def test_simhash_query_and_odd_rows(spark, sf):
     want = sorted(((i, f"{p:016x}", least.get(c)) for (i, _), p, c in zip(data, prints, comp, strict=True)), key=repr)
     assert rows(simhash.near_duplicates(docs)) == want
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
-    kept = simhash.drop_near_duplicates(docs, words=4, reach=4)
-    assert kept.columns == docs.columns and kept.count() == len(set(comp))
-    assert {r.doc_id for r in kept.where("doc_id is not null").collect()} == set(least.values())
 
 
 def test_gray_index_forest_connects_all_links():
@@ -385,45 +382,111 @@ def test_token_files_odd_rows(spark, tmp_path):
     assert token_files.read_token_files(spark, token_files.write_token_files(docs.limit(0))).count() == 0
 
 
-def check_near_dedup(before, after, near=4, reach=10, similarity=0.8):
-    """Every group of links (up to near bits, or up to reach bits and alike) keeps a document, and next to none keeps two."""
-    p = np.array([plain_print(t, 5) for _, t in before], np.uint64)
-    sets = [simhash.shingle_set(t, 5) for _, t in before]
-    bits = np.bitwise_count(p[:, None] ^ p[None])
-    alike = bits <= near
-    for a, b in zip(*np.nonzero((bits > near) & (bits <= reach)), strict=True):
-        shared = len(np.intersect1d(sets[a], sets[b]))
-        alike[a, b] = shared >= similarity * (len(sets[a]) + len(sets[b]) - shared)
-    group = hamming.merge(np.arange(len(p)), *np.nonzero(alike))
-    kept = {i for i, _ in after}
-    stay = [g for (i, _), g in zip(before, group.tolist(), strict=True) if i in kept]
-    assert set(stay) == set(group.tolist()) and len(stay) <= 1.01 * len(set(stay)) + 1
-    first = {}
-    for (i, _), g in zip(before, group.tolist(), strict=True):
-        first[g] = min(i, first.get(g, i))
-    assert set(first.values()) <= kept
+def plain_shingles(text, words=5):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\x0c\r":
+        w = w.replace(c, " ")
+    w = [x for x in w.split(" ") if x]
+    return {" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
 
 
-def test_a_failing_link_hides_no_other(spark, monkeypatch):
-    """a and b, and b and c, are linked by fewer bits but unlike; a and c are alike and linked by more."""
-    a, b, c = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40)), " ".join(f"a{i}" for i in range(39))
-    prints = {a: 0, b: 0b11111, c: 0b1111111111}
-    monkeypatch.setattr(simhash, "with_fingerprints", lambda docs, text_col="text", name="fp", words=4, seed=42: docs.withColumn(name, F.expr("CASE " + " ".join(f"WHEN {text_col} = '{t}' THEN {p}L" for t, p in prints.items()) + " END")))
-    docs = spark.createDataFrame([(1, a), (2, b), (3, c)], "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [1, 2]
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
 
+def alike_groups(texts, least=0.8):
+    """The class of each text by all links of that similarity, brute force over texts that share a shingle."""
+    sets = [plain_shingles(t) for t in texts]
+    by, root = {}, list(range(len(texts)))
 
-def test_near_dedup_finds_near_copies(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    before = [(r.doc_id, r.text) for r in docs.collect()]
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for shingle in x or {""}:
+            by.setdefault(shingle, []).append(i)
+    tried = set()
+    for members in by.values():
+        for i in members:
+            for j in members:
+                if i < j and (i, j) not in tried and find(i) != find(j):
+                    tried.add((i, j))
+                    if similarity(sets[i], sets[j]) >= least:
+                        a, b = find(i), find(j)
+                        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def check_near_dedup(before, after):
+    """Of every group of links, the least id stays, and no other."""
+    group = alike_groups([t for _, t in before])
+    least = {}
+    for (i, _), g in zip(before, group, strict=True):
+        least[g] = min((i is None, i or 0), least.get(g, (True, 0)))
+    assert sorted((i is None, i or 0) for i, _ in after) == sorted(least.values())
+
+
+def test_bands_are_the_same_for_equal_sets_and_alike_counts_exactly():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 60)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(60)] + [np.zeros(0, np.uint64)]
+    for least in (0.3, 0.8):
+        want = {(i, j) for i in range(60) for j in range(i + 1, 60) if similarity(set(sets[i].tolist()), set(sets[j].tolist())) >= least}
+        assert want <= set(zip(*(x.tolist() for x in shingles.alike(sets, least)), strict=True)) <= want | {(60, 60)}
+    long = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))
+    assert (shingles.band_keys(long) == shingles.band_keys(long[::-1])).all() and len(shingles.band_keys(sets[-1])) == 0
+
+
+def test_near_dedup_odd_rows(spark):
+    docs = odd_docs(spark)
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    check_near_dedup([(r.doc_id, r.text) for r in docs.collect()], [(r.doc_id, r.text) for r in kept.collect()])
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+    again = docs.withColumns({c: F.lit("x") for c in ("ent", "row", "row_hash", "__row", "label", "top", "n", "keys")}).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    assert rows(simhash.drop_near_duplicates(again).select("doc_id", "text", "key")) == rows(kept.select("doc_id", "text", "key"))
+
+
+def test_a_failing_link_hides_no_other(spark, monkeypatch):
+    """a chain whose ends are unlike, strangers that share a key with all, and keys dealt into chunks."""
+    words = [f"w{i}" for i in range(400)]
+    data = [" ".join(words[8 * k : 8 * k + 200]) for k in range(8)] + [" ".join(words[:90] + [f"x{j}y{i}" for i in range(110)]) for j in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(data)], "doc_id long, text string")
+    want = list(dict.fromkeys(alike_groups(data)))
+    assert want == [0, *range(8, 48)]
+    for texts in (512, 3):
+        monkeypatch.setattr(shingles, "CHUNK_TEXTS", texts)
+        monkeypatch.setattr(simhash, "band_keys", lambda x: np.zeros(1, np.uint64))
+        assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == want
+
+
+def test_near_dedup_finds_near_copies_at_every_similarity(spark):
+    """On 10,000 documents and planted copies: of the copies in each band of similarity, at most 5 % stay; a document goes only if one like it stays or went."""
+    before = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").collect()]
     rng = random.Random(6)
-    for k in range(60):  # copies in which a few words differ
-        words = before[k * 7][1].split()
-        for _ in range(max(1, len(words) // 60)):
-            words[rng.randrange(len(words))] = f"other{k}"
-        before.append((100_000 + k, " ".join(words)))
-    after = simhash.drop_near_duplicates(spark.createDataFrame(before, "doc_id long, text string"))
-    check_near_dedup(before, [(r.doc_id, r.text) for r in after.collect()])
+    whole = [t for _, t in before if t and 60 <= len(t.split()) <= 2000]
+    planted, likeness = [], {}
+    for k in range(1600):
+        words = rng.choice(whole).split()
+        base = plain_shingles(" ".join(words))
+        for _ in range(rng.randint(1, max(1, len(words) // 40))):
+            words[rng.randrange(len(words))] = f"other{k}x{rng.random()}"
+        s = similarity(base, plain_shingles(" ".join(words)))
+        if s >= 0.8:
+            planted.append((1_000_000 + k, " ".join(words)))
+            likeness[1_000_000 + k] = s
+    docs = spark.createDataFrame(before + planted, "doc_id long, text string").repartition(8)
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()}
+    bands = {}
+    for i, s in likeness.items():
+        bands.setdefault(min(int(s * 20), 19), []).append(i not in kept)
+    assert set(bands) == {16, 17, 18, 19} and all(len(x) >= 50 for x in bands.values())
+    assert all(sum(x) >= 0.95 * len(x) for x in bands.values()), {k: (sum(x), len(x)) for k, x in bands.items()}
+    group = alike_groups([t for _, t in before + planted])
+    lost = set(group) - {g for (i, _), g in zip(before + planted, group, strict=True) if i in kept}
+    assert not lost
 
 
 # ---- pipeline ------------------------------------------------------------------------------------------------------
