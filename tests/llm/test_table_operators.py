@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -343,9 +344,26 @@ def test_word_encoder_is_the_library(monkeypatch):
     for size in (600_000, 50):
         monkeypatch.setattr(token_files, "CACHE", size)
         m = token_files.WordEncoder(default_path("word_bpe_49k.json"))
-        assert m.by_words
+        assert m.by_words and m.lower
         for lo in range(0, len(texts), 100):
-            assert m.encode(pa.array(texts[lo : lo + 100], pa.string())).to_pylist() == m.ids(texts[lo : lo + 100])
+            some = pa.array(["skipped", *texts[lo : lo + 100]], pa.string()).slice(1)
+            assert m.encode(some).to_pylist() == m.ids(texts[lo : lo + 100])
+            assert m.encode(some, 1).to_pylist() == [x + b"\1\0" for x in m.ids(texts[lo : lo + 100])]
+
+
+def test_word_encoder_of_a_cased_vocabulary(tmp_path):
+    """Lower-casing is tried, not taken for granted: the same file without its normalizer has other ids for capitals."""
+    import json
+
+    import pyarrow as pa
+
+    file = json.loads(Path(default_path("word_bpe_49k.json")).read_text())
+    file["normalizer"] = None
+    (tmp_path / "cased.json").write_text(json.dumps(file))
+    m = token_files.WordEncoder(str(tmp_path / "cased.json"))
+    texts = ["The CAT sat on THE mat.", "Été, ÉTÉ!", "plain words", "<|endoftext|> Xx", None, "", "it's IT'S"]
+    assert m.ids(["THE"]) != m.ids(["the"]) and not (m.by_words and m.lower)
+    assert m.encode(pa.array(texts, pa.string())).to_pylist() == m.ids([t or "" for t in texts])
 
 
 def plain_files(data):
@@ -365,7 +383,7 @@ def test_token_file_query(spark, sf):
     assert rows(queries.op10_token_files(spark, sf)) == sorted(plain_files(data), key=repr)
 
 
-def test_token_files_odd_rows(spark, tmp_path):
+def test_token_files_odd_rows(spark):
     docs = odd_docs(spark)
     path = token_files.write_token_files(docs, shard_ids=100)
     got = token_files.read_token_files(spark, path).orderBy("start").collect()
@@ -377,8 +395,13 @@ def test_token_files_odd_rows(spark, tmp_path):
     for r in got:
         assert r.start == at
         at += r.n_tokens
-    n = token_files.export_files(spark, path, f"file://{tmp_path}/out")
-    assert n == len(list((tmp_path / "out").glob("*.s8b"))) > 1
+    files = sorted((Path(path.removeprefix("file://")) / "files").iterdir())
+    assert len(files) == spark.read.parquet(f"{path}/manifest").count() > 1 and all(f.name.endswith(".s8b") for f in files)
+    back = [x for f in files for x in simple8b.unpack(f.read_bytes()).doc_ids]
+    assert back == [r.doc_id for r in got]
+    files[0].write_bytes(files[0].read_bytes()[:-1] + b"x")
+    with pytest.raises(Exception, match="whole shard"):
+        token_files.read_token_files(spark, path).collect()
     assert token_files.read_token_files(spark, token_files.write_token_files(docs.limit(0))).count() == 0
 
 
