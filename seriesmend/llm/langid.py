@@ -83,7 +83,10 @@ class LanguageModel:
     least_known: float = 0.0
 
     def scores(self, hashed: np.ndarray) -> np.ndarray:
-        z = (self.logits[hashed].mean(axis=0) + self.bias) / self.temperature
+        # by distinct bucket, so that a long text needs no row for each of its subwords
+        ids, n = (hashed, None) if len(hashed) < BUCKETS // 8 else np.unique(hashed, return_counts=True)
+        mean = self.logits[ids].mean(axis=0) if n is None else (n @ self.logits[ids]) / len(hashed)
+        z = (mean + self.bias) / self.temperature
         e = np.exp(z - z.max())
         return e / e.sum()
 
@@ -148,6 +151,16 @@ def train(items: list[tuple[str, np.ndarray, np.ndarray]], held: list[tuple[str,
     return model
 
 
+def packed(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending buckets and their counts, in a quarter of the bytes: differences of buckets, deflated."""
+    return zlib.compress(np.concatenate([np.diff(ids, prepend=0), counts]).astype("<i4").tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, counts = np.frombuffer(zlib.decompress(raw), "<i4").reshape(2, -1)
+    return np.cumsum(steps, dtype=np.int32), counts
+
+
 def learnable(doc_id: Column) -> Column:
     """Rows that may be learned from: crc32 of the id as text, modulo 4, isn't 2."""
     return ~held_out(doc_id)
@@ -167,8 +180,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     chance = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, (share + 3 * share**0.5) / n)))])
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.withColumn("draw", draw).where(F.col("draw") < chance[F.col("lang")])
-    ints = T.ArrayType(T.IntegerType())
-    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("draw", T.DoubleType()), T.StructField("part", T.IntegerType()), T.StructField("ids", ints), T.StructField("counts", ints)])
+    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("draw", T.DoubleType()), T.StructField("part", T.IntegerType()), T.StructField("subwords", T.BinaryType())])
 
     def features(batches):
         for b in batches:
@@ -177,20 +189,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 a = normal(text)
                 for part, x in enumerate((a, some_words(a, zlib.crc32(text.encode()))) if len(a) else ()):
                     ids, n = np.unique(subwords(x), return_counts=True)
-                    for name, value in (("lang", lang), ("draw", d), ("part", part), ("ids", ids.astype(np.int32)), ("counts", n.astype(np.int32))):
+                    for name, value in (("lang", lang), ("draw", d), ("part", part), ("subwords", packed(ids, n))):
                         out[name].append(value)
             yield out
 
     got: dict[str, list] = {}
-    for b in arrow_map(sample.select("lang", "draw", "text"), features, schema).toArrow().to_batches():
-        ends, ids, n = b.column(3).offsets.to_numpy(), b.column(3).values.to_numpy(), b.column(4).values.to_numpy()  # numpy views: as Python integers they'd take ten times as much
-        for i, (lang, draw, part) in enumerate(zip(*[b.column(k).to_pylist() for k in range(3)], strict=True)):
-            got.setdefault(lang, []).append((draw, part, ids[ends[i] : ends[i + 1]], n[ends[i] : ends[i + 1]]))
+    for r in arrow_map(sample.select("lang", "draw", "text"), features, schema).collect():  # at most about 2 x max_rows rows
+        got.setdefault(r["lang"], []).append((r["draw"], r["part"], bytes(r["subwords"])))
     items, held = [], []
     for lang in sorted(got):
         found = sorted(got[lang], key=lambda r: r[:2])[: 2 * share]
-        for k, (_, _, ids, n) in enumerate(found):
-            (held if k // 2 % 5 == 4 else items).append((lang, ids, n))
+        for k, (_, _, raw) in enumerate(found):
+            (held if k // 2 % 5 == 4 else items).append((lang, *unpacked(raw)))
     return train(items, held, seed=seed) if items else LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), np.zeros(BUCKETS, bool))
 
 

@@ -29,14 +29,14 @@ from seriesmend.runtime import arrow_map, scratch, written
 UNIT = 192
 #: Bytes of a chunk: least, mean (a power of two) beyond that, most.
 LEAST, MEAN, MOST = 1024, 4096, 16384
-#: Chunks that are broadcast, if over OFTEN media hold them.
-HOT, OFTEN = 256, 1000
+#: Chunks that are broadcast, and digests of which tasks know the owner, if over OFTEN media hold them.
+HOT, OWNED, OFTEN = 256, 50_000, 1000
 #: Digests that a task remembers in order not to send a chunk twice.
 REMEMBERED = 200_000
 #: Payload bytes of a bucket of the store.
 BUCKET = 16 << 20
 #: Texts from which the compression dictionary is made, its bytes, and the level. They change sizes only.
-SAMPLE_ROWS, DICTIONARY, LEVEL = 1500, 1 << 16, 9
+SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY, LEVEL = 1500, 1 << 15, 1 << 16, 9
 HEADER = struct.Struct("<4sII")
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([c]), 9) for c in range(256)], np.uint32)
 
@@ -73,9 +73,9 @@ def chunks(payload: bytes) -> list[bytes]:
     return [payload[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def stored_form(payload: bytes, found: list[tuple[bytes, bytes]]) -> bytes:
-    """Header (mark, payload bytes, chunks), digests and sizes in order, then the samples of the (digest, chunk) pairs."""
-    return b"".join([HEADER.pack(b"CDC1", len(payload), len(found)), *[d + struct.pack("<I", len(c)) for d, c in found], *[c for _, c in found]])
+def stored_form(size: int, found: list[tuple[bytes, int, bytes]]) -> bytes:
+    """A medium as it lies in the store: header (mark, payload bytes, chunks), its list (digest, bytes, stored bytes of each chunk), then the stored chunks (digest, bytes, packed) in order."""
+    return b"".join([HEADER.pack(b"CDC2", size, len(found)), *[d + struct.pack("<II", n, len(c)) for d, n, c in found], *[c for _, _, c in found]])
 
 
 def feature(payload: bytes) -> str:
@@ -104,10 +104,10 @@ def _lists(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def dictionary_of(docs: DataFrame, text_col: str) -> bytes:
-    """A zstd dictionary from the chunks of at most SAMPLE_ROWS texts; empty where they are too few."""
+    """A zstd dictionary from the chunks of at most SAMPLE_ROWS texts (SAMPLE_CHARS of each: a dictionary is for size alone); empty where they are too few."""
     import zstandard
 
-    texts = docs.select(text_col).where(F.col(text_col).isNotNull()).take(SAMPLE_ROWS)
+    texts = docs.select(F.left(F.col(text_col), F.lit(SAMPLE_CHARS))).where(F.col(text_col).isNotNull()).take(SAMPLE_ROWS)
     samples = [c for (t,) in texts for c in chunks(payload_of(t))]
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes() if len(samples) >= 100 else b""
@@ -121,8 +121,9 @@ def _zstd(dictionary: bytes) -> dict:
     return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
 
 
-def _bytes(docs: DataFrame, text_col: str, dictionary: bytes) -> DataFrame:
-    """(digest, media, packed): chunks of all payloads, compressed; a medium that a task has sent isn't sent again."""
+def _bytes(docs: DataFrame, text_col: str, dictionary: bytes, owners: dict[bytes, bytes]) -> DataFrame:
+    """(digest, media, packed): chunks of all payloads, compressed; a medium that a task has sent isn't sent again. Frequent chunks (owners: digest to owner) go with
+    their owner alone, so that they don't meet in one task as often as they occur."""
     schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("media", T.BinaryType()), T.StructField("packed", T.BinaryType())])
 
     def run(batches):
@@ -141,8 +142,10 @@ def _bytes(docs: DataFrame, text_col: str, dictionary: bytes) -> DataFrame:
                     sent.clear()
                 sent.add(media)
                 for c in chunks(p):
-                    for name, value in (("digest", digest_of(c)), ("media", media), ("packed", pack(c))):
-                        out[name].append(value)
+                    digest = digest_of(c)
+                    if owners.get(digest, media) == media:
+                        for name, value in (("digest", digest), ("media", media), ("packed", pack(c))):
+                            out[name].append(value)
             yield out
 
     return arrow_map(docs.select(text_col), run, schema)
@@ -172,7 +175,9 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     digests = written(media.select("media", F.explode(F.array_distinct("chunks.digest")).alias("digest")).groupBy("digest").agg(F.min("media").alias("owner"), F.count("*").alias("n")), "digests")
     size = lists.agg(F.sum("payload_bytes")).first()[0] or 0
     n = max(8, -(-size // BUCKET))
-    with_owner = _bytes(docs, text_col, dictionary).repartition(n, "digest").join(digests.select("digest", "owner").repartition(n, "digest").hint("merge"), "digest").where("media = owner")
+    often = digests.where(F.col("n") > OFTEN).orderBy(F.desc("n"), "digest").limit(OWNED).select("digest", "owner").collect()
+    sent = _bytes(docs, text_col, dictionary, {bytes(r["digest"]): bytes(r["owner"]) for r in often})
+    with_owner = sent.repartition(n, "digest").join(digests.select("digest", "owner").repartition(n, "digest").hint("merge"), "digest").where("media = owner")
     path, table = scratch(spark, "chunk-store"), "chunk_store_" + uuid.uuid4().hex[:12]
     clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(clean, "false")
@@ -181,7 +186,9 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         _single(with_owner.sortWithinPartitions("digest")).write.bucketBy(n, "digest").sortBy("digest").option("path", path).option("compression", "none").saveAsTable(table)
     finally:
         spark.conf.set(clean, before)
-    return lists, spark.table(table), digests, kept
+    stored = spark.table(table)  # its plan has the files and their buckets; the catalog needn't keep the name
+    spark.sql(f"DROP TABLE {table}")
+    return lists, stored, digests, kept
 
 
 def read_back(lists: DataFrame, chunk_store: DataFrame, digests: DataFrame, kept: DataFrame) -> DataFrame:
@@ -199,16 +206,16 @@ def read_back(lists: DataFrame, chunk_store: DataFrame, digests: DataFrame, kept
         import zstandard
 
         unpack = zstandard.ZstdDecompressor(**_zstd(dictionary)).decompress
-        held: list[tuple[bytes, bytes]] = []
+        held: list[tuple[bytes, bytes, bytes]] = []
         now, want, rows = None, 0, []
 
         def take() -> None:
             if len(held) != want:
                 raise ValueError(f"medium {now.hex()}: {len(held)} of {want} chunks")
-            payload = b"".join(c for _, c in held)
+            payload = b"".join(c for _, c, _ in held)
             if digest_of(payload) != now:
                 raise ValueError(f"medium {now.hex()}: its chunks give another payload")
-            form = stored_form(payload, held)
+            form = stored_form(len(payload), [(d, len(c), packed) for d, c, packed in held])
             rows.append((now, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(form), hashlib.sha256(form).hexdigest(), feature(payload)))
 
         for b in batches:
@@ -220,7 +227,7 @@ def read_back(lists: DataFrame, chunk_store: DataFrame, digests: DataFrame, kept
                 if digest_of(chunk) != digest:
                     raise ValueError(f"chunk {digest.hex()} is damaged")
                 now, want = m, n
-                held.append((digest, chunk))
+                held.append((digest, chunk, packed))
             yield {f.name: [r[k] for r in rows] for k, f in enumerate(schema.fields)}
             rows = []
         if held:

@@ -172,15 +172,19 @@ def _adding(values: Column):
 
 
 def _folded(p: list[str], moves: list[list[float]]) -> str:
-    """SQL of (rate, the rate before the last move) after moves by domain. As text: a Column costs the driver a call for each of its parts."""
-    change = " + ".join(f"`{x}` * get(m, {k})" for k, x in enumerate(p))
+    """SQL of (rate, the rate before the last move, where the plain step would have gone from there). moves: D numbers by domain, then those of the plain step.
+
+    As text: a Column costs the driver a call for each of its parts. As one literal array: numbers in the expressions would make each step another program to compile.
+    """
+    change, plain = (" + ".join(f"`{x}` * get(m, {k + first})" for k, x in enumerate(p)) for first in (0, len(p)))
     told = f"from_json('{json.dumps(moves)}', 'array<array<double>>')"
-    return f"aggregate({told}, struct(1.0D AS rate, 1.0D AS was), (s, m) -> struct(greatest(0.0D, s.rate - ({change})) AS rate, s.rate AS was))"
+    state = f"struct(greatest(0.0D, s.rate - ({change})) AS rate, s.rate AS was, greatest(0.0D, s.rate - ({plain})) AS plain)"
+    return f"aggregate({told}, struct(1.0D AS rate, 1.0D AS was, 1.0D AS plain), (s, m) -> {state})"
 
 
 @dataclass
 class Solution:
-    """moves: of each step, by domain. targets and expected: tokens by domain; residual: the absolute differences' sum as a share of all
+    """moves: of each step, by domain, and beside it the plain gradient step. targets and expected: tokens by domain; residual: the absolute differences' sum as a share of all
     target tokens; settled: whether the optimum's condition holds."""
 
     moves: list[list[float]]
@@ -200,11 +204,10 @@ def solve(cells: DataFrame, shares: list[float], total: float | None = None, mos
     d = range(len(shares))
     p = [f"p{k}" for k in d]
 
-    def state(moves: list[list[float]], plain: list[float]) -> tuple[list[float], list[list[float]], float]:
-        """(expected tokens, curvature, tokens that the plain step from the rates before moves)."""
-        at = cells.selectExpr(*p, "tokens", f"{_folded(p, moves)} AS s").selectExpr(*p, "tokens", "s.rate", "s.was")
-        step = " + ".join(f"{x} * {g!r}D" for x, g in zip(p, plain, strict=True))
-        sums = [f"sum(tokens * abs(was - greatest(0.0D, was - ({step}))))", *[f"sum(tokens * rate * {x})" for x in p]]
+    def state(moves: list[list[float]]) -> tuple[list[float], list[list[float]], float]:
+        """(expected tokens, curvature, tokens that the plain step in place of the last would have moved)."""
+        at = cells.selectExpr(*p, "tokens", f"{_folded(p, moves)} AS s").selectExpr(*p, "tokens", "s.rate", "s.was", "s.plain")
+        sums = ["sum(tokens * abs(was - plain))", *[f"sum(tokens * rate * {x})" for x in p]]
         sums += [f"sum(if(rate > 0, tokens, 0.0D) * p{i} * p{j})" for i in d for j in range(i + 1)]
         row = [float(x or 0) for x in at.agg(*map(F.expr, sums)).first()]
         bent, half = [[0.0] * len(d) for _ in d], iter(row[1 + len(d) :])
@@ -213,7 +216,7 @@ def solve(cells: DataFrame, shares: list[float], total: float | None = None, mos
                 bent[i][j] = bent[j][i] = next(half)
         return row[1 : 1 + len(d)], bent, row[0]
 
-    have, bent, _ = state([], [0.0] * len(d))
+    have, bent, _ = state([])
     if total is None:
         total = HEADROOM * max((a / s for a, s in zip(have, shares, strict=True) if s > 0 and a > 0), default=0.0)
     total = float(total)
@@ -225,8 +228,8 @@ def solve(cells: DataFrame, shares: list[float], total: float | None = None, mos
     for _ in range(most if known else 0):
         excess = {k: now[k] - targets[k] for k in known}
         found = _solved([[bent[i][j] + (damping * have[i] if i == j else 0.0) for j in known] for i in known], [excess[k] for k in known])
-        move = [dict(zip(known, found, strict=True)).get(k, 0.0) for k in d]
-        then, then_bent, far = state([*moves, move], [excess[k] / have[k] if k in excess else 0.0 for k in d])
+        move = [dict(zip(known, found, strict=True)).get(k, 0.0) for k in d] + [excess[k] / have[k] if k in excess else 0.0 for k in d]
+        then, then_bent, far = state([*moves, move])
         if far <= TOLERANCE * max(total, 1.0):
             settled = True
             break

@@ -273,7 +273,7 @@ def manifest(spark, path: str) -> DataFrame:
     """The manifest of token files, with base: the ids of all files before each. One number for each range reaches the driver."""
     files = spark.read.parquet(f"{path}/manifest")
     before, starts = 0, []
-    for r in files.groupBy("range").agg(F.sum("n_ids").alias("n")).orderBy("range").toLocalIterator():
+    for r in files.groupBy("range").agg(F.sum("n_ids").alias("n")).orderBy("range").collect():
         starts.append((r["range"], before))
         before += r["n"]
     ranges = spark.createDataFrame(starts, "range int, begins long")

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import struct
 import zlib
 from pathlib import Path
 
@@ -264,25 +265,59 @@ def test_components_of_a_long_path_and_a_star(spark):
 # ---- 8 -------------------------------------------------------------------------------------------------------------
 
 
-def plain_medium(text):
+def plain_medium(text, packed):
+    """What op8 says of a text, from the bytes of the store (digest to stored chunk) and plain definitions of the rest."""
     raw = (text or "").encode()
     p = raw + b" " * (-len(raw) % 192 if raw else 192)
-    form = media.stored_form(p, [(media.digest_of(c), c) for c in media.chunks(p)])
-    return len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(form), hashlib.sha256(form).hexdigest(), media.feature(p)
+    ends = plain_cuts(p)
+    found = [p[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    names = [hashlib.sha256(c).digest()[:16] for c in found]
+    assert b"".join(found) == p
+    form = b"CDC2" + struct.pack("<II", len(p), len(found)) + b"".join(d + struct.pack("<II", len(c), len(packed[d])) for d, c in zip(names, found, strict=True)) + b"".join(packed[d] for d in names)
+    x = list(p)
+    mean = sum(x) / len(x)
+    deviation = math.sqrt(max(0.0, sum(v * v for v in x) / len(x) - mean * mean))
+    above = [v * len(x) > sum(x) for v in x]
+    feature = f"mean={mean:.4f};std={deviation:.4f};cross={sum(a != b for a, b in zip(above, above[1:], strict=False))}"
+    return len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(form), hashlib.sha256(form).hexdigest(), feature
+
+
+def plain_cuts(p):
+    """Ends of the chunks by the gear hash, a byte at a time."""
+    h, ends, last = 0, [], 0
+    for i, b in enumerate(p):
+        h = (2 * h + int(media.GEAR[b])) & 0xFFFFFFFF
+        if len(p) - last > media.LEAST and (i + 1 - last >= media.LEAST and h < (1 << 32) // media.MEAN or i + 1 - last == media.MOST):
+            ends.append(i + 1)
+            last = i + 1
+    return ends if ends and ends[-1] == len(p) else [*ends, len(p)]
 
 
-def test_media_columns(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(odd_docs(spark).select("doc_id", "text"))
-    want = sorted(((r.doc_id, *plain_medium(r.text)) for r in docs.collect()), key=repr)
+def check_media(docs):
+    import zstandard
+
+    lists, store, digests, kept = media.store(docs)
+    packed = {bytes(r.digest): bytes(r.packed) for r in store.collect()}
+    assert store.count() == len(packed) == digests.count()  # one copy of each chunk
+    dictionary = bytes(kept.first()[0])
+    unpack = zstandard.ZstdDecompressor(**({"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {})).decompress
+    assert all(hashlib.sha256(unpack(v)).digest()[:16] == k for k, v in packed.items())
+    want = sorted(((r.doc_id, *plain_medium(r.text, packed)) for r in docs.collect()), key=repr)
     assert rows(media.media_columns(docs)) == want
+
+
+def test_media_columns(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(300).unionByName(odd_docs(spark).select("doc_id", "text")).cache()
+    check_media(docs)
     assert media.media_columns(docs.limit(0)).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("chunk_store")]
 
 
-def test_common_chunks_are_broadcast(spark, monkeypatch):
+def test_common_chunks_go_with_their_owner_and_are_broadcast(spark, monkeypatch):
     monkeypatch.setattr(media, "OFTEN", 2)
     shared = "".join(random.Random(1).choice("abcdefgh ") for _ in range(30_000))
-    docs = spark.createDataFrame([(i, shared + str(i)) for i in range(12)], "doc_id long, text string")
-    assert rows(media.media_columns(docs)) == sorted(((r.doc_id, *plain_medium(r.text)) for r in docs.collect()), key=repr)
+    docs = spark.createDataFrame([(i, shared + str(i)) for i in range(12)] + [(99, shared[: media.MOST])], "doc_id long, text string").repartition(5).cache()
+    check_media(docs)
 
 
 def test_chunks_are_cut_by_content():

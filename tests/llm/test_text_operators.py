@@ -119,10 +119,23 @@ def test_chat_events_against_replay(spark):
     events = []
     for conv in range(30):
         for seq in range(r.randint(1, 25)):
-            events.append((conv, seq, f"m{r.randint(0, 6)}", r.choice(["message", "delta", "delta", "edit", "regenerate"]), r.choice([None, "user", "assistant"]), r.choice("abc")))
-    df = spark.createDataFrame(events, "conv long, seq long, msg string, kind string, role string, text string")
-    got = sorted(tuple(x) for x in chat.messages(df).select("conv", "began", "msg", "role", "text").collect())
-    assert got == replay(events)
+            events.append((conv, seq, r.choice([0, None]), f"m{r.randint(0, 6)}", r.choice(["message", "delta", "delta", "edit", "regenerate"]), r.choice([None, "user", "assistant"]), r.choice("abc")))
+    df = spark.createDataFrame(events, "conv long, seq long, part int, msg string, kind string, role string, text string")
+    got = sorted(tuple(x) for x in chat.messages(df).select("conv", "began.seq", "msg", "role", "text").collect())
+    assert got == replay([(c, s, *rest) for c, s, _, *rest in events])
+
+
+def test_chat_log_has_every_kind_and_gives_the_turns_back(spark, sf):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    log = chat.events_of(turns).collect()
+    assert {e.kind for e in log} == set(chat.KINDS)
+    every = [((e.conv), (e.seq, e.part), tuple(e.msg), e.kind, e.role, e.text) for e in log]
+    want = sorted((r.conv_id, r.turn, r.role, r.text or "") for r in turns.collect())
+    assert sorted((c, at[0], role, text) for c, at, _, role, text in replay(every)) == want
+    assert sorted((r.conv, r.began.seq, r.role, r.text) for r in chat.messages(chat.events_of(turns)).collect()) == want
+    whole = chat.format_turns(chat.messages(chat.events_of(turns))).collect()
+    assert all((r.loss is not None) == r.formatted.startswith(f"{chat.START}assistant\n") for r in whole)
+    assert all(r.formatted[r.loss.start : r.loss.end] == chat.parse(r.formatted)[0][1] for r in whole if r.loss)
 
 
 # ---- 5 -------------------------------------------------------------------------------------------------------------
@@ -243,7 +256,7 @@ def test_decontamination_odd_rows(spark):
 
 def test_license_base_places(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(odd_docs(spark).select("doc_id", "text"))
-    for r, d in zip(licenses.scan_licenses(docs, spans=False).collect(), docs.collect(), strict=True):
+    for r, d in zip(licenses.scan_licenses(docs).collect(), docs.collect(), strict=True):
         w = low_words(d.text)
         hits = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + p.count(" ") + 1] == p.split()]
         at = [i for i, _ in hits]
@@ -277,6 +290,37 @@ def test_license_notices_before_a_better_one():
         assert [line[a:b].decode() for a, b, *_ in licenses.NoticeScanner({}, licenses.NOTICES).fuzzy(line) if b - a > 20] == list(order)
 
 
+def edits_within(pattern, text):
+    """Least edits of pattern against any part of text (Sellers' dynamic program)."""
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(pattern, 1):
+        last, row = row, [i]
+        for j, b in enumerate(text, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (a != b)))
+    return min(row)
+
+
+def test_license_lines_of_several_notices():
+    """Every planted notice within its edits is reported where it stands, whatever stands around it."""
+    scanner = licenses.NoticeScanner({}, licenses.NOTICES)
+    r = random.Random(5)
+    for _ in range(60):
+        line, planted = " ", []
+        for _ in range(r.randint(2, 6)):
+            if r.random() < 0.5:
+                line += " ".join(r.choice(["the", "of", "license", "mit", "copy", "x1"]) for _ in range(r.randint(1, 5))) + " "
+            label, notice, most = r.choice(licenses.NOTICES)
+            s = list(notice)
+            for _ in range(r.randint(0, most // 2)):
+                k = r.randrange(1, len(s) - 1)
+                s[k : k + 1] = r.choice([[], ["q"], [s[k], "z"]])
+            planted.append((len(line), len(line) + len(s), label, most, edits_within(notice, "".join(s))))
+            line += "".join(s) + " "
+        found = scanner.fuzzy(line.encode())
+        for a, b, label, most, edits in planted:
+            assert edits <= most and any(x == label and min(b, d) - max(a, c) >= (b - a) / 2 and e <= most for c, d, x, e in found), (line, a, b, found)
+
+
 def test_license_spans(spark):
     text = "X. Permision is hereby granted, free of charge, to any persons obtaining the copy. MIT  license"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
