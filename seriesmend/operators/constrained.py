@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from heapq import heappush, heappushpop
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -76,28 +77,73 @@ def speedacc(df: DataFrame, spec: SeriesSpec, speed: Bounds, accel: Bounds, wind
     return speed_accel_local(df, spec, speed, accel, window)
 
 
-def _project(y: np.ndarray, maps: list[tuple[np.ndarray, np.ndarray, np.ndarray]], l1: bool, rounds: int = 400, rho: float = 1.0) -> np.ndarray:
-    """Least change of y (absolute or squared) with lower <= A x <= upper for each (A, lower, upper), by ADMM; A is dense and y a chunk."""
+def least_change(y: np.ndarray, maps: list[tuple[np.ndarray, np.ndarray, np.ndarray]], l1: bool, most: int = 60) -> np.ndarray:
+    """Least change of y (absolute or squared) with lower <= A x <= upper for each (A, lower, upper): a primal-dual interior-point method, dense, for a chunk.
+
+    Rows are scaled to norm 1 and values to their deviation, so that the units of time and value don't matter. ValueError if it doesn't settle.
+    """
     a = np.vstack([m for m, _, _ in maps])
     lo, hi = np.concatenate([v for _, v, _ in maps]), np.concatenate([v for _, _, v in maps])
-    n = len(y)
-    z, u, w, v = a @ y, np.zeros(len(a)), np.zeros(n), np.zeros(n)
-    inverse = np.linalg.inv(rho * a.T @ a + (rho if l1 else 1) * np.eye(n))
-    x = y.copy()
-    for _ in range(rounds):
-        x = inverse @ (rho * a.T @ (z - u) + (rho * (y + w - v) if l1 else y))
-        ax = a @ x
-        z_new = np.clip(ax + u, lo, hi)
-        u += ax - z_new
-        if l1:
-            d = x - y + v
-            w = np.sign(d) * np.maximum(np.abs(d) - 1 / rho, 0)
-            v += x - y - w
-        done = np.abs(z_new - z).max(initial=0) < 1e-7 and np.abs(ax - z_new).max(initial=0) < 1e-6
-        z = z_new
-        if done:
+    norm = np.sqrt((a**2).sum(axis=1))
+    a, lo, hi = a / norm[:, None], lo / norm, hi / norm
+    if ((a @ y >= lo - 1e-12) & (a @ y <= hi + 1e-12)).all():
+        return y.copy()
+    middle, unit = y.mean(), max(y.std(), 1e-12)
+    shift = a.sum(axis=1) * middle
+    g = np.vstack([a[np.isfinite(hi)], -a[np.isfinite(lo)]])
+    h = np.r_[(hi - shift)[np.isfinite(hi)], (shift - lo)[np.isfinite(lo)]] / unit
+    goal, n, m = (y - middle) / unit, len(y), len(h)
+    # with l1: goal - s <= x <= goal + s, and the sum of s is least; p and r are the slacks of these, z that of g x <= h; each with its multiplier
+    x, s = goal.copy(), np.ones(n)
+    slack, mult = np.ones(m + 2 * n * l1), np.ones(m + 2 * n * l1)
+    slack[:m] = np.maximum(h - g @ x, 1.0)
+    for _ in range(most):
+        z, p, r = np.split(slack, [m, m + n * l1])
+        lam, u, v = np.split(mult, [m, m + n * l1])
+        away = g.T @ lam + (u - v if l1 else x - goal)
+        still = 1 - u - v if l1 else np.zeros(n)
+        gap = np.r_[g @ x + z - h, x - s + p - goal, goal - x - s + r] if l1 else g @ x + z - h
+        mu = slack @ mult / len(slack)
+        if mu < 1e-12 and max(np.abs(away).max(), np.abs(still).max(), np.abs(gap).max()) < 1e-9:
             break
-    return x
+        w = mult / slack
+        wz, wp, wr = np.split(w, [m, m + n * l1])
+        bent = (g.T * wz) @ g
+        if l1:
+            both = wp + wr
+            bent[np.diag_indices(n)] += 4 * wp * wr / both
+        else:
+            bent[np.diag_indices(n)] += 1
+
+        def step(target: np.ndarray, bent=bent, away=away, still=still, gap=gap, w=w, slack=slack, mult=mult):
+            push = w * gap + (target - slack * mult) / slack  # what the multipliers would be with no move, less what they are
+            left = -away - g.T @ push[:m]
+            if l1:
+                low = -still + push[m : m + n] + push[m + n :]
+                left = left - push[m : m + n] + push[m + n :]
+                wp, wr = w[m : m + n], w[m + n :]
+                dx = np.linalg.solve(bent, left + (wp - wr) / (wp + wr) * low)
+                ds = (low + (wp - wr) * dx) / (wp + wr)
+                moved = np.r_[g @ dx, dx - ds, -dx - ds]
+            else:
+                dx = np.linalg.solve(bent, left)
+                ds, moved = np.zeros(n), g @ dx
+            dslack = -gap - moved
+            return dx, ds, dslack, (target - mult * dslack) / slack - mult
+
+        def room(value: np.ndarray, change: np.ndarray) -> float:
+            down = change < 0
+            return min(1.0, float((value[down] / -change[down]).min(initial=np.inf)))
+
+        dx, ds, dslack, dmult = step(np.zeros(len(slack)))
+        after = (slack + room(slack, dslack) * dslack) @ (mult + room(mult, dmult) * dmult) / len(slack)
+        dx, ds, dslack, dmult = step((after / mu) ** 3 * mu - dslack * dmult)
+        far = 0.995 * min(room(slack, dslack), room(mult, dmult))
+        x, s, slack, mult = x + far * dx, s + far * ds, slack + far * dslack, mult + far * dmult
+    else:
+        if not np.abs(gap).max() < 1e-6:
+            raise ValueError("the bounds leave no values, or the solver didn't settle")
+    return x * unit + middle
 
 
 def _steps(t: np.ndarray, order: int) -> np.ndarray:
@@ -108,35 +154,70 @@ def _steps(t: np.ndarray, order: int) -> np.ndarray:
     return s if order == 1 else (s[1:] - s[:-1]) / d[1:, None]
 
 
-def _chunked(solve: Callable[[np.ndarray, np.ndarray], np.ndarray], y: np.ndarray, t: np.ndarray, size: int, overlap: float) -> np.ndarray:
-    """Chunks from left to right; each sees the repaired values of its overlap with the one before."""
-    out = y.copy()
-    step = max(1, int(size * (1 - overlap)))
-    for lo in range(0, len(y), step):
-        part = slice(lo, min(len(y), lo + size))
-        if part.stop - lo > 2:
-            out[part] = solve(out[part], t[part])
-        if part.stop == len(y):
-            break
+def kept_to(y: np.ndarray, t: np.ndarray, speed: tuple | None, accel: tuple | None) -> np.ndarray:
+    """y from left to right, each value moved as little as the ones before it ask for: a series within speed and acceleration stays, any other comes to be. Acceleration bounds hold 0, so that going on at the last speed is always allowed."""
+    out, v = y.copy(), None
+    lo, hi = speed or (-np.inf, np.inf)
+    for i in range(1, len(y)):
+        d = max(t[i] - t[i - 1], K.EPS)
+        a, b = (lo, hi) if v is None or accel is None else (max(lo, v + accel[0] * d), min(hi, v + accel[1] * d))
+        v = min(max((out[i] - out[i - 1]) / d, a), b)
+        if not a <= (out[i] - out[i - 1]) / d <= b:
+            out[i] = out[i - 1] + v * d
     return out
 
 
-def speed_global(df: DataFrame, spec: SeriesSpec, speed: Bounds, size: int = 100, overlap: float = 0.2) -> DataFrame:
-    """Least sum of absolute changes within the speed, in chunks."""
-    def fn(y, t, j):
-        lo, hi = speed[spec.features[j]]
-        return _chunked(lambda a, b: _project(a, [(_steps(b, 1), np.full(len(a) - 1, lo), np.full(len(a) - 1, hi))], True), y, t, size, overlap)
+def within_steps(y: np.ndarray, t: np.ndarray, speed: tuple | None, accel: tuple | None, l1: bool, size: int, overlap: float) -> np.ndarray:
+    """Least change within speed and acceleration, in chunks from left to right. A chunk starts with two rows of the one before, which stay, and may change the rest of its overlap."""
+    if accel is not None and not accel[0] <= 0 <= accel[1]:
+        raise ValueError("acceleration bounds must hold 0")
+    out, n = y.copy(), len(y)
+    step = max(3, int(size * (1 - overlap)))
+    for lo in range(0, n, step):
+        part = slice(max(0, lo - 2 * (lo > 0)), min(n, lo + size))
+        m, fixed = part.stop - part.start, lo - part.start
+        if m > 1:
+            maps = [(_steps(t[part], k), *(np.full(m - k, x) for x in b)) for k, b in ((1, speed), (2, accel)) if b is not None and m > k]
+            first, free = out[part][:fixed], []
+            for a, low, high in maps:  # what the rows that stay take up goes to the other side; rows of the map without a free value go
+                some = np.abs(a[:, fixed:]).sum(axis=1) > 0
+                taken = a[some, :fixed] @ first
+                free.append((a[some, fixed:], low[some] - taken, high[some] - taken))
+            if free and m > fixed:
+                out[part.start + fixed : part.stop] = least_change(out[part][fixed:], free, l1)
+            out[part] = kept_to(out[part], t[part], speed, accel)
+        if part.stop == n:
+            break
+    return kept_to(out, t, speed, accel)
+
+
+def within_speed(y: np.ndarray, t: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    """The least sum of absolute changes within the speed, exactly, for the whole series in n log n: the cost of a prefix by its last value is convex and piecewise linear, kept as two heaps of the places where its slope changes."""
+    left: list[float] = []  # below the least cost, negated; both without the shift that all of one side share
+    right: list[float] = []
+    down = up = 0.0
+    best, d = [], np.maximum(np.diff(t, prepend=t[:1]), K.EPS)
+    for i, v in enumerate(y.tolist()):
+        if i:
+            down, up = down + lo * d[i], up + hi * d[i]
+        heappush(right, -heappushpop(left, -(v - down)) + down - up)
+        heappush(left, -(heappushpop(right, v - up) + up - down))
+        best.append((-left[0] + down, right[0] + up))
+    out = y.copy()
+    for i in range(len(y) - 1, -1, -1):
+        x = min(max(y[i], best[i][0]), best[i][1])
+        out[i] = x if i == len(y) - 1 else min(max(x, out[i + 1] - hi * d[i + 1]), out[i + 1] - lo * d[i + 1])
+    return kept_to(out, t, (lo, hi), None)
 
-    return per_series(df, spec, _each(spec, fn, speed))
+
+def speed_global(df: DataFrame, spec: SeriesSpec, speed: Bounds) -> DataFrame:
+    """Least sum of absolute changes within the speed over whole series."""
+    return per_series(df, spec, _each(spec, lambda y, t, j: within_speed(y, t, *speed[spec.features[j]]), speed))
 
 
 def speed_accel_global(df: DataFrame, spec: SeriesSpec, speed: Bounds, accel: Bounds, size: int = 100, overlap: float = 0.1) -> DataFrame:
     """Least sum of absolute changes within speed and acceleration (both bounds of each), in chunks."""
-    def fn(y, t, j):
-        s, a = speed[spec.features[j]], accel[spec.features[j]]
-        return _chunked(lambda v, b: _project(v, [(_steps(b, 1), np.full(len(v) - 1, s[0]), np.full(len(v) - 1, s[1])), (_steps(b, 2), np.full(len(v) - 2, a[0]), np.full(len(v) - 2, a[1]))], True), y, t, size, overlap)
-
-    return per_series(df, spec, _each(spec, fn, speed, accel))
+    return per_series(df, spec, _each(spec, lambda y, t, j: within_steps(y, t, speed[spec.features[j]], accel[spec.features[j]], True, size, overlap), speed, accel))
 
 
 def _row_step(x: np.ndarray, rows: list[tuple], rate: float = 1.0) -> np.ndarray:
@@ -160,22 +241,25 @@ def _placed(spec: SeriesSpec, rows: list[RowConstraint]) -> list[tuple]:
 
 
 def mtclean(df: DataFrame, spec: SeriesSpec, c: Constraints, size: int = 100, rounds: int = 10) -> DataFrame:
-    """Least squared change within speed, acceleration and row constraints, by turns of projections on the columns' and the rows' constraints."""
+    """Least squared change within speed, acceleration and row constraints, by turns of projections on the columns' and the rows' constraints. The columns' come last, so that speed and acceleration always hold."""
     rows = _placed(spec, c.row)
 
     def kernel(x: np.ndarray, t: np.ndarray) -> np.ndarray:
         out = K.fill_columns(x)
         if len(x) < 4:
             return out
-        for _ in range(rounds if rows else 1):
-            before = out.copy()
+
+        def columns(x: np.ndarray) -> np.ndarray:
+            got = x.copy()
             for j, f in enumerate(spec.features):
                 if f in c.speed or f in c.accel:
-                    def solve(v, b, f=f):
-                        maps = [(_steps(b, k), np.full(len(v) - k, lim[f][0]), np.full(len(v) - k, lim[f][1])) for k, lim in ((1, c.speed), (2, c.accel)) if f in lim]
-                        return _project(v, maps, False, 200)
-                    out[:, j] = _chunked(solve, out[:, j], t, size, 0.2)
-            out = _row_step(out, rows)
+                    got[:, j] = within_steps(x[:, j], t, c.speed.get(f), c.accel.get(f), False, size, 0.2)
+            return got
+
+        out = columns(out)
+        for _ in range(rounds if rows else 0):
+            before = out
+            out = columns(_row_step(out, rows))
             if np.abs(out - before).max() < 1e-6:
                 break
         return out
@@ -229,12 +313,17 @@ def clean4mts(df: DataFrame, spec: SeriesSpec, c: Constraints, generations: int
 
 
 def mtcsc(df: DataFrame, spec: SeriesSpec, speed: Bounds, window: float = 5) -> DataFrame:
-    """All features together: a row too fast from the repaired one before it (Euclidean, the greatest speeds) moves in line to the first row of the longest compatible chain in its window."""
-    top = float(np.sqrt(sum(max(abs(a), abs(b)) ** 2 for a, b in speed.values()))) if speed else np.inf
+    """All features together: a row of which any feature is too fast from the repaired row before moves in line to the first row of the longest compatible chain in its window."""
+    free = (-np.inf, np.inf)
+    lo, hi = (np.array([speed.get(f, free)[k] for f in spec.features]) for k in (0, 1))
 
     def kernel(x: np.ndarray, t: np.ndarray) -> np.ndarray:
         out = K.fill_columns(x)
-        fits = lambda p, q, d: np.linalg.norm(q - p) <= top * d + 1e-12
+
+        def fits(p: np.ndarray, q: np.ndarray, d: float) -> bool:
+            d = max(d, K.EPS)
+            return bool(((q - p >= lo * d - 1e-12) & (q - p <= hi * d + 1e-12)).all())
+
         for i in range(1, len(out)):
             if fits(out[i - 1], out[i], t[i] - t[i - 1]):
                 continue
@@ -251,8 +340,8 @@ def mtcsc(df: DataFrame, spec: SeriesSpec, speed: Bounds, window: float = 5) ->
                 share = (t[i] - t[i - 1]) / (t[best[0]] - t[i - 1])
                 out[i] = out[i - 1] + share * (out[best[0]] - out[i - 1])
             else:
-                step = out[i] - out[i - 1]
-                out[i] = out[i - 1] + step * min(1.0, top * (t[i] - t[i - 1]) / max(np.linalg.norm(step), K.EPS))
+                d = max(t[i] - t[i - 1], K.EPS)
+                out[i] = np.clip(out[i], out[i - 1] + lo * d, out[i - 1] + hi * d)
         return out
 
     return per_series(df, spec, kernel)

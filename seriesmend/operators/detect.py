@@ -349,18 +349,20 @@ def robust_pca(df: DataFrame, spec: SeriesSpec, rounds: int = 200) -> DataFrame:
     return per_series(df, spec, kernel, ["score"])
 
 
-def norma(df: DataFrame, spec: SeriesSpec, gamma: float = 0.1, eta: float = 0.01, lam: float = 1e-4, budget: int = 200) -> DataFrame:
-    """Online sum of Gaussian kernels: the score is |prediction| before the row is taken in; coefficients fade by 1 - eta lam, and the oldest beyond the budget go."""
+def norma(df: DataFrame, spec: SeriesSpec, gamma: float = 0.1, eta: float = 0.01, lam: float = 1e-4, block: int = 256) -> DataFrame:
+    """Online sum of Gaussian kernels over all rows before: the score is |prediction| before the row is taken in; coefficients fade by 1 - eta lam. Blocks of rows are scored at once."""
 
     def kernel(x: np.ndarray, _) -> np.ndarray:
         x = K.fill_columns(x)
-        out = np.zeros(len(x))
-        a = np.zeros(0)
-        for i in range(len(x)):
-            past = x[max(0, i - budget) : i]
-            a = a[-len(past) :] if len(past) else a[:0]
-            out[i] = abs(float(a @ np.exp(-gamma * ((past - x[i]) ** 2).sum(1)))) if len(past) else 0.0
-            a = np.append(a * (1 - eta * lam), eta)
+        out, squares = np.zeros(len(x)), (x**2).sum(axis=1)
+        place = np.arange(len(x))
+        for lo in range(0, len(x), block):
+            now = slice(lo, min(len(x), lo + block))
+            far = np.maximum(squares[now, None] + squares[None, : now.stop] - 2 * x[now] @ x[: now.stop].T, 0)
+            # what row k adds at first is eta; it has faded i - 1 - k times when row i comes
+            age = place[now, None] - 1 - place[None, : now.stop]
+            weight = np.where(age >= 0, eta * (1 - eta * lam) ** np.maximum(age, 0), 0.0)
+            out[now] = np.abs((weight * np.exp(-gamma * far)).sum(axis=1))
         return out
 
     return per_series(df, spec, kernel, ["score"])

@@ -193,35 +193,57 @@ def average_path(n: float | np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def isolation_scores(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 0, extended: bool = False) -> np.ndarray:
-    """2^(-mean depth / expected depth). extended: cuts by random hyperplanes instead of single features."""
+def isolation_scores(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 0, extended: bool = False, at_once: int = 1 << 21) -> np.ndarray:
+    """2^(-mean depth / expected depth). A tree cuts one feature of its own; extended: random hyperplanes over all features. All trees grow together, level by level, in blocks of at_once places."""
     rng = np.random.default_rng(seed)
-    sample = min(sample, len(x))
+    n, width = x.shape
+    sample = min(sample, n)
     limit = int(np.ceil(np.log2(max(sample, 2))))
-    depth = np.zeros(len(x))
-
-    def drop(part: np.ndarray, rows: np.ndarray, level: int) -> None:
-        if level >= limit or len(part) <= 1 or not len(rows):
-            depth[rows] += level + average_path(len(part))
-            return
-        if extended:
-            normal = rng.normal(size=x.shape[1])
-            at = rng.uniform(x[part].min(0), x[part].max(0)) @ normal
-            left_part, left = x[part] @ normal <= at, x[rows] @ normal <= at
-        else:
-            span = x[part].max(0) - x[part].min(0)
-            ok = np.flatnonzero(span > 0)
-            if not len(ok):
-                depth[rows] += level + average_path(len(part))
-                return
-            j = rng.choice(ok)
-            at = rng.uniform(x[part, j].min(), x[part, j].max())
-            left_part, left = x[part, j] <= at, x[rows, j] <= at
-        drop(part[left_part], rows[left], level + 1)
-        drop(part[~left_part], rows[~left], level + 1)
-
-    for _ in range(trees):
-        drop(rng.choice(len(x), sample, replace=False), np.arange(len(x)), 0)
+    depth = np.zeros(n)
+
+    def grow(count: int) -> None:
+        part = rng.random((count, n)).argpartition(sample - 1, axis=1)[:, :sample] if sample < n else np.broadcast_to(np.arange(n), (count, n))
+        tree_p, row_p = np.repeat(np.arange(count), sample), part.ravel()
+        tree_r, row_r = np.repeat(np.arange(count), n), np.tile(np.arange(n), count)
+        own = rng.integers(width, size=count)
+        # places (tree, node) of the rows that grow a tree and of those that fall through it
+        node_p, node_r = tree_p.copy(), tree_r.copy()
+        for level in range(limit + 1):
+            nodes = count << level
+            size = np.bincount(node_p, minlength=nodes)
+            if extended:
+                lo, hi = np.full((nodes, width), np.inf), np.full((nodes, width), -np.inf)
+                np.minimum.at(lo, node_p, x[row_p])
+                np.maximum.at(hi, node_p, x[row_p])
+                splits = size > 1
+            else:
+                lo, hi = np.full(nodes, np.inf), np.full(nodes, -np.inf)
+                value = x[row_p, own[tree_p]]
+                np.minimum.at(lo, node_p, value)
+                np.maximum.at(hi, node_p, value)
+                splits = (size > 1) & (hi > lo)
+            if level == limit:
+                splits[:] = False
+            done = ~splits[node_r]
+            np.add.at(depth, row_r[done], level + average_path(size[node_r[done]]))
+            stay = splits[node_p]
+            tree_p, row_p, node_p = tree_p[stay], row_p[stay], node_p[stay]
+            tree_r, row_r, node_r = tree_r[~done], row_r[~done], node_r[~done]
+            if not len(row_r):
+                break
+            if extended:
+                normal = rng.normal(size=(nodes, width))
+                middle = np.where(splits[:, None], lo + rng.random((nodes, width)) * np.where(splits[:, None], hi - lo, 0.0), 0.0)
+                cut = (normal * middle).sum(axis=1)
+                above_p, above_r = ((x[r] * normal[k]).sum(axis=1) > cut[k] for r, k in ((row_p, node_p), (row_r, node_r)))
+            else:
+                cut = np.where(splits, lo + rng.random(nodes) * np.where(splits, hi - lo, 0.0), 0.0)
+                above_p, above_r = (x[r, own[t]] > cut[k] for r, t, k in ((row_p, tree_p, node_p), (row_r, tree_r, node_r)))
+            node_p, node_r = 2 * node_p + above_p, 2 * node_r + above_r
+
+    block = max(1, min(trees, at_once // max(n, 1)))
+    for first in range(0, trees, block):
+        grow(min(block, trees - first))
     return 2 ** (-depth / trees / max(float(average_path(sample)), EPS))
 
 

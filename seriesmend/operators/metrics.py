@@ -176,32 +176,54 @@ def soft_labels(y: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
+def _areas(y: np.ndarray, s: np.ndarray, windows: list[int], thresholds: int) -> list[tuple[float, float]]:
+    """(area under ROC, area under precision-recall) with soft labels for each window. Scores are sorted once: rows at or above a threshold are a prefix, so that what is hit is a running sum and an event is hit from the place of its best row on."""
+    runs, total, n = _runs(y), int(y.sum()), len(y)
+    if not runs or total == n:
+        return [(0.0, 0.0)] * len(windows)
+    order = np.argsort(-s, kind="stable")
+    cuts = s[order][np.linspace(0, n - 1, thresholds).astype(int)]
+    above = np.searchsorted(-s[order], -cuts, side="right")  # rows at or above each threshold
+    place = np.empty(n, int)
+    place[order] = np.arange(n)
+    areas = []
+    for window in windows:
+        soft = soft_labels(y, window)
+        mass, running = (total + soft.sum()) / 2, np.r_[0.0, np.cumsum(soft[order])]
+        best = np.sort([place[max(0, a - window // 2) : min(n, b + window // 2)].min() for a, b in runs])
+        hit, exist = running[above], np.searchsorted(best, above, side="left") / len(runs)
+        t = np.r_[0.0, np.minimum(hit / mass, 1.0) * exist, 1.0]
+        f = np.r_[0.0, (above - hit) / max(n - mass, 1e-10), 1.0]
+        p = np.r_[1.0, hit / np.maximum(above, 1)]
+        areas.append((float(((f[1:] - f[:-1]) * (t[1:] + t[:-1]) / 2).sum()), float(((t[1:-1] - t[:-2]) * p[1:]).sum())))
+    return areas
+
+
 def range_auc(y: np.ndarray, s: np.ndarray, window: int, thresholds: int = 250) -> tuple[float, float]:
     """(area under ROC, area under precision-recall) with soft labels; recall counts by the share of events that are hit, positives are the mean of hard and soft labels."""
-    soft, runs, total = soft_labels(y, window), _runs(y), int(y.sum())
-    if not runs or total == len(y):
-        return 0.0, 0.0
-    cuts = np.sort(s)[::-1][np.linspace(0, len(s) - 1, thresholds).astype(int)]
-    wide = [(max(0, a - window // 2), min(len(y), b + window // 2)) for a, b in runs]
-    mass = (total + soft.sum()) / 2
-    tpr, fpr, prec = [0.0], [0.0], [1.0]
-    for c in cuts:
-        pred = s >= c
-        hit = (soft * pred).sum()
-        exist = np.mean([pred[a:b].any() for a, b in wide])
-        tpr.append(min(hit / mass, 1.0) * exist)
-        fpr.append((pred.sum() - hit) / max(len(y) - mass, 1e-10))
-        prec.append(hit / max(pred.sum(), 1))
-    tpr.append(1.0)
-    fpr.append(1.0)
-    t, f, p = np.array(tpr), np.array(fpr), np.array(prec)
-    return float(((f[1:] - f[:-1]) * (t[1:] + t[:-1]) / 2).sum()), float(((t[1:-1] - t[:-2]) * p[1:]).sum())
+    return _areas(y, s, [window], thresholds)[0]
+
+
+def vus(y: np.ndarray, s: np.ndarray, window: int = 100, thresholds: int = 250) -> tuple[float, float]:
+    """Mean areas over all windows from 0 to window."""
+    got = np.array(_areas(y, s, list(range(window + 1)), thresholds))
+    return float(got[:, 0].mean()), float(got[:, 1].mean())
 
 
-def vus(y: np.ndarray, s: np.ndarray, window: int = 100, thresholds: int = 250, step: int = 1) -> tuple[float, float]:
-    """Mean areas over windows 0, step, ... to window."""
-    got = [range_auc(y, s, w, thresholds) for w in range(0, window + 1, step)]
-    return float(np.mean([g[0] for g in got])), float(np.mean([g[1] for g in got]))
+def vus_pred(y: np.ndarray, pred: np.ndarray, window: int = 100) -> tuple[float, float, float]:
+    """(precision, recall, F) of a prediction by volume: means over all windows from 0 to window, whose margins build on those of the windows before."""
+    total, runs, soft = int(y.sum()), _runs(y), y.astype(float)
+    if not runs or not len(y):
+        return 0.0, 0.0, 0.0
+    got = []
+    for w in range(window + 1):
+        soft = np.maximum(soft, soft_labels((soft > 0).astype(int), w)) if w else soft
+        hit = float((soft * pred).sum())
+        mass = (total + soft.sum()) / 2
+        exist = np.mean([pred[max(0, a - w // 2) : min(len(y), b + w // 2)].any() for a, b in runs])
+        recall, precision = min(hit / mass, 1.0) * exist, hit / max(pred.sum(), 1)
+        got.append((precision, recall, 2 * precision * recall / (precision + recall) if precision + recall > 0 else 0.0))
+    return tuple(float(v) for v in np.mean(got, axis=0))
 
 
 def affiliation(truth: list[tuple[int, int]], found: list[tuple[int, int]], n: int) -> tuple[float, float]:
@@ -228,14 +250,14 @@ def affiliation(truth: list[tuple[int, int]], found: list[tuple[int, int]], n: i
     return (float(np.nanmean(precision)) if precision and not np.isnan(precision).all() else float("nan")), float(np.mean(recall))
 
 
-def detection_metrics(df: DataFrame, spec: SeriesSpec, label: str = "label", score: str = "score", window: int = 100, step: int = 10, quantile: float = 0.925) -> DataFrame:
-    """By sample: auc_roc, auc_pr, vus_roc, vus_pr (windows by step), range_auc_roc and range_auc_pr (window), affiliation_precision, affiliation_recall and affiliation_f at the quantile's threshold."""
+def detection_metrics(df: DataFrame, spec: SeriesSpec, label: str = "label", score: str = "score", window: int = 100, quantile: float = 0.925) -> DataFrame:
+    """By sample: auc_roc, auc_pr, vus_roc, vus_pr (all windows), range_auc_roc and range_auc_pr (window), affiliation_precision, affiliation_recall and affiliation_f at the quantile's threshold."""
     names = ["range_auc_roc", "range_auc_pr", "vus_roc", "vus_pr", "affiliation_precision", "affiliation_recall", "affiliation_f"]
 
     def run(pdf):
         pdf = pdf.sort_values(spec.t)
         y, s = pdf[label].fillna(0).to_numpy(int), pdf[score].fillna(0).to_numpy(float)
-        a, v = range_auc(y, s, window), vus(y, s, window, step=step)
+        a, v = range_auc(y, s, window), vus(y, s, window)
         pred = s > np.quantile(s, quantile)
         p, r = affiliation(_runs(y), _runs(pred), len(y)) if y.any() else (np.nan, np.nan)
         f = 2 * p * r / (p + r) if p + r > 0 else 0.0

@@ -152,31 +152,53 @@ def impute_hmm(df: DataFrame, spec: SeriesSpec, states: int = 5) -> DataFrame:
     return per_series(df, spec, _gaps(fill))
 
 
-def kernel_ridge(x: np.ndarray, y: np.ndarray, new: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Regression with Gaussian kernels of width by the median distance; stands in for support vectors."""
-    m, s = x.mean(0), x.std(0) + K.EPS
-    a, b = (x - m) / s, (new - m) / s
-    gamma = 1 / max(x.shape[1], 1)
-    gram = lambda p, q: np.exp(-gamma * ((p[:, None] - q[None]) ** 2).sum(-1))
-    mean = y.mean()
-    return mean + gram(b, a) @ np.linalg.solve(gram(a, a) + ridge * np.eye(len(a)), y - mean)
+class KernelRidge:
+    """Regression with Gaussian kernels over standardised inputs, in place of support vectors. All rows count, however many: the coefficients come by conjugate gradients, whose products
+    with the kernel matrix are made in blocks, so that memory grows with the rows and not with their square."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, most: int = 500, block: int = 1024):
+        self.middle, self.unit, self.gamma, self.block = x.mean(0), x.std(0) + K.EPS, 1 / max(x.shape[1], 1), block
+        self.rows, self.mean = (x - self.middle) / self.unit, y.mean()
+        goal = y - self.mean
+        self.weights, rest = np.zeros(len(y)), goal.copy()
+        way, size = rest.copy(), rest @ rest
+        for _ in range(most):
+            if size <= 1e-16 * max(goal @ goal, K.EPS):
+                break
+            bent = self._times(self.rows, way) + ridge * way
+            step = size / (way @ bent)
+            self.weights, rest = self.weights + step * way, rest - step * bent
+            size, before = rest @ rest, size
+            way = rest + size / before * way
+
+    def _times(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        out = np.empty(len(at))
+        own = (self.rows**2).sum(axis=1)
+        for lo in range(0, len(at), self.block):
+            part = at[lo : lo + self.block]
+            far = np.maximum((part**2).sum(axis=1)[:, None] + own[None] - 2 * part @ self.rows.T, 0)
+            out[lo : lo + self.block] = np.exp(-self.gamma * far) @ weights
+        return out
+
+    def __call__(self, new: np.ndarray) -> np.ndarray:
+        return self.mean + self._times((new - self.middle) / self.unit, self.weights)
 
 
-def impute_svr(df: DataFrame, spec: SeriesSpec, look_back: int = 5, most: int = 500) -> DataFrame:
-    """Missing cells one after another from the last look_back values, by kernel regression on windows without gaps (at most the last `most`). Not kept within the range."""
+def impute_svr(df: DataFrame, spec: SeriesSpec, look_back: int = 5) -> DataFrame:
+    """Missing cells one after another from the last look_back values, by kernel regression on all windows without gaps. Not kept within the range."""
 
     def fill(y: np.ndarray, gap: np.ndarray) -> np.ndarray:
         out = y.copy()
-        if len(y) <= look_back + 2:
+        if len(y) <= look_back + 2 or not gap.any():
             return out
         w = np.lib.stride_tricks.sliding_window_view(y, look_back + 1)
-        ok = ~np.lib.stride_tricks.sliding_window_view(gap, look_back + 1).any(1)
-        train = w[ok][-most:]
+        train = w[~np.lib.stride_tricks.sliding_window_view(gap, look_back + 1).any(1)]
         if len(train) < 3:
             return out
+        model = KernelRidge(train[:, :-1], train[:, -1])
         for i in np.flatnonzero(gap):
             if i >= look_back:
-                out[i] = kernel_ridge(train[:, :-1], train[:, -1], out[None, i - look_back : i])[0]
+                out[i] = model(out[None, i - look_back : i])[0]
         return out
 
     return per_series(df, spec, _gaps(fill, clip=False))
@@ -328,13 +350,12 @@ def exponential_smoothing(df: DataFrame, spec: SeriesSpec, alpha: float = 0.5) -
     return per_series(df, spec, _columns(fn))
 
 
-def svr(df: DataFrame, spec: SeriesSpec, most: int = 1500) -> DataFrame:
-    """Kernel regression of value on time; a series of over `most` rows is fitted on evenly spaced ones."""
+def svr(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """Kernel regression of value on time, over all rows."""
 
     def fn(y: np.ndarray) -> np.ndarray:
         at = np.arange(len(y), dtype=float)[:, None]
-        use = np.unique(np.linspace(0, len(y) - 1, min(len(y), most)).astype(int))
-        return kernel_ridge(at[use], y[use], at, 0.1) if len(y) > 3 else y
+        return KernelRidge(at, y, 0.1)(at) if len(y) > 3 else y
 
     return per_series(df, spec, _columns(fn))
 

@@ -13,10 +13,11 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesmend.functions.scaling import sanitise
 from seriesmend.operators import constrained, constraints, detect, missing, repair
-from seriesmend.runtime import shared_dir
+from seriesmend.runtime import arrow_map, shared_dir
 from seriesmend.spec import SeriesSpec
 
 MACRO = ("MISSING", "OUTLIER", "CONSTRAINT", "FINISH")
@@ -31,20 +32,55 @@ def supervised(df: DataFrame, spec: SeriesSpec, window: int = 30, horizon: int =
     return rows.where((F.size("x") == window) & (F.size("y") == horizon) & (F.col(spec.t) % stride == 0)).select(*spec.keys, F.flatten("x").alias("x"), F.flatten("y").alias("y"))
 
 
-def linear_forecast_score(train: DataFrame, test: DataFrame, spec: SeriesSpec, window: int = 30, horizon: int = 10, most: int = 2000) -> float:
-    """0.6 exp(-nrmse) + 0.4 (corr + 1) / 2 of a ridge map from windows to what follows (a linear forecaster has no more to it), over at most `most` windows by hash."""
-    pick = lambda d: supervised(d, spec, window, horizon).orderBy(F.xxhash64(*spec.keys)).limit(most).select("x", "y").collect()
-    a, b = pick(train), pick(test)
-    if len(a) < 5 or len(b) < 2:
+def linear_forecast_score(train: DataFrame, test: DataFrame, spec: SeriesSpec, window: int = 30, horizon: int = 10) -> float:
+    """0.6 exp(-nrmse) + 0.4 (corr + 1) / 2 of a ridge map from windows to what follows (a linear forecaster has no more to it), fitted and judged on all windows.
+
+    The map needs sums of products alone, which are added up where the windows are: a task sends one matrix of (window + horizon) x features, whatever its rows.
+    """
+    wide = len(spec.features)
+    p, q = window * wide, horizon * wide
+    schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("products", T.BinaryType())])
+
+    def added(batches):
+        total, n = np.zeros((p + q + 1, p + q + 1)), 0
+        for b in batches:
+            x, y = (np.array(b.column(k).flatten().to_numpy(zero_copy_only=False), float).reshape(b.num_rows, size) for k, size in ((0, p), (1, q)))
+            z = np.hstack([x, y, np.ones((b.num_rows, 1))])
+            total, n = total + z.T @ z, n + b.num_rows
+        yield {"n": [n], "products": [total.tobytes()]}
+
+    def together(batches):
+        total, n = np.zeros((p + q + 1, p + q + 1)), 0
+        for b in batches:
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total, n = total + np.frombuffer(raw).reshape(total.shape), n + k
+        yield {"n": [n], "products": [total.tobytes()]}
+
+    def products(d: DataFrame) -> tuple[int, np.ndarray]:
+        parts = arrow_map(supervised(d, spec, window, horizon).select("x", "y"), added, schema)
+        rows = arrow_map(parts.repartition(8), together, schema).collect()  # a matrix for each task, then 8
+        return sum(r["n"] for r in rows), sum(np.frombuffer(r["products"]).reshape(p + q + 1, p + q + 1) for r in rows)
+
+    (n, a), (m, b) = products(train), products(test)
+    if n < 5 or m < 2:
         return 0.0
-    x, y, u, v = (np.array([r[k] for r in rows], float) for rows in (a, b) for k in ("x", "y"))
-    m, s = x.mean(0), x.std(0) + 1e-8
-    z, q = (x - m) / s, (u - m) / s
-    coef = np.linalg.solve(z.T @ z + 1.0 * np.eye(z.shape[1]), z.T @ (y - y.mean(0)))
-    pred = q @ coef + y.mean(0)
-    nrmse = np.sqrt(((pred - v) ** 2).mean()) / (v.std() + 1e-8)
-    corr = np.corrcoef(pred.ravel(), v.ravel())[0, 1] if v.std() > 0 and pred.std() > 0 else 0.0
-    return float(0.6 * np.exp(-nrmse) + 0.4 * (np.nan_to_num(corr) + 1) / 2)
+    x, y, one = slice(0, p), slice(p, p + q), p + q
+    mean, middle = a[x, one] / n, a[y, one] / n
+    spread = np.sqrt(np.maximum(np.diag(a)[x] / n - mean**2, 0)) + 1e-8
+    cov = (a[x, x] - n * np.outer(mean, mean)) / np.outer(spread, spread)
+    coef = np.linalg.solve(cov + np.eye(p), (a[x, y] - n * np.outer(mean, middle)) / spread[:, None])
+    # prediction = (x - mean) / spread @ coef + middle = [x, 1] @ line
+    line = np.vstack([coef / spread[:, None], middle - mean / spread @ coef])
+    rows = np.r_[np.arange(p), one]
+    xx, xy, yy = b[np.ix_(rows, rows)], b[rows, y], np.diag(b)[y]
+    cells = m * q
+    sp, sv = (b[one, rows] @ line).sum(), b[one, y].sum()
+    spp, spv, svv = (line * (xx @ line)).sum(), (line * xy).sum(), yy.sum()
+    var_p, var_v = max(spp / cells - (sp / cells) ** 2, 0.0), max(svv / cells - (sv / cells) ** 2, 0.0)
+    both = spv / cells - sp / cells * (sv / cells)
+    nrmse = np.sqrt(max(spp - 2 * spv + svv, 0.0) / cells) / (np.sqrt(var_v) + 1e-8)
+    corr = both / np.sqrt(var_p * var_v) if var_p > 0 and var_v > 0 else 0.0
+    return float(0.6 * np.exp(-nrmse) + 0.4 * (np.clip(corr, -1, 1) + 1) / 2)
 
 
 @dataclass
@@ -96,9 +132,10 @@ class Environment:
         return worst, round(self.last, 1), round(self.step / self.most_steps, 1), last
 
     def state_low(self, macro: str) -> tuple:
-        x = [c for c in self.spec.features]
-        got = self.now.agg(*[f(sanitise(F.col(x[0]))) for f in (F.avg, F.stddev_pop, F.skewness, F.kurtosis)]).first()
-        return (macro, *[round(float(np.nan_to_num(v or 0.0)), 0) for v in got[2:]], round(self.rates[macro], 1))
+        """Skewness and kurtosis (means over features), and the rate of the kind that is treated."""
+        shape = [f(sanitise(F.col(c))) for f in (F.skewness, F.kurtosis) for c in self.spec.features]
+        got, n = [float(np.nan_to_num(v or 0.0)) for v in self.now.agg(*shape).first()], len(self.spec.features)
+        return (macro, round(sum(got[:n]) / n, 0), round(sum(got[n:]) / n, 0), round(self.rates[macro], 1))
 
     def apply(self, macro: str, low: str) -> DataFrame:
         if macro == "MISSING":
@@ -113,12 +150,12 @@ class Environment:
         self.step += 1
         self.rates = self.issue_rates(self.now)
         perf = self.performance(self._filled(self.now))
-        f = self.spec.features
         j = before.alias("a").join(self.now.alias("b"), self.spec.keys)
-        span = F.greatest(F.stddev_pop(f"a.{f[0]}"), F.lit(1e-8))
-        change = j.agg((F.sqrt(F.avg((F.col(f"a.{f[0]}") - F.col(f"b.{f[0]}")) ** 2)) / span).alias("x")).first()["x"] or 0.0
-        w = self.spec.ordered
-        rough = self.now.select(F.abs(F.col(f[0]) - (F.coalesce(F.lag(f[0]).over(w), F.lit(0.0)) + F.col(f[0]) + F.coalesce(F.lead(f[0]).over(w), F.lit(0.0))) / 3).alias("r")).agg(F.avg("r") / (F.stddev_pop("r") + 1e-8)).first()[0] or 0.0
+        w, mean = self.spec.ordered, lambda values: sum(float(v or 0.0) for v in values) / len(self.spec.features)
+        change = mean(j.agg(*[F.sqrt(F.avg((F.col(f"a.{f}") - F.col(f"b.{f}")) ** 2)) / F.greatest(F.stddev_pop(f"a.{f}"), F.lit(1e-8)) for f in self.spec.features]).first())
+        near = lambda f: (F.coalesce(F.lag(f).over(w), F.lit(0.0)) + F.col(f) + F.coalesce(F.lead(f).over(w), F.lit(0.0))) / 3
+        steps = self.now.select(*[F.abs(F.col(f) - near(f)).alias(f) for f in self.spec.features])
+        rough = mean(steps.agg(*[F.avg(f) / (F.stddev_pop(f) + 1e-8) for f in self.spec.features]).first())
         low_reward = -0.2 * np.tanh(rough) - 0.2 * min(change, 1.0) + 0.2 * (rates[macro] - self.rates[macro]) + 0.4 * (perf - self.last)
         drop = sum(rates[k] - self.rates[k] for k in MACRO[:3])
         self.history.append((macro, low))

@@ -6,11 +6,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmend.runtime import prepare
+from seriesmend.runtime import arrow_map
 
 
 @dataclass(frozen=True)
@@ -52,26 +53,51 @@ def number_rows(df: DataFrame, spec: SeriesSpec, *order: str | Column) -> DataFr
 
 
 def per_series(df: DataFrame, spec: SeriesSpec, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], out: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
-    """Apply kernel(values (T x D, NaN missing), times (T)) to each sample in order of t, by Arrow. What it returns (T x len(out) or T) goes to the columns `out` (default: the features,
-    replaced). keep: further columns that stay. A sample is held by one task: for algorithms where a value needs the repaired one before it."""
-    prepare(df.sparkSession)
+    """Apply kernel(values (T x D, NaN missing), times (T)) to each sample in order of t. What it returns (T x len(out) or T) goes to the columns `out` (default: the features,
+    replaced). keep: further columns that stay. A sample is held by one task: for algorithms where a value needs the repaired one before it. Samples come sorted, as Arrow batches: a
+    call for each sample costs no more than its kernel."""
     out = list(spec.features) if out is None else out
     kept = [spec.sample, spec.t, spec.timestamp, *(keep or []), *[f for f in spec.features if f not in out]]
     kept = [c for c in dict.fromkeys(kept) if c in df.columns]
     schema = T.StructType([*[df.schema[c] for c in kept], *[T.StructField(o, T.DoubleType()) for o in out]])
-    features, t, timestamp = list(spec.features), spec.t, spec.timestamp
-
-    def run(pdf):
-        pdf = pdf.sort_values(t, kind="stable")
-        times = pdf[timestamp if timestamp in pdf else t].to_numpy(dtype=float)
-        got = np.asarray(kernel(pdf[features].to_numpy(dtype=float), times), float).reshape(len(pdf), len(out))
-        res = pdf[kept].copy()
-        for i, o in enumerate(out):
-            res[o] = got[:, i]
-            res[o] = res[o].astype(object).where(np.isfinite(got[:, i]), None)
-        return res[[*kept, *out]]
-
-    return df.select(*dict.fromkeys([*kept, *features])).groupBy(spec.sample).applyInPandas(run, schema)
+    features, timestamp = list(spec.features), spec.timestamp if spec.timestamp in kept else spec.t
+
+    def solved(rows: pa.Table, ends: list[int]) -> dict:
+        values = np.stack([_floats(rows[f]) for f in features], axis=1) if features else np.zeros((len(rows), 0))
+        times = _floats(rows[timestamp])
+        got = [np.asarray(kernel(values[a:b].copy(), times[a:b].copy()), float).reshape(b - a, len(out)) for a, b in zip([0, *ends], ends, strict=False)]
+        got = np.concatenate(got)
+        return {**{c: rows[c] for c in kept}, **{o: pa.array(got[:, i], mask=~np.isfinite(got[:, i])) for i, o in enumerate(out)}}
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            ids = b.column(b.schema.get_field_index(spec.sample)).to_numpy(zero_copy_only=False)
+            if not len(ids):
+                continue
+            held.append(b)
+            if ids[0] == ids[-1] and len(held) > 1 and held[0].column(held[0].schema.get_field_index(spec.sample))[-1].as_py() == ids[0]:
+                continue  # one sample goes on
+            rows = pa.Table.from_batches(held)
+            ids = rows[spec.sample].to_numpy()
+            ends = (np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist()
+            if ends:
+                yield solved(rows.slice(0, ends[-1]), ends)
+                held = rows.slice(ends[-1]).combine_chunks().to_batches()
+        if held:
+            rows = pa.Table.from_batches(held)
+            ids = rows[spec.sample].to_numpy()
+            yield solved(rows, [*(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(rows)])
+
+    dealt = df.select(*dict.fromkeys([*kept, *features])).repartition(spec.sample).sortWithinPartitions(spec.sample, spec.t)
+    return arrow_map(dealt, run, schema)
+
+
+def _floats(column: pa.ChunkedArray) -> np.ndarray:
+    """Doubles, NaN for null; timestamps in seconds."""
+    if pa.types.is_timestamp(column.type):
+        return column.cast(pa.timestamp("us", column.type.tz)).cast(pa.int64()).cast(pa.float64(), safe=False).to_numpy() / 1e6
+    return column.cast(pa.float64(), safe=False).to_numpy()
 
 
 def long_form(df: DataFrame, spec: SeriesSpec) -> DataFrame:

@@ -298,9 +298,9 @@ def test_areas_of_a_perfect_score():
     y = np.zeros(200, int)
     y[50:60] = 1
     s = y + np.linspace(0, 0.01, 200)
-    roc, pr = metrics.vus(y, s, 10, 100, 5)
+    roc, pr = metrics.vus(y, s, 10, 100)
     assert roc > 0.85 and pr > 0.7
-    assert metrics.vus(y, -s, 10, 100, 5)[1] < 0.4
+    assert metrics.vus(y, -s, 10, 100)[1] < 0.4
     p, r = metrics.affiliation([(50, 60)], [(50, 60)], 200)
     assert (p, r) == (1.0, 1.0) and metrics.affiliation([(50, 60)], [(150, 151)], 200)[0] < 0.6
     with pytest.raises(ValueError):
