@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesmend import oracles
 from seriesmend.functions import scaling
 from seriesmend.operators import constrained, constraints, detect, inject, metrics, missing, repair
 from seriesmend.plans import selection
@@ -220,6 +221,14 @@ _score("MovingAverage", f"WITH {SM} SELECT sample_id, t, {_MOST('abs({c} - avg({
 _score("RollingMedian", f"WITH {SM} SELECT sample_id, t, {_MOST('abs({c} - quantile_cont({c}, 0.5) OVER w)')} FROM sm {_FRAME}")
 _score("EWMA", f"WITH {SM}, s AS (SELECT sample_id, t, " + ", ".join(f"{c}, list_reduce(list({c}) OVER w, lambda a, x: 0.3 * x + 0.7 * a) AS s_{c}" for c in Three) + f" FROM sm WINDOW w AS (PARTITION BY sample_id ORDER BY t ROWS UNBOUNDED PRECEDING)) SELECT sample_id, t, {_MOST('abs({c} - s_{c})')} FROM s")
 _score("Kalman", ORACLE_SQL["detect_ewma"].replace("0.3 * x + 0.7 * a", "0.5 * x + 0.5 * a"))
+
+
+@query("detect_fft")
+def _(spark, sf):
+    d, s = series.supplier_months(spark, sf)
+    return detect.fft(d, s).select("sample_id", "t", (F.round("score", 3) + 0.0).alias("score"))  # sums of prices: six decimals are beyond a double
+
+
 for _name in detect.DETECTORS:
     if f"detect_{_name.lower()}" not in QUERIES:
         query(f"detect_{_name.lower()}")(_sm(detect.DETECTORS[_name], "score"))
@@ -228,7 +237,7 @@ for _name in detect.DETECTORS:
 @query("detect_ensemble")
 def _(spark, sf):
     d, s = series.supplier_months(spark, sf)
-    return detect.flag(detect.ensemble(d, s, ["ZScore", "MAD", "RollingMedian"]), s).select("sample_id", "t", "score", "is_outlier")
+    return r6(detect.flag(detect.ensemble(d, s, ["ZScore", "MAD", "RollingMedian"]), s).select("sample_id", "t", "score", "is_outlier"), "score")
 
 
 # ---- constraints ---------------------------------------------------------------------------------------------------
@@ -334,11 +343,34 @@ query("repair_abnormal_sequence_interpolation", f"""WITH {EV.replace("CASE WHEN
 for _name in repair.MISSING_REPAIRS:
     if _name != "interpolation":
         query(f"repair_missing_{_name}")(_ev_op(repair.MISSING_REPAIRS[_name]))
+# halves of halves lie on the edge of rounding: a shift takes them off
+query("repair_exponential_smoothing")(_clean(lambda d, s: (r := repair.exponential_smoothing(d, s)).withColumn("col_1", r["col_1"] + 1e-9)))
+query("repair_akane")(_ev_op(repair.OUTLIER_REPAIRS["akane"]))
 for _name in repair.OUTLIER_REPAIRS:
     if f"repair_{_name}" not in QUERIES:
         query(f"repair_{_name}")(_clean(repair.OUTLIER_REPAIRS[_name]))
 for _name in constrained.CONSTRAINT_REPAIRS:
     query(f"repair_constraint_{_name.lower()}")(_clean(lambda d, s, n=_name: constrained.CONSTRAINT_REPAIRS[n](d, s, EV_RULES)))
+
+
+def _bounds(name: str):
+    """Steps of each sample, and those beyond the speed and (if the repair keeps to it) the acceleration, after a repair: none may be left."""
+
+    def run(spark, sf):
+        d, s = ev(spark, sf, 0)
+        r = constrained.CONSTRAINT_REPAIRS[name](d, s, EV_RULES)
+        gap = F.greatest((F.col("timestamp") - F.lag("timestamp").over(s.ordered)).cast("double"), F.lit(1e-8))
+        r = r.withColumns({"d": gap, "v": (F.col("col_1") - F.lag("col_1").over(s.ordered)) / gap})
+        r = r.withColumn("a", (F.col("v") - F.lag("v").over(s.ordered)) / F.col("d"))
+        sharp = F.count_if(F.abs("a") > 0.001 + 1e-6) if name in ("speed_accel_global", "mtclean") else F.lit(0).cast("long")
+        return r.groupBy("sample_id").agg(F.count("v").alias("steps"), F.count_if(F.abs("v") > 0.01 + 1e-6).alias("too_fast"), sharp.alias("too_sharp"))
+
+    return run
+
+
+for _name in ("screen", "speed_local", "speed_global", "speedacc", "speed_accel_local", "speed_accel_global", "mtclean", "mtcsc_n", "oneMilp"):
+    _none = "CAST(0 AS BIGINT)"
+    query(f"bounds_{_name.lower()}", f"WITH {EV} SELECT sample_id, count(*) - 1 AS steps, {_none} AS too_fast, {_none} AS too_sharp FROM ev GROUP BY 1")(_bounds(_name))
 for _name in ("ewma", "ridge", "kalman"):
     query(f"impute_{_name}")(_ev_op(missing.IMPUTERS[_name]))
 
@@ -466,3 +498,8 @@ def _(spark, sf):
  SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM k GROUP BY user_id, k""")
 def _(spark, sf):
     return online.sessions(spark.read.parquet(f"{sf}/events.parquet"), "6 hours")
+
+
+# ---- SQL of recursions and of sums over pairs of rows --------------------------------------------------------------
+
+ORACLE_SQL.update(oracles.detectors(SM, Three) | oracles.repairs(EV, LINEAR))
