@@ -6,6 +6,7 @@ Constraints are small driver-side records; each miner needs a handful of aggrega
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations, combinations_with_replacement
 
 import numpy as np
@@ -342,3 +343,34 @@ def trend_agreement(df: DataFrame, spec: SeriesSpec, a: str, b: str) -> DataFram
     x, y = F.signum(F.col(a) - F.lag(a).over(w)), F.signum(F.col(b) - F.lag(b).over(w))
     rows = df.select(spec.sample, x.alias("x"), y.alias("y")).where("x is not null and y is not null")
     return rows.groupBy(spec.sample).agg(F.avg((F.col("x") == F.col("y")).cast("double")).alias("same"), F.avg((F.col("x") == -F.col("y")).cast("double")).alias("opposite"))
+
+
+def step_violations(df: DataFrame, spec: SeriesSpec, source: str, target: str, ranges: list[tuple[float, float]], bounds: tuple[float, float]) -> DataFrame:
+    """(sample, t, step, degree): rows, in order of source, at which source is in one of the ranges and target's step from the row before is out of bounds (a sequential dependency)."""
+    step = F.col(target) - F.lag(target).over(Window.partitionBy(spec.sample).orderBy(source, spec.t))
+    inside = reduce(lambda a, b: a | b, [F.col(source).between(lo, hi) for lo, hi in ranges], F.lit(False))
+    rows = df.select(*spec.keys, source, step.alias("step")).where(inside & F.col("step").isNotNull())
+    degree = F.when(F.col("step") < bounds[0], bounds[0] - F.col("step")).when(F.col("step") > bounds[1], F.col("step") - bounds[1])
+    return rows.select(*spec.keys, "step", degree.alias("degree")).where("degree is not null")
+
+
+def order_correlation(df: DataFrame, spec: SeriesSpec, a: str, b: str) -> DataFrame:
+    """(sample, spearman, kendall): correlation of average ranks, and tau-b by signs over all pairs of a sample's rows (quadratic in its rows)."""
+    rank = lambda c: F.rank().over(Window.partitionBy(spec.sample).orderBy(c)) + (F.count("*").over(Window.partitionBy(spec.sample, c)) - 1) / 2
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*spec.keys, F.col(a).alias("x"), F.col(b).alias("y"))
+    spearman = rows.select(spec.sample, rank("x").alias("rx"), rank("y").alias("ry")).groupBy(spec.sample).agg(F.corr("rx", "ry").alias("spearman"))
+    later = rows.select(F.col(spec.sample).alias("__s"), F.col(spec.t).alias("__t"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    pairs = rows.join(later, (F.col(spec.sample) == F.col("__s")) & (F.col("__t") > F.col(spec.t)))
+    sx, sy = F.signum(F.col("x2") - F.col("x")), F.signum(F.col("y2") - F.col("y"))
+    kendall = pairs.groupBy(spec.sample).agg((F.sum(sx * sy) / F.nullif(F.sqrt(F.sum(F.abs(sx)) * F.sum(F.abs(sy))), F.lit(0.0))).alias("kendall"))
+    return spearman.join(kendall, spec.sample, "left")
+
+
+#: What kinds of violations are called in reports by sample.
+REPORT_NAMES = {"speed": "speed_constraints", "accel": "acceleration_constraints", "variance": "variance_constraints", "amplitude": "amplitude_constraints", "row": "row_constraints", "order": "od_constraints", "denial": "dd_constraints"}
+
+
+def named_rates(rates: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """(sample, constraint, rate) of each sample's rates by kind."""
+    name = F.create_map(*[F.lit(x) for pair in REPORT_NAMES.items() for x in pair])
+    return rates.where("kind is not null and cols is null").select(spec.sample, F.coalesce(name[F.col("kind")], F.col("kind")).alias("constraint"), "rate")

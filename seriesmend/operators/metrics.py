@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmend.spec import SeriesSpec
+from seriesmend.spec import long_form, per_series, SeriesSpec
 
 # ---- repairs -------------------------------------------------------------------------------------------------------
 
@@ -290,6 +290,44 @@ def range_pr_auc(y: np.ndarray, s: np.ndarray, most: int = 50, alpha: float = 0.
     return float(sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(pts, pts[1:], strict=False)))
 
 
+def by_values(df: DataFrame, spec: SeriesSpec, fn: Callable[[np.ndarray], float], name: str, columns: list[str]) -> DataFrame:
+    """(sample, name): fn(rows x columns, in order) of each sample."""
+    rows = per_series(df.select(*spec.keys, *[F.col(c).cast("double").alias(c) for c in columns]), SeriesSpec(tuple(columns), spec.sample, spec.t, spec.t), lambda x, _: np.full(len(x), fn(x)), [name])
+    return rows.groupBy(spec.sample).agg(F.min(name).alias(name))
+
+
+def prediction_metrics(df: DataFrame, spec: SeriesSpec, label: str = "label", pred: str = "pred", window: int = 100) -> DataFrame:
+    """By sample, for a given prediction: f1 of points, of points after adjustment, of events and of ranges, affiliation_f, and precision, recall and F by volume (vus_precision, vus_recall, vus_f)."""
+    names = ["affiliation_f", "vus_precision", "vus_recall", "vus_f"]
+
+    def values(x: np.ndarray, _) -> np.ndarray:
+        y, p = np.nan_to_num(x[:, 0]).astype(int), np.nan_to_num(x[:, 1]).astype(int)
+        a, b = affiliation(_runs(y), _runs(p), len(y)) if y.any() else (np.nan, np.nan)
+        return np.tile([2 * a * b / (a + b) if a + b > 0 else 0.0, *vus_pred(y, p, window)], (len(x), 1))
+
+    two = df.select(*spec.keys, F.col(label).cast("double").alias("label"), F.col(pred).cast("double").alias("pred"))
+    volume = per_series(two, SeriesSpec(("label", "pred"), spec.sample, spec.t, spec.t), values, names).groupBy(spec.sample).agg(*[F.min(n).alias(n) for n in names])
+    f1 = lambda d, name: d.select(spec.sample, F.col("f1").alias(name))
+    out = f1(point_scores(df, spec, label, pred), "point_f1").join(f1(point_scores(point_adjust(df, spec, label, pred), spec, label, pred), "adjusted_f1"), spec.sample)
+    return out.join(f1(event_f1(df, spec, label, pred), "event_f1"), spec.sample).join(f1(range_f1(df, spec, label, pred), "range_f1"), spec.sample).join(volume, spec.sample)
+
+
+def label_metrics(repaired: DataFrame, clean: DataFrame, dirty: DataFrame, labels: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """One row: rmse, mnad (columns scaled to [0, 1] over each sample), rra (labelled cells that were changed), precision, recall and f1 of changes against labels (columns of the features' names, 1: an error)."""
+    cells = [long_form(d, spec).withColumnRenamed("value", name) for d, name in ((repaired, "r"), (clean, "c"), (dirty, "d"), (labels, "e"))]
+    j = cells[0]
+    for other in cells[1:]:
+        j = j.join(other, [*spec.keys, "col"])
+    w = Window.partitionBy(spec.sample, "col")
+    scaled = lambda v: (F.col(v) - F.min(v).over(w)) / F.coalesce(F.nullif(F.max(v).over(w) - F.min(v).over(w), F.lit(0.0)), F.lit(1.0))
+    j = j.select("r", "c", (F.coalesce(F.abs(F.col("d") - F.col("r")) > 1e-6, F.lit(False))).alias("moved"), (F.col("e") == 1).alias("wrong"), F.abs(scaled("r") - scaled("c")).alias("gap"))
+    g = j.agg(F.sqrt(F.avg((F.col("r") - F.col("c")) ** 2)).alias("rmse"), F.avg("gap").alias("mnad"), F.count_if(F.col("moved") & F.col("wrong")).alias("tp"), F.count_if("moved").alias("pp"), F.count_if("wrong").alias("p"), F.count("*").alias("n"))
+    share = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
+    both = (F.col("p") > 0) & (F.col("p") < F.col("n"))
+    precision, recall = F.when(both, share("tp", "pp")).otherwise(0.0), F.when(both, share("tp", "p")).otherwise(0.0)
+    return g.select("rmse", "mnad", share("tp", "p").alias("rra"), precision.alias("precision"), recall.alias("recall"), _f1(precision, recall).alias("f1"))
+
+
 def by_sample(df: DataFrame, spec: SeriesSpec, fn: Callable[[np.ndarray, np.ndarray], float], name: str, label: str = "label", score: str = "score") -> DataFrame:
     """(sample, name): fn(labels, scores) of each sample in order."""
 

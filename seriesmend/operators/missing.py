@@ -109,6 +109,12 @@ def impute_ewma(df: DataFrame, spec: SeriesSpec, span: int = 5) -> DataFrame:
     return per_series(df, spec, kernel)
 
 
+def impute_time(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """Missing timestamps on the line between known ones by row; the nearest known one beyond them. Timestamps come as doubles."""
+    rows = df.withColumn(spec.timestamp, F.col(spec.timestamp).cast("double"))
+    return impute_linear(rows, SeriesSpec((spec.timestamp,), spec.sample, spec.t, spec.timestamp))
+
+
 def impute_mean(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """The sample's mean. (Neighbours among rows that were filled with the mean give the mean again.)"""
     return df.withColumns({c: F.coalesce(F.col(c), F.avg(c).over(spec.whole)) for c in spec.features})

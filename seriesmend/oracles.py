@@ -71,6 +71,21 @@ def detectors(sm: str, cols: Sequence[str]) -> dict[str, str]:
         WITH {sm}, {standard_rows}, u AS (SELECT sample_id, t, {tails} FROM z), k AS (SELECT *, {skews} FROM u {whole})
         SELECT sample_id, t, round({terms}, 6) + 0.0 AS score FROM k"""
 
+    # 20 rows a block; the line is that through the blocks before and after, and a spectrum's norm that of the residual times the root of its length
+    first = cols[0]
+    found["detect_poly"] = f"""
+        WITH {sm}, k AS (SELECT *, t // 20 AS k FROM sm), f AS (SELECT a.sample_id, a.k, regr_slope(b.{first}, b.t) AS s, regr_intercept(b.{first}, b.t) AS i, count(*) AS n
+            FROM (SELECT DISTINCT sample_id, k FROM k) a JOIN k b ON a.sample_id = b.sample_id AND abs(a.k - b.k) = 1 GROUP BY 1, 2),
+        e AS (SELECT sample_id, k, sqrt(count(*) * sum((k.{first} - (i + s * t)) ^ 2)) / count(*) AS e FROM k JOIN f USING (sample_id, k) WHERE n > 2 GROUP BY 1, 2)
+        SELECT sample_id, t, round(coalesce(e, 0), 6) + 0.0 AS score FROM k LEFT JOIN e USING (sample_id, k)"""
+
+    edges = ", ".join(f"min({x}) OVER w AS lo_{x}, (max({x}) OVER w - min({x}) OVER w) / 10 AS wd_{x}" for x in cols)
+    places = ", ".join(f"least(9, greatest(0, CAST(ceil(({x} - lo_{x}) / wd_{x}) AS INTEGER) - 1)) AS b_{x}" for x in cols)
+    heights = ", ".join(f"log2(count(*) OVER (PARTITION BY sample_id, b_{x}) / (n * wd_{x}) + 0.1) AS h_{x}" for x in cols)
+    found["detect_hbos"] = f"""
+        WITH {sm}, {standard_rows}, r AS (SELECT *, count(*) OVER w AS n, {edges} FROM z {whole}), b AS (SELECT *, {places} FROM r), h AS (SELECT *, {heights} FROM b)
+        SELECT sample_id, t, round(-({' + '.join(f'h_{x}' for x in cols)}), 3) + 0.0 AS score FROM h"""
+
     scores = {
         "z": _plain([f"abs(({x} - avg({x}) OVER w) / (stddev_pop({x}) OVER w + 1e-8))" for x in cols]),
         "r": _plain([f"abs({x} - quantile_cont({x}, 0.5) OVER f)" for x in cols]),
@@ -99,6 +114,10 @@ def repairs(ev: str, linear: str) -> dict[str, str]:
         m AS (SELECT *, ({near}) / 5 AS m, min(col_1) OVER e AS lo, max(col_1) OVER e AS hi
             FROM j WINDOW o AS (PARTITION BY sample_id ORDER BY t), e AS (PARTITION BY sample_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
         SELECT sample_id, t, round(coalesce(col_1, CASE WHEN lo IS NULL THEN x ELSE greatest(lo, least(hi, m)) END), 6) + 0.0 AS col_1 FROM m"""
+    found["repair_missing_ar"] = f"""
+        WITH {ev}, {linear}, j AS (SELECT sample_id, t, x, col_1, lag(x) OVER (PARTITION BY sample_id ORDER BY t) AS p FROM lin JOIN ev USING (sample_id, t)),
+        m AS (SELECT *, regr_slope(x, p) OVER w AS s, regr_intercept(x, p) OVER w AS i, min(col_1) OVER w AS lo, max(col_1) OVER w AS hi FROM j WINDOW w AS (PARTITION BY sample_id))
+        SELECT sample_id, t, round(coalesce(col_1, CASE WHEN lo IS NULL OR p IS NULL THEN x ELSE greatest(lo, least(hi, i + s * p)) END), 6) + 0.0 AS col_1 FROM m"""
     found["repair_akane"] = f"WITH {ev}, {linear} SELECT sample_id, t, round(x, 6) + 0.0 AS col_1 FROM lin"
     found["repair_exponential_smoothing"] = f"""
         WITH {ev}, n AS (SELECT sample_id, t, clean_1 AS y, coalesce(lag(clean_1) OVER o, clean_1) AS a, coalesce(lead(clean_1) OVER o, clean_1) AS b FROM ev WINDOW o AS (PARTITION BY sample_id ORDER BY t)),

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -232,9 +232,11 @@ def run_episode(env: Environment, high: QTable, low: QTable, greedy: bool = Fals
     return top, bottom
 
 
-def train(env: Environment, episodes: int = 10, seed: int = 42, actions: dict[str, list[str]] | None = None) -> Result:
-    """Q-learning over episodes. Returns the best episode's table (by performance), and the last one's."""
+def train(env: Environment, episodes: int = 10, seed: int = 42, actions: dict[str, list[str]] | None = None, agents: dict | None = None) -> Result:
+    """Q-learning over episodes, from saved agents on if there are some. Returns the best episode's table (by performance), and the last one's."""
     high, low = QTable(seed), QTable(seed + 1)
+    if agents:
+        high, low = high.from_json(agents["high"]), low.from_json(agents["low"])
     best: tuple = (-np.inf, env.dirty, [])
     for _ in range(episodes):
         top, bottom = run_episode(env, high, low, actions=actions)
@@ -245,6 +247,109 @@ def train(env: Environment, episodes: int = 10, seed: int = 42, actions: dict[st
     return Result(best[1], best[0], best[2], env.now, high, low)
 
 
+def flat_episode(env: Environment, table: QTable, greedy: bool = False, actions: dict[str, list[str]] | None = None) -> list[tuple]:
+    """An episode of one table over all pairs of what to treat and how, and the end."""
+    env.reset()
+    names = {f"{m}:{a}": (m, a) for m, every in (actions or LOW).items() for a in every}
+    path = []
+    while env.step < env.most_steps:
+        state = env.state_high()
+        open_ = [n for n, (m, _) in names.items() if (m == "MISSING") == (env.rates["MISSING"] > 0.001)]
+        choice = table.choose(state, open_ if env.rates["MISSING"] > 0.001 else [*open_, "FINISH"], greedy)
+        if choice == "FINISH":
+            path.append((state, choice, 10 * (env.last - env.first)))
+            break
+        path.append((state, choice, sum(env.act(*names[choice]))))
+    return path
+
+
+def train_flat(env: Environment, episodes: int = 10, seed: int = 42, actions: dict[str, list[str]] | None = None, agent: list | None = None) -> QTable:
+    table = QTable(seed).from_json(agent) if agent else QTable(seed)
+    for _ in range(episodes):
+        table.learn(flat_episode(env, table, actions=actions))
+    return table
+
+
+def apply_flat(env: Environment, agent: list, actions: dict[str, list[str]] | None = None) -> DataFrame:
+    """One greedy episode of a saved flat agent."""
+    flat_episode(env, QTable(0, epsilon=0).from_json(agent), True, actions)
+    return env.now
+
+
+def shape_features(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """(sample, features): a vector of each sample's mean, deviation, skewness, kurtosis and mean step of each feature, standardised over samples (what is undefined is 0)."""
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    w = spec.ordered
+    rows = df.withColumns({f"__d_{f}": F.abs(F.col(f) - F.lag(f).over(w)) for f in spec.features})
+    stats = [F.coalesce(sanitise(fn(c)), F.lit(0.0)).alias(f"{k}_{f}") for f in spec.features for k, (fn, c) in enumerate([(F.avg, f), (F.stddev_pop, f), (F.skewness, f), (F.kurtosis, f), (F.avg, f"__d_{f}")])]
+    table = rows.groupBy(spec.sample).agg(*stats)
+    raw = VectorAssembler(inputCols=[c for c in table.columns if c != spec.sample], outputCol="__raw").transform(table)
+    return StandardScaler(inputCol="__raw", outputCol="features", withMean=True).fit(raw).transform(raw).select(spec.sample, "features")
+
+
+def cluster_scores(points: DataFrame, most: int = 10, seed: int = 42) -> list[tuple[int, float, float, float]]:
+    """(k, Calinski-Harabasz, silhouette, Davies-Bouldin) of k-means with 2 to `most` clusters over a column of features."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import vector_to_array
+
+    points = points.cache()
+    n, out = points.count(), []
+    for k in range(2, min(most, n - 1) + 1):
+        model = KMeans(k=k, seed=seed).fit(points)
+        got = model.transform(points)
+        centres = np.array(model.clusterCenters())
+        sizes = np.zeros(len(centres))
+        spread = np.zeros(len(centres))
+
+        own = F.element_at(F.from_json(F.lit(json.dumps(centres.tolist())), "array<array<double>>"), F.col("prediction") + 1)
+        squares = F.zip_with(vector_to_array("features"), own, lambda a, b: (a - b) * (a - b))
+        apart = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, b: a + b))
+        for r in got.groupBy("prediction").agg(F.count("*").alias("n"), F.avg(apart).alias("d")).collect():
+            sizes[r["prediction"]], spread[r["prediction"]] = r["n"], r["d"]
+        used = sizes > 0
+        if used.sum() < 2:
+            continue
+        c, m, s = centres[used], sizes[used], spread[used]
+        middle = (c * m[:, None]).sum(0) / n
+        between, within = (m * ((c - middle) ** 2).sum(1)).sum(), model.summary.trainingCost
+        gaps = np.linalg.norm(c[:, None] - c[None], axis=2)
+        ratio = (s[:, None] + s[None]) / np.where(gaps > 0, gaps, np.inf)
+        np.fill_diagonal(ratio, 0)
+        calinski = between / max(within, 1e-12) * (n - len(c)) / (len(c) - 1)
+        out.append((k, float(calinski), float(ClusteringEvaluator().evaluate(got)), float(ratio.max(axis=1).mean())))
+    points.unpersist()
+    return out
+
+
+def choose_clusters(df: DataFrame, spec: SeriesSpec, most: int = 10, seed: int = 42) -> int:
+    """The number of clusters of the greatest Calinski-Harabasz index; 1 with too few samples."""
+    return max(cluster_scores(shape_features(df, spec), most, seed), key=lambda r: r[1], default=(1,))[0]
+
+
+def cluster_performance(df: DataFrame, spec: SeriesSpec, k: int, seed: int = 42) -> float:
+    """0.5 silhouette + 0.5 x 5 / (5 + Davies-Bouldin) of k clusters of samples: the measure of a clustering task."""
+    found = [r for r in cluster_scores(shape_features(df, spec), k, seed) if r[0] == k]
+    return 0.5 * found[0][2] + 0.5 * 5 / (5 + found[0][3]) if found else 0.0
+
+
+def class_performance(df: DataFrame, classes: DataFrame, spec: SeriesSpec, seed: int = 42) -> float:
+    """The mean of F1 and of the area under ROC (two classes; else of F1 alone) of a logistic regression over samples' shapes, on the samples with the least hash of each class (30 %). classes: sample, label from 0."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+
+    points = shape_features(df, spec).join(classes.select(spec.sample, F.col("label").cast("double").alias("label")), spec.sample)
+    place = F.percent_rank().over(Window.partitionBy("label").orderBy(F.xxhash64(spec.sample, F.lit(seed)), spec.sample))
+    points = points.withColumn("__test", place < 0.3)
+    train_rows, test_rows = points.where("not __test"), points.where("__test")
+    if train_rows.select("label").distinct().count() < 2:
+        return 0.0
+    got = LogisticRegression(regParam=0.01).fit(train_rows).transform(test_rows)
+    f1 = MulticlassClassificationEvaluator(metricName="f1").evaluate(got)
+    return float((f1 + BinaryClassificationEvaluator().evaluate(got)) / 2 if points.select("label").distinct().count() == 2 else f1)
+
+
 def apply_agents(env: Environment, agents: dict, actions: dict[str, list[str]] | None = None) -> DataFrame:
     """One greedy episode of saved agents."""
     run_episode(env, QTable(0, epsilon=0).from_json(agents["high"]), QTable(0, epsilon=0).from_json(agents["low"]), True, actions)

@@ -223,10 +223,18 @@ _score("EWMA", f"WITH {SM}, s AS (SELECT sample_id, t, " + ", ".join(f"{c}, list
 _score("Kalman", ORACLE_SQL["detect_ewma"].replace("0.3 * x + 0.7 * a", "0.5 * x + 0.5 * a"))
 
 
-@query("detect_fft")
-def _(spark, sf):
-    d, s = series.supplier_months(spark, sf)
-    return detect.fft(d, s).select("sample_id", "t", (F.round("score", 3) + 0.0).alias("score"))  # sums of prices: six decimals are beyond a double
+def _score3(name: str) -> None:
+    """Sums of prices and densities of narrow bins: six decimals are beyond a double."""
+
+    def run(spark, sf):
+        d, s = series.supplier_months(spark, sf)
+        return detect.DETECTORS[name](d, s).select("sample_id", "t", (F.round("score", 3) + 0.0).alias("score"))
+
+    query(f"detect_{name.lower()}")(run)
+
+
+_score3("FFT")
+_score3("HBOS")
 
 
 for _name in detect.DETECTORS:

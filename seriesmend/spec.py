@@ -69,25 +69,31 @@ def per_series(df: DataFrame, spec: SeriesSpec, kernel: Callable[[np.ndarray, np
         got = np.concatenate(got)
         return {**{c: rows[c] for c in kept}, **{o: pa.array(got[:, i], mask=~np.isfinite(got[:, i])) for i, o in enumerate(out)}}
 
+    def ends_of(rows: pa.Table) -> list[int]:
+        """Places where another sample begins; null is a sample like any other."""
+        codes = rows[spec.sample].combine_chunks()
+        codes = codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes
+        codes = codes.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        return (np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist()
+
     def run(batches):
         held: list[pa.RecordBatch] = []
         for b in batches:
-            ids = b.column(b.schema.get_field_index(spec.sample)).to_numpy(zero_copy_only=False)
-            if not len(ids):
+            if not b.num_rows:
                 continue
+            ids = b.column(b.schema.get_field_index(spec.sample))
+            going_on = held and held[0].column(held[0].schema.get_field_index(spec.sample))[-1].as_py() == ids[0].as_py() == ids[-1].as_py()
             held.append(b)
-            if ids[0] == ids[-1] and len(held) > 1 and held[0].column(held[0].schema.get_field_index(spec.sample))[-1].as_py() == ids[0]:
-                continue  # one sample goes on
+            if going_on:
+                continue
             rows = pa.Table.from_batches(held)
-            ids = rows[spec.sample].to_numpy()
-            ends = (np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist()
+            ends = ends_of(rows)
             if ends:
                 yield solved(rows.slice(0, ends[-1]), ends)
                 held = rows.slice(ends[-1]).combine_chunks().to_batches()
         if held:
             rows = pa.Table.from_batches(held)
-            ids = rows[spec.sample].to_numpy()
-            yield solved(rows, [*(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(rows)])
+            yield solved(rows, [*ends_of(rows), len(rows)])
 
     dealt = df.select(*dict.fromkeys([*kept, *features])).repartition(spec.sample).sortWithinPartitions(spec.sample, spec.t)
     return arrow_map(dealt, run, schema)

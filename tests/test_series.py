@@ -9,10 +9,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from seriesmend import registry
+from seriesmend import registry, registry_plans
 from seriesmend.functions import scaling
-from seriesmend.operators import constrained, constraints, detect, inject, kernels, metrics, missing, repair
-from seriesmend.plans import policy, selection
+from seriesmend.operators import constrained, constraints, detect, distances, inject, kernels, metrics, missing, repair
+from seriesmend.plans import harness, policy, selection
 from seriesmend.sources import series
 from seriesmend.spec import SeriesSpec, clean_numbers
 
@@ -52,9 +52,12 @@ def duck(sf):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+EVERY_SQL = registry.ORACLE_SQL | registry_plans.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(EVERY_SQL))
 def test_query_equals_its_sql(spark, sf, duck, name):
-    got, want = registry.QUERIES[name](spark, sf).toPandas(), duck.execute(registry.ORACLE_SQL[name]).df()
+    got, want = (registry.QUERIES | registry_plans.QUERIES)[name](spark, sf).toPandas(), duck.execute(EVERY_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want) > 0
     for x, y in zip(normal(got), normal(want), strict=True):
         assert all(p == q or (isinstance(p, float) and isinstance(q, float) and abs(p - q) <= 1.1e-5 * max(1, abs(p))) for p, q in zip(x, y, strict=True)), (x, y)
@@ -197,6 +200,40 @@ def test_speed_repairs_keep_to_the_speed(spark, name):
     assert np.abs(np.array(got)[[10, 30, 31]] - (x[[10, 30, 31]] - 20)).max() < 15
 
 
+@pytest.mark.parametrize("name", ["screen", "speed_local", "speed_global", "speedacc", "speed_accel_local", "speed_accel_global", "mtclean", "mtcsc_n", "oneMilp"])
+def test_no_step_is_too_fast_in_epoch_seconds(spark, name):
+    """On events with their own clock, where steps take from seconds to days."""
+    d, s = series.user_events(spark, "/root/testdata/sf0.001")
+    before = d.select("sample_id", "t", "timestamp", "col_1").toPandas().sort_values(["sample_id", "t"])
+    after = constrained.CONSTRAINT_REPAIRS[name](d, s, registry.EV_RULES).toPandas().sort_values(["sample_id", "t"])
+
+    def fast(p):
+        g = p.groupby("sample_id")
+        return (g.col_1.diff() / g.timestamp.diff().clip(lower=1e-8)).abs()
+
+    assert (fast(before) > 0.01).any() and not (fast(after) > 0.01 + 1e-6).any()
+
+
+def test_constrained_projections_are_the_least():
+    """The heap method and the interior-point method agree, and no feasible point found by a random walk from theirs is nearer."""
+    rng = np.random.default_rng(0)
+    for n in (2, 3, 8, 60, 230):
+        t = np.cumsum(rng.integers(1, 50, n)).astype(float)
+        y = rng.gamma(1, 5, n)
+        a, b = constrained.within_speed(y, t, -0.1, 0.2), constrained.within_steps(y, t, (-0.1, 0.2), None, True, 1000, 0.0)
+        assert np.abs(a - y).sum() == pytest.approx(np.abs(b - y).sum(), rel=1e-6, abs=1e-6)
+        for x, accel, cost in ((constrained.within_steps(y, t, (-0.1, 0.2), (-0.01, 0.02), True, 1000, 0.0), (-0.01, 0.02), lambda v: np.abs(v - y).sum()), (constrained.within_steps(y, t, (-0.1, 0.2), (-0.01, 0.02), False, 1000, 0.0), (-0.01, 0.02), lambda v: ((v - y) ** 2).sum())):
+            v = np.diff(x) / np.diff(t)
+            assert (v >= -0.1 - 1e-9).all() and (v <= 0.2 + 1e-9).all()
+            w = np.diff(v) / np.diff(t)[1:]
+            assert (w >= accel[0] - 1e-9).all() and (w <= accel[1] + 1e-9).all()
+            for _ in range(200):  # the feasible set is convex: a step towards any feasible point doesn't help
+                other = constrained.kept_to(y + rng.normal(0, 3, n), t, (-0.1, 0.2), accel)
+                assert cost(x) <= cost(x + 0.01 * (other - x)) + 1e-6
+    with pytest.raises(ValueError):
+        constrained.within_steps(y, t, None, (0.1, 0.2), True, 100, 0.1)
+
+
 def test_one_milp_changes_the_fewest_rows(spark):
     x = [0, 1, 50, 3, 4, -40, 6, 7]
     got = col(constrained.one_milp(make(spark, x), ONE, {"col_1": (-1.5, 1.5)}))
@@ -294,6 +331,32 @@ def test_point_adjust_and_ranges(spark):
     assert r.precision == pytest.approx(0.5) and r.recall == pytest.approx((0.2 + 0.8 * 0.5) / 2)
 
 
+def plain_range_auc(y, s, window, thresholds=250):
+    soft, runs, total = metrics.soft_labels(y, window), metrics._runs(y), int(y.sum())
+    wide, mass = [(max(0, a - window // 2), min(len(y), b + window // 2)) for a, b in runs], (total + soft.sum()) / 2
+    points, precision = [(0.0, 0.0)], [1.0]
+    for c in np.sort(s)[::-1][np.linspace(0, len(s) - 1, thresholds).astype(int)]:
+        hit = soft[s >= c].sum()
+        exist = np.mean([(s[a:b] >= c).any() for a, b in wide])
+        points.append(((sum(s >= c) - hit) / max(len(y) - mass, 1e-10), min(hit / mass, 1.0) * exist))
+        precision.append(hit / sum(s >= c))
+    f, t = np.array([*points, (1.0, 1.0)]).T
+    return ((f[1:] - f[:-1]) * (t[1:] + t[:-1]) / 2).sum(), ((t[1:-1] - t[:-2]) * np.array(precision)[1:]).sum()
+
+
+def test_volume_takes_all_windows():
+    rng = np.random.default_rng(4)
+    for n, window in ((60, 4), (250, 20)):
+        y = (rng.random(n) < 0.05).astype(int)
+        y[n // 3 : n // 2] = 1
+        s = np.round(rng.random(n) + 0.3 * y, 2)
+        want = np.mean([plain_range_auc(y, s, w) for w in range(window + 1)], axis=0)
+        assert metrics.vus(y, s, window) == pytest.approx(tuple(want))
+    assert metrics.vus_pred(y, y, 0) == pytest.approx((1.0, 1.0, 1.0))
+    p, r, f = metrics.vus_pred(y, np.ones(n, int), 10)
+    assert r > 0.9 and p < 0.7 and 0 < f < 1
+
+
 def test_areas_of_a_perfect_score():
     y = np.zeros(200, int)
     y[50:60] = 1
@@ -361,3 +424,134 @@ def test_kernels():
     assert np.allclose(kernels.nearest(np.array([[0.0], [1.0], [5.0]]), 1)[0][:, 0], [1, 1, 4])
     z = repair.pchip(np.array([0.0, 1, 2, 4]), np.array([0.0, 1, 1, 3]), np.linspace(0, 4, 41))
     assert (np.diff(z) >= -1e-9).all()
+
+
+def test_samples_over_many_batches(spark, monkeypatch):
+    """A sample of several Arrow batches, many in one, and a null one."""
+    from seriesmend import runtime
+
+    monkeypatch.setattr(runtime, "BATCH_ROWS", 7)
+    sizes = {1: 30, 2: 1, 3: 7, 4: 8, None: 20, 6: 3}
+    rows = [(s, i, float(i * (s or 9))) for s, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "sample_id long, t long, col_1 double").repartition(2)
+    from seriesmend.spec import per_series
+
+    got = per_series(df, ONE, lambda x, t: np.stack([np.full(len(x), len(x)), x[:, 0].cumsum()], axis=1), ["n", "total"]).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.n == sizes[r.sample_id] and r.total == (r.sample_id or 9) * r.t * (r.t + 1) / 2
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_norma_counts_all_rows_before(spark):
+    x = np.random.default_rng(1).normal(size=400)
+    got = col(detect.norma(make(spark, x.tolist()), ONE, block=64), "score")
+    a = np.zeros(0)
+    for i, v in enumerate(x):
+        assert got[i] == pytest.approx(abs(a @ np.exp(-0.1 * (x[:i] - v) ** 2)), abs=1e-12)
+        a = np.append(a * (1 - 0.01 * 1e-4), 0.01)
+
+
+def test_kernel_regression_is_that_of_all_rows():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(300, 4)), rng.normal(size=300)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-8)
+    gram = np.exp(-0.25 * ((z[:, None] - z[None]) ** 2).sum(-1))
+    want = y.mean() + gram @ np.linalg.solve(gram + 1e-2 * np.eye(300), y - y.mean())
+    assert np.allclose(repair.KernelRidge(x, y, block=64)(x), want, atol=1e-5)
+
+
+def test_isolation_finds_the_odd_row():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 5))
+    x[13] = 8
+    for extended in (False, True):
+        s = kernels.isolation_scores(x, extended=extended)
+        assert s.argmax() == 13 and ((s > 0) & (s < 1)).all()
+        assert np.allclose(kernels.isolation_scores(np.ones((20, 2)), extended=extended), kernels.isolation_scores(np.ones((20, 2)), extended=extended))
+
+
+def test_forecast_score_over_all_windows(spark):
+    rng = np.random.default_rng(5)
+    x = np.sin(np.arange(400) / 7) + rng.normal(0, 0.1, 400)
+    d = make(spark, x.tolist(), (x * 2 + 1).tolist())
+    spec = SeriesSpec(("col_1", "col_2"))
+    train, test = d.where("t <= 280"), d.where("t > 280").withColumn("t", F.col("t") - 281)
+    got = policy.linear_forecast_score(train, test, spec)
+    a, b = ([(np.array(r.x), np.array(r.y)) for r in policy.supervised(p, spec).collect()] for p in (train, test))
+    (u, v), (p, q) = (tuple(np.stack(z) for z in zip(*rows, strict=True)) for rows in (a, b))
+    m, s = u.mean(0), u.std(0) + 1e-8
+    coef = np.linalg.solve(((u - m) / s).T @ ((u - m) / s) + np.eye(u.shape[1]), ((u - m) / s).T @ (v - v.mean(0)))
+    pred = (p - m) / s @ coef + v.mean(0)
+    want = 0.6 * np.exp(-np.sqrt(((pred - q) ** 2).mean()) / (q.std() + 1e-8)) + 0.4 * (np.corrcoef(pred.ravel(), q.ravel())[0, 1] + 1) / 2
+    assert got == pytest.approx(want, rel=1e-6)
+
+
+def plain_grid(n, m, cost):
+    """A dynamic program cell by cell."""
+    table = np.full((n, m), np.inf)
+    for i in range(n):
+        for j in range(m):
+            table[i, j] = cost(i, j, *(table[a, b] if a >= 0 and b >= 0 else np.inf for a, b in ((i - 1, j - 1), (i, j - 1), (i - 1, j))))
+    return table[-1, -1]
+
+
+def test_distances_against_plain_programs(spark):
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 9, 30):
+        x, y = rng.normal(size=n), rng.normal(size=n)
+        assert distances.dtw(x, y) == pytest.approx(plain_grid(n, n, lambda i, j, c, a, b: (x[i] - y[j]) ** 2 + (min(c, a, b) if i and j else 0)) / n)
+        assert distances.edr(x, y, 0.5) == pytest.approx(plain_grid(n, n, lambda i, j, c, a, b: i + j if not i or not j else c if abs(x[i] - y[j]) < 0.5 else 1 + min(c, a, b)) / n)
+        p, q = np.r_[0, x], np.r_[0, y]
+        want = plain_grid(n + 1, n + 1, lambda i, j, c, a, b: 0 if i == j == 0 else np.inf if not i or not j else min(b + abs(p[i] - p[i - 1]) + 0.2, a + abs(q[j] - q[j - 1]) + 0.2, c + abs(p[i] - q[j]) + abs(p[i - 1] - q[j - 1]) + 0.2 * abs(i - j)))
+        assert distances.twed(x, y) == pytest.approx(want)
+        assert distances.fourier(x, y) == pytest.approx(np.linalg.norm(x - y) / np.sqrt(n)) and distances.ssa(x, x) == 0
+    assert [f(np.zeros(0), np.zeros(0)) for f in (distances.dtw, distances.twed, distances.ssa, distances.euclidean)] == [0.0] * 4
+    assert distances.euclidean(np.array([1.0, 3.0]), np.zeros(2), 2, spread=2.0) == pytest.approx(np.sqrt(10) / 8)
+    line = np.array([0.0, 1.0, 2.0, 9.0, 10.0])
+    assert distances.line_knots(line)[0].tolist() == [0, 3]
+    got = distances.between(spark.createDataFrame([([1.0], [3.0], 1), (None, [1.0], 2)], "x array<double>, y array<double>, k int"), "x", "y", {"d": distances.euclidean}).orderBy("k").collect()
+    assert [r.d for r in got] == [2.0, None]
+
+
+def test_harness_reads_a_folder_and_scores(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    for name in ("a", "b", "dull"):
+        x = rng.normal(size=(120, 2))
+        y = np.zeros(120, int)
+        if name != "dull":
+            x[60:64] += 9
+            y[60:64] = 1
+        pd.DataFrame({"time": range(120), "p": x[:, 0], "q": x[:, 1], "label": y}).to_csv(tmp_path / f"{name}_val.csv", index=False)
+    d, spec = harness.read_labelled(spark, f"file://{tmp_path}")
+    assert sorted(r.sample_id for r in d.select("sample_id").distinct().collect()) == ["a", "b", "dull"] and spec.features == ("col_1", "col_2")
+    cut = harness.bounded(d, spec, most=50, step=5).groupBy("sample_id").count().collect()
+    assert {r.sample_id: r["count"] for r in cut} == {"a": 65, "b": 65}
+    got = {r.sample_id: r for r in harness.score_table(d, spec, ["ZScore", "IForest"]).collect()}
+    assert set(got) == {"a", "b"} and all(r.ZScore > 2 * 4 / 65 for r in got.values()), got  # twice what chance gives
+    ranks = series.rank_models(harness.score_table(d, spec, ["ZScore", "IForest"]), "sample_id").collect()
+    assert {r.model for r in ranks} == {"ZScore", "IForest"}
+
+
+def test_flat_and_continued_agents(spark):
+    x = np.sin(np.arange(80) / 6) * 3
+    x[[20, 50]] += 9
+    d = make(spark, [None if i % 17 == 3 else v for i, v in enumerate(x)])
+    actions = {"MISSING": ["interpolation"], "OUTLIER": ["smurf"], "CONSTRAINT": ["screen"]}
+    rules = constraints.Constraints(speed={"col_1": (-1.0, 1.0)})
+    env = policy.Environment(d, ONE, rules, most_steps=2, performance=lambda t: 0.5)
+    first = policy.train(env, 1, actions=actions)
+    again = policy.train(env, 1, actions=actions, agents=first.agents())
+    assert set(map(str, first.high.q)) <= set(map(str, again.high.q)) and again.best.count() == 80
+    table = policy.train_flat(env, 1, actions=actions)
+    out = policy.apply_flat(env, table.to_json(), actions)
+    assert out.count() == 80 and out.where("col_1 is null").count() == 0
+
+
+def test_clusters_of_two_kinds(spark):
+    rng = np.random.default_rng(8)
+    rows = [(s, i, float(rng.normal() + (0 if s < 6 else 50 * np.sin(i)))) for s in range(12) for i in range(30)]
+    d = spark.createDataFrame(rows, "sample_id long, t long, col_1 double")
+    assert 2 <= policy.choose_clusters(d, ONE, 4) <= 4 and policy.cluster_performance(d, ONE, 2) > 0.5
+    classes = d.select("sample_id").distinct().withColumn("label", (F.col("sample_id") >= 6).cast("int"))
+    assert policy.class_performance(d, classes, ONE) > 0.9
