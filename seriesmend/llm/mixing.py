@@ -260,8 +260,10 @@ def rates(rows: DataFrame, model: Classifier, targets: Mapping[str, float], toke
     whole = sum(max(x, 0.0) for x in targets.values()) or 1.0
     cells = rows.groupBy(*[x.alias(f"p{k}") for k, x in enumerate(keys)]).agg(F.sum(tokens).cast("double").alias("tokens"))
     cells = written(cells, "cells")
+    few = cells.count() <= MOST_CELLS
+    cells = written(cells.coalesce(1), "cells") if few else cells  # each step reads them
     found = solve(cells, [max(targets.get(d, 0.0), 0.0) / whole for d in model.domains], total)
-    if cells.count() > MOST_CELLS:
+    if not few:
         return rows.withColumn(rate, found.rate(names)), found
     mine = [unused(rows, f"mix_cell{k}") for k in range(len(keys))]
     rated = cells.select(*[F.col(f"p{k}").alias(c) for k, c in enumerate(mine)], found.rate([f"p{k}" for k in range(len(keys))]).alias(rate))

@@ -229,6 +229,7 @@ def test_gray_index_forest_connects_all_links():
 
 
 def test_hot_segments_are_dealt_and_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(components, "SMALL", 0)
     monkeypatch.setattr(simhash, "SEGMENT", 32)
     rng = random.Random(4)
     hot = [0]
@@ -255,7 +256,9 @@ def test_block_choices_meet_for_all_within_radius():
             assert len(free) >= k
 
 
-def test_components_of_a_long_path_and_a_star(spark):
+@pytest.mark.parametrize("small", [1 << 20, 0])
+def test_components_of_a_long_path_and_a_star(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = dict(tuple(r) for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 200: 200, 201: 200}
