@@ -300,4 +300,6 @@ def read_token_files(spark, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), x.counts.tolist(), strict=True)]
                 yield {"doc_id": x.doc_ids, "start": begins + ends - x.counts, "n_tokens": x.counts, "ids_crc32": crc}
 
-    return arrow_map(listed.repartition("file"), decode, schema)
+    files = listed.count()
+    tasks = min(files, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-files // 64)))
+    return arrow_map(listed.repartition(max(tasks, 1), "file"), decode, schema)  # a number, else the manifest's few bytes would be one task's
