@@ -6,7 +6,7 @@ cache: what the table misses is encoded by the library in batches and kept, up t
 
 Why counts may be summed: a SentencePiece BPE vocabulary none of whose pieces has a word-start mark after another
 character never merges across the start of a run of marks, so that a text's tokens are those of its pre-tokens (a run of marks and what
-follows up to the next one). ``PieceCounter`` checks that of the vocabulary and encodes whole texts where it doesn't hold.
+follows up to the next one). ``PieceCounter`` checks that of the vocabulary, tries it on PROBE against the library, and encodes whole texts where it doesn't hold.
 
 The table is filled from a bounded sample of texts (``sample_rows``). It saves time only: no count depends on it.
 """
@@ -28,7 +28,9 @@ from seriesmend.runtime import arrow_map, worker_object
 MARK = "▁"
 #: Entries and length of a pre-token in a worker's cache; beyond CACHE entries it starts anew.
 CACHE, LONGEST = 400_000, 48
-SAMPLE_ROWS, TABLE_SIZE = 2_000, 1 << 16
+SAMPLE_ROWS, SAMPLE_CHARS, TABLE_SIZE = 2_000, 1 << 15, 1 << 16
+#: Texts on which counts by pre-tokens must be the library's: white space of all kinds, marks, what a normalizer may change, special strings.
+PROBE = ["", " ", "  ", "a", " a", "a ", "a  b", "a   b  ", "\ta\nb\r\nc", "a\u3000b\u00a0c\u2003d", "Å 　", "▁a ▁▁ b▁", "ﬁne ① ½ ｆｕｌｌ", "x\u0301 é e\u0301", "<s> </s> <unk> <0x0A>", "日本語 テスト", "🙂 🙂🙂", "a\x00b\x1cc\x85d", "it's 1,000.5%!? -- \"q\"", "w" * 300]
 
 
 class PieceCounter:
@@ -39,9 +41,11 @@ class PieceCounter:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces) and self.model.encode("Å 　", out_type=str) == [MARK + "Å", MARK, "　"] if False else not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
+        self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
         self.frequent = dict(table or {})
         self.cache = dict(self.frequent)
+        self.splits = self.splits and self.count(PROBE) == self.lengths(PROBE)
+        self.cache = dict(self.frequent)
 
     def lengths(self, tokens: list[str]) -> list[int]:
         """Tokens of each pre-token, which goes without its first mark. One that is empty is a lone mark at the end of a text."""
@@ -91,9 +95,9 @@ def counter(path: str, table) -> PieceCounter:
 
 
 def frequent_table(docs: DataFrame, text_col: str, path: str, sample_rows: int, size: int) -> tuple:
-    """(pre-tokens, one a line; their lengths) of the most frequent pre-tokens of at most sample_rows texts. Its size is bounded by
+    """(pre-tokens, one a line; their lengths) of the most frequent pre-tokens of at most sample_rows texts (SAMPLE_CHARS of each). Its size is bounded by
     size x LONGEST characters."""
-    rows = docs.select(text_col).where(F.col(text_col).isNotNull()).take(sample_rows)
+    rows = docs.select(F.left(F.col(text_col), F.lit(SAMPLE_CHARS))).where(F.col(text_col).isNotNull()).take(sample_rows)
     seen: Counter = Counter()
     for (text,) in rows:
         seen.update(p for p in PieceCounter.split(text) if p and len(p) <= LONGEST and "\n" not in p)
