@@ -109,18 +109,17 @@ def mine_columns(df: DataFrame, spec: SeriesSpec, **options) -> Constraints:
 
 def order_ratios(df: DataFrame, spec: SeriesSpec, columns: tuple[str, ...] | None = None) -> DataFrame:
     """(sample, source, target, increasing, decreasing): shares of steps in order of source on which target doesn't fall, and doesn't rise."""
-    out = None
-    for a in columns or spec.features:
-        others = [c for c in columns or spec.features if c != a]
-        if not others:
-            continue
-        w = Window.partitionBy(spec.sample).orderBy(a, spec.t)
-        rows = df.select(spec.sample, *[(F.col(b) - F.lag(b).over(w)).alias(f"d_{b}") for b in others])
-        for b in others:
-            d = F.col(f"d_{b}")
-            part = rows.groupBy(spec.sample).agg(F.lit(a).alias("source"), F.lit(b).alias("target"), F.avg((d >= 0).cast("double")).alias("increasing"), F.avg((d <= 0).cast("double")).alias("decreasing"))
-            out = part if out is None else out.unionByName(part)
-    return out
+    names = list(columns or spec.features)
+    if len(names) < 2:
+        return None
+    # one row for each source, so that one sort by sample, source and value serves all pairs
+    rows = df.select(*spec.keys, *names, F.explode(F.array(*[F.struct(F.lit(a).alias("source"), F.col(a).cast("double").alias("by")) for a in names])).alias("s"))
+    rows = rows.select(*spec.keys, *names, "s.source", "s.by")
+    w = Window.partitionBy(spec.sample, "source").orderBy("by", spec.t)
+    steps = rows.select(spec.sample, "source", *[(F.col(b) - F.lag(b).over(w)).alias(b) for b in names])
+    shares = [F.struct(F.lit(b).alias("target"), F.avg((F.col(b) >= 0).cast("double")).alias("increasing"), F.avg((F.col(b) <= 0).cast("double")).alias("decreasing")) for b in names]
+    found = steps.groupBy(spec.sample, "source").agg(F.array(*shares).alias("pairs")).select(spec.sample, "source", F.explode("pairs").alias("p"))
+    return found.select(spec.sample, "source", "p.target", "p.increasing", "p.decreasing").where("source <> target")
 
 
 def mine_order(df: DataFrame, spec: SeriesSpec, threshold: float = 0.95) -> list[OrderConstraint]:
@@ -133,7 +132,8 @@ def mine_order(df: DataFrame, spec: SeriesSpec, threshold: float = 0.95) -> list
 
 
 def mine_denial(df: DataFrame, spec: SeriesSpec, bins: int = 3, min_support: float = 0.05, min_conf: float = 0.9, top: int = 5) -> list[DenialConstraint]:
-    """Pairs of quantile intervals of two features: support = share of rows in both, confidence = 1 - both / either; the `top` by confidence, then support."""
+    """Pairs of quantile intervals of two features: support = share of rows in both, confidence = 1 - both / either, in each sample; pairs that pass both bounds in every
+    sample, with their means over samples, the `top` by confidence, then support."""
     at = [i / bins for i in range(bins + 1)]
     q = df.agg(*[F.percentile(c, F.array(*map(F.lit, at))).alias(c) for c in spec.features]).first()
     preds = {}
@@ -146,12 +146,13 @@ def mine_denial(df: DataFrame, spec: SeriesSpec, bins: int = 3, min_support: flo
     if not pairs:
         return []
     inside = lambda p: (F.col(p[0]) >= p[1]) & (F.col(p[0]) < p[2])
-    aggs = [F.count("*").alias("n")]
-    for i, (p, r) in enumerate(pairs):
-        aggs += [F.count_if(inside(p) & inside(r)).alias(f"a{i}"), F.count_if(inside(p) | inside(r)).alias(f"o{i}")]
-    got = df.agg(*aggs).first()
-    found = [DenialConstraint(p, r, got[f"a{i}"] / got["n"], 1 - got[f"a{i}"] / got[f"o{i}"]) for i, (p, r) in enumerate(pairs) if got["n"] and got[f"o{i}"]]
-    found = [d for d in found if d.support >= min_support and d.confidence >= min_conf]
+    # a map from pair to its two counts: as many rows as there are samples and pairs, whose least and mean reach the driver
+    cells = [F.struct(F.lit(i).alias("pair"), F.count_if(inside(p) & inside(r)).alias("both"), F.count_if(inside(p) | inside(r)).alias("either")) for i, (p, r) in enumerate(pairs)]
+    counted = df.groupBy(spec.sample).agg(F.count("*").alias("n"), F.array(*cells).alias("c")).select("n", F.explode("c").alias("c"))
+    support, confidence = F.col("c.both") / F.col("n"), F.when(F.col("c.either") > 0, 1 - F.col("c.both") / F.col("c.either")).otherwise(0.0)
+    rows = counted.select("c.pair", support.alias("s"), confidence.alias("f")).groupBy("pair").agg(F.min("s").alias("s0"), F.min("f").alias("f0"), F.avg("s").alias("s"), F.avg("f").alias("f"))
+    rows = rows.where((F.col("s0") >= min_support) & (F.col("f0") >= min_conf)).collect()
+    found = [DenialConstraint(*pairs[r["pair"]], r["s"], r["f"]) for r in rows]
     return sorted(found, key=lambda d: (-d.confidence, -d.support, d.left, d.right))[:top]
 
 
