@@ -567,7 +567,17 @@ def test_pipeline_stages(spark):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     hit = {r.doc_id for r in decontaminate.contamination(seen[2], bench).where("contaminated").collect()}
     assert sorted(i for i, _ in clean) == sorted(i for i, _ in single if i not in hit)
-    assert set(mixed) <= set(clean)
+    lab = queries.domains(spark.read.parquet(f"{sf}/labels.parquet"))
+    model = mixing.learn(seen[3], lab, queries.TARGETS)
+    judged, _ = mixing.rates(mixing.with_posteriors(seen[3].select("doc_id", "text"), model, "text", "tokens", "p").cache(), model, queries.TARGETS, "tokens", "p", "rate")
+    plain = {r.doc_id: (plain_posterior(model, r.text or "")[0], r.rate) for r in judged.collect()}
+    times = {i: 0 for i in plain}
+    for i, _ in mixed:
+        times[i] += 1
+    for i, (post, rate) in plain.items():
+        bad = post[model.domains.index("toxic")]
+        assert abs(bad - 0.5) < 1e-3 or times[i] in ([0] if bad > 0.5 else [max(1, int(rate)), max(1, int(rate) + 1)])
+    assert set(mixed) <= set(clean) and sum(times.values()) >= len([1 for post, _ in plain.values() if post[2] < 0.49])
     final = corpus_pipeline.STAGES[-1][1](spark, seen[-1], sf)
     assert sorted((r.doc_id, r.start, r.n_tokens) for r in final.collect()) == sorted((i, a, n) for i, a, n, _ in plain_files(mixed))
 
