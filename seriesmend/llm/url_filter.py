@@ -105,13 +105,23 @@ def index(rules) -> RuleIndex:
     return worker_object("rules", rules.value, lambda: RuleIndex(list(rules.value[0]), dict(rules.value[1])))
 
 
-def filter_urls(pages: DataFrame, site_rules: list[Rule], patterns: list[Rule] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def pattern_rules(patterns: DataFrame, column: str = "pattern") -> list[Rule]:
+    """Block rules of a table of patterns (nulls and repeats go). ValueError if they are too many to send to the workers."""
+    rows = patterns.select(F.col(column).alias("pattern")).where("pattern is not null").distinct()
+    if (rows.agg(F.sum(F.length("pattern"))).first()[0] or 0) > MOST_RULES:
+        raise ValueError(f"patterns of over {MOST_RULES} characters; deal them into lists by site and join by host")
+    return [Rule(r[0], "block") for r in rows.orderBy("pattern").collect()]
+
+
+def filter_urls(pages: DataFrame, site_rules: list[Rule], patterns: list[Rule] | DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row for each row of pages: page_id, host, path, rule (the longest site rule that fits, else null), verdict (allow or
-    block: the rule's; without one, block if any of `patterns` matches, else allow).
+    block: the rule's; without one, block if any of `patterns` matches, else allow). patterns: rules, or a table with a column `pattern`; a short list by default.
 
     A null url or one without :// has an empty host and path, which no rule fits: allow. Null ids stay, repeated rows are judged each; of site rules of one
     length the first by name wins; an empty table gives an empty one; without rules all is allowed. Other columns, whatever their names, aren't read.
     """
+    if isinstance(patterns, DataFrame):
+        patterns = pattern_rules(patterns)
     rules = [*site_rules, *([Rule(p, "block") for p in BLOCKED] if patterns is None else patterns)]
     if sum(len(r.pattern) for r in rules) > MOST_RULES:
         raise ValueError(f"rules of over {MOST_RULES} characters; deal them into lists by site and join by host")

@@ -180,6 +180,15 @@ def test_url_index_misses_no_rule():
         assert all_ == {x.pattern for x, m in index.candidates(host, path) if m.match(host + path)}
 
 
+def test_patterns_from_a_table(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/ads/x"), (2, "http://a.org/news"), (3, None), (4, "http://bad.example/x")], "page_id long, url string")
+    table = spark.createDataFrame([("/ads/",), (None,), ("/ads/",), ("||bad.example^",)], "pattern string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, [], table).collect()}
+    want = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, [], [url_filter.Rule("/ads/", "block"), url_filter.Rule("||bad.example^", "block")]).collect()}
+    assert got == want and got[1] == "block" and got[2] == got[3] == "allow"
+    assert {r.verdict for r in url_filter.filter_urls(pages, [], table.limit(0)).collect()} == {"allow"}
+
+
 # ---- 6 -------------------------------------------------------------------------------------------------------------
 
 
