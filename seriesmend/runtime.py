@@ -52,7 +52,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a table in the shared folder: what follows doesn't compute them again, and outlives executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() gave and that no open plan reads any more."""
+    for t in tables:
+        where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: StructType) -> DataFrame:
