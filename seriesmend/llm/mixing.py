@@ -29,7 +29,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmend.runtime import shared_dir, unused, written
+from seriesmend.runtime import discard, shared_dir, unused, written
 
 MAX_LABELLED = 10_000
 #: A word tells a domain if LEAST_TEXTS labelled texts have it; if in the domain LEAST_SHARE of the texts have it or, at the mean share,
@@ -137,6 +137,7 @@ def learn(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id
         hits, ours = (sum(r[c] for r in told if r["bad"] > 0) for c in ("texts", "inside"))
         share = lambda part, whole: (part + 0.5) / (whole + 1.0)
         model.other = log((1 - share(ours, within)) / (1 - share(hits - ours, whole - within)))
+    discard(chosen, has, by)
     return model
 
 

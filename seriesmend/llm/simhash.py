@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from seriesmend.llm.components import components
 from seriesmend.llm.hamming import forest
 from seriesmend.llm.shingles import SEED, band_keys, links_between, shingle_hashes, verified
-from seriesmend.runtime import arrow_map, unused, worker_object, written
+from seriesmend.runtime import arrow_map, discard, unused, worker_object, written
 
 WORDS, RADIUS = 4, 4
 #: Mean rows of a segment that are aimed at, rows of a chunk, and rows that a task looks at at once.
@@ -195,6 +195,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     top = components(links_between(keys.join(of, "ent"), sets, similarity)).select(F.col("node").alias("label"), F.col("root").alias("top"))
     groups = ents.select("ent", "row").join(of, "ent").join(top, "label", "left").groupBy(F.coalesce("top", "label").alias("top")).agg(F.min("row").alias(mine))
     keep = written(groups.select(mine).join(seen.groupBy(F.col("row").alias(mine)).agg(F.count("*").alias(copies)), mine), "kept-rows")
+    discard(seen, ents, near, keys, sets, of)
     kept = rows.join(keep, F.col(row) == F.col(mine))
     once, more = kept.where(F.col(copies) == 1), kept.where(F.col(copies) > 1).dropDuplicates([mine])
     return once.select(*docs.columns).unionByName(more.select(*docs.columns))

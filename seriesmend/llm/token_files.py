@@ -26,7 +26,7 @@ from seriesmend.llm.vocab import default_path
 from seriesmend.runtime import arrow_map, scratch, worker_object
 
 #: Entries in each of the two generations of a worker's cache, bytes of a word in it, bytes of texts that are encoded at once.
-CACHE, LONGEST, AT_ONCE = 250_000, 64, 4 << 20
+CACHE, LONGEST, AT_ONCE = 150_000, 64, 4 << 20
 #: Ids in a shard file; a document is never split, so one of more ids has a file of its own. Bytes of input in a range of ids.
 SHARD_IDS, RANGE_BYTES = 500_000, 32 << 20
 END_ID = 1
