@@ -234,6 +234,19 @@ def test_constrained_projections_are_the_least():
         constrained.within_steps(y, t, None, (0.1, 0.2), True, 100, 0.1)
 
 
+@pytest.mark.parametrize("name", ["mtclean"])
+@pytest.mark.parametrize("copies", [1, 6])
+def test_rows_of_one_second_keep_to_the_acceleration(spark, name, copies):
+    """Between rows of one second a value can move by a few units in its last place; the speed before must be one that it can go on with."""
+    rng = np.random.default_rng(3)
+    times = np.repeat(np.cumsum(rng.choice([0, 0, 1, 60, 17063], 150)) + 1_704_067_200, copies).tolist()
+    df = make(spark, np.repeat(rng.gamma(1, 30, 150), copies).tolist(), times=times)
+    got = constrained.CONSTRAINT_REPAIRS[name](df, ONE, registry.EV_RULES).toPandas().sort_values("t")
+    d = np.maximum(np.diff(got.timestamp), 1e-8)
+    v = np.diff(got.col_1) / d
+    assert (np.diff(times) == 0).any() and np.abs(v).max() <= 0.01 + 1e-6 and np.abs(np.diff(v) / d[1:]).max() <= 0.001 + 1e-6
+
+
 def test_one_milp_changes_the_fewest_rows(spark):
     x = [0, 1, 50, 3, 4, -40, 6, 7]
     got = col(constrained.one_milp(make(spark, x), ONE, {"col_1": (-1.5, 1.5)}))
