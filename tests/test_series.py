@@ -234,7 +234,7 @@ def test_constrained_projections_are_the_least():
         constrained.within_steps(y, t, None, (0.1, 0.2), True, 100, 0.1)
 
 
-@pytest.mark.parametrize("name", ["mtclean"])
+@pytest.mark.parametrize("name", ["speed_accel_global", "mtclean"])
 @pytest.mark.parametrize("copies", [1, 6])
 def test_rows_of_one_second_keep_to_the_acceleration(spark, name, copies):
     """Between rows of one second a value can move by a few units in its last place; the speed before must be one that it can go on with."""
