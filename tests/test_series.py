@@ -499,6 +499,13 @@ def test_norma_counts_all_rows_before(spark):
         a = np.append(a * (1 - 0.01 * 1e-4), 0.01)
 
 
+def test_norma_tells_near_rows_of_great_values(spark):
+    x = 1e8 + np.random.default_rng(2).normal(size=60)
+    got = col(detect.norma(make(spark, x.tolist()), ONE, block=16), "score")
+    age = lambda i: (1 - 0.01 * 1e-4) ** (i - 1 - np.arange(i))
+    assert np.allclose(got, [(0.01 * age(i) * np.exp(-0.1 * (x[i] - x[:i]) ** 2)).sum() for i in range(60)], rtol=0, atol=1e-12)
+
+
 def test_kernel_regression_is_that_of_all_rows():
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(300, 4)), rng.normal(size=300)
