@@ -81,7 +81,7 @@ def split_lines(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["column_violations", "rates_by_constraint", "column_ecdf"])
+@pytest.mark.parametrize("name", ["column_violations", "rates_by_constraint", "column_ecdf", "detect_iqr"])
 def test_months_of_several_tasks_equal_the_sql_in_order_of_rows(spark, split_lines, name):
     """Sums of doubles in another order differ in the last place, and ties with them."""
     size = "spark.sql.files.maxPartitionBytes"
@@ -147,6 +147,13 @@ def test_small_scores(spark, name, x, want):
     assert np.allclose(col(detect.DETECTORS[name](make(spark, x), ONE), "score"), want, atol=1e-5)
 
 
+@pytest.mark.parametrize("x", [[0.26, 14.07, 17.02, 20.4, 23.13, 24.63, 27.84, 38.42, 39.52, 62.64], [2.16, 7.01, 8.6, 17.38, 20.34, 37.88875], [62.84625, 6.89, None, 8.89, 13.19, 22.44, 28.27, 31.59, 33.75, 34.67, 38.55]])
+def test_a_value_on_the_fence_is_not_outside(spark, x):
+    """Its quartiles lie a quarter of the way between two values."""
+    want = duckdb.execute("select max(cast(v > b + 1.5 * (b - a) as double)) from (select v, quantile_cont(v, 0.25) over () a, quantile_cont(v, 0.75) over () b from (select unnest(?::double[]) v))", [x]).fetchone()[0]
+    assert max(v for v in col(detect.iqr(make(spark, x), ONE), "score") if v is not None) == want == 0
+
+
 @pytest.mark.parametrize("name", sorted(detect.DETECTORS))
 def test_every_detector_scores_every_row(spark, name):
     rng = np.random.default_rng(0)
