@@ -81,7 +81,7 @@ def split_lines(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["column_violations", "rates_by_constraint", "column_ecdf", "detect_iqr", "order_dependency_ratios"])
+@pytest.mark.parametrize("name", ["column_violations", "rates_by_constraint", "column_ecdf", "detect_iqr", "order_dependency_ratios", "violation_rates"])
 def test_months_of_several_tasks_equal_the_sql_in_order_of_rows(spark, split_lines, name):
     """Sums of doubles in another order differ in the last place, and ties with them."""
     size = "spark.sql.files.maxPartitionBytes"
