@@ -97,6 +97,33 @@ def test_months_of_several_tasks_equal_the_sql_in_order_of_rows(spark, split_lin
     assert normal(got) == normal(c.execute(EVERY_SQL[name]).df())
 
 
+@pytest.fixture(scope="module")
+def holed(sf, tmp_path_factory):
+    """lineitem and events with missing values, keys and times."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(7)
+    folder = tmp_path_factory.mktemp("holed")
+    for name, shares in (("lineitem", {"l_shipdate": 0.02, "l_suppkey": 0.01, "l_quantity": 0.4, "l_extendedprice": 0.4, "l_discount": 0.4}), ("events", {"ts": 0.02, "user_id": 0.01, "value": 0.1})):
+        rows = pq.read_table(f"{sf}/{name}.parquet")
+        for c, share in shares.items():
+            rows = rows.set_column(rows.schema.get_field_index(c), c, pc.if_else(pa.array(rng.random(len(rows)) < share), pa.scalar(None, rows[c].type), rows[c]))
+        pq.write_table(rows, folder / f"{name}.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["bounds_speed_accel_global"])
+def test_query_equals_its_sql_where_keys_times_and_values_are_missing(spark, holed, name):
+    c = duckdb.connect(config={"threads": 1})
+    for t in ("lineitem", "events"):
+        c.execute(f"create view {t} as select * from read_parquet('{holed}/{t}.parquet')")
+    got, want = (registry.QUERIES | registry_plans.QUERIES)[name](spark, holed).toPandas(), c.execute(EVERY_SQL[name]).df()
+    got, want = (x.astype(object).where(x.notna(), None) for x in (got, want))
+    assert len(got) > 0 and normal(got) == normal(want)
+
+
 # ---- missing values ------------------------------------------------------------------------------------------------
 
 
@@ -288,6 +315,26 @@ def test_rows_of_one_second_keep_to_the_acceleration(spark, name, copies):
     assert (np.diff(times) == 0).any() and np.abs(v).max() <= 0.01 + 1e-6 and np.abs(np.diff(v) / d[1:]).max() <= 0.001 + 1e-6
 
 
+@pytest.mark.parametrize("name", ["speed_accel_global", "mtclean"])
+@pytest.mark.parametrize("scale", [1e4, 1e6])
+def test_large_values_of_one_second_keep_to_the_acceleration(spark, name, scale):
+    """Where a value's last place is so wide that only the speed 0 goes on in no time, the steps before must come to it in time."""
+    rng = np.random.default_rng(4)
+    times = (np.cumsum(rng.choice([0, 1, 1, 1, 2, 17063], 200)) + 1_704_067_200).tolist()
+    df = make(spark, (scale * rng.gamma(1, 30, 200)).tolist(), times=times)
+    got = constrained.CONSTRAINT_REPAIRS[name](df, ONE, registry.EV_RULES).toPandas().sort_values("t")
+    d = np.maximum(np.diff(got.timestamp), 1e-8)
+    v = np.diff(got.col_1) / d
+    assert np.abs(v).max() <= 0.01 + 1e-6 and np.abs(np.diff(v) / d[1:]).max() <= 0.001 + 1e-6
+
+
+def test_a_row_without_time_is_of_the_moment_before(spark):
+    times = [None, 10, 11, None, 20, None]
+    got = constrained.speed_global(make(spark, [0, 4, 9, 9, 30, 30], times=times), ONE, {"col_1": (-2, 2)}).toPandas().sort_values("t")
+    filled = constrained.speed_global(make(spark, [0, 4, 9, 9, 30, 30], times=[10, 10, 11, 11, 20, 20]), ONE, {"col_1": (-2, 2)})
+    assert got.col_1.tolist() == col(filled) and got.timestamp.isna().tolist() == [t is None for t in times]
+
+
 def test_one_milp_changes_the_fewest_rows(spark):
     x = [0, 1, 50, 3, 4, -40, 6, 7]
     got = col(constrained.one_milp(make(spark, x), ONE, {"col_1": (-1.5, 1.5)}))
