@@ -114,7 +114,7 @@ def holed(sf, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["bounds_speed_accel_global", "violation_rates", "rates_by_constraint", "column_ecdf"])
+@pytest.mark.parametrize("name", ["bounds_speed_accel_global", "violation_rates", "rates_by_constraint", "column_ecdf", "order_dependency_ratios"])
 def test_query_equals_its_sql_where_keys_times_and_values_are_missing(spark, holed, name):
     c = duckdb.connect(config={"threads": 1})
     for t in ("lineitem", "events"):
