@@ -1,4 +1,4 @@
-"""The queries op1 to op10: thin uses of the operators over whole tables, with production parameters."""
+"""The queries op1 to op13: thin uses of the operators over whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmend.llm import chat, decontaminate, langid, licenses, media, mixing, simhash, token_counts, token_files, url_filter
+from seriesmend.llm import chat, clusters, decontaminate, langid, licenses, media, mixing, packing, periodic, simhash, token_counts, token_files, url_filter
 from seriesmend.runtime import prepare
 
 # Site rules of the URL query (verdict, host, path).
@@ -71,7 +71,44 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_chat_format, op4_simhash, op5_url_filter, op6_token_counts, op7_decontamination, op8_media_columns, op9_license_scan, op10_token_files)}
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return found.with_inertia(spark).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_digests(packing.pack_sequences(table(spark, sf_dir, "documents")))
+
+
+def with_loops(docs: DataFrame) -> DataFrame:
+    """The contract's planted loops: texts of documents whose id's CRC divides by 10 go on from a word with the same few words again and again."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, words = F.floor(h / 10), F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size(words)
+    start = (g % n).cast("int")
+    period = (1 + F.floor((n - start) / (3 + g % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, start + 1, period), F.ceil((n - start) / period).cast("int")))
+    loop = F.array_join(F.concat(F.slice(words, F.lit(1), start), F.slice(again, F.lit(1), n - start)), " ")
+    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), loop).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_loops(table(spark, sf_dir, "documents")))
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, x: F.when(x["length"] * a["period"] > a["length"] * x["period"], x).otherwise(a))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(x["start"].cast("string"), F.lit(","), x["length"].cast("string"), F.lit(","), x["period"].cast("string"), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_source_mixing, op3_chat_format, op4_simhash, op5_url_filter, op6_token_counts, op7_decontamination, op8_media_columns, op9_license_scan, op10_token_files,
+        op11_centroid_clusters, op12_packing, op13_periodic_runs,
+    )
+}
 
 _REST = "substr(url, position('://' in url) + 3)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -129,3 +166,22 @@ ORACLE_SQL["op7_decontamination"] = f"""
     named AS (SELECT k, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY k)
     SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM docs LEFT JOIN hit USING (k) LEFT JOIN named USING (k)"""
+
+
+def _round(k: int) -> str:
+    """Assignment to the centroids c<k>, and the centroids after it."""
+    return f"""
+    a{k} AS MATERIALIZED (SELECT r, vec_id, v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT r, vec_id, kept.v, c, CAST(list_sum(list_transform(list_zip(kept.v, c{k}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM kept, c{k}) GROUP BY ALL),
+    m{k} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS v FROM (SELECT c, p, CAST(sum(v[p]) AS BIGINT) AS s, count(*) AS n FROM a{k}, range(1, 65) AS x(p) GROUP BY c, p) GROUP BY c),
+    c{k + 1} AS MATERIALIZED (SELECT c, coalesce(m{k}.v, c{k}.v) AS v FROM c{k} LEFT JOIN m{k} USING (c)),"""
+
+
+ORACLE_SQL["op11_centroid_clusters"] = f"""
+    WITH kept AS MATERIALIZED (
+        SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept ORDER BY h LIMIT 16)),
+    {"".join(_round(k) for k in range(4))}
+    final AS (SELECT vec_id, c, d, sum(d) OVER (PARTITION BY c) AS cluster_inertia, sum(d) OVER () AS inertia FROM a3)
+    SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(cluster_inertia AS BIGINT) AS cluster_inertia, CAST(inertia AS BIGINT) AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+    FROM final JOIN c3 USING (c)"""
