@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmend.llm.token_files import _binary, _bytes, _gathered
+from seriesmend.llm.token_files import BYTE_LEVEL, _binary, _bytes, _gathered
 from seriesmend.llm.vocab import default_path
 from seriesmend.runtime import arrow_map, worker_object, written
 
 SIZE, END_ID = 1024, 0
 #: Entries in each of the two generations of a worker's cache, bytes of a piece in it, bytes of texts that are encoded at once.
-CACHE, LONGEST, AT_ONCE = 200_000, 48, 4 << 20
+CACHE, LONGEST, AT_ONCE = 150_000, 48, 4 << 20
 #: Texts on which pieces must give the library's ids.
 PROBE = [
     "", " ", "a b", "  a", " a\n b ", "a  b   c", "x\n\n  y\n", "a \n b\t c", "it's  1\t2!", "we'VE I'll'd 's 'tis '' a'", "É a\r\n", "naïve Straße ŉ ſ İ ª ² x́", "Word, word; (WORD) [word]... \"Word\"!? -- a.b,c",
@@ -37,8 +38,9 @@ PROBE = [
 class ByteEncoder:
     """Encodes texts as the tokenizers library does with a byte-level vocabulary, through a cache of pieces.
 
-    The splitting pattern of such vocabularies never joins what stands before a space that a printable ASCII character follows with what comes after, nor an ASCII letter or digit with ASCII punctuation behind it. Texts are cut there, all at once
-    in their buffer, and Python handles distinct pieces only. PROBE tries that against the library; where it fails, and for texts that hold a special string, the library encodes whole texts.
+    The splitting pattern of such vocabularies never joins what stands before a space that no white space follows with what comes after; a line end or tab before something else is a token by itself; and an ASCII or Latin-1 letter or ASCII digit isn't joined with ASCII
+    punctuation behind it. Texts are cut there, all at once in their buffer, and Python handles distinct pieces only; those of letters alone go straight to the library's model. PROBE tries that against the library; where it fails, and for texts that hold a special
+    string, the library encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -47,6 +49,7 @@ class ByteEncoder:
 
         self.model = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.model.get_vocab_size(True) <= 1 << 16 else "<u4")
+        self.tokens = self.model.model.tokenize
         self.special = sorted({t.content for t in self.model.get_added_tokens_decoder().values()})
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -55,7 +58,19 @@ class ByteEncoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of self.kind."""
-        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for k in range(0, len(texts), 1000) for e in self.model.encode_batch_fast(texts[k : k + 1000], add_special_tokens=False)]
+
+    def fresh(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces that no cache has. Letters, with a space before them or not, are a single pre-token: they go to the model in the byte-level alphabet."""
+        out: list[bytes | None] = []
+        for p in pieces:
+            letters = p[1:] if p[:1] == b" " else p
+            alone = letters.isalpha() or (text := letters.decode()).isalpha() and max(text) < "\u0250"
+            out.append(array(self.kind.char, [t.id for t in self.tokens(p.decode("latin-1").translate(BYTE_LEVEL))]).tobytes() if alone else None)
+        rest = [i for i, v in enumerate(out) if v is None]
+        for i, v in zip(rest, self.ids([pieces[i].decode() for i in rest]), strict=True):
+            out[i] = v
+        return out
 
     def known(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of pieces. What the younger generation lacks comes into it; it grows old at CACHE entries."""
@@ -66,7 +81,7 @@ class ByteEncoder:
             found[i] = self.older.get(pieces[i])
             if found[i] is None:
                 fresh.append(i)
-        for i, v in zip(fresh, self.ids([pieces[i].decode() for i in fresh]), strict=True):
+        for i, v in zip(fresh, self.fresh([pieces[i] for i in fresh]), strict=True):
             found[i] = v
         if len(self.cache) > CACHE:
             self.older, self.cache = self.cache, {}
@@ -103,9 +118,12 @@ class ByteEncoder:
             return np.zeros(0, self.kind), np.zeros(len(places), np.int64)
         cut = np.zeros(len(raw) + 1, bool)
         kinds = KINDS[raw]
-        cut[: len(raw) - 1] = (raw[:-1] == 32) & (kinds[1:] > 0)
+        latin = np.flatnonzero((raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)) + 1
+        kinds[latin] = 1  # the last byte of a Latin-1 letter
+        cut[: len(raw) - 1] = SPACE[raw[:-1]] & (kinds[1:] > 0)
+        cut[1 : len(raw)] |= LINE[raw[:-1]] & (kinds[1:] > 0)
         ends = places[places > 0] - 1
-        cut[ends[raw[ends] == 32]] = False  # what follows this space is another text
+        cut[ends[SPACE[raw[ends]]]] = False  # what follows this space is another text
         cut[1 : len(raw)] |= (kinds[1:] == 2) & (kinds[:-1] == 1)
         cut[places] = True
         starts = np.flatnonzero(cut)
@@ -117,8 +135,11 @@ class ByteEncoder:
         return ids, ends[np.searchsorted(starts, places)]
 
 
-#: 1: ASCII letters and digits, 2: other printable ASCII, 0: the rest.
-KINDS = np.array([(1 if chr(c).isalnum() else 2) if 32 < c < 127 else 0 for c in range(256)], np.uint8)
+#: 1: ASCII letters and digits, 2: other printable ASCII, 3: first bytes of characters none of which is white space, 0: the rest.
+KINDS = np.array([(1 if chr(c).isalnum() else 2) if 32 < c < 127 else 3 if 0xC3 <= c <= 0xF4 and c not in (0xE1, 0xE2, 0xE3) else 0 for c in range(256)], np.uint8)
+#: Line ends and tabs, and these and the space.
+LINE = np.isin(np.arange(256), list(b"\t\n\v\f\r"))
+SPACE = LINE | (np.arange(256) == 32)
 
 
 def encoder(path: str) -> ByteEncoder:
