@@ -11,6 +11,8 @@ Batches are of bounded size; a text longer than that is one by itself and takes
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
@@ -170,11 +172,11 @@ def collapsed(words: list[bytes], runs: list[tuple[int, int, int]]) -> bytes:
     return b" ".join([words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()])
 
 
-def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, rewrite: Callable[[object, list[bytes]], list[bytes]] | None = None) -> DataFrame:
     """A row for each row of docs: doc_id, n_words, runs (array of start, length, period by start, then period), collapsed (text of the words that no run holds after its first period, joined by single spaces).
 
     Words are what stands between ASCII white space. A run is a stretch of consecutive words of smallest period q, at least max(least, 3 q) long, that no neighbouring word extends. Null and empty texts have no words, no runs and an empty text. Null ids stay
-    null; repeated rows are judged each; an empty table gives an empty one; no row depends on another. Texts are taken whole. Other columns, whatever their names, aren't read.
+    null; repeated rows are judged each; an empty table gives an empty one; no row depends on another. Texts are taken whole. Other columns, whatever their names, aren't read. rewrite(id, words), if given, says which words a row has instead of its text's.
     """
     run = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "length", "period")])
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(run)), T.StructField("collapsed", T.StringType())])
@@ -182,6 +184,8 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def search(batches):
         for b in batches:
             texts = [(x or "").encode().split() for x in b.column(1).to_pylist()]
+            if rewrite is not None:
+                texts = [rewrite(i, words) for i, words in zip(b.column(0).to_pylist(), texts, strict=True)]
             size, begin = 0, 0
             for k, words in enumerate(texts):
                 size += len(words)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,20 +81,18 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack_sequences(table(spark, sf_dir, "documents")))
 
 
-def with_loops(docs: DataFrame) -> DataFrame:
-    """The contract's planted loops: texts of documents whose id's CRC divides by 10 go on from a word with the same few words again and again."""
-    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    g, words = F.floor(h / 10), F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n = F.size(words)
-    start = (g % n).cast("int")
-    period = (1 + F.floor((n - start) / (3 + g % 8))).cast("int")
-    again = F.flatten(F.array_repeat(F.slice(words, start + 1, period), F.ceil((n - start) / period).cast("int")))
-    loop = F.array_join(F.concat(F.slice(words, F.lit(1), start), F.slice(again, F.lit(1), n - start)), " ")
-    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), loop).otherwise(F.col("text")).alias("text"))
+def with_loop(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's planted loops: words of documents whose id's CRC divides by 10 go on from a place with the same few words again and again."""
+    g, rest = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if doc_id is None or rest or not words:
+        return words
+    start = g % len(words)
+    period = 1 + (len(words) - start) // (3 + g % 8)
+    return words[:start] + (words[start : start + period] * -(-(len(words) - start) // period))[: len(words) - start]
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = periodic.periodic_runs(with_loops(table(spark, sf_dir, "documents")))
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents"), rewrite=with_loop)
     best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, x: F.when(x["length"] * a["period"] > a["length"] * x["period"], x).otherwise(a))
     lines = F.array_join(F.transform("runs", lambda x: F.concat(x["start"].cast("string"), F.lit(","), x["length"].cast("string"), F.lit(","), x["period"].cast("string"), F.lit("\n"))), "")
     return found.withColumn("best", best).select(
