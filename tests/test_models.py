@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seriesmend.operators import graphs
+from seriesmend.operators import graphs, networks, tape
+from seriesmend.operators.tape import Node
+from seriesmend.runtime import written
 from seriesmend.spec import SeriesSpec
 
 ONE = SeriesSpec(("col_1",))
@@ -92,3 +94,139 @@ def test_shape_graph_of_odd_series(spark):
         assert graphs.series2graph(df.where("false"), spec, projection=projection).count() == 0
     with pytest.raises(ValueError, match="running sums"):
         graphs.series2graph(df, spec, length=4, smooth=3)
+
+
+# ---- networks ------------------------------------------------------------------------------------------------------
+
+
+def numeric_gradients(loss, weights, names, eps=1e-6):
+    out = {}
+    for k in names:
+        g = np.zeros_like(weights[k])
+        for at in np.ndindex(g.shape):
+            near = {n: v.copy() for n, v in weights.items()}
+            near[k][at] += eps
+            high = loss(near)
+            near[k][at] -= 2 * eps
+            g[at] = (high - loss(near)) / (2 * eps)
+        out[k] = g
+    return out
+
+
+def check_gradients(network, x, turn=3, names=None):
+    weights = network.start(np.random.default_rng(5), x.shape[1], x.shape[2])
+    for which, (_, wanted) in enumerate(network.losses({k: Node(v) for k, v in weights.items()}, x, turn)):
+        p = {k: Node(v) for k, v in weights.items()}
+        top, _ = network.losses(p, x, turn)[which]
+        tape.backward(top)
+        some = [k for k in wanted if names is None or k in names]
+        plain = numeric_gradients(lambda w: float(network.losses({k: Node(v) for k, v in w.items()}, x, turn)[which][0].value), weights, some)
+        for k in some:
+            assert np.allclose(p[k].grad, plain[k], rtol=1e-4, atol=1e-6), k
+
+
+def test_tape_against_differences():
+    rng = np.random.default_rng(0)
+    a, b, c = rng.standard_normal((2, 3, 4)), rng.standard_normal((4, 5)), rng.standard_normal(5)
+
+    def made(p):
+        y = tape.softmax(tape.tanh(p["a"] @ p["b"] + p["c"]))
+        z = tape.joined([y[:, :, 1:3], tape.sigmoid(p["a"].swap(1, 2).reshape(2, 3, 4))[:, :, :2] * p["c"][:2]], 2)
+        return (tape.squares(z - 0.3) * tape.exp(p["c"][1:2])).sum() + tape.relu(p["b"]).sum()
+
+    weights = {"a": a, "b": b, "c": c}
+    p = {k: Node(v) for k, v in weights.items()}
+    tape.backward(made(p))
+    plain = numeric_gradients(lambda w: float(made({k: Node(v) for k, v in w.items()}).value), weights, weights)
+    for k in weights:
+        assert np.allclose(p[k].grad, plain[k], atol=1e-6), k
+
+
+def test_network_gradients():
+    x = np.random.default_rng(1).random((6, 4, 2))
+    check_gradients(networks.AutoEncoder((7, 3)), x)
+    check_gradients(networks.AutoEncoder((5,), unit=True), x)
+    check_gradients(networks.Usad(6, 3, rounds=2), x)
+
+
+def waves(samples, n, features=1, seed=0):
+    rng = np.random.default_rng(seed)
+    out = {}
+    for s in range(samples):
+        t = np.arange(n) + rng.integers(100)
+        out[s] = np.stack([np.sin(t / (3 + k)) + 0.05 * rng.standard_normal(n) for k in range(features)], axis=1)
+    return out
+
+
+def test_window_blocks_hold_every_window_once(spark):
+    spec = SeriesSpec(("col_1", "b"))
+    series = {1: [(t, -t) for t in range(25)], 2: [(t * t, None if t == 3 else 1) for t in range(7)], 3: [(1, 2)] * 4, None: [(5 * t, t) for t in range(9)]}
+    df = table(spark, series, spec).repartition(5)
+    for length, block in ((5, 8), (1, 4), (7, 7), (5, 512)):
+        blocks = networks.window_blocks(df, spec, length, batches=3, block=block)
+        got = sorted(((str(r["sample"]), r.begin + k, x.tolist()) for r in blocks.table.collect() for k, x in enumerate(np.lib.stride_tricks.sliding_window_view(np.array(r["values"]).reshape(-1, 2), length, axis=0).swapaxes(1, 2))), key=str)
+        filled = {s: np.array([[v if v is not None else 1 for v in row] for row in x], float) for s, x in series.items()}
+        assert got == sorted(((str(s), t, x[t : t + length].tolist()) for s, x in filled.items() for t in range(len(x) - length + 1)), key=str)
+
+
+@pytest.mark.parametrize("network,scaling", [(networks.AutoEncoder((8, 3)), "all"), (networks.Usad(8, 3), "range")])
+def test_training_is_that_of_one_process(spark, network, scaling):
+    """The same losses and weights as plain numpy, at 1 and at 8 tasks, and with gradients that tasks add up first."""
+    series = waves(9, 60)
+    df = table(spark, {s: x[:, 0].tolist() for s, x in series.items()})
+    shared = networks.window_blocks(df, ONE, 6, scaling, batches=2, block=20)
+    rows = shared.table.select("batch", "values").collect()
+    parts = [np.concatenate([np.lib.stride_tricks.sliding_window_view(np.array(r["values"])[:, None], 6, axis=0).swapaxes(1, 2) for r in rows if r.batch == k]) for k in range(2)]
+    weights, adam, history = network.start(np.random.default_rng(1), 6, 1), networks.Adam(0.02), []
+    for turn in range(8):
+        s, g = networks.gradients(network, weights, parts[turn % 2], turn)
+        n = len(parts[turn % 2])
+        history.append([v / n for v in s])
+        weights = adam.step(weights, {k: v / n for k, v in g.items()})
+    whole = shared.table
+    for n, few in ((1, 16), (8, 16), (8, 1)):
+        shared.table = written(whole.repartition(n), "test-blocks")
+        networks.FEW = few
+        got = networks.train(shared, network, 8, 0.02)
+        networks.FEW = 16
+        assert np.allclose(got.history, history, rtol=1e-9)
+        assert all(np.allclose(got.weights[k], weights[k], rtol=1e-7, atol=1e-9) for k in weights)
+    assert scaling == "range" or history[-1][0] < history[0][0]  # the other one is a contest
+
+
+@pytest.mark.parametrize("detect,features", [(networks.autoencoder, 1), (networks.usad, 1), (networks.usad, 2), (networks.window_mean_autoencoder, 2)])
+def test_network_detectors(spark, detect, features):
+    series = waves(6, 150, features, seed=3)
+    for s in range(6):
+        series[s][80 + s : 84 + s] += 3
+    spec = SeriesSpec(tuple(f"col_{k + 1}" for k in range(features)))
+    data = {s: [tuple(r) for r in x.tolist()] for s, x in series.items()} | {90: [(None,) * features] * 30, 91: [(1.0,) * features] * 3}
+    df = table(spark, data, spec)
+    got = detect(df, spec)
+    assert got.count() == df.count() and got.where("score IS NULL").count() == 0
+    found = scores(got)
+    assert sum(70 + s <= int(found[s].argmax()) <= 105 + s for s in range(6)) >= 5
+    assert not found[91].any()
+    assert detect(df.where("false"), spec).count() == 0
+
+
+def test_cae_m_repair(spark):
+    series = waves(5, 120, 2, seed=4)
+    clean = {s: x.copy() for s, x in series.items()}
+    dirty = {s: [list(r) for r in x.tolist()] for s, x in series.items()}
+    for s in dirty:
+        for t in range(50, 54):
+            dirty[s][t][0] += 6
+        dirty[s][20][1] = None
+    spec = SeriesSpec(("col_1", "col_2"))
+    df = table(spark, dirty | {77: [[1.0, None], [2.0, 3.0]]}, spec)
+    got = {}
+    for r in networks.cae_m_repair(df, spec).collect():
+        got[r.sample_id, r.t] = (r.col_1, r.col_2)
+    assert len(got) == 602 and all(v is not None for r in got.values() for v in r)
+    before = sum(abs(dirty[s][t][0] - clean[s][t, 0]) for s in range(5) for t in range(50, 54))
+    after = sum(abs(got[s, t][0] - clean[s][t, 0]) for s in range(5) for t in range(50, 54))
+    assert after < 0.7 * before
+    same = sum(got[s, t] == tuple(dirty[s][t]) for s in range(5) for t in range(120))
+    assert same >= 0.9 * 600
+    assert got[77, 1] == (2.0, 3.0) and got[77, 0][0] == 1.0
