@@ -259,12 +259,12 @@ def row_reconstructions(blocks: Blocks, rebuild: Callable[[np.ndarray], np.ndarr
     return parts.groupBy("sample", "t").agg(F.array(*mean).alias("rebuilt"))
 
 
-def repair_by_reconstruction(df: DataFrame, spec: SeriesSpec, length: int, make: Callable[[Blocks], Trained], contamination: float = 0.05) -> DataFrame:
+def repair_by_reconstruction(df: DataFrame, spec: SeriesSpec, length: int, make: Callable[[Blocks], Trained], contamination: float = 0.05, batches: int = 4) -> DataFrame:
     """Rows whose scaled reconstruction is furthest off (above the series' 1 - contamination quantile of mean squares) or that miss a cell get the reconstruction. Missing cells are the table's medians
     (approximate: within a ten-thousandth of the rows) for the network; in series shorter than a window they stay that. A series whose rows are all rebuilt alike keeps its rows."""
     middle = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 10_000).alias(c) for c in spec.features]).first()
     fill = {c: middle[c] if middle[c] is not None else 0.0 for c in spec.features}
-    blocks = window_blocks(df, spec, length, "all", batches=4, fill=fill)
+    blocks = window_blocks(df, spec, length, "all", batches=batches, fill=fill)
     trained = make(blocks)
     found = row_reconstructions(blocks, lambda x: trained.network.rebuild(trained.nodes(), x).value).withColumnsRenamed({"sample": "__sample", "t": "__t", "rebuilt": "__rebuilt"})
     rows = df.join(found, F.col(spec.sample).eqNullSafe(F.col("__sample")) & (F.col(spec.t) == F.col("__t")), "left")
@@ -329,9 +329,9 @@ class AutoEncoder(Network):
 
 
 class Usad(Network):
-    """Two auto-encoders that share their encoder: the first learns to rebuild windows and to get past the second, the second to rebuild windows and to tell what the first has rebuilt (after Audibert et al., KDD 2020). Windows are 0 to 1."""
+    """Two auto-encoders that share their encoder: the first learns to rebuild windows and to get past the second, the second to rebuild windows and to tell what the first has rebuilt (after Audibert et al., KDD 2020). Windows are 0 to 1. The contest has half of the weight at first, and more after each `rounds`."""
 
-    def __init__(self, hidden: int = 16, latent: int = 5, rounds: int = 10):
+    def __init__(self, hidden: int = 16, latent: int = 5, rounds: int = 40):
         self.hidden, self.latent, self.rounds = hidden, latent, rounds
 
     def start(self, rng, length, features):
@@ -353,7 +353,7 @@ class Usad(Network):
 
     def losses(self, p, x, turn):
         flat, first, second, both = self.parts(p, x)
-        share = 1 / (1 + turn // self.rounds + 1)  # the contest weighs more with time
+        share = 1 / (2 + turn // self.rounds)
         off = lambda y: tape.squares(y - flat).sum() * (1 / flat.shape[1])
         names = lambda kinds: [k for k in p if k[0] in kinds]
         return [(off(first) * share + off(both) * (1 - share), names("ea")), (off(second) * share - off(both) * (1 - share), names("eb"))]
@@ -363,26 +363,26 @@ class Usad(Network):
         return 0.1 * ((first.value - flat) ** 2).mean(axis=1) + 0.9 * ((both.value - flat) ** 2).mean(axis=1)
 
 
-def autoencoder(df: DataFrame, spec: SeriesSpec, window: int | None = None, hidden: tuple[int, ...] = (64, 32), rounds: int = 30, rate: float = 0.005, seed: int = 1) -> DataFrame:
+def autoencoder(df: DataFrame, spec: SeriesSpec, window: int | None = None, hidden: tuple[int, ...] = (64, 32), rounds: int = 30, rate: float = 0.005, seed: int = 1, batches: int = 4) -> DataFrame:
     """The table with `score`: the distance between each window (20 rows of one feature, single rows of several), brought to 0 to 1, and what an auto-encoder of all series' windows makes of it; windows stand for their middle row."""
     window = window or (20 if len(spec.features) == 1 else 1)
-    blocks = window_blocks(df, spec, window, batches=4)
+    blocks = window_blocks(df, spec, window, batches=batches)
     trained = train(blocks, AutoEncoder(hidden, unit=True), rounds, rate, seed)
     return row_scores(df, spec, window_scores(blocks, lambda x: trained.network.errors(trained.nodes(), x)), window)
 
 
-def usad(df: DataFrame, spec: SeriesSpec, window: int = 5, rounds: int = 30, rate: float = 0.01, seed: int = 1) -> DataFrame:
+def usad(df: DataFrame, spec: SeriesSpec, window: int = 5, rounds: int = 40, rate: float = 0.01, seed: int = 1, batches: int = 4) -> DataFrame:
     """The table with `score` by USAD over windows of series brought to 0 to 1; windows stand for their middle row."""
-    blocks = window_blocks(df, spec, window, "range", batches=4)
-    trained = train(blocks, Usad(rounds=max(1, rounds // 10)), rounds, rate, seed)
+    blocks = window_blocks(df, spec, window, "range", batches=batches)
+    trained = train(blocks, Usad(), rounds, rate, seed)
     return row_scores(df, spec, window_scores(blocks, lambda x: trained.network.errors(trained.nodes(), x)), window)
 
 
-def window_mean_autoencoder(df: DataFrame, spec: SeriesSpec, window: int = 10, hidden: int = 32, rounds: int = 30, rate: float = 0.005, seed: int = 1) -> DataFrame:
+def window_mean_autoencoder(df: DataFrame, spec: SeriesSpec, window: int = 10, hidden: int = 32, rounds: int = 30, rate: float = 0.005, seed: int = 1, batches: int = 4) -> DataFrame:
     """The table with `score`: the greatest gap, over features, between the means of the `window` rows before a row and what an auto-encoder with one hidden layer makes of them. The first `window` rows have 0."""
     means = impute_linear(df.select(*spec.keys, *spec.features), spec)
     means = means.withColumns({c: F.avg(c).over(spec.rows(window, -1)) for c in spec.features}).where(F.col(spec.t) >= window).withColumn(spec.t, F.col(spec.t) - window)
-    blocks = window_blocks(means, spec, 1, "all", batches=4)
+    blocks = window_blocks(means, spec, 1, "all", batches=batches)
     trained = train(blocks, AutoEncoder((hidden,)), rounds, rate, seed)
     spread = blocks.spread
     found = window_scores(blocks, lambda x: (np.abs(trained.network.rebuild(trained.nodes(), x).value - x) * spread).max(axis=(1, 2)))
@@ -391,6 +391,6 @@ def window_mean_autoencoder(df: DataFrame, spec: SeriesSpec, window: int = 10, h
     return rows.withColumn("score", F.coalesce("score", F.lit(0.0))).drop("__sample", "__at")
 
 
-def cae_m_repair(df: DataFrame, spec: SeriesSpec, window: int = 10, latent: int = 8, rounds: int = 30, rate: float = 0.005, contamination: float = 0.05, seed: int = 1) -> DataFrame:
+def cae_m_repair(df: DataFrame, spec: SeriesSpec, window: int = 10, latent: int = 8, rounds: int = 30, rate: float = 0.005, contamination: float = 0.05, seed: int = 1, batches: int = 4) -> DataFrame:
     """Rows that an auto-encoder of all series' windows rebuilds worst get what it makes of them (repair_by_reconstruction)."""
-    return repair_by_reconstruction(df, spec, window, lambda blocks: train(blocks, AutoEncoder((128, latent)), rounds, rate, seed), contamination)
+    return repair_by_reconstruction(df, spec, window, lambda blocks: train(blocks, AutoEncoder((128, latent)), rounds, rate, seed), contamination, batches)

@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmend.operators import graphs
+from seriesmend.operators import graphs, networks, recurrent
 from seriesmend.registry import EV, LINEAR, R, ev, r6
 from seriesmend.runtime import prepare
+from seriesmend.sources import series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -84,3 +85,62 @@ def _(spark, sf):
 def _(spark, sf):
     d, s = ev(spark, sf)
     return graphs.series2graph(d, s).select("sample_id", "t", "score")
+
+
+# ---- networks ------------------------------------------------------------------------------------------------------
+
+
+def months(spark, sf):
+    return series.supplier_months(spark, sf)
+
+
+def _scores(found):
+    return found.select("sample_id", "t", "score")
+
+
+@query("detect_autoencoder")
+def _(spark, sf):
+    return _scores(networks.autoencoder(*ev(spark, sf)))
+
+
+@query("detect_usad")
+def _(spark, sf):
+    return _scores(networks.usad(*months(spark, sf)))
+
+
+@query("detect_window_means")
+def _(spark, sf):
+    return _scores(networks.window_mean_autoencoder(*months(spark, sf)))
+
+
+@query("detect_lstm")
+def _(spark, sf):
+    return _scores(recurrent.lstm_detector(*ev(spark, sf), window=10))
+
+
+@query("detect_catch")
+def _(spark, sf):
+    return _scores(recurrent.catch(*months(spark, sf), window=16))
+
+
+@query("detect_tranad")
+def _(spark, sf):
+    return _scores(recurrent.tranad(*months(spark, sf)))
+
+
+@query("repair_cae_m")
+def _(spark, sf):
+    return networks.cae_m_repair(*ev(spark, sf)).select("sample_id", "t", "col_1")
+
+
+@query("repair_lstm_sequence")
+def _(spark, sf):
+    return recurrent.lstm_sequence_repair(*ev(spark, sf)).select("sample_id", "t", "col_1")
+
+
+@query("forecast_lstm")
+def _(spark, sf):
+    """A forecaster of the users with even ids' events, judged on all users'; both halves hold whole series."""
+    d, s = ev(spark, sf)
+    score = recurrent.lstm_forecast_score(d.where("sample_id % 2 = 0"), d, s, window=12, horizon=3)
+    return spark.createDataFrame([(score,)], "score double")
