@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmend.operators import graphs, networks, recurrent
+from seriesmend.operators import graphs, kshape, networks, recurrent
 from seriesmend.registry import EV, LINEAR, R, ev, r6
 from seriesmend.runtime import prepare
 from seriesmend.sources import series
@@ -144,3 +145,21 @@ def _(spark, sf):
     d, s = ev(spark, sf)
     score = recurrent.lstm_forecast_score(d.where("sample_id % 2 = 0"), d, s, window=12, horizon=3)
     return spark.createDataFrame([(score,)], "score double")
+
+
+# ---- shapes --------------------------------------------------------------------------------------------------------
+
+
+@query("detect_sand")
+def _(spark, sf):
+    return _scores(kshape.sand(*ev(spark, sf), pattern=6))
+
+
+@query("sand_batches")
+def _(spark, sf):
+    """All users' events in the batches of their first 24 rows, the next 24 and so on."""
+    d, s = ev(spark, sf)
+    last = d.agg(F.max("t")).first()[0]
+    parts = (d.where(F.floor(F.col("t") / 24) == k) for k in range((last or 0) // 24 + 1))
+    found = [_scores(scored) for scored, _ in kshape.sand_batches(parts, s, 12, 6, k=4, stride=3, rounds=4)]
+    return reduce(DataFrame.unionByName, found)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seriesmend.operators import detect, graphs, metrics, networks, recurrent, tape
+from seriesmend.operators import detect, graphs, kshape, metrics, networks, recurrent, tape
 from seriesmend.operators.tape import Node
 from seriesmend.plans import policy
 from seriesmend.runtime import written
@@ -280,3 +280,86 @@ def test_catch_finds_a_broken_correlation(spark):
     share = lambda found: metrics.detection_metrics(found.join(label, ["sample_id", "t"]), spec).agg(F.avg("vus_pr")).first()[0]
     got = share(recurrent.catch(df, spec, window=16, batches=1))
     assert got > share(detect.pca(df, spec, 16)) and got > share(detect.pca(df, spec, 1))
+
+
+# ---- shapes --------------------------------------------------------------------------------------------------------
+
+
+def plain_correlation(x, y):
+    """(greatest normalised cross-correlation, shift) by trying all shifts."""
+    n = len(x)
+    best = (-np.inf, 0)
+    for s in range(-(n - 1), n):
+        v = sum(x[t + s] * y[t] for t in range(n) if 0 <= t + s < n)
+        if v > best[0] + 1e-9:
+            best = (v, s)
+    norm = np.linalg.norm(x) * np.linalg.norm(y)
+    return (best[0] / norm if norm else 0.0), best[1]
+
+
+def test_shape_distance_by_all_shifts():
+    rng = np.random.default_rng(3)
+    x, y = kshape.standard(rng.standard_normal((20, 11))), kshape.standard(rng.standard_normal((4, 11)))
+    x[3] = 0
+    near, shift = kshape.correlations(x, y)
+    for i in range(20):
+        for j in range(4):
+            v, s = plain_correlation(x[i], y[j])
+            assert abs(near[i, j] - v) < 1e-9 and (i == 3 or shift[i, j] == s)
+    moved = kshape.aligned(x, np.array([2] * 10 + [-3] * 10))
+    assert (moved[0, :9] == x[0, 2:]).all() and not moved[0, 9:].any() and (moved[15, 3:] == x[15, :-3]).all()
+
+
+def test_k_shape_is_that_of_one_process(spark):
+    series = waves(8, 90, seed=6)
+    df = table(spark, {s: (np.sign(x) if s % 2 else x)[:, 0].tolist() for s, x in series.items()})
+    blocks = networks.window_blocks(df, ONE, 16, block=40)
+    shapes, sums = kshape.k_shape(blocks, 3, stride=3, rounds=4)
+    # the last round by hand: windows to the nearest of the shapes that it was started with
+    rows = blocks.table.collect()
+    x = kshape.standard(np.array([w for r in rows for k, w in enumerate(np.lib.stride_tricks.sliding_window_view(np.array(r["values"]), 16)) if (r.begin + k) % 3 == 0]))
+    near, shift = kshape.correlations(x, shapes)
+    label = near.argmax(axis=1)
+    take = lambda v: np.take_along_axis(v, label[:, None], axis=1)[:, 0]
+    plain = kshape.Sums.of(kshape.cluster_sums(x, label, shapes, take(shift), take(near)), len(shapes), 16)
+    assert sums.n.sum() == len(x) == 8 * 25 and sums.n.tolist() == plain.n.tolist()
+    for a in ("far", "total", "products"):
+        assert np.allclose(getattr(sums, a), getattr(plain, a))
+    blocks.table = written(blocks.table.repartition(7), "test-blocks")
+    assert np.allclose(kshape.k_shape(blocks, 3, stride=3, rounds=4)[0], shapes, atol=1e-6)
+    best = kshape.shape_of(sums.products[0], sums.total[0])
+    mine = kshape.aligned(x[label == 0], take(shift)[label == 0])
+    mine = mine - mine.mean(axis=1, keepdims=True)
+    assert ((mine @ best) ** 2).sum() >= max(((mine @ kshape.standard(v)) ** 2).sum() for v in [*mine, shapes[0]]) - 1e-6
+
+
+def test_sand_batches_and_stream_agree(spark, tmp_path):
+    series = {s: x[:, 0].tolist() for s, x in waves(4, 240, seed=7).items()}
+    for s in range(4):
+        series[s][200 + 4 * s : 206 + 4 * s] = [2.0, -2.0] * 3
+    df = table(spark, series)
+    parts = [df.where(F.col("t").between(80 * k, 80 * k + 79)).orderBy("sample_id", "t") for k in range(3)]
+    for k, p in enumerate(parts):
+        p.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    how = dict(length=16, pattern=6, k=3, stride=2, rounds=4)
+    want, models = [], []
+    for scored, model in kshape.sand_batches(parts, ONE, **how):
+        want += [(r.sample_id, r.t, round(r.score, 6)) for r in scored.collect()]
+        models.append(model)
+    assert len(want) == 960 and models[-1].batch == 3 and sum(models[-1].n) == 3 * 4 * 33
+    top = sorted(want, key=lambda r: -r[2])[:20]
+    assert sum(195 + 4 * s <= t <= 222 + 4 * s for s, t, _ in top) >= 15
+    files = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = kshape.sand_stream(files, ONE, f"file://{tmp_path}/out", **how).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = [(r.sample_id, r.t, round(r.score, 6)) for r in spark.read.parquet(f"file://{tmp_path}/out/scores").collect()]
+    assert sorted(got) == sorted(want)
+    last = kshape.ShapeModel.load(spark, f"file://{tmp_path}/out/models", 3)
+    assert np.allclose(last.shapes, models[-1].shapes, atol=1e-6) and np.allclose(last.weight, models[-1].weight)
+
+
+def test_sand_of_odd_series(spark):
+    df = table(spark, {1: [math.sin(t / 3) for t in range(100)], 2: [None] * 50, 3: [1.0], None: [float(t % 4) for t in range(64)]})
+    got = kshape.sand(df, ONE, 6)
+    assert got.count() == 215 and got.where("score IS NULL OR isnan(score)").count() == 0
+    assert kshape.sand(df.where("false"), ONE, 6).count() == 0
