@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -68,8 +69,13 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
     """mapInArrow with fn yielding dicts of columns (lists or Arrow arrays)."""
     prepare(df.sparkSession)
     kinds = to_arrow_schema(schema)
+    names = df.columns
+    plain = not any(c in n for n in names for c in ".`")
+    if not plain:  # Spark would look for fields in such columns
+        df = df.toDF(*[f"c{k}" for k in range(len(names))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = batches if plain else (pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
         for cols in fn(batches):
             arrays = []
             for f in kinds:
@@ -81,6 +87,11 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
     return df.mapInArrow(run, schema)
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever is in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have (names are compared without case, as Spark does)."""
     have = {c.lower() for c in df.columns}
