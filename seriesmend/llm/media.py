@@ -35,8 +35,8 @@ HOT, OWNED, OFTEN = 256, 50_000, 1000
 REMEMBERED = 200_000
 #: Payload bytes of a bucket of the store.
 BUCKET = 16 << 20
-#: Texts from which the compression dictionary is made, its bytes, and the level. They change sizes only.
-SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY, LEVEL = 1500, 1 << 15, 1 << 16, 9
+#: Distinct texts and chunks from which the compression dictionary is made, its bytes, and the level. They change what is stored, and with it media_bytes and media_sha256, but by what rows there are alone.
+SAMPLE_ROWS, SAMPLE_CHUNKS, DICTIONARY, LEVEL = 1500, 2500, 1 << 16, 9
 HEADER = struct.Struct("<4sII")
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([c]), 9) for c in range(256)], np.uint32)
 
@@ -104,11 +104,21 @@ def _lists(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def dictionary_of(docs: DataFrame, text_col: str) -> bytes:
-    """A zstd dictionary from the chunks of at most SAMPLE_ROWS texts (SAMPLE_CHARS of each: a dictionary is for size alone); empty where they are too few."""
+    """A zstd dictionary from whole chunks, chosen by hashes alone, so that no order or split of the rows changes it: the SAMPLE_CHUNKS of least digest among the chunks of the SAMPLE_ROWS distinct texts of least hash. Empty where they are too few."""
     import zstandard
 
-    texts = docs.select(F.left(F.col(text_col), F.lit(SAMPLE_CHARS))).where(F.col(text_col).isNotNull()).take(SAMPLE_ROWS)
-    samples = [c for (t,) in texts for c in chunks(payload_of(t))]
+    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash")).where(F.col(text_col).isNotNull())
+    least = [r[0] for r in texts.select("hash").distinct().orderBy("hash").limit(SAMPLE_ROWS).collect()]
+    chosen = texts.where(F.col("hash").isin(least)).groupBy("hash").agg(F.min("text").alias("text"))
+    schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("chunk", T.BinaryType())])
+
+    def cut(batches):
+        for b in batches:
+            found = [c for t in b.column(0).to_pylist() for c in chunks(payload_of(t))]
+            yield {"digest": [digest_of(c) for c in found], "chunk": found}
+
+    rows = arrow_map(chosen.select("text"), cut, schema).dropDuplicates(["digest"]).orderBy("digest").limit(SAMPLE_CHUNKS).collect()  # SAMPLE_CHUNKS of MOST bytes
+    samples = [bytes(r["chunk"]) for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes() if len(samples) >= 100 else b""
     except zstandard.ZstdError:
