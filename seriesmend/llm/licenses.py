@@ -8,6 +8,9 @@ Phrases that must be exact are found as words among words.
 
 from __future__ import annotations
 
+import bisect
+import heapq
+
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
@@ -57,29 +60,45 @@ class NoticeScanner:
         return sorted(found)
 
     def fuzzy(self, line: bytes) -> list[tuple[int, int, str, int]]:
-        """(start, end, label, edits) of notices within their bounds, each place of a candidate once."""
+        """(start, end, label, edits) of notices within their bounds, which don't overlap for one notice: the one of fewest edits is taken first, of equal ones the first, then what lies beside it is searched.
+
+        Each seed has a window of its own, as long as the notice and its edits; seeds that say the same of where the notice starts share it. A window is searched again only where a match that was taken cuts into it, so that work grows with the seeds."""
         found = []
         for label, size, most, seeds, pattern in self.notices:
-            reach: list[list[int]] = []
+            starts: set[int] = set()
             for at, seed in seeds:
                 place = line.find(seed)
                 while place >= 0:
-                    reach.append([max(0, place - at - most - 1), min(len(line), place - at + size + most + 1)])
+                    starts.add(place - at)
                     place = line.find(seed, place + 1)
-            reach.sort()
-            merged: list[list[int]] = []
-            for a, b in reach:
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-            # the best match of a range may come after others: what lies before and behind it is searched as well
-            while merged:
-                a, b = merged.pop()
+            heap: list[tuple[int, int, int, int, int]] = []
+
+            def look(a: int, b: int, pattern=pattern, heap=heap) -> None:
                 m = pattern.search(line, a, b)
                 if m:
-                    found.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
-                    merged += [[a, min(b, m.start())], [m.end(), b]]
+                    heapq.heappush(heap, (sum(m.fuzzy_counts), m.start(), m.end(), a, b))
+
+            for s in sorted(starts):
+                look(max(0, s - most - 1), min(len(line), s + size + most + 1))
+            begins: list[int] = []
+            ends: list[int] = []
+            while heap:
+                edits, start, end, a, b = heapq.heappop(heap)
+                k = bisect.bisect_right(ends, start)  # the first taken match that ends behind the start
+                if k == len(begins) or begins[k] >= end:
+                    begins.insert(k, start)
+                    ends.insert(k, end)
+                    found.append((start, end, label, edits))
+                    continue
+                # what taken matches leave of the window
+                k = bisect.bisect_right(ends, a)
+                while k < len(begins) and begins[k] < b:
+                    if begins[k] > a:
+                        look(a, begins[k])
+                    a = max(a, ends[k])
+                    k += 1
+                if a < b:
+                    look(a, b)
         return sorted(found)
 
 
