@@ -22,14 +22,15 @@ never shuffled but for those of labelled texts.
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from math import log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesmend.runtime import discard, shared_dir, unused, written
+from seriesmend.runtime import columns_of, discard, shared_dir, unused, written
 
 MAX_LABELLED = 10_000
 #: A word tells a domain if LEAST_TEXTS labelled texts have it; if in the domain LEAST_SHARE of the texts have it or, at the mean share,
@@ -41,6 +42,8 @@ DIGITS = 3
 STEPS, TOLERANCE = 200, 1e-5
 #: Cells of which rates are broadcast; with more, each row folds its own rate.
 MOST_CELLS = 100_000
+#: Repeated rows that are dealt as one, about.
+GROUP = 100_000
 #: Targets in all are this much over the least total at which no domain with a target loses tokens.
 HEADROOM = 1.02
 SYMBOLS = "!#$%&*|=<>@^~"
@@ -151,10 +154,10 @@ def with_posteriors(docs: DataFrame, model: Classifier, text_col: str, tokens: s
     rows = rows.withColumns({words: space_words(F.col(text)), letters: letter_words(F.col(text))})
     found = F.array_intersect(F.concat(F.col(letters), F.array(*traits(F.col(text), F.col(words)))), told)
     places = F.transform(found, lambda w: F.array_position(told, w).cast("int") - 1)
-    rows = rows.select(*docs.columns, F.size(words).cast("long").alias(tokens), F.size(letters).alias(letters), places.alias(hits))
+    rows = rows.select(*columns_of(docs), F.size(words).cast("long").alias(tokens), F.size(letters).alias(letters), places.alias(hits))
     total = lambda k, first: F.aggregate(hits, first, _adding(constant([w[k] for w in model.words.values()], "double")))
     bad = total(0, F.lit(float(model.bad_prior))) + F.lit(float(model.other)) * F.col(letters)
-    rows = rows.select(*docs.columns, tokens, F.array(bad, *[total(k + 1, F.lit(float(model.prior[k]))) for k in d]).alias(scores))
+    rows = rows.select(*columns_of(docs), tokens, F.array(bad, *[total(k + 1, F.lit(float(model.prior[k]))) for k in d]).alias(scores))
     at = lambda k: F.get(scores, F.lit(k))
     share = {}
     for kind, sign in (([k for k in d if k not in model.unwanted], 1), (model.unwanted, -1)):
@@ -165,7 +168,7 @@ def with_posteriors(docs: DataFrame, model: Classifier, text_col: str, tokens: s
         whole = sum(weight[1:], weight[0])
         part = 1 / (1 + F.exp(sign * at(0))) if model.unwanted else F.lit(1.0)
         share |= {k: w / whole * part for k, w in zip(kind, weight, strict=True)}
-    return rows.select(*docs.columns, tokens, *[F.round(share[k], DIGITS).alias(f"{p}{k}") for k in d])
+    return rows.select(*columns_of(docs), tokens, *[F.round(share[k], DIGITS).alias(f"{p}{k}") for k in d])
 
 
 def _adding(values: Column):
@@ -264,6 +267,8 @@ def rates(rows: DataFrame, model: Classifier, targets: Mapping[str, float], toke
     few = cells.count() <= MOST_CELLS
     cells = written(cells.coalesce(1), "cells") if few else cells  # each step reads them
     found = solve(cells, [max(targets.get(d, 0.0), 0.0) / whole for d in model.domains], total)
+    if not found.settled:
+        warnings.warn(f"rates didn't settle: expected tokens are {found.residual:.1%} of the total off their targets", stacklevel=3)
     if not few:
         return rows.withColumn(rate, found.rate(names)), found
     mine = [unused(rows, f"mix_cell{k}") for k in range(len(keys))]
@@ -277,7 +282,8 @@ def rates(rows: DataFrame, model: Classifier, targets: Mapping[str, float], toke
 
 def with_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", total: float | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """One row for each row of docs: doc_id, tokens, domain (the likeliest; the first by name of equals), posterior (map), rate, and of that
-    domain target_tokens and expected_tokens (what all rates give it).
+    domain target_tokens and expected_tokens (what all rates give it), and residual (by how much all expected tokens miss their targets,
+    as a share of the total). A solution that didn't settle is warned of.
 
     labelled: (id, domain); ids that docs lacks, null ids and null domains teach nothing. targets: share of tokens for each domain; they are
     scaled to 1, and a domain without one has 0. total: target tokens in all; by default the least total at which every domain with a target
@@ -292,24 +298,37 @@ def with_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float
     first = lambda values: F.coalesce(*[F.when(x == best, F.lit(v)) for x, v in zip(p, values, strict=True)])
     posterior = F.create_map(*[y for x, d in zip(p, model.domains, strict=True) for y in (F.lit(d), x)])
     sums = (F.round(first(x), 3).alias(name) for x, name in ((found.targets, "target_tokens"), (found.expected, "expected_tokens")))
-    return rows.select("doc_id", "tokens", first(model.domains).alias("domain"), posterior.alias("posterior"), F.round("rate", 6).alias("rate"), *sums)
+    return rows.select("doc_id", "tokens", first(model.domains).alias("domain"), posterior.alias("posterior"), F.round("rate", 6).alias("rate"), *sums, F.lit(round(found.residual, 6)).alias("residual"))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", seed: int = 11, least: int = 0, total: float | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """docs with each row as often as its rate says: the whole part of the rate, and once more with the chance of the rest (drawn by a hash
     of id, text and seed). All columns stay. least: rows that likelier are of a domain with a target than not come as often at least, and
-    with it the others don't come. See with_rates."""
+    with it the others don't come. Rows of one id and text are dealt as one: n of them give floor(n x rate + draw) in all, spread evenly (in parts of about GROUP, each with a draw of its own, where there are more). See with_rates."""
     model = learn(docs, labelled, targets, id_col, text_col, max_labelled)
-    tokens, rate, times, one = (unused(docs, f"mix_{x}") for x in ("tokens", "rate", "times", "one"))
+    tokens, rate, times, one, key, file, row, place = (unused(docs, f"mix_{x}") for x in ("tokens", "rate", "times", "one", "key", "file", "row", "place"))
     p = "mix_p"
     while any(unused(docs, f"{p}{k}") != f"{p}{k}" for k in range(len(model.domains))):
         p = "_" + p
     # texts go along, so that they are judged once
-    judged = written(with_posteriors(docs, model, text_col, tokens, p), "posteriors")
-    rows, _ = rates(judged, model, targets, tokens, p, rate, total)
-    draw = F.pmod(F.xxhash64(id_col, text_col, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    judged = written(with_posteriors(docs, model, text_col, tokens, p).withColumn(key, F.xxhash64(id_col, text_col)), "posteriors")
+    repeated = written(judged.groupBy(key).agg(F.count("*").alias(place)).where(F.col(place) > 1).withColumnRenamed(key, one), "repeated-rows")
+    some = not repeated.isEmpty()
+    rows, _ = rates(judged.withColumns({file: F.col("_metadata.file_path"), row: F.col("_metadata.row_index")}) if some else judged, model, targets, tokens, p, rate, total)
+    drawn = lambda *of: F.pmod(F.xxhash64(*of, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    once = lambda df: df.withColumn(times, F.floor(F.col(rate) + drawn(id_col, text_col)).cast("int"))
+    if some:
+        part = F.pmod(F.xxhash64(file, row), F.ceil(F.col(place) / GROUP))
+        more = rows.join(repeated, F.col(key) == F.col(one)).withColumn(one, part)
+        more = more.withColumn(place, F.row_number().over(Window.partitionBy(key, one).orderBy(file, row)))
+        draw = F.when(F.col(one) == 0, drawn(id_col, text_col)).otherwise(drawn(id_col, text_col, one))
+        upto = lambda n: F.floor(n * F.col(rate) + draw)
+        more = more.withColumn(times, (upto(F.col(place)) - upto(F.col(place) - 1)).cast("int")).drop(one, place)
+        rows = once(rows.join(repeated, F.col(key) == F.col(one), "left_anti")).unionByName(more)
+    else:
+        rows = once(rows)
     keys = [(F.col(f"{p}{k}"), targets.get(d, 0.0) > 0) for k, d in enumerate(model.domains)]
     whole = lambda wanted: sum([x for x, w in keys if w == wanted], F.lit(0.0))
-    often = F.floor(F.col(rate) + draw).cast("int")
+    often = F.col(times)
     rows = rows.withColumn(times, F.when(whole(True) > whole(False), F.greatest(F.lit(least), often)).otherwise(F.lit(0) if least else often)).where(F.col(times) > 0)
-    return rows.withColumn(one, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    return rows.withColumn(one, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*columns_of(docs))

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from seriesmend.llm.components import components
 from seriesmend.llm.hamming import forest
 from seriesmend.llm.shingles import SEED, band_keys, links_between, shingle_hashes, verified
-from seriesmend.runtime import arrow_map, discard, unused, worker_object, written
+from seriesmend.runtime import arrow_map, columns_of, discard, unused, worker_object, written
 
 WORDS, RADIUS = 4, 4
 #: Mean rows of a segment that are aimed at, rows of a chunk, and rows that a task looks at at once.
@@ -198,4 +198,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     discard(seen, ents, near, keys, sets, of)
     kept = rows.join(keep, F.col(row) == F.col(mine))
     once, more = kept.where(F.col(copies) == 1), kept.where(F.col(copies) > 1).dropDuplicates([mine])
-    return once.select(*docs.columns).unionByName(more.select(*docs.columns))
+    return once.select(*columns_of(docs)).unionByName(more.select(*columns_of(docs)))

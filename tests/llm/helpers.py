@@ -13,9 +13,9 @@ TEXTS = [
 
 
 def odd_docs(spark, n=None):
-    """Odd rows with further columns whose names clash with those that operators use."""
-    rows = [(i, t, "en" if k % 2 else None, "src0", len(t or ""), f"x{k}", k) for k, (i, t) in enumerate(TEXTS)]
-    return spark.createDataFrame(rows if n is None else rows[:n], "doc_id long, text string, lang string, source string, n_chars long, fp string, key int")
+    """Odd rows with further columns whose names clash with those that operators use, or have a dot."""
+    rows = [(i, t, "en" if k % 2 else None, "src0", len(t or ""), f"x{k}", k, f"y{k}") for k, (i, t) in enumerate(TEXTS)]
+    return spark.createDataFrame(rows if n is None else rows[:n], "doc_id long, text string, lang string, source string, n_chars long, fp string, key int, `a.b` string")
 
 
 def low_words(text):

@@ -11,8 +11,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seriesmend.llm import clusters, packing, periodic, queries
+from seriesmend.llm import clusters, licenses, media, mixing, packing, periodic, queries
 from seriesmend.llm.vocab import default_path
+from seriesmend.llm.words import joined
 
 from .helpers import TEXTS, odd_docs, rows
 
@@ -139,7 +140,7 @@ def check_packing(spark, df, size=1024):
 
 def test_packing_of_odd_texts(spark):
     for n in (1, 3, 20):
-        check_packing(spark, odd_docs(spark).withColumn("a.b", F.lit(1)).withColumn("ids", F.lit(2)).repartition(n))
+        check_packing(spark, odd_docs(spark).withColumn("ids", F.lit(2)).repartition(n))
     check_packing(spark, odd_docs(spark).repartition(5), size=7)
     check_packing(spark, odd_docs(spark).where("false"))
     check_packing(spark, spark.createDataFrame([(i, None) for i in range(64)], "doc_id long, text string").repartition(9), size=16)  # the last one is a power of two
@@ -232,3 +233,42 @@ def test_periodic_query_against_brute_force(spark, sf):
     got = queries.op13_periodic_runs(spark, sf).select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
     assert rows(got) == sorted(want, key=repr)
     assert sum(r[1] > 0 for r in want) > 10
+
+
+# ---- what holds for earlier operators ------------------------------------------------------------------------------
+
+
+def test_media_do_not_depend_on_the_order_of_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    assert len(media.dictionary_of(docs, "text")) > 1000
+    want = rows(media.media_columns(docs))
+    assert rows(media.media_columns(docs.orderBy(F.xxhash64("doc_id")).repartition(7))) == want
+    assert rows(media.media_columns(docs.repartition(3).sortWithinPartitions(F.desc("text")))) == want
+
+
+def test_copies_of_a_row_are_dealt_as_one(spark, monkeypatch):
+    """200 equal rows at half a rate are 100, wherever they lie; totals of a table of copies are what is expected."""
+    docs = spark.createDataFrame([(i, f"alpha beta {i} gamma", "x") for i in range(40) for _ in range(1 + i * i % 97)] + [(100, "one two three", "x")] * 200, "doc_id long, text string, `a.b` string").repartition(6)
+    labelled = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(40)], "id long, domain string")
+    targets = {"a": 0.5, "b": 0.5}
+    for total, group in ((None, 100_000), (4000.0, 100_000), (4000.0, 30)):
+        monkeypatch.setattr(mixing, "GROUP", group)
+        rate = {r.doc_id: r.rate for r in mixing.with_rates(docs, labelled, targets, total=total).select("doc_id", "rate").distinct().collect()}
+        had = {r.doc_id: r["count"] for r in docs.groupBy("doc_id").count().collect()}
+        mixed = mixing.mix(docs, labelled, targets, total=total)
+        assert mixed.columns == docs.columns
+        got = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+        for i, n in had.items():
+            assert abs(got.get(i, 0) - n * rate[i]) <= (1.001 if group > 1000 or n <= 30 else 2 + n / 30)
+        if group > 1000:
+            want = sum(had[i] * rate[i] for i in had)
+            assert abs(sum(got.values()) - want) <= 0.01 * want + 3
+    assert "residual" in mixing.with_rates(docs, labelled, targets).columns
+
+
+def test_notices_on_end_take_time_in_proportion():
+    scanner = licenses.NoticeScanner(licenses.PHRASES, licenses.NOTICES)
+    for text, n in (("licensed undr cc by ", 3000), ("permission is hereby granted free of charge to any person obtaining a coppy ", 1000)):
+        assert len(scanner.fuzzy(joined(text * n)[0])) == n
+    mixed = joined("released undr the mit license released under the mit license released under teh mit license")[0]
+    assert [(mixed[a:b], e) for a, b, _, e in scanner.fuzzy(mixed)] == [(b"released undr the mit license", 1), (b"released under the mit license", 0), (b"released under teh mit license", 2)]
