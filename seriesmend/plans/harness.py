@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmend.functions.scaling import minmax
-from seriesmend.operators import detect, kernels, metrics
+from seriesmend.operators import detect, kernels, learned, metrics
 from seriesmend.spec import SeriesSpec, number_rows
 
+#: All detectors by name.
+POOL = detect.DETECTORS | learned.DETECTORS
+
 
 def read_labelled(spark: SparkSession, folder: str, names: str = "*_val.csv") -> tuple[DataFrame, SeriesSpec]:
     """All CSV files of a folder as series: the first column is left out (time), the last is the label, rows with a gap go. sample_id is the file's name up to the first wildcard's end."""
@@ -40,9 +43,9 @@ def score_table(df: DataFrame, spec: SeriesSpec, detectors: list[str], label: st
     period = metrics.by_values(rows, spec, lambda x: float(kernels.period(x)), "__period", features)
     out = rows.select(spec.sample).distinct()
     for name in detectors:
-        if name not in detect.DETECTORS:
+        if name not in POOL:
             raise ValueError(f"no detector {name}")
-        scored = detect.DETECTORS[name](rows.select(*spec.keys, *([spec.timestamp] if spec.timestamp in rows.columns else []), *features), spec).select(*spec.keys, "score")
+        scored = POOL[name](rows.select(*spec.keys, *([spec.timestamp] if spec.timestamp in rows.columns else []), *features), spec).select(*spec.keys, "score")
         scored = minmax(scored, SeriesSpec(("score",), spec.sample, spec.t, spec.timestamp)).join(rows.select(*spec.keys, F.col(label).alias("label")), spec.keys).join(period, spec.sample)
         got = metrics.by_values(scored, spec, lambda x: metrics.vus(x[:, 0].astype(int), np.nan_to_num(x[:, 1]), int(x[0, 2]))[1], name, ["label", "score", "__period"])
         out = out.join(got, spec.sample, "left")

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmend.operators import graphs, kshape, networks, recurrent
+from seriesmend.operators import graphs, kshape, networks, recurrent, svm
 from seriesmend.registry import EV, LINEAR, R, ev, r6
 from seriesmend.runtime import prepare
 from seriesmend.sources import series
@@ -163,3 +163,16 @@ def _(spark, sf):
     parts = (d.where(F.floor(F.col("t") / 24) == k) for k in range((last or 0) // 24 + 1))
     found = [_scores(scored) for scored, _ in kshape.sand_batches(parts, s, 12, 6, k=4, stride=3, rounds=4)]
     return reduce(DataFrame.unionByName, found)
+
+
+# ---- support vectors -----------------------------------------------------------------------------------------------
+
+
+@query("detect_ocsvm")
+def _(spark, sf):
+    return _scores(svm.one_class(*ev(spark, sf), window=10, nu=0.2))
+
+
+@query("repair_svr_tube")
+def _(spark, sf):
+    return svm.tube_repair(*ev(spark, sf)).select("sample_id", "t", "col_1")

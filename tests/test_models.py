@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seriesmend.operators import detect, graphs, kshape, metrics, networks, recurrent, tape
+from seriesmend.operators import detect, graphs, kshape, metrics, networks, recurrent, svm, tape
 from seriesmend.operators.tape import Node
 from seriesmend.plans import policy
 from seriesmend.runtime import written
@@ -363,3 +363,73 @@ def test_sand_of_odd_series(spark):
     got = kshape.sand(df, ONE, 6)
     assert got.count() == 215 and got.where("score IS NULL OR isnan(score)").count() == 0
     assert kshape.sand(df.where("false"), ONE, 6).count() == 0
+
+
+# ---- support vectors -----------------------------------------------------------------------------------------------
+
+
+def check_conditions(machine, x, y, at, beta, level, n):
+    """Every row's optimality condition, with its own coefficient."""
+    own = np.zeros(len(x))
+    for a, b in zip(at, beta, strict=True):
+        own[int(np.abs(x - a).sum(axis=1).argmin())] += b
+    g = machine.gap(x, y, at, beta, level)
+    assert machine.broken(g, own, n, level).max() <= 1.5e-3
+    return own
+
+
+def test_tube_meets_its_conditions(spark):
+    rng = np.random.default_rng(4)
+    series = {s: (np.sin(np.arange(n) / 9) + 0.3 * rng.standard_normal(n) + np.where(np.arange(n) % 37 == 5, 4, 0)).tolist() for s, n in ((1, 400), (2, 150), (3, 2))}
+    df = table(spark, {s: [(t / 20, v) for t, v in enumerate(x)] for s, x in series.items()}, SeriesSpec(("a", "b")))
+    blocks = networks.window_blocks(df, SeriesSpec(("a", "b")), 1, block=50)
+    machine = svm.Tube(1.0, 0.1, 1.0)
+    objective = []
+    for parts in (1, 7):
+        blocks.table = written(blocks.table.repartition(parts), "test-blocks")
+        got = {r.s: r for r in svm.fit(blocks, machine, svm._pair).collect()}
+        assert sorted(got) == [1, 2, 3]
+        for s, r in got.items():
+            x, y = np.arange(len(series[s]))[:, None] / 20, np.array(series[s])
+            beta = check_conditions(machine, x, y, np.array(r["at"])[:, None], np.array(r.beta), r.level, len(x))
+            assert np.abs(beta).max() <= 1 and 0 < len(r.beta) <= len(x)
+            k = svm.gaussian(x, x, 1.0) + 1
+            objective.append(0.5 * beta @ k @ beta - y @ beta + 0.1 * np.abs(beta).sum())
+            whole, _ = machine.solve(x, y, np.zeros(len(x)), len(x), 5e-4)
+            assert abs(objective[-1] - (0.5 * whole @ k @ whole - y @ whole + 0.1 * np.abs(whole).sum())) < 1e-2
+    assert np.allclose(objective[:3], objective[3:], atol=5e-3)
+
+
+@pytest.mark.parametrize("nu", [0.1, 0.5])
+def test_one_class_meets_its_conditions(spark, nu):
+    series = {s: x[:, 0] for s, x in waves(3, 200, seed=9).items()}
+    series[1][90:95] += 2
+    df = table(spark, {s: x.tolist() for s, x in series.items()} | {8: [1.0] * 5, 9: [2.0] * 40})
+    blocks, machine = networks.window_blocks(df, ONE, 10, block=60), svm.OneClass(nu, 0.1)
+    got = {r.s: r for r in svm.fit(blocks, machine, svm.unit_windows).collect()}
+    assert sorted(got) == [0, 1, 2, 9]
+    for s in range(3):
+        x, _ = svm.unit_windows(np.lib.stride_tricks.sliding_window_view(series[s], 10)[:, :, None])
+        r = got[s]
+        beta = check_conditions(machine, x, np.zeros(len(x)), np.array(r["at"]).reshape(-1, 10), np.array(r.beta), r.level, len(x))
+        below = (machine.value(x, np.array(r["at"]).reshape(-1, 10), np.array(r.beta), 0) < r.level - 2e-3).mean()
+        assert abs(beta.sum() - 1) < 1e-9 and below <= nu + 0.02 and (beta > 0).mean() >= nu - 0.02
+    found = scores(svm.one_class(df, ONE, 10, nu))
+    assert 80 <= int(found[1].argmax()) <= 105 and not found[8].any() and np.allclose(found[9], 0, atol=2e-3)
+    assert svm.one_class(df.where("false"), ONE, 10).count() == 0
+
+
+def test_tube_repair(spark):
+    rng = np.random.default_rng(5)
+    clean = np.sin(np.arange(120) / 15)
+    y = clean + 0.05 * rng.standard_normal(120)
+    y[[30, 31, 70]] += 5
+    spec = SeriesSpec(("col_1", "col_2"))
+    df = table(spark, {1: [(float(v), None if t == 4 else 2.0) for t, v in enumerate(y)], 2: [(1.0, 2.0)], None: [(3.0, None), (4.0, None)]}, spec)
+    got = svm.tube_repair(df, spec)
+    assert sorted(got.columns) == sorted(df.columns)
+    rows = {(r.sample_id, r.t): (r.col_1, r.col_2) for r in got.collect()}
+    assert len(rows) == 123 and rows[2, 0] == (1.0, 2.0) and rows[None, 0][1] == 0.0
+    fitted = np.array([rows[1, t][0] for t in range(120)])
+    assert np.abs(fitted - clean)[5:-5].mean() < 0.15 and np.abs(fitted - clean)[[30, 70]].max() < 1.0
+    assert all(rows[1, t][1] == 2.0 for t in range(120))
