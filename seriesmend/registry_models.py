@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmend.operators import graphs, kshape, networks, recurrent, svm
+from seriesmend.operators import graphs, kshape, networks, recurrent, svm, thresholds
 from seriesmend.registry import EV, LINEAR, R, ev, r6
 from seriesmend.runtime import prepare
 from seriesmend.sources import series
@@ -176,3 +176,18 @@ def _(spark, sf):
 @query("repair_svr_tube")
 def _(spark, sf):
     return svm.tube_repair(*ev(spark, sf)).select("sample_id", "t", "col_1")
+
+
+# ---- thresholds ----------------------------------------------------------------------------------------------------
+
+
+@query("tail_limits", f"""WITH {EV}, b AS (SELECT sample_id, count(*) AS n, quantile_cont(clean_1, 0.8) AS start, max(clean_1) AS top FROM ev GROUP BY 1),
+    p AS (SELECT sample_id, clean_1 - start AS y FROM ev JOIN b USING (sample_id) WHERE clean_1 > start),
+    z AS (SELECT *, (1 - (row_number() OVER (PARTITION BY sample_id ORDER BY y) - 0.35) / count(*) OVER (PARTITION BY sample_id)) * y AS z FROM p),
+    m AS (SELECT sample_id, count(*) AS peaks, avg(y) AS a, avg(z) AS z FROM z GROUP BY 1),
+    f AS (SELECT *, 2 - a / nullif(a - 2 * z, 0) AS shape, 2 * a * z / nullif(a - 2 * z, 0) AS scale FROM m),
+    l AS (SELECT b.*, coalesce(peaks, 0) AS peaks, CASE WHEN peaks >= 10 AND scale > 0 THEN shape END AS shape, CASE WHEN peaks >= 10 AND shape IS NOT NULL AND scale > 0 THEN scale END AS scale FROM b LEFT JOIN f USING (sample_id))
+    SELECT sample_id, n, peaks, {R('start')}, {R('shape')}, {R('scale')}, round(CASE WHEN shape IS NULL THEN top WHEN abs(shape) > 1e-9 THEN start + scale / shape * (pow(0.05 * n / peaks, -shape) - 1) ELSE start - scale * ln(0.05 * n / peaks) END, 6) + 0.0 AS "limit" FROM l""")
+def _(spark, sf):
+    d, s = ev(spark, sf)
+    return r6(thresholds.tail_limits(d, s, "clean_1", risk=0.05, level=0.8), "start", "shape", "scale", "limit")
