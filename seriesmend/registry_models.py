@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesmend.functions import rockets
 from seriesmend.operators import graphs, kshape, networks, recurrent, svm, thresholds
 from seriesmend.registry import EV, LINEAR, R, ev, r6
 from seriesmend.runtime import prepare
@@ -191,3 +192,28 @@ def _(spark, sf):
 def _(spark, sf):
     d, s = ev(spark, sf)
     return r6(thresholds.tail_limits(d, s, "clean_1", risk=0.05, level=0.8), "start", "shape", "scale", "limit")
+
+
+# ---- fixed kernels -------------------------------------------------------------------------------------------------
+
+
+_TAPS = ", ".join(f"coalesce(lag(x, {(4 - k) * 2}) OVER w, 0.0)" for k in range(9))
+
+
+@query("rocket_shares", f"""WITH {EV}, v AS (SELECT sample_id, t, coalesce(col_1, 0.0) - 50.0 AS x FROM ev), tp AS (SELECT sample_id, [{_TAPS}] AS taps FROM v WINDOW w AS (PARTITION BY sample_id ORDER BY t)),
+    k AS (SELECT a.range AS a, b.range AS b, c.range AS c FROM range(9) a, range(9) b, range(9) c WHERE a.range < b.range AND b.range < c.range),
+    cv AS (SELECT sample_id, a, b, c, 3 * (taps[a + 1] + taps[b + 1] + taps[c + 1]) - list_sum(taps) AS y FROM tp, k)
+    SELECT sample_id, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(c AS INTEGER) AS c, {R('avg(CAST(y > 0.001 AS INTEGER))', 'share')} FROM cv GROUP BY 1, 2, 3, 4""")
+def _(spark, sf):
+    """All 84 kernels at dilation 2 over all users' events; values have two decimals, so that no convolution lies at the bias."""
+    d, s = ev(spark, sf)
+    d = d.withColumn("col_1", F.coalesce("col_1", F.lit(0.0)) - 50.0)
+    found = rockets.shares(d, s, [2], {("col_1", 2): [0.001] * len(rockets.KERNELS)}).select(F.col("sample").alias("sample_id"), F.posexplode("shares").alias("k", "share"))
+    place = lambda i: F.get(F.from_json(F.lit(str([k[i] for k in rockets.KERNELS])), "array<int>"), F.col("k"))
+    return r6(found.select("sample_id", *[place(i).alias(c) for i, c in enumerate("abc")], "share"), "share")
+
+
+@query("auto_select_k")
+def _(spark, sf):
+    k, score = rockets.auto_select_k(*ev(spark, sf), high=5)
+    return spark.createDataFrame([(k, score)], "k int, score double")
