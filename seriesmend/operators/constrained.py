@@ -366,35 +366,43 @@ def clean4mts(df: DataFrame, spec: SeriesSpec, c: Constraints, generations: int
 
 
 def mtcsc(df: DataFrame, spec: SeriesSpec, speed: Bounds, window: float = 5) -> DataFrame:
-    """All features together: a row of which any feature is too fast from the repaired row before moves in line to the first row of the longest compatible chain in its window."""
+    """All features together: a row moves if the way to it from the repaired row before, or from it to a leading row, is too fast in any feature. The leading row is the first of the longest chain in the row's window: later rows each join the chain of the nearest row before
+    them that they keep to the speed with, and a row that is near enough to the repaired one may begin a chain. A row that moves goes from the repaired row towards the leading one (itself, if there is no chain) as far as the speed allows up to its own time, at most all the way; without later
+    rows in its window it becomes the repaired one."""
     free = (-np.inf, np.inf)
     lo, hi = (np.array([speed.get(f, free)[k] for f in spec.features]) for k in (0, 1))
 
     def kernel(x: np.ndarray, t: np.ndarray) -> np.ndarray:
         out = K.fill_columns(x)
 
-        def fits(p: np.ndarray, q: np.ndarray, d: float) -> bool:
-            d = max(d, K.EPS)
-            return bool(((q - p >= lo * d - 1e-12) & (q - p <= hi * d + 1e-12)).all())
+        def fits(i: int, k: int) -> bool:
+            d, way = max(t[k] - t[i], K.EPS), out[k] - out[i]
+            return bool(((way >= lo * d - 1e-12) & (way <= hi * d + 1e-12)).all())
+
+        def leading(i: int, last: int) -> int:
+            """The first row of the longest chain among rows i + 1 to last, or i."""
+            chain: dict[int, int] = {}
+            size: dict[int, int] = {}
+            for k in range(i + 1, last + 1):
+                first = next((chain[j] for j in range(k - 1, i, -1) if j in chain and fits(j, k)), k if fits(i - 1, k) else None)
+                if first is not None:
+                    chain[k] = first
+                    size[first] = size.get(first, 0) + 1
+            return max(size, key=lambda k: (size[k], -k)) if size else i
 
         for i in range(1, len(out)):
-            if fits(out[i - 1], out[i], t[i] - t[i - 1]):
+            last = int(np.searchsorted(t, t[i] + window, "right")) - 1
+            if last <= i:
+                if not fits(i - 1, i):
+                    out[i] = out[i - 1]
                 continue
-            later = np.arange(i, np.searchsorted(t, t[i] + window, "right"))
-            ok = [k for k in later if fits(out[i - 1], out[k], t[k] - t[i - 1])]
-            best: list[int] = []
-            for a in ok:
-                chain = [a]
-                for k in later[later > a]:
-                    if fits(out[chain[-1]], out[k], t[k] - t[chain[-1]]):
-                        chain.append(k)
-                best = chain if len(chain) > len(best) else best
-            if best:
-                share = (t[i] - t[i - 1]) / (t[best[0]] - t[i - 1])
-                out[i] = out[i - 1] + share * (out[best[0]] - out[i - 1])
-            else:
-                d = max(t[i] - t[i - 1], K.EPS)
-                out[i] = np.clip(out[i], out[i - 1] + lo * d, out[i - 1] + hi * d)
+            to = leading(i, last)
+            if fits(i - 1, i) and (to == i or fits(i, to)):
+                continue
+            way, d = out[to] - out[i - 1], max(t[i] - t[i - 1], K.EPS)
+            allowed = np.where(way > 0, hi, -lo) * d
+            share = np.divide(allowed, np.abs(way), out=np.ones_like(way), where=way != 0).min()
+            out[i] = out[i - 1] + min(max(share, 0.0), 1.0) * way
         return out
 
     return per_series(df, spec, kernel)

@@ -107,7 +107,7 @@ def period(x: np.ndarray, most: int = 400, least: int = 3, default: int = 20) ->
     """The strongest period over columns: a local maximum of the autocorrelation at 3 to 300 rows; 20 where there is none."""
     best, at = -np.inf, default
     for j in range(x.shape[1]):
-        y = x[:20_000, j] - x[:20_000, j].mean() if len(x) > 20_000 else x[:, j] - x[:, j].mean()
+        y = x[:, j] - x[:, j].mean()
         n = min(most, len(y) - 1)
         if n <= least + 2 or not y.any():
             continue

@@ -154,9 +154,15 @@ class Environment:
         w, mean = self.spec.ordered, lambda values: sum(float(v or 0.0) for v in values) / len(self.spec.features)
         change = mean(j.agg(*[F.sqrt(F.avg((F.col(f"a.{f}") - F.col(f"b.{f}")) ** 2)) / F.greatest(F.stddev_pop(f"a.{f}"), F.lit(1e-8)) for f in self.spec.features]).first())
         near = lambda f: (F.coalesce(F.lag(f).over(w), F.lit(0.0)) + F.col(f) + F.coalesce(F.lead(f).over(w), F.lit(0.0))) / 3
-        steps = self.now.select(*[F.abs(F.col(f) - near(f)).alias(f) for f in self.spec.features])
-        rough = mean(steps.agg(*[F.avg(f) / (F.stddev_pop(f) + 1e-8) for f in self.spec.features]).first())
-        low_reward = -0.2 * np.tanh(rough) - 0.2 * min(change, 1.0) + 0.2 * (rates[macro] - self.rates[macro]) + 0.4 * (perf - self.last)
+
+        def structure(df: DataFrame) -> float:
+            """How smooth the table is: 0 at best."""
+            steps = df.select(*[F.abs(F.col(f) - near(f)).alias(f) for f in self.spec.features])
+            return -mean(steps.agg(*[F.avg(f) / (F.stddev_pop(f) + 1e-8) for f in self.spec.features]).first())
+
+        was, now = structure(before), structure(self.now)
+        gain = (now - was) / max(abs(now), abs(was), 1e-6)
+        low_reward = 0.2 * gain - 0.2 * min(change, 1.0) + 0.2 * (rates[macro] - self.rates[macro]) + 0.4 * (perf - self.last)
         drop = sum(rates[k] - self.rates[k] for k in MACRO[:3])
         self.history.append((macro, low))
         again = len(self.history) >= 3 and len(set(self.history[-3:])) == 1

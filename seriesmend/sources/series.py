@@ -41,8 +41,8 @@ def order_days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, SeriesSpec]
     return number_rows(g.withColumn("sample_id", F.lit(1).cast("long")), SeriesSpec(), "timestamp").select("sample_id", "t", "timestamp", "col_1", "col_2"), SeriesSpec(("col_1", "col_2"))
 
 
-def read_series_csv(spark: SparkSession, path: str, rate: float = 1.0) -> tuple[DataFrame, SeriesSpec]:
-    """A CSV file with a header, its first column time, the rest numbers; time text becomes epoch seconds, and the first max(1, int(n rate)) rows stay."""
+def read_series_csv(spark: SparkSession, path: str, rate: float = 1.0, by_time: bool = False) -> tuple[DataFrame, SeriesSpec]:
+    """A CSV file with a header (by_time: files, whose rows are in the order of their times and, where these are equal, of the rest), its first column time, the rest numbers; time text becomes epoch seconds, and the first max(1, int(n rate)) rows stay."""
     raw = spark.read.csv(path, header=True, inferSchema=True)
     raw = raw.withColumn("__row", F.monotonically_increasing_id())
     first, *rest = raw.columns[:-1]
@@ -50,7 +50,7 @@ def read_series_csv(spark: SparkSession, path: str, rate: float = 1.0) -> tuple[
     epoch = F.unix_timestamp(F.col(first).cast("timestamp")) if kind in ("string", "date", "timestamp") or first.lower() in TIME_NAMES and kind == "string" else F.col(first).cast("long")
     spec = SeriesSpec(tuple(f"col_{i + 1}" for i in range(len(rest))))
     rows = raw.select(F.lit(0).cast("long").alias("sample_id"), "__row", epoch.alias("timestamp"), *[F.col(c).cast("double").alias(f) for c, f in zip(rest, spec.features, strict=True)])
-    rows = number_rows(rows, spec, "__row").drop("__row")
+    rows = number_rows(rows, spec, *(["timestamp", *spec.features] if by_time else []), "__row").drop("__row")
     return clean_numbers(head_rate(rows, spec, rate), spec), spec
 
 

@@ -663,3 +663,32 @@ def test_clusters_of_two_kinds(spark):
     assert 2 <= policy.choose_clusters(d, ONE, 4) <= 4 and policy.cluster_performance(d, ONE, 2) > 0.5
     classes = d.select("sample_id").distinct().withColumn("label", (F.col("sample_id") >= 6).cast("int"))
     assert policy.class_performance(d, classes, ONE) > 0.9
+
+
+@pytest.mark.parametrize("values,want", [
+    ([0, 5, 1, 2, 3, 4], [0, 1, 1, 2, 3, 4]),  # towards the first row of the chain 1, 2, 3, 4, as fast as allowed
+    ([0, 9, 4, 4.5, 5], [0, 1, 2, 3, 3]),  # no chain: towards the row's own value; the last one becomes the row before it
+    ([0, 0.5, 3, 1, 1.5], [0, 0.5, 1, 1, 1.5]),  # the chain begins after the peak
+])
+def test_mtcsc_by_hand(spark, values, want):
+    df = make(spark, values)
+    got = constrained.mtcsc(df, ONE, {"col_1": (-1.0, 1.0)}, 5).orderBy("t").toPandas()
+    assert np.allclose(got["col_1"], want)
+
+
+def test_low_reward_is_the_gain_in_smoothness(spark):
+    """A repair that changes nothing gains nothing, however smooth the series is."""
+    d = make(spark, [float(np.sin(t / 5)) for t in range(60)])
+    env = policy.Environment(d, ONE, registry.EV_RULES, most_steps=2)
+    env.reset()
+    env.apply = lambda macro, low: env.now
+    env.performance = lambda df: env.last
+    low, _ = env.act("OUTLIER", "smurf")
+    assert abs(low) < 1e-9
+    rough = [float(np.sin(t / 5)) + (0.8 if t % 9 == 4 else 0) for t in range(60)]
+    env = policy.Environment(make(spark, rough), ONE, registry.EV_RULES, most_steps=2)
+    env.reset()
+    env.apply = lambda macro, low: d
+    env.performance = lambda df: env.last
+    change = np.sqrt(np.mean([0.64 * (t % 9 == 4) for t in range(60)])) / np.std(rough, ddof=0)
+    assert env.act("OUTLIER", "smurf")[0] > -0.2 * change + 0.02
