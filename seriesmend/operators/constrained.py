@@ -457,6 +457,44 @@ def one_milp(df: DataFrame, spec: SeriesSpec, speed: Bounds) -> DataFrame:
     return per_series(df, spec, _each(spec, fn, speed))
 
 
+def compatible_rows(x: np.ndarray, t: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The most rows (T x D) of which each keeps to the speed from the one before in all columns. A row's longest chain goes on from the longest chain that ends in a row it can follow: ends of chains are kept by their length, and looked at from the longest down, so that clean
+    stretches cost a look at few rows."""
+    n = len(x)
+    ends: list[list[int]] = []
+    before, length = np.full(n, -1), np.ones(n, int)
+    for i in range(n):
+        for k in range(len(ends), 0, -1):
+            rows = np.array(ends[k - 1])
+            d, way = np.maximum(t[i] - t[rows], 0)[:, None], x[i] - x[rows]
+            fits = ((way >= lo * d - 1e-12) & (way <= hi * d + 1e-12)).all(axis=1)
+            if fits.any():
+                before[i], length[i] = rows[np.flatnonzero(fits)[-1]], k + 1
+                break
+        if length[i] > len(ends):
+            ends.append([])
+        ends[length[i] - 1].append(i)
+    keep = np.zeros(n, bool)
+    i = int(length.argmax()) if n else -1
+    while i >= 0:
+        keep[i] = True
+        i = before[i]
+    return keep
+
+
+def one_milp_rows(df: DataFrame, spec: SeriesSpec, speed: Bounds) -> DataFrame:
+    """The fewest rows are changed, a row counting once whatever columns of it change: those outside of the longest compatible chain of whole rows lie on the line between its rows (the ends hold their nearest). Exact for any number of columns."""
+    free = (-np.inf, np.inf)
+    lo, hi = (np.array([speed.get(f, free)[k] for f in spec.features]) for k in (0, 1))
+
+    def kernel(x: np.ndarray, t: np.ndarray) -> np.ndarray:
+        x = K.fill_columns(x)
+        keep = compatible_rows(x, t, lo, hi)
+        return np.stack([np.interp(t, t[keep], c[keep]) for c in x.T], axis=1) if keep.any() else x
+
+    return per_series(df, spec, kernel)
+
+
 def interval_roots(a: float, b: float, c: float) -> tuple[float, float] | None:
     """The interval of a x^2 + b x + c <= 0 for a > 0; a half line for a = 0; None if it is empty."""
     if abs(a) < 1e-15:
@@ -491,5 +529,5 @@ def variance(df: DataFrame, spec: SeriesSpec, bounds: Bounds, window: int = 10,
 CONSTRAINT_REPAIRS: dict[str, Callable[[DataFrame, SeriesSpec, Constraints], DataFrame]] = {
     "mtclean": mtclean, "speedacc": lambda d, s, c: speedacc(d, s, c.speed, c.accel), "clean4mts": clean4mts, "mtcsc_n": lambda d, s, c: mtcsc(d, s, c.speed), "htd": lambda d, s, c: htd(d, s, c.speed),
     "screen": lambda d, s, c: screen(d, s, c.speed), "oneMilp": lambda d, s, c: one_milp(d, s, c.speed), "speed_local": lambda d, s, c: speed_local(d, s, c.speed), "speed_global": lambda d, s, c: speed_global(d, s, c.speed),
-    "speed_accel_local": lambda d, s, c: speed_accel_local(d, s, c.speed, c.accel), "speed_accel_global": lambda d, s, c: speed_accel_global(d, s, c.speed, c.accel), "variance": lambda d, s, c: variance(d, s, c.variance),
+    "speed_accel_local": lambda d, s, c: speed_accel_local(d, s, c.speed, c.accel), "speed_accel_global": lambda d, s, c: speed_accel_global(d, s, c.speed, c.accel), "variance": lambda d, s, c: variance(d, s, c.variance), "oneMilp_rows": lambda d, s, c: one_milp_rows(d, s, c.speed),
 }

@@ -389,7 +389,7 @@ def _bounds(name: str):
     return run
 
 
-for _name in ("screen", "speed_local", "speed_global", "speedacc", "speed_accel_local", "speed_accel_global", "mtclean", "mtcsc_n", "oneMilp"):
+for _name in ("screen", "speed_local", "speed_global", "speedacc", "speed_accel_local", "speed_accel_global", "mtclean", "mtcsc_n", "oneMilp", "oneMilp_rows"):
     _none = "CAST(0 AS BIGINT)"
     query(f"bounds_{_name.lower()}", f"WITH {EV} SELECT sample_id, count(*) - 1 AS steps, {_none} AS too_fast, {_none} AS too_sharp FROM ev GROUP BY 1")(_bounds(_name))
 for _name in ("ewma", "ridge", "kalman"):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmend.functions import rockets
-from seriesmend.operators import graphs, kshape, networks, recurrent, svm, thresholds
+from seriesmend.operators import graphs, kshape, likelihood, networks, recurrent, svm, thresholds
 from seriesmend.registry import EV, LINEAR, R, ev, r6
 from seriesmend.runtime import prepare
 from seriesmend.sources import series
@@ -217,3 +217,16 @@ def _(spark, sf):
 def _(spark, sf):
     k, score = rockets.auto_select_k(*ev(spark, sf), high=5)
     return spark.createDataFrame([(k, score)], "k int, score double")
+
+
+# ---- maximum likelihood --------------------------------------------------------------------------------------------
+
+
+@query("repair_arma_ml")
+def _(spark, sf):
+    return likelihood.arma_ml(*ev(spark, sf)).select("sample_id", "t", "col_1")
+
+
+@query("detect_garch")
+def _(spark, sf):
+    return _scores(likelihood.garch_score(*ev(spark, sf)))
