@@ -181,9 +181,9 @@ def nearest(x: np.ndarray, k: int, block: int = 512) -> tuple[np.ndarray, np.nda
         d = sq[lo : lo + block, None] + sq[None] - 2 * x[lo : lo + block] @ x.T
         d[np.arange(d.shape[0]), lo + np.arange(d.shape[0])] = np.inf
         i = np.argpartition(d, k - 1, axis=1)[:, :k]
-        v = np.take_along_axis(d, i, 1)
+        v = ((x[lo : lo + block, None] - x[i]) ** 2).sum(-1)  # of those few without what the products above cancel
         order = np.argsort(v, axis=1, kind="stable")
-        dist[lo : lo + block], at[lo : lo + block] = np.sqrt(np.maximum(np.take_along_axis(v, order, 1), 0)), np.take_along_axis(i, order, 1)
+        dist[lo : lo + block], at[lo : lo + block] = np.sqrt(np.take_along_axis(v, order, 1)), np.take_along_axis(i, order, 1)
     return dist, at
 
 

@@ -248,6 +248,28 @@ def _score3(name: str) -> None:
 
 _score3("FFT")
 _score3("HBOS")
+_score3("KNN")
+_score3("MatrixProfile")
+_TRIPLE = "(col_1 + col_2 + col_3) / 3"
+ORACLE_SQL["detect_knn"] = f"""WITH {SM}, m AS (SELECT sample_id, t, count(*) OVER (PARTITION BY sample_id) AS n, {_TRIPLE} AS m, col_1, col_2, col_3 FROM sm),
+    d AS (SELECT *, sqrt(((col_1 - m) ^ 2 + (col_2 - m) ^ 2 + (col_3 - m) ^ 2) / 2) AS d FROM m),
+    z AS (SELECT sample_id, t, n, CASE WHEN d > 0 THEN (col_1 - m) / d ELSE 0 END AS x, CASE WHEN d > 0 THEN (col_2 - m) / d ELSE 0 END AS y, CASE WHEN d > 0 THEN (col_3 - m) / d ELSE 0 END AS w FROM d),
+    p AS (SELECT a.sample_id, a.t, a.n, (a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.w - b.w) ^ 2 AS q FROM z a JOIN z b ON a.sample_id = b.sample_id AND a.t <> b.t),
+    r AS (SELECT *, row_number() OVER (PARTITION BY sample_id, t ORDER BY q) AS k FROM p)
+    SELECT sample_id, t, round(coalesce(sqrt(q), 0.0), 3) + 0.0 AS score FROM sm LEFT JOIN (SELECT * FROM r WHERE k = least(10, n - 1)) USING (sample_id, t)"""
+_score3("LOF")
+ORACLE_SQL["detect_lof"] = ORACLE_SQL["detect_knn"].split("    r AS (")[0] + """    r AS (SELECT *, sqrt(q) AS e, row_number() OVER (PARTITION BY sample_id, t ORDER BY q) AS k FROM p),
+    h AS (SELECT sample_id, t, u, e FROM r WHERE k <= least(20, n - 1)),
+    f AS (SELECT sample_id, t, max(e) AS far FROM h GROUP BY 1, 2),
+    y AS (SELECT h.sample_id, h.t, 1 / (avg(greatest(h.e, f.far)) + 1e-10) AS dense FROM h JOIN f ON f.sample_id = h.sample_id AND f.t = h.u GROUP BY 1, 2),
+    o AS (SELECT h.sample_id, h.t, avg(b.dense) / any_value(a.dense) AS s FROM h JOIN y a ON a.sample_id = h.sample_id AND a.t = h.t JOIN y b ON b.sample_id = h.sample_id AND b.t = h.u GROUP BY 1, 2)
+    SELECT sample_id, t, round(coalesce(s, 0.0), 3) + 0.0 AS score FROM sm LEFT JOIN o USING (sample_id, t)"""
+ORACLE_SQL["detect_lof"] = ORACLE_SQL["detect_lof"].replace("SELECT a.sample_id, a.t, a.n, (a.x", "SELECT a.sample_id, a.t, b.t AS u, a.n, (a.x")
+ORACLE_SQL["detect_matrixprofile"] = f"""WITH {SM}, l AS (SELECT sample_id, t, count(*) OVER (PARTITION BY sample_id) AS n, list(col_1) OVER (PARTITION BY sample_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS v FROM sm),
+    w AS (SELECT *, list_avg(v) AS m, list_stddev_pop(v) AS s FROM l WHERE len(v) = 10),
+    z AS (SELECT sample_id, t, n, list_transform(v, lambda x: CASE WHEN s > 0 THEN (x - m) / s ELSE 0 END) AS v FROM w),
+    p AS (SELECT a.sample_id, a.t, min(2 * (10 - list_dot_product(a.v, b.v))) AS d FROM z a JOIN z b ON a.sample_id = b.sample_id AND abs(a.t - b.t) > 5 GROUP BY 1, 2)
+    SELECT l.sample_id, l.t, round(coalesce(sqrt(greatest(d, 0)), 0.0), 3) + 0.0 AS score FROM l LEFT JOIN p ON p.sample_id = l.sample_id AND p.t = greatest(0, least(l.t - 5, n - 10))"""
 
 
 for _name in detect.DETECTORS:
