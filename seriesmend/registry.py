@@ -80,7 +80,7 @@ def _(spark, sf):
     return r6(missing.missing_rates(d.drop("clean_1"), s), "missing_rate")
 
 
-DUP = """od AS (SELECT date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day, CAST(sum(o_totalprice) AS DOUBLE) AS p, CAST(count(*) AS DOUBLE) AS c FROM orders GROUP BY 1),
+DUP = """od AS (SELECT date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day, CAST(sum(TRY_CAST(o_totalprice AS DECIMAL(18, 4))) AS DOUBLE) AS p, CAST(count(*) AS DOUBLE) AS c FROM orders GROUP BY 1),
  os AS (SELECT row_number() OVER (ORDER BY day) - 1 AS t, day, p, c FROM od),
  dd AS (SELECT t, CASE WHEN t % 20 < 3 + (t // 20) % 9 THEN t - t % 20 ELSE 100000 + t END AS timestamp, CASE WHEN t % 20 < 3 + (t // 20) % 9 THEN CAST(t // 20 AS DOUBLE) ELSE p END AS col_1, CASE WHEN t % 20 < 3 + (t // 20) % 9 THEN 1.0 ELSE c END AS col_2 FROM os)"""
 

@@ -196,7 +196,7 @@ def _(spark, sf):
 
 
 @query("csv_round_trip", """
-    WITH d AS (SELECT date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS timestamp, CAST(sum(o_totalprice) AS DOUBLE) AS col_1, CAST(count(*) AS DOUBLE) AS col_2 FROM orders GROUP BY 1)
+    WITH d AS (SELECT date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS timestamp, CAST(sum(TRY_CAST(o_totalprice AS DECIMAL(18, 4))) AS DOUBLE) AS col_1, CAST(count(*) AS DOUBLE) AS col_2 FROM orders GROUP BY 1)
     SELECT CAST(0 AS BIGINT) AS sample_id, row_number() OVER (ORDER BY timestamp) - 1 AS t, timestamp, round(col_1, 4) + 0.0 AS col_1, col_2 FROM d""")
 def _(spark, sf):
     d, s = series.order_days(spark, sf)

@@ -35,9 +35,9 @@ def supplier_months(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Series
 
 
 def order_days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, SeriesSpec]:
-    """orders by day, one long series: total price and count."""
+    """orders by day, one long series: total price (an exact sum, see supplier_months) and count."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderdate", "o_totalprice")
-    g = o.groupBy(F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("timestamp")).agg(F.sum("o_totalprice").cast("double").alias("col_1"), F.count("*").cast("double").alias("col_2"))
+    g = o.groupBy(F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("timestamp")).agg(F.sum(F.col("o_totalprice").try_cast("decimal(18,4)")).cast("double").alias("col_1"), F.count("*").cast("double").alias("col_2"))
     return number_rows(g.withColumn("sample_id", F.lit(1).cast("long")), SeriesSpec(), "timestamp").select("sample_id", "t", "timestamp", "col_1", "col_2"), SeriesSpec(("col_1", "col_2"))
 
 
