@@ -175,11 +175,11 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, seed: int = 7) -> LanguageModel:
     """A model from at most max_rows of the rows of docs with a text and a language, in equal shares for each language, chosen by a hash of id and text. ValueError beyond MOST_LANGUAGES."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in docs.select(F.col(text_col).isNotNull().alias("t"), F.col(lang_col).alias("lang")).where("t and lang is not null").groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in docs.select(F.col(text_col).isNotNull().alias("t"), F.col(lang_col).alias("lang")).where("t and lang is not null").groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
     if not counts:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), np.zeros(BUCKETS, bool))
     if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"{len(counts)} languages; a model of over {MOST_LANGUAGES} is too large to send")
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: the model would be too large to send")
     share = max(2, max_rows // len(counts))
     chance = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, (share + 3 * share**0.5) / n)))])
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)

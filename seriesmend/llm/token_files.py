@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import string
+import uuid
 import zlib
 from array import array
 from unicodedata import is_normalized
@@ -239,9 +240,10 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         def file() -> dict:
             image = simple8b.pack(simple8b.Shard(docs, np.concatenate(counts), np.concatenate(ids)))
             name = f"{at:06d}-{part:06d}.s8b"
-            with store.open_output_stream(f"{base}/.{name}-{os.getpid()}") as out:
+            unfinished = f"{base}/.{name}-{uuid.uuid4().hex}"  # another attempt may run elsewhere at the same time
+            with store.open_output_stream(unfinished) as out:
                 out.write(image)
-            store.move(f"{base}/.{name}-{os.getpid()}", f"{base}/{name}")
+            store.move(unfinished, f"{base}/{name}")
             return {"range": [at], "part": [part], "file": [name], "n_ids": [size], "n_docs": [len(docs)], "crc32": [zlib.crc32(image)]}
 
         for b in batches:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seriesmend.llm import clusters, licenses, media, mixing, packing, periodic, queries
+from seriesmend.llm import clusters, langid, licenses, media, mixing, packing, periodic, queries
 from seriesmend.llm.vocab import default_path
 from seriesmend.llm.words import joined
 
@@ -272,3 +272,48 @@ def test_notices_on_end_take_time_in_proportion():
         assert len(scanner.fuzzy(joined(text * n)[0])) == n
     mixed = joined("released undr the mit license released under the mit license released under teh mit license")[0]
     assert [(mixed[a:b], e) for a, b, _, e in scanner.fuzzy(mixed)] == [(b"released undr the mit license", 1), (b"released under the mit license", 0), (b"released under teh mit license", 2)]
+
+
+def plain_language(model, text):
+    """A prediction from the model's arrays, letter by letter."""
+    line = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    line = " ".join(line.split(" ")).strip(" ")
+    while "  " in line:
+        line = line.replace("  ", " ")
+    if not line:
+        return "und", 0.0, False
+    line = " " + line + " "
+    m, top = [int(x) for x in langid.MULTIPLIERS], 1 << 32
+    found = []
+    for i in range(len(line)):
+        h = ord(line[i]) * m[0] % top
+        if line[i] != " ":
+            found.append(h * m[3] % top)
+        for n in range(2, langid.LONGEST + 1):
+            if i + n > len(line) or " " in line[i + 1 : i + n - 1]:
+                break
+            h = (h ^ (ord(line[i + n - 1]) + n)) * m[n - 1] % top
+            h ^= h >> 15
+            found.append(h * m[3] % top)
+    buckets = [h >> (32 - (langid.BUCKETS.bit_length() - 1)) for h in found]
+    z = [(sum(float(model.logits[b][k]) for b in buckets) / len(buckets) + float(model.bias[k])) / model.temperature for k in range(len(model.languages))]
+    e = [math.exp(x - max(z)) for x in z]
+    k = e.index(max(e))
+    score = e[k] / sum(e)
+    return model.languages[k], score, score >= model.least_score and sum(bool(model.known[b]) for b in buckets) / len(buckets) >= model.least_known
+
+
+def test_languages_are_predicted_as_defined(spark, sf):
+    docs = queries.table(spark, sf, "documents")
+    model = langid.fit(docs.where(langid.learnable(F.col("doc_id"))))
+    every = docs.select("doc_id", "text").unionByName(odd_docs(spark).where("doc_id <> 5").select((F.col("doc_id") + 10_000_000).alias("doc_id"), "text"))
+    got = {}
+    for r in langid.identify(every.dropDuplicates(["doc_id"]), model).collect():
+        got[r.doc_id] = (r.lang_pred, r.score, r.accepted)
+    for r in every.dropDuplicates(["doc_id"]).collect():
+        if len(r.text or "") < 6000:
+            lang, score, accepted = plain_language(model, r.text)
+            assert got[r.doc_id][0] == lang and abs(got[r.doc_id][1] - score) < 1e-5
+            assert got[r.doc_id][2] == accepted or abs(score - model.least_score) < 1e-5
+    right = docs.where(langid.held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "lang").collect()
+    assert sum(got[r.doc_id][0] == r.lang for r in right) >= 0.95 * len(right)
