@@ -154,6 +154,30 @@ def best_f1(df: DataFrame, spec: SeriesSpec, label: str = "label", score: str =
     return h.groupBy(spec.sample).agg(F.max(2 * p * r / (p + r + 1e-5)).alias("best_f1"))
 
 
+def combined_metrics(df: DataFrame, spec: SeriesSpec, label: str = "label", score: str = "score", pred: str | None = None, alpha: float = 0.2) -> DataFrame:
+    """A row for each sample with a labelled row: auc, precision, recall and f1 of points, point_f1 after adjustment, range_recall (alpha x existence + (1 - alpha) x overlap), existence, overlap, range_precision, range_f1, and precision_at_k: the share of the k labelled rows among those whose score
+    is above the 1 - k / n quantile (between order statistics). pred: a column of 0 and 1; by default scores above mean + 3 deviations."""
+    if pred is None:
+        df, pred = threshold(df, spec, "sigma", score), "pred"
+    w, x = spec.whole, F.col(score)
+    rows = df.withColumns({"__n": F.count("*").over(w), "__k": F.sum((F.col(label) == 1).cast("long")).over(w), "__r": F.row_number().over(Window.partitionBy(spec.sample).orderBy(score, spec.t))})
+    rows = rows.where(F.col("__k") > 0).withColumn("__h", (1 - F.col("__k") / F.col("__n")) * (F.col("__n") - 1))
+    at = lambda place: F.max(F.when(F.col("__r") == place, x)).over(w)
+    low = at(F.floor("__h") + 1)
+    rows = rows.withColumn("__cut", low + (F.col("__h") - F.floor("__h")) * (F.coalesce(at(F.floor("__h") + 2), low) - low))
+    out = rows.groupBy(spec.sample).agg((F.count_if((x > F.col("__cut")) & (F.col(label) == 1)) / F.max("__k")).alias("precision_at_k"))
+    kept = rows.select(*spec.keys, label, score, pred)
+    named = lambda part, name: part.withColumnRenamed("value", name)
+    parts = [
+        roc_auc(kept, spec, label, score), point_scores(kept, spec, label, pred), point_scores(point_adjust(kept, spec, label, pred), spec, label, pred).select(spec.sample, F.col("f1").alias("point_f1")),
+        named(range_part(kept, spec, label, pred, 1.0), "existence"), named(range_part(kept, spec, label, pred, 0.0), "overlap"), named(range_part(kept, spec, pred, label, 0.0), "range_precision"),
+    ]
+    for p in parts:
+        out = out.join(p, spec.sample, "left")
+    out = out.na.fill(0.0, ["existence", "overlap", "range_precision"]).withColumn("range_recall", alpha * F.col("existence") + (1 - alpha) * F.col("overlap"))
+    return out.withColumn("range_f1", _f1(F.col("range_precision"), F.col("range_recall")))
+
+
 # ---- detections, by volume under surfaces --------------------------------------------------------------------------
 
 

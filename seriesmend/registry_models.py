@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmend.functions import rockets
-from seriesmend.operators import graphs, kshape, likelihood, networks, recurrent, svm, thresholds
-from seriesmend.registry import EV, LINEAR, R, ev, r6
+from seriesmend.operators import graphs, kshape, likelihood, metrics, networks, recurrent, svm, thresholds
+from seriesmend.registry import _ADJUST, _EVENTS, EV, LAB, LINEAR, R, ev, lab, r6
 from seriesmend.runtime import prepare
 from seriesmend.sources import series
 
@@ -230,3 +230,31 @@ def _(spark, sf):
 @query("detect_garch")
 def _(spark, sf):
     return _scores(likelihood.garch_score(*ev(spark, sf)))
+
+
+# ---- metrics -------------------------------------------------------------------------------------------------------
+
+
+_NAMES = ["auc", "precision", "recall", "f1", "point_f1", "range_recall", "existence", "overlap", "range_precision", "range_f1", "precision_at_k"]
+
+
+@query("combined_metrics", f"""WITH {EV}, {LAB}, {_ADJUST}, l AS {_EVENTS('label')}, p AS {_EVENTS('pred')},
+    g AS (SELECT sample_id, score, sum(label) AS p, sum(1 - label) AS n FROM lab GROUP BY 1, 2), b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY sample_id ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
+    au AS (SELECT sample_id, sum(p * (below + n / 2)) / nullif(sum(p) * sum(n), 0) AS auc FROM b GROUP BY 1),
+    po AS (SELECT sample_id, coalesce(count(*) FILTER (label = 1 AND pred = 1) / nullif(sum(pred), 0), 0) AS precision, count(*) FILTER (label = 1 AND pred = 1) / sum(label) AS recall FROM lab GROUP BY 1 HAVING sum(label) > 0),
+    aj AS (SELECT sample_id, coalesce(2 * count(*) FILTER (label = 1 AND pred = 1) / nullif(sum(pred) + sum(label), 0), 0) AS point_f1 FROM adj GROUP BY 1),
+    r1 AS (SELECT l.sample_id, l.a, l.b, count(p.a) AS k, sum(least(l.b, p.b) - greatest(l.a, p.a)) AS o FROM l LEFT JOIN p ON l.sample_id = p.sample_id AND p.a < l.b AND p.b > l.a GROUP BY 1, 2, 3),
+    p1 AS (SELECT p.sample_id, p.a, p.b, count(l.a) AS k, sum(least(l.b, p.b) - greatest(l.a, p.a)) AS o FROM p LEFT JOIN l ON l.sample_id = p.sample_id AND p.a < l.b AND p.b > l.a GROUP BY 1, 2, 3),
+    rr AS (SELECT sample_id, avg(CAST(k > 0 AS DOUBLE)) AS existence, avg(CASE WHEN k > 0 THEN o / (b - a) / k ELSE 0 END) AS overlap FROM r1 GROUP BY 1),
+    rp AS (SELECT sample_id, avg(CASE WHEN k > 0 THEN o / (b - a) / k ELSE 0 END) AS range_precision FROM p1 GROUP BY 1),
+    ls AS (SELECT sample_id, list_sort(list(score)) AS v, count(*) AS n, sum(label) AS k FROM lab GROUP BY 1 HAVING sum(label) > 0),
+    hh AS (SELECT sample_id, v, k, (1 - k / n) * (n - 1) AS h FROM ls),
+    ct AS (SELECT sample_id, k, v[CAST(floor(h) AS BIGINT) + 1] + (h - floor(h)) * (coalesce(v[CAST(floor(h) AS BIGINT) + 2], v[CAST(floor(h) AS BIGINT) + 1]) - v[CAST(floor(h) AS BIGINT) + 1]) AS cut FROM hh),
+    pk AS (SELECT sample_id, count(*) FILTER (score > cut AND label = 1) / any_value(k) AS precision_at_k FROM lab JOIN ct USING (sample_id) GROUP BY 1),
+    m AS (SELECT sample_id, auc, precision, recall, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1, point_f1, coalesce(existence, 0) AS existence, coalesce(overlap, 0) AS overlap, coalesce(range_precision, 0) AS range_precision, precision_at_k
+        FROM po LEFT JOIN au USING (sample_id) LEFT JOIN aj USING (sample_id) LEFT JOIN rr USING (sample_id) LEFT JOIN rp USING (sample_id) LEFT JOIN pk USING (sample_id)),
+    q AS (SELECT *, 0.2 * existence + 0.8 * overlap AS range_recall FROM m),
+    z AS (SELECT *, coalesce(2 * range_precision * range_recall / nullif(range_precision + range_recall, 0), 0) AS range_f1 FROM q)
+    SELECT sample_id, {", ".join(R(c) for c in _NAMES)} FROM z""")
+def _(spark, sf):
+    return r6(metrics.combined_metrics(*lab(spark, sf), pred="pred"), *_NAMES).select("sample_id", *_NAMES)

@@ -8,12 +8,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seriesmend.operators import detect, graphs, kshape, metrics, networks, recurrent, svm, tape
+from seriesmend import registry_models
+from seriesmend.operators import detect, graphs, kshape, learned, metrics, networks, recurrent, svm, tape
 from seriesmend.operators.tape import Node
-from seriesmend.plans import policy
+from seriesmend.plans import harness, policy
 from seriesmend.runtime import written
 from seriesmend.spec import SeriesSpec
 
+from .test_series import duck, normal  # noqa: F401
+
 ONE = SeriesSpec(("col_1",))
 
 
@@ -433,3 +436,20 @@ def test_tube_repair(spark):
     fitted = np.array([rows[1, t][0] for t in range(120)])
     assert np.abs(fitted - clean)[5:-5].mean() < 0.15 and np.abs(fitted - clean)[[30, 70]].max() < 1.0
     assert all(rows[1, t][1] == 2.0 for t in range(120))
+
+
+# ---- queries -------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(registry_models.ORACLE_SQL))
+def test_query_equals_its_sql(spark, sf, duck, name):
+    got, want = registry_models.QUERIES[name](spark, sf).toPandas(), duck.execute(registry_models.ORACLE_SQL[name]).df()
+    assert len(got) > 0 and normal(got) == normal(want)
+
+
+def test_harness_knows_learned_detectors(spark):
+    series = {s: [(v, int(80 + s <= t < 84 + s)) for t, v in enumerate(np.where((np.arange(120) >= 80 + s) & (np.arange(120) < 84 + s), 5.0, x[:, 0]).tolist())] for s, x in waves(3, 120, seed=2).items()}
+    df = table(spark, series, SeriesSpec(("col_1", "label"))).withColumn("label", F.col("label").cast("int"))
+    got = harness.score_table(df, ONE, ["Series2Graph", "OCSVM", "GARCH"], most=200).collect()
+    assert len(got) == 3 and all(0 <= r[n] <= 1 for r in got for n in ("Series2Graph", "OCSVM", "GARCH"))
+    assert set(learned.DETECTORS) <= set(harness.POOL)
