@@ -596,6 +596,29 @@ def ols_residual(df: DataFrame, spec: SeriesSpec, p: int = 10, most: int = 50, t
     return per_series(df, spec, _columns(fn))
 
 
+def least_change(df: DataFrame, spec: SeriesSpec, p: int = 3, delta: float = 1e-5, most: int = 100, window: int = 11) -> DataFrame:
+    """What an AR(p) without a constant expects, in place of one value at a time: of what a running median leaves, the value that is furthest from its expectation, as long as that is over three median deviations; the model is fitted anew after each. The first p rows stay, and so do series without more."""
+
+    def fn(y: np.ndarray) -> np.ndarray:
+        if len(y) <= p:
+            return y
+        size = min(len(y), window)
+        wide = np.pad(y, (size // 2, size - 1 - size // 2), mode="symmetric")
+        base = np.median(np.lib.stride_tricks.sliding_window_view(wide, size), axis=1)
+        rest = y - base
+        for _ in range(most):
+            x, t = K.ar_design(rest, p, constant=False)
+            pred = x @ K.ols(x, t)
+            off = np.abs(t - pred)
+            i = int(off.argmax())
+            if off[i] < max(3 * np.median(np.abs(off - np.median(off))), 1e-6) or off[i] < delta:
+                break
+            rest[p + i] = pred[i]
+        return base + rest
+
+    return per_series(df, spec, _columns(fn))
+
+
 def dbscan(df: DataFrame, spec: SeriesSpec, eps: float = 0.5, least: int = 5) -> DataFrame:
     """Noise of DBSCAN over standardised rows takes the median of the nearest cluster."""
 
@@ -743,7 +766,7 @@ MISSING_REPAIRS: dict[str, Callable[..., DataFrame]] = {"interpolation": impute_
 OUTLIER_REPAIRS: dict[str, Callable[..., DataFrame]] = {
     "moving_average": moving_average, "autoregressive": autoregressive, "arma": arma, "kalman_filter": kalman_filter, "interpolation": interpolation, "state_space": state_space, "trajectory_simplification": trajectory_simplification,
     "exponential_smoothing": exponential_smoothing, "svr": svr, "maximum_likelihood": maximum_likelihood, "bayesian_model": bayesian_model, "markov_model": markov_model, "hmm": hmm, "smurf": smurf, "spatio_temporal_prob_model": spatio_temporal,
-    "em": em, "relationship_network": relationship_network, "gaussian_mixture": gaussian_mixture, "imr": imr, "akane": akane, "ols_residual": ols_residual, "dbscan": dbscan, "lof_neighbor_mean": lof_neighbor_mean,
+    "em": em, "relationship_network": relationship_network, "gaussian_mixture": gaussian_mixture, "imr": imr, "akane": akane, "ols": least_change, "ols_residual": ols_residual, "dbscan": dbscan, "lof_neighbor_mean": lof_neighbor_mean,
     "abnormal_sequence_interpolation": abnormal_sequence, "window_regression": window_regression, "clustering_kmeans": clustering_kmeans, "wavelet_denoise": wavelet_denoise,
 }
 

@@ -692,3 +692,15 @@ def test_low_reward_is_the_gain_in_smoothness(spark):
     env.performance = lambda df: env.last
     change = np.sqrt(np.mean([0.64 * (t % 9 == 4) for t in range(60)])) / np.std(rough, ddof=0)
     assert env.act("OUTLIER", "smurf")[0] > -0.2 * change + 0.02
+
+
+def test_least_change_takes_the_worst_value_first(spark):
+    rng = np.random.default_rng(12)
+    clean = np.sin(np.arange(120) / 5) + 0.02 * rng.standard_normal(120)
+    y = clean.copy()
+    y[[40, 41, 90]] += [3, 3, -4]
+    got = np.array(col(repair.least_change(make(spark, y.tolist()), ONE)))
+    assert np.abs(got - clean)[[40, 90]].max() < 1.0 and np.abs(got - clean).max() < np.abs(y - clean).max() / 2
+    assert (np.abs(got - y) < 1e-12).mean() > 0.1 and np.allclose(got[:3], y[:3])
+    assert col(repair.least_change(make(spark, [1.0, 5.0, 1.0]), ONE)) == [1.0, 5.0, 1.0]
+    assert np.allclose(col(repair.least_change(make(spark, [2.0] * 30), ONE)), 2.0)
