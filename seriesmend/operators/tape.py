@@ -49,8 +49,9 @@ class Node:
     def swap(self, a: int, b: int):
         return Node(np.swapaxes(self.value, a, b), ((self, lambda g: np.swapaxes(g, a, b)),))
 
-    def sum(self):
-        return Node(self.value.sum(), ((self, lambda g: np.broadcast_to(g, self.value.shape)),))
+    def sum(self, axis: int | None = None):
+        """Over one axis, or all."""
+        return Node(self.value.sum(axis=axis), ((self, lambda g: np.broadcast_to(g if axis is None else np.expand_dims(g, axis), self.value.shape)),))
 
 
 def _shaped(g: np.ndarray, shape: tuple) -> np.ndarray:
@@ -88,6 +89,12 @@ def exp(x: Node) -> Node:
     return _each(x, y, y)
 
 
+def over_log(x: Node) -> Node:
+    """1 / log(x)."""
+    y = np.log(x.value)
+    return _each(x, 1 / y, -1 / (x.value * y * y))
+
+
 def softmax(x: Node) -> Node:
     """Along the last axis."""
     e = np.exp(x.value - x.value.max(axis=-1, keepdims=True))

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmend.functions import rockets
-from seriesmend.operators import graphs, kshape, likelihood, metrics, networks, recurrent, svm, thresholds
+from seriesmend.operators import detect, graphs, kshape, likelihood, metrics, networks, recurrent, svm, thresholds
+from seriesmend.plans import ranking, selection
 from seriesmend.registry import _ADJUST, _EVENTS, EV, LAB, LINEAR, R, ev, lab, r6
-from seriesmend.runtime import prepare
+from seriesmend.runtime import prepare, written
 from seriesmend.sources import series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -258,3 +259,18 @@ _NAMES = ["auc", "precision", "recall", "f1", "point_f1", "range_recall", "exist
     SELECT sample_id, {", ".join(R(c) for c in _NAMES)} FROM z""")
 def _(spark, sf):
     return r6(metrics.combined_metrics(*lab(spark, sf), pred="pred"), *_NAMES).select("sample_id", *_NAMES)
+
+
+@query("rank_detectors")
+def _(spark, sf):
+    """Each user's series is a set: its features are statistics of its values, its performances the detectors' average precision; the ranking learns from users with even ids and ranks for all."""
+    d, s = lab(spark, sf)
+    rows = d.withColumn("col_1", F.col("score"))
+    names = ["ZScore", "MAD", "MovingAverage", "EWMA"]
+    told = selection.list_statistics(rows, ["sample_id"], "col_1").select("sample_id", F.array(*[F.col(c).cast("double") for c in ("min", "max", "mean", "std", "skew", "kurtosis")]).alias("features"))
+    for n in names:
+        found = detect.DETECTORS[n](rows.drop("score"), s).select("sample_id", "t", "score").join(d.select("sample_id", "t", "label"), ["sample_id", "t"])
+        told = told.join(metrics.average_precision(found, s).withColumnRenamed("ap", n), "sample_id", "left")
+    told = written(told.select("sample_id", "features", F.array(*names).alias("scores")), "rank-sets")
+    fitted = ranking.Ranking(names, rounds=10).fit(told.where("sample_id % 2 = 0"))
+    return fitted.predict(told.select("sample_id", "features")).select("sample_id", F.posexplode("ranked").alias("place", "model"))
