@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesmend.spec import SeriesSpec, clean_numbers, number_rows
@@ -21,23 +21,28 @@ def user_events(spark: SparkSession, sf_dir: str, missing_every: int = 0) -> tup
     return number_rows(rows, SeriesSpec(), "ts", "event_id").select("sample_id", "t", "timestamp", "col_1", "clean_1"), SeriesSpec(("col_1",))
 
 
+def exact_units(c: str) -> Column:
+    """A column of amounts in ten-thousandths, as longs: their sum is exact in any order. Null for what is no number below 1e14 (NaN, infinite)."""
+    x = F.col(c).cast("double")
+    return F.when(F.abs(x) < 1e14, F.when(x < 0, F.ceil(x * 10_000 - 0.5)).otherwise(F.floor(x * 10_000 + 0.5)))
+
+
 def supplier_months(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, SeriesSpec]:
     """lineitem by supplier and month of shipping: quantity, price, mean discount, which correlate.
 
-    Sums of doubles depend on their order in the last place, and that decides which months tie. So amounts are added up as decimals of four places, which is exact in any order: each task adds up its own rows first. What is no such number (NaN, infinite) is missing."""
+    Sums of doubles depend on their order in the last place, and that decides which months tie. So amounts are added up in ten-thousandths, which is exact in any order: each task adds up its own rows first. What is no number is missing."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     month = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long")
-    total = lambda c: F.sum(F.col(c).try_cast("decimal(18,4)")).cast("double")
-    n = F.count(F.col("l_discount").try_cast("decimal(18,4)"))
-    mean = total("l_discount") / F.when(n > 0, n)
-    g = li.groupBy(F.col("l_suppkey").alias("sample_id"), month.alias("timestamp")).agg(total("l_quantity").alias("col_1"), total("l_extendedprice").alias("col_2"), mean.alias("col_3"))
+    rows = li.select(F.col("l_suppkey").alias("sample_id"), month.alias("timestamp"), *[exact_units(c).alias(f"s{k}") for k, c in enumerate(("l_quantity", "l_extendedprice", "l_discount"))])
+    total = lambda k: F.sum(f"s{k}") / 10_000.0
+    g = rows.groupBy("sample_id", "timestamp").agg(total(0).alias("col_1"), total(1).alias("col_2"), (total(2) / F.nullif(F.count("s2"), F.lit(0))).alias("col_3"))
     return number_rows(g, SeriesSpec(), "timestamp").select("sample_id", "t", "timestamp", "col_1", "col_2", "col_3"), SeriesSpec(("col_1", "col_2", "col_3"))
 
 
 def order_days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, SeriesSpec]:
     """orders by day, one long series: total price (an exact sum, see supplier_months) and count."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderdate", "o_totalprice")
-    g = o.groupBy(F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("timestamp")).agg(F.sum(F.col("o_totalprice").try_cast("decimal(18,4)")).cast("double").alias("col_1"), F.count("*").cast("double").alias("col_2"))
+    g = o.groupBy(F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("timestamp")).agg((F.sum(exact_units("o_totalprice")) / 10_000.0).alias("col_1"), F.count("*").cast("double").alias("col_2"))
     return number_rows(g.withColumn("sample_id", F.lit(1).cast("long")), SeriesSpec(), "timestamp").select("sample_id", "t", "timestamp", "col_1", "col_2"), SeriesSpec(("col_1", "col_2"))
 
 
