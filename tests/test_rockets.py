@@ -42,3 +42,15 @@ def test_clusters_are_found(spark):
     assert k == 3 and score > 0.7
     assert rockets.auto_select_k(df.where("sample_id < 5"), one) == (2, -100.0)
     assert rockets.rocket_points(df.where(F.col("sample_id") < 1), one).count() == 1
+
+
+def test_all_dilations_share_one_window(spark):
+    df = spark.createDataFrame([(1, t, float(t % 5)) for t in range(40)], "sample_id long, t long, a double")
+    one = SeriesSpec(("a",))
+    found = rockets.shares(df, one, [1, 2, 4])
+    assert found.count() == 3
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("windowspecdefinition") <= len({(k - 4) * d for d in (1, 2, 4) for k in range(9)}) and plan.count("Window ") == 1
+    for d in (1, 2, 4):  # together as each alone
+        alone = rockets.shares(df, one, [d]).first()["shares"]
+        assert alone == found.where(f"dilation = {d}").first()["shares"]
