@@ -105,7 +105,9 @@ def ray_crossings(points: DataFrame, rays: int, bins: int) -> DataFrame:
     """(sample, col, t, k, ray, bin): the k-th ray that the way from point t to the next one crosses, and the bin of its distance from the origin. Distances are binned as d / (d + s), s being the
     root mean square of the series' distances, so that bins are bounded. The way turns by less than half a circle; half a circle counts as forward."""
     w = Window.partitionBy(*S).orderBy("t")
-    turn = F.pmod(F.atan2("y", "x"), F.lit(2 * math.pi)) * (rays / (2 * math.pi))
+    angle = F.atan2("y", "x")
+    # No remainder: the whole turn of an angle just below 0 stays one, so that its distances to angles beside it keep their places.
+    turn = F.when(angle < 0, angle + 2 * math.pi).otherwise(angle) * (rays / (2 * math.pi))
     p = points.select(*S, "t", "x", "y", turn.alias("a"), F.sqrt(F.avg(F.col("x") * F.col("x") + F.col("y") * F.col("y")).over(Window.partitionBy(*S))).alias("scale"))
     p = p.withColumns({"x2": F.lead("x").over(w), "y2": F.lead("y").over(w), "d": F.lead("a").over(w) - F.col("a")}).where("x2 IS NOT NULL")
     p = p.withColumn("d", F.when(F.col("d") > rays / 2, F.col("d") - rays).when(F.col("d") <= -rays / 2, F.col("d") + rays).otherwise(F.col("d")))

@@ -36,6 +36,19 @@ def scores(df):
 # ---- shape graphs --------------------------------------------------------------------------------------------------
 
 
+def test_shape_edges_of_repeated_values_equal_the_sql(spark, tmp_path):
+    """Windows of equal values are points beside the origin, some of them a rounding below the first ray."""
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"""copy (select event_id + k * 100000 as event_id, ts, user_id, event_type, value, props from '/root/testdata/sf0.1/events.parquet', (select unnest(range(6)) as k)
+        where user_id in (140, 806)) to '{tmp_path}/events.parquet'""")
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    got = registry_models.QUERIES["series2graph_edges"](spark, str(tmp_path)).toPandas()
+    assert normal(got) == normal(c.execute(registry_models.ORACLE_SQL["series2graph_edges"]).df())
+
+
+
 def plain_graph(x, length, smooth, rays, bins, query, weights=None):
     """(edges, scores) of one series by the definition, loops alone."""
     n, d = len(x), length - smooth + 1
