@@ -126,3 +126,21 @@ def test_fewest_rows_of_one_column_are_those_of_the_chain():
         y, t = np.cumsum(rng.uniform(-1, 1, n)) + np.where(rng.random(n) < 0.2, rng.choice([-9, 9], n), 0), np.arange(float(n))
         keep = constrained.compatible_rows(y[:, None], t, np.array([-1.0]), np.array([1.0]))
         assert keep.sum() == constrained._compatible_chain(y, t, -1.0, 1.0).sum()
+
+
+def test_series_side_by_side_are_what_each_is_alone(monkeypatch):
+    """A search over many series costs few calls: one value() for a round of all of them."""
+    rng = np.random.default_rng(8)
+    ys = sorted((rng.standard_normal(n).cumsum() * 0.1 + rng.standard_normal(n) for n in (5, 40, 12, 30, 30)), key=lambda y: -len(y))
+    ys = [(y - y.mean()) / y.std() for y in ys]
+    passes = []
+    plain = likelihood.filtered
+    monkeypatch.setattr(likelihood, "filtered", lambda *a: passes.append(len(a[2])) or plain(*a))
+    ar, ma = likelihood.fit_armas(ys, 2, 1)
+    assert passes == [len(ys)] * likelihood.ROUNDS
+    for k, (y, told) in enumerate(zip(ys, likelihood.forecasts(ys, ar, ma), strict=True)):
+        one = likelihood.fit_arma(y, 2, 1)
+        assert np.allclose(one[0], ar[k]) and np.allclose(one[1], ma[k])
+        assert np.allclose(told, likelihood.innovations(y, ar[k : k + 1], ma[k : k + 1])[0][:, 0])
+    for k, found in enumerate(zip(*likelihood.fit_garches(ys), strict=True)):
+        assert np.allclose(found, likelihood.fit_garch(ys[k]))
