@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +22,8 @@ from seriesmend.spec import SeriesSpec, long_form, wide_form
 
 #: Rows that a working set starts with and that a round adds to it, at least; rounds.
 START, ADD, ROUNDS = 64, 64, 200
+#: Rows of working sets that a task holds before it solves them, and numbers of kernels that are made at once; one working set may be larger.
+HELD, NUMBERS = 8192, 1 << 19
 
 
 def gaussian(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
@@ -60,6 +62,46 @@ class Tube:
             beta[i] = new
         return beta, 0.0
 
+    def solve_many(self, sets: list[tuple], tolerance: float) -> list[tuple[np.ndarray, float]]:
+        """solve() for each of sets (its arguments but the last): those of like size move side by side, every one its own coordinate."""
+        out: list = [None] * len(sets)
+        order = sorted(range(len(sets)), key=lambda k: -len(sets[k][1]))
+        while order:
+            most = len(sets[order[0]][1])
+            some = order[: max(1, NUMBERS // max(1, most * most))]
+            order = order[len(some) :]
+            if len(some) == 1:
+                out[some[0]] = self.solve(*sets[some[0]], tolerance)
+                continue
+            k, g, beta, sizes = np.zeros((len(some), most, most)), np.zeros((len(some), most)), np.zeros((len(some), most)), np.array([len(sets[i][1]) for i in some])
+            for r, i in enumerate(some):
+                x, y, b, _ = sets[i]
+                k[r, : len(y), : len(y)] = one = gaussian(x, x, self.gamma) + 1
+                g[r, : len(y)], beta[r, : len(y)] = one @ b - y, b
+            self._move(k, g, beta, 10_000 + 200 * sizes, tolerance)
+            for r, i in enumerate(some):
+                out[i] = beta[r, : sizes[r]], 0.0
+        return out
+
+    def _move(self, k: np.ndarray, g: np.ndarray, beta: np.ndarray, limit: np.ndarray, tolerance: float) -> None:
+        """Coordinate descent of several problems, in beta; columns beyond a problem's size have zeros in k and g, and never break a condition."""
+        diagonal, live = np.maximum(np.einsum("sii->si", k), 1e-300), np.arange(len(k))
+        mine, now, left = k, beta.copy(), limit.copy()
+        while len(live):
+            off = self.broken(g, now, 0.0, 0.0)
+            at, rows = off.argmax(axis=1), np.arange(len(live))
+            going = (off[rows, at] > tolerance) & (left > 0)
+            if not going.all():
+                beta[live[~going]] = now[~going]
+                live, mine, g, now, left, diagonal, at = live[going], mine[going], g[going], now[going], left[going], diagonal[going], at[going]
+                rows = np.arange(len(live))
+            own, d = now[rows, at], diagonal[rows, at]
+            z = own - g[rows, at] / d
+            new = np.clip(np.sign(z) * np.maximum(np.abs(z) - self.width / d, 0.0), -self.cost, self.cost)
+            g += mine[rows, at] * (new - own)[:, None]  # k is symmetric
+            now[rows, at] = new
+            left -= 1
+
     def value(self, x: np.ndarray, at: np.ndarray, beta: np.ndarray, level: float) -> np.ndarray:
         return gaussian(x, at, self.gamma) @ beta + beta.sum()
 
@@ -112,6 +154,9 @@ class OneClass:
         low, high = g[beta > 0].max(), g[beta == 0].min() if (beta == 0).any() else g[beta > 0].max()
         return beta, float((low + high) / 2)
 
+    def solve_many(self, sets: list[tuple], tolerance: float) -> list[tuple[np.ndarray, float]]:
+        return [self.solve(*one, tolerance) for one in sets]
+
     def value(self, x: np.ndarray, at: np.ndarray, beta: np.ndarray, level: float) -> np.ndarray:
         return gaussian(x, at, self.gamma) @ beta
 
@@ -137,25 +182,63 @@ def fit(blocks: Blocks, machine: Tube | OneClass, make: Make, tolerance: float =
     working = T.StructType([T.StructField("s", kind), T.StructField("n", long), T.StructField("id", long), T.StructField("x", number), T.StructField("y", double), T.StructField("beta", double), T.StructField("off", double)])
     solved_schema = T.StructType([T.StructField("s", kind), T.StructField("n", long), T.StructField("ids", T.ArrayType(long)), T.StructField("at", number), T.StructField("ys", number), T.StructField("beta", number), T.StructField("level", double)])
 
+    def together(parts: list[dict]) -> dict:
+        """Rows of several series as one batch: a batch costs more than a short series' rows."""
+        return {f.name: [v for p in parts for v in p[f.name]] for f in working}
+
     def chosen(batches):
         for b in batches:
+            parts = []
             for k in range(b.num_rows):
                 s, begin, n = (b.column(c)[k].as_py() for c in (0, 1, 3))
                 step = max(1, int(n / (START + 1.5 * share * n)))
                 ids = begin + np.arange(len(w := _windows(b.column(2)[k], shape)))
                 some = ids % step == 0
                 x, y = make(w[some])
-                yield {"s": [s] * len(y), "n": [n] * len(y), "id": ids[some], "x": x.tolist(), "y": y, "beta": np.zeros(len(y)), "off": np.zeros(len(y))}
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["off", "id"], ascending=[False, True])
-        x, n = np.array(pdf["x"].tolist(), float), float(pdf["n"].iloc[0])
-        beta, level = machine.solve(x, pdf["y"].to_numpy(float), pdf["beta"].to_numpy(float).copy(), n, tolerance / 2)
-        some = np.flatnonzero(beta)
-        return pd.DataFrame({"s": [pdf["s"].iloc[0]], "n": [int(n)], "ids": [pdf["id"].to_numpy(np.int64)[some]], "at": [x[some].ravel()], "ys": [pdf["y"].to_numpy(float)[some]], "beta": [beta[some]], "level": [level]})
+                parts.append({"s": [s] * len(y), "n": [n] * len(y), "id": ids[some], "x": x.tolist(), "y": y, "beta": np.zeros(len(y)), "off": np.zeros(len(y))})
+                if sum(len(p["y"]) for p in parts) >= HELD:
+                    yield together(parts)
+                    parts = []
+            yield together(parts)
+
+    def solutions(held: list[pa.RecordBatch], last: bool) -> tuple[dict | None, list[pa.RecordBatch]]:
+        """(solutions of the series that are whole in rows sorted by series, rows that stay)."""
+        rows = pa.Table.from_batches(held)
+        codes = rows["s"].combine_chunks()
+        codes = codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes
+        codes = codes.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        ends = [*(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), *([len(rows)] if last else [])]
+        if not ends:
+            return None, held
+        spans = list(zip([0, *ends], ends, strict=False))
+        ids, n, y, beta = (rows[c].to_numpy() for c in ("id", "n", "y", "beta"))
+        x = rows["x"].combine_chunks()
+        x = pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x
+        x = x.flatten().to_numpy().reshape(len(rows), -1)
+        found = machine.solve_many([(x[a:b], y[a:b], beta[a:b].copy(), float(n[a])) for a, b in spans], tolerance / 2)
+        some = [np.flatnonzero(v) for v, _ in found]
+        out = {
+            "s": rows["s"].take([a for a, _ in spans]), "n": n[[a for a, _ in spans]], "ids": [ids[a:b][k] for (a, b), k in zip(spans, some, strict=True)], "at": [x[a:b][k].ravel() for (a, b), k in zip(spans, some, strict=True)],
+            "ys": [y[a:b][k] for (a, b), k in zip(spans, some, strict=True)], "beta": [v[k] for (v, _), k in zip(found, some, strict=True)], "level": [level for _, level in found],
+        }
+        return out, rows.slice(ends[-1]).combine_chunks().to_batches()
+
+    def solve(batches):
+        held: list[pa.RecordBatch] = []
+        most = HELD
+        for b in batches:
+            held += [b] if b.num_rows else []
+            if sum(len(h) for h in held) >= most:
+                out, held = solutions(held, False)
+                most = max(HELD, 2 * sum(len(h) for h in held))  # a long series is looked at again when it has doubled
+                if out:
+                    yield out
+        if held:
+            yield solutions(held, True)[0]
 
     def wrong(batches):
         for b in batches:
+            parts = []
             for k in range(b.num_rows):
                 s, begin, n, ids, at, beta, level = (b.column(c)[k].as_py() for c in (0, 1, 3, 4, 5, 6, 7))
                 x, y = make(_windows(b.column(2)[k], shape))
@@ -163,11 +246,16 @@ def fit(blocks: Blocks, machine: Tube | OneClass, make: Make, tolerance: float =
                 mine = begin + np.arange(len(y))
                 off = machine.broken(machine.gap(x, y, at, np.array(beta, float), level), np.zeros(len(y)), n, level)
                 bad = np.flatnonzero((off > tolerance) & ~np.isin(mine, np.array(ids, np.int64)))
-                yield {"s": [s] * len(bad), "n": [n] * len(bad), "id": mine[bad], "x": x[bad].tolist(), "y": y[bad], "beta": np.zeros(len(bad)), "off": off[bad]}
+                parts.append({"s": [s] * len(bad), "n": [n] * len(bad), "id": mine[bad], "x": x[bad].tolist(), "y": y[bad], "beta": np.zeros(len(bad)), "off": off[bad]})
+                if sum(len(p["y"]) for p in parts) >= HELD:
+                    yield together(parts)
+                    parts = []
+            yield together(parts)
 
     table = written(arrow_map(_joined(blocks, counts).select("sample", "begin", "values", "n"), chosen, working), "working-set")
     for _ in range(rounds):
-        solved = written(table.groupBy("s").applyInPandas(solve, solved_schema), "support-vectors")
+        dealt = table.repartition("s").sortWithinPartitions("s", F.desc("off"), "id")
+        solved = written(arrow_map(dealt, solve, solved_schema), "support-vectors")
         missing = arrow_map(_joined(blocks, solved.drop("ys")).select("sample", "begin", "values", "n", "ids", "at", "beta", "level"), wrong, working)
         worst = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("off"), "id"))
         missing = written(missing.withColumn("place", worst).where(F.col("place") <= F.greatest(F.lit(ADD), (F.col("n") * share / 4).cast("int"))).drop("place"), "violations")
@@ -189,11 +277,15 @@ def values_at(blocks: Blocks, machine: Tube | OneClass, make: Make, solved: Data
 
     def run(batches):
         for b in batches:
+            ids, starts, scores = [], [np.zeros(0, np.int64)], [np.zeros(0)]
             for k in range(b.num_rows):
                 s, begin, at, beta, level = (b.column(c)[k].as_py() for c in (0, 1, 3, 4, 5))
                 x, _ = make(_windows(b.column(2)[k], shape))
                 at = np.array(at, float).reshape(len(beta), -1) if beta else np.zeros((0, x.shape[1]))
-                yield {"sample": [s] * len(x), "start": begin + np.arange(len(x)), "score": out(machine.value(x, at, np.array(beta, float), level), level)}
+                ids += [s] * len(x)
+                starts.append(begin + np.arange(len(x)))
+                scores.append(out(machine.value(x, at, np.array(beta, float), level), level))
+            yield {"sample": ids, "start": np.concatenate(starts), "score": np.concatenate(scores)}
 
     return arrow_map(_joined(blocks, solved.select("s", "at", "beta", "level")).select("sample", "begin", "values", "at", "beta", "level"), run, schema)
 

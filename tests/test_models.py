@@ -466,3 +466,16 @@ def test_harness_knows_learned_detectors(spark):
     got = harness.score_table(df, ONE, ["Series2Graph", "OCSVM", "GARCH"], most=200).collect()
     assert len(got) == 3 and all(0 <= r[n] <= 1 for r in got for n in ("Series2Graph", "OCSVM", "GARCH"))
     assert set(learned.DETECTORS) <= set(harness.POOL)
+
+
+def test_tubes_side_by_side_are_what_each_is_alone(monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (30, 12, 1, 25, 40):
+        x = np.linspace(-1.7, 1.7, n)[:, None]
+        sets.append((x, np.sin(3 * x[:, 0]) + 0.3 * rng.standard_normal(n), np.zeros(n), float(n)))
+    machine = svm.Tube()
+    plain = [machine.solve(x, y, beta.copy(), n, 5e-4)[0] for x, y, beta, n in sets]
+    monkeypatch.setattr(svm.Tube, "solve", None)  # none is solved alone
+    for want, (found, level) in zip(plain, machine.solve_many(sets, 5e-4), strict=True):
+        assert np.array_equal(want, found) and level == 0.0
