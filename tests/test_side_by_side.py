@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from seriesmend.operators import kernels, repair
+from seriesmend.operators import constrained, kernels, repair
 
 
 def plain_lowess(y, frac, robust=3):
@@ -47,3 +47,54 @@ def test_hidden_states_side_by_side_are_what_each_is_alone(monkeypatch):
     for want, got in zip(alone, repair.hidden_states_many(ys, 5), strict=True):
         assert all(np.allclose(p, q) for p, q in zip(want, got, strict=True))
     assert len(groups) < len(ys) and sum(groups) == len(ys)
+
+
+def plain_variance(y, top, window=10, beta=0.5):
+    out, n = y.copy(), len(y)
+    for i in range(n):
+        picks, weights = [], []
+        for k, end in enumerate(range(max(i, window - 1), min(n, i + window))):
+            part = out[end - window + 1 : end + 1]
+            if part.var() > top + 1e-12:
+                rest = np.delete(part, i - (end - window + 1))
+                s, q = rest.sum(), (rest**2).sum()
+                got = constrained.interval_roots((window - 1) / window**2, -2 * s / window**2, q / window - (s / window) ** 2 - top)
+                picks.append(min(max(out[i], got[0]), got[1]) if got else rest.mean())
+                weights.append(beta**k)
+        if picks:
+            out[i] = np.average(picks, weights=weights)
+    return out
+
+
+def plain_least_change(y, p=3, delta=1e-5, most=100, window=11):
+    if len(y) <= p:
+        return y
+    size = min(len(y), window)
+    base = np.median(np.lib.stride_tricks.sliding_window_view(np.pad(y, (size // 2, size - 1 - size // 2), mode="symmetric"), size), axis=1)
+    rest = y - base
+    for _ in range(most):
+        x, t = kernels.ar_design(rest, p, constant=False)
+        pred = x @ kernels.ols(x, t)
+        off = np.abs(t - pred)
+        i = int(off.argmax())
+        if off[i] < max(3 * np.median(np.abs(off - np.median(off))), 1e-6) or off[i] < delta:
+            break
+        rest[p + i] = pred[i]
+    return base + rest
+
+
+def uneven():
+    rng = np.random.default_rng(7)
+    return [rng.exponential(50, size=int(k)) for k in [1, 2, 4, 9, 10, 11, 12, 30, 31, 64, 80]] + [np.full(25, 3.0), np.zeros(14), np.r_[np.zeros(20), 500.0, np.zeros(9)]]
+
+
+def test_variance_of_many_series_against_loops():
+    ys = uneven()
+    for y, got in zip(ys, constrained.steadied(ys, 400.0, 10, 0.5), strict=True):
+        np.testing.assert_allclose(got, plain_variance(y, 400.0), rtol=1e-9, atol=1e-9)
+
+
+def test_least_changes_of_many_series_against_loops():
+    ys = uneven()
+    for y, got in zip(ys, repair.least_changed(ys), strict=True):
+        np.testing.assert_allclose(got, plain_least_change(y), rtol=1e-9, atol=1e-9)
