@@ -98,3 +98,16 @@ def test_least_changes_of_many_series_against_loops():
     ys = uneven()
     for y, got in zip(ys, repair.least_changed(ys), strict=True):
         np.testing.assert_allclose(got, plain_least_change(y), rtol=1e-9, atol=1e-9)
+
+
+def test_mixtures_of_many_tables_against_one_at_a_time():
+    rng = np.random.default_rng(5)
+    fits = (("full", 1e-3), ("diag", 1e-2), ("spherical", 1e-4))
+    for d, k in ((1, 5), (3, 2)):
+        xs = [rng.exponential(5, size=(n, d)) for n in (1, 2, 3, 6, 7, 20, 41, 60)] + [np.full((9, d), 2.0)]
+        for x, found in zip(xs, kernels.gmm_many(xs, k, fits, at_once=200), strict=True):
+            for (kind, reg), (means, resp, ll) in zip(fits, found, strict=True):
+                _, m, _, r, like = kernels.gmm(x, k, kind, reg)
+                np.testing.assert_allclose(means, m, rtol=1e-7, atol=1e-9)
+                np.testing.assert_allclose(resp, r, rtol=1e-7, atol=1e-9)
+                np.testing.assert_allclose(ll, like, rtol=1e-7, atol=1e-9)
