@@ -3,6 +3,8 @@
 import numpy as np
 
 from seriesmend.operators import constrained, kernels, repair
+from seriesmend.operators.constraints import Constraints
+from seriesmend.spec import SeriesSpec
 
 
 def plain_lowess(y, frac, robust=3):
@@ -111,3 +113,48 @@ def test_mixtures_of_many_tables_against_one_at_a_time():
                 np.testing.assert_allclose(means, m, rtol=1e-7, atol=1e-9)
                 np.testing.assert_allclose(resp, r, rtol=1e-7, atol=1e-9)
                 np.testing.assert_allclose(ll, like, rtol=1e-7, atol=1e-9)
+
+
+def plain_search(x, t, speed, generations, population, seed=42, weight=0.05):
+    out = kernels.fill_columns(x)
+
+    def cost(x, t):
+        d = np.maximum(np.diff(t), kernels.EPS)[:, None]
+        v = np.diff(x, axis=1) / d
+        bad = np.zeros(x.shape[:2])
+        bad[:, 1:] = (np.maximum(speed[0] - v, 0) + np.maximum(v - speed[1], 0)).sum(-1)
+        return bad
+
+    if len(x) < 5:
+        return out
+    edges = np.flatnonzero(np.diff(np.r_[0, (cost(out[None], t)[0] > 1e-9).astype(int), 0]))
+    rng, floor, ceil, spread = np.random.default_rng(seed), out.min(0), out.max(0), out.std(0) + kernels.EPS
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        lo, hi = max(0, a - 3), min(len(out), b + 3)
+
+        def fit(pop):
+            whole = np.stack([np.concatenate([out[lo:a], p, out[b:hi]]) for p in pop])  # noqa: B023
+            return cost(whole, t[lo:hi]).sum(1) + weight * np.abs(pop - out[a:b]).sum((1, 2)) / spread.mean()  # noqa: B023
+
+        line = np.interp(np.arange(a, b), [max(a - 1, 0), min(b, len(out) - 1)], out[[max(a - 1, 0), min(b, len(out) - 1)], 0])[:, None]
+        pop = np.concatenate([out[None, a:b], line[None], line + rng.normal(size=(population - 2, b - a, 1)) * spread * 0.2])
+        for _ in range(generations):
+            best = pop[np.argsort(fit(pop), kind="stable")[: population // 2]]
+            rest = population - len(best)
+            mix = rng.random((rest, 1, 1))
+            child = mix * best[rng.integers(len(best), size=rest)] + (1 - mix) * best[rng.integers(len(best), size=rest)]
+            pop = np.concatenate([best, np.clip(child + rng.normal(size=child.shape) * spread * 0.05, floor, ceil)])
+        out[a:b] = pop[fit(pop).argmin()]
+    return out
+
+
+def test_the_seeded_search_of_many_series_against_loops(monkeypatch):
+    kept = {}
+    monkeypatch.setattr(constrained, "per_series", lambda df, spec, kernel, many=False: kept.update(kernel=kernel, many=many))
+    constrained.clean4mts(None, SeriesSpec(("col_1",)), Constraints(speed={"col_1": (-0.01, 0.01)}), generations=8, population=6)
+    assert kept["many"]
+    rng = np.random.default_rng(9)
+    xs = [rng.exponential(50, size=(n, 1)) for n in (1, 4, 5, 6, 17, 40, 41)]
+    ts = [np.cumsum(rng.integers(0, 20_000, len(x))).astype(float) for x in xs]
+    for x, t, got in zip(xs, ts, kept["kernel"](xs, ts), strict=True):
+        np.testing.assert_allclose(got, plain_search(x, t, (-0.01, 0.01), 8, 6), rtol=1e-9, atol=1e-9)
