@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from seriesmend.operators import constrained, kernels, repair
+from seriesmend.operators import constrained, kernels, metrics, repair
 from seriesmend.operators.constraints import Constraints
 from seriesmend.spec import SeriesSpec
 
@@ -158,3 +158,38 @@ def test_the_seeded_search_of_many_series_against_loops(monkeypatch):
     ts = [np.cumsum(rng.integers(0, 20_000, len(x))).astype(float) for x in xs]
     for x, t, got in zip(xs, ts, kept["kernel"](xs, ts), strict=True):
         np.testing.assert_allclose(got, plain_search(x, t, (-0.01, 0.01), 8, 6), rtol=1e-9, atol=1e-9)
+
+
+def test_volume_areas_of_all_windows_against_one_at_a_time(monkeypatch):
+    def plain(y, s, window, thresholds):
+        runs, n, h = metrics._runs(y), len(y), window // 2
+        soft = y.astype(float)
+        for a, b in runs:
+            for k in range(1, h + 1):
+                for at in (b - 1 + k, a - k):
+                    if 0 <= at < n:
+                        soft[at] = max(soft[at], np.sqrt(1 - k / window))
+        np.testing.assert_array_equal(metrics.soft_labels(y, window), soft)
+        mass, cuts = (y.sum() + soft.sum()) / 2, np.sort(s)[::-1][np.linspace(0, n - 1, thresholds).astype(int)]
+        t, f, p = [0.0], [0.0], []
+        for c in cuts:
+            up = s >= c
+            hit = soft[up].sum()
+            exist = np.mean([up[max(0, a - h) : min(n, b + h)].any() for a, b in runs])
+            t.append(min(hit / mass, 1) * exist)
+            f.append((up.sum() - hit) / max(n - mass, 1e-10))
+            p.append(hit / max(up.sum(), 1))
+        t, f = np.array([*t, 1.0]), np.array([*f, 1.0])
+        return ((f[1:] - f[:-1]) * (t[1:] + t[:-1]) / 2).sum(), ((t[1:-1] - t[:-2]) * p).sum()
+
+    rng, asked = np.random.default_rng(4), []
+    with monkeypatch.context() as m:
+        m.setattr(metrics, "soft_labels", lambda y, window: asked.append(window))
+        metrics.vus(np.array([0, 1, 0, 0]), np.arange(4.0), 5, 10)
+    assert not asked  # all windows come from one pass
+    for n, window in ((2, 3), (9, 20), (40, 5), (70, 12)):
+        y, s = (np.arange(n) % 7 < 2).astype(int), np.round(rng.random(n), 1)
+        y[0] = 0
+        want = np.mean([plain(y, s, w, 30) for w in range(window + 1)], axis=0) if y.any() else (0.0, 0.0)
+        np.testing.assert_allclose(metrics.vus(y, s, window, 30), want, rtol=1e-9, atol=1e-12)
+    np.testing.assert_array_equal(metrics.soft_labels(np.zeros(3, int), 100), np.zeros(3))
