@@ -36,9 +36,16 @@ def bounded(df: DataFrame, spec: SeriesSpec, label: str = "label", most: int = 2
     return rows.withColumn("__other", other).where(F.col("__other").isNotNull() & (F.col(spec.t) < most + more)).drop("__first", "__other")
 
 
-def score_table(df: DataFrame, spec: SeriesSpec, detectors: list[str], label: str = "label", most: int = 20_000, step: int = 5000) -> DataFrame:
-    """(sample, one column for each detector): VUS-PR of its scores between 0 and 1, with windows up to the series' period. A sample on which a detector fails has null there: that detector's column alone."""
-    rows = bounded(df, spec, label, most, step)
+def of_both_classes(df: DataFrame, spec: SeriesSpec, label: str = "label") -> DataFrame:
+    """All rows of the samples that have both classes."""
+    w = spec.whole
+    rows = df.withColumn("__both", F.min(label).over(w) != F.max(label).over(w))
+    return rows.where("__both").drop("__both")
+
+
+def score_table(df: DataFrame, spec: SeriesSpec, detectors: list[str], label: str = "label", most: int | None = None, step: int = 5000) -> DataFrame:
+    """(sample, one column for each detector): VUS-PR of its scores between 0 and 1, with windows up to the series' period, over whole series (most: over their beginnings, see `bounded`); samples of one class go. A sample on which a detector fails has null there: that detector's column alone."""
+    rows = of_both_classes(df, spec, label) if most is None else bounded(df, spec, label, most, step)
     features = list(spec.features)
     period = metrics.by_values(rows, spec, lambda x: float(kernels.period(x)), "__period", features)
     out = rows.select(spec.sample).distinct()
