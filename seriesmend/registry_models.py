@@ -216,7 +216,7 @@ def _(spark, sf):
 
 @query("auto_select_k")
 def _(spark, sf):
-    k, score = rockets.auto_select_k(*ev(spark, sf), high=5)
+    k, score = rockets.auto_select_k(*ev(spark, sf))
     return spark.createDataFrame([(k, score)], "k int, score double")
 
 

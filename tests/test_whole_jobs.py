@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from seriesmend import registry_models
 from seriesmend.operators import kernels, metrics
 from seriesmend.plans import harness
 from seriesmend.spec import SeriesSpec
@@ -19,3 +20,16 @@ def test_harness_scores_whole_series(spark):
     want = metrics.vus(y, (z - z.min()) / (z.max() - z.min()), period)[1]
     part = metrics.vus(y[:20_000], z[:20_000], period)[1]
     assert len(got) == 1 and np.isclose(got[0].ZScore, want, atol=0.01) and want > part + 0.1
+
+
+def test_all_numbers_of_clusters_are_tried(spark, tmp_path):
+    """Eight kinds of series: none of the numbers up to five is theirs."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for user in range(64):
+        wave = np.sign(np.sin(np.arange(96) * np.pi / (user % 8 + 1) ** 1.3 + 0.3)) * 20 + 50 + 0.1 * rng.standard_normal(96)
+        rows += [(user * 96 + t, t, user, float(v)) for t, v in enumerate(wave)]
+    events = spark.createDataFrame(rows, "event_id long, s long, user_id long, value double").selectExpr("event_id", "timestamp_seconds(s) AS ts", "user_id", "'view' AS event_type", "value", "'{}' AS props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    found = registry_models.QUERIES["auto_select_k"](spark, str(tmp_path)).first()
+    assert found["k"] > 5 and found["score"] > 0.7
